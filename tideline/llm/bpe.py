@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the public pre-token pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pre-tokens that a worker remembers before it forgets them all.
-REMEMBERED = 200_000
+#: Pre-tokens in each of the two generations that a worker remembers.
+REMEMBERED = 150_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -46,10 +46,11 @@ class Vocabulary:
         for i, b in self.bytes.items():
             if len(b) == 1:
                 self.single[b[0]] = i
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        #: pair of ids as one number -> rank and merged id as one number
+        self.merges: dict[int, int] = {}
         for rank, merge in enumerate(spec["model"]["merges"]):
             a, b = merge if isinstance(merge, list) else merge.split(" ")
-            self.merges.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+            self.merges.setdefault(vocab[a] << 32 | vocab[b], rank << 32 | vocab[a + b])
         inside = bytearray(1 << 16)
         for token, i in vocab.items():
             b = self.bytes[i]
@@ -73,39 +74,35 @@ class Vocabulary:
         return self._few(ids) if len(ids) <= 48 else self._many(ids)
 
     def _few(self, ids: list[int]) -> list[int]:
-        get = self.merges.get
-        none = (1 << 60, 0)
-        ranks = [get(pair, none) for pair in zip(ids, ids[1:])]
-        while ranks:
-            best = min(ranks)
-            if best is none or best[0] == none[0]:
-                break
+        get, never = self.merges.get, 1 << 63
+        ranks = [get(a << 32 | b, never) for a, b in zip(ids, ids[1:])]
+        while ranks and (best := min(ranks)) != never:
             k = ranks.index(best)
-            ids[k : k + 2] = [best[1]]
+            ids[k : k + 2] = [best & 0xFFFFFFFF]
             del ranks[k]
             if k:
-                ranks[k - 1] = get((ids[k - 1], ids[k]), none)
+                ranks[k - 1] = get(ids[k - 1] << 32 | ids[k], never)
             if k < len(ranks):
-                ranks[k] = get((ids[k], ids[k + 1]), none)
+                ranks[k] = get(ids[k] << 32 | ids[k + 1], never)
         return ids
 
     def _many(self, ids: list[int]) -> list[int]:
         n = len(ids)
         after, before, live = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap: list[tuple[int, int, int, int, int]] = []
+        heap: list[tuple[int, int, int, int]] = []
 
         def offer(k: int) -> None:
-            if k >= 0 and after[k] < n and (m := self.merges.get((ids[k], ids[after[k]]))):
-                heapq.heappush(heap, (m[0], k, ids[k], ids[after[k]], m[1]))
+            if k >= 0 and after[k] < n and (m := self.merges.get(ids[k] << 32 | ids[after[k]])) is not None:
+                heapq.heappush(heap, (m, k, ids[k], ids[after[k]]))
 
         for k in range(n - 1):
             offer(k)
         while heap:
-            _, k, a, b, to = heapq.heappop(heap)
+            m, k, a, b = heapq.heappop(heap)
             if not live[k] or ids[k] != a or after[k] >= n or ids[after[k]] != b:
                 continue
             gone = after[k]
-            ids[k], live[gone], after[k] = to, False, after[gone]
+            ids[k], live[gone], after[k] = m & 0xFFFFFFFF, False, after[gone]
             if after[k] < n:
                 before[after[k]] = k
             offer(before[k])
@@ -124,6 +121,7 @@ class Codec:
         self.part = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
         self.ids: dict[str, str] = {}
         self.back: dict[str, bytes] = {}
+        self.old: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
 
     def learn(self, token: str) -> None:
         v = self.vocabulary
@@ -139,12 +137,13 @@ class Codec:
     def run(self, text: str) -> tuple[str, bytes]:
         """The ids in decimal, joined by commas, and the bytes that they decode to."""
         tokens = self.pretokens(text)
+        if len(self.ids) > self.remembered:
+            self.old, self.ids, self.back = (self.ids, self.back), {}, {}
         ids, back = self.ids, self.back
-        if len(ids) > self.remembered:
-            ids.clear()
-            back.clear()
         for token in set(tokens).difference(ids):
-            if token in self.vocabulary.special:
+            if token in self.old[0]:
+                ids[token], back[token] = self.old[0][token], self.old[1][token]
+            elif token in self.vocabulary.special:
                 ids[token], back[token] = str(self.vocabulary.special[token]), token.encode()
             else:
                 self.learn(token)
