@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tideline.llm.bpe import encode_decode
 from tideline.llm.decontaminate import find_items
 from tideline.llm.license_scan import scan_licenses
+from tideline.llm.ngram_join import join_components
 from tideline.llm.shard import hash_tree_shards
 
 
@@ -38,8 +39,12 @@ def op8_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_tree_shards(_table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_components(_table(spark, sf_dir, "documents")).drop("row")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_license_scan, op3_decontaminate, op5_bpe_codec, op8_hash_tree_shards]
+    found = [op1_license_scan, op3_decontaminate, op5_bpe_codec, op8_hash_tree_shards, op9_ngram_jaccard]
     return {f.__name__: f for f in found}
 
 
