@@ -296,14 +296,13 @@ def join_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
     signed = durable(_sign(base, n, percent, _counters(base, n)))
-    nodes = signed.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.count("*").alias("copies"), F.first("size").alias("size"))
-    nodes = durable(nodes)
-    firsts = signed.select("sig", "row", "prefix").join(nodes.select("sig", "row"), ["sig", "row"], "left_semi").dropDuplicates(["sig"])
-    posted = firsts.select("sig", F.explode("prefix").alias("token"))
-    lists = posted.groupBy("token").agg(F.count("*").alias("k"), F.min("sig").alias("star")).where("k > 1").drop("k")
-    stars = posted.join(lists, "token").where("sig <> star").select(F.col("sig").alias("a"), F.col("star").alias("b"))
-    regions = components(stars).select(F.col("node").alias("sig"), F.col("root").alias("region"))
-    wanted = durable(regions.join(nodes.select("sig", "row", "copies", "size"), "sig"))
+    nodes = durable(signed.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("prefix").alias("prefix")))
+    # a row hash is the node's name here: should two agree, their regions merge, which is harmless
+    posted = nodes.select("row", F.explode("prefix").alias("token"))
+    lists = posted.groupBy("token").agg(F.min("row").alias("star"), F.max("row").alias("other")).where("star <> other").drop("other")
+    stars = posted.join(lists, "token").where("row <> star").select(F.col("row").alias("a"), F.col("star").alias("b"))
+    regions = components(stars).select(F.col("node").alias("row"), F.col("root").alias("region"))
+    wanted = durable(regions.join(nodes.select("sig", "row", "copies", "size"), "row"))
     total = wanted.groupBy("region").agg(F.sum("size").alias("total"))
     sized = wanted.join(total, "region")
     cut = sized.withColumn("parts", F.when(F.col("total") > task_shingles, F.ceil(2 * F.col("total") / F.lit(task_shingles))).otherwise(F.lit(1)).cast("int"))
@@ -315,7 +314,7 @@ def join_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
         part = rows.where("parts > 1").withColumn("p", F.expr("cast(pmod(xxhash64(sig), parts) as int)"))
         pairs = part.withColumn("q", F.explode(F.expr("sequence(0, parts - 1)")))
         pairs = pairs.withColumn("side", F.when(F.col("p") == F.col("q"), 0).otherwise(F.when(F.col("p") < F.col("q"), 1).otherwise(2)))
-        pairs = pairs.withColumn("region", F.concat(F.col("region"), F.least("p", "q").cast("string").cast("binary"), F.lit("/").cast("binary"), F.greatest("p", "q").cast("string").cast("binary")))
+        pairs = pairs.withColumn("region", F.concat(F.col("region").cast("string").cast("binary"), F.lit("/").cast("binary"), F.least("p", "q").cast("string").cast("binary"), F.lit("/").cast("binary"), F.greatest("p", "q").cast("string").cast("binary")))
         found = found.unionByName(_meet(pairs, percent))
         found = durable(found)
         roots = components(found.select(F.col("sig").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("sig"), "root")
