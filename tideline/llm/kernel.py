@@ -76,11 +76,7 @@ class Block:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        up, down = _powers(len(self._buf))
-        total = np.zeros(len(self._buf) + 1, dtype=np.uint64)
-        np.cumsum((self._buf.astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
-        word = (total[self.ends] - total[self.starts]) * down[self.starts]
-        return mix(word ^ (self.ends - self.starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        return span_hashes(self._buf, self.starts, self.ends)
 
     def words(self, doc: int) -> list[bytes]:
         a, b = self.first[doc], self.first[doc + 1]
@@ -114,12 +110,23 @@ def shingle_sets(block: Block, n: int) -> list[np.ndarray]:
     return out
 
 
-def blocks(texts: pa.Array, bound: int = BLOCK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
-    """Runs of rows as (first row, whole texts in UTF-8, A-Z in lower case; null as empty)."""
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span of ``buf``."""
+    up, down = _powers(len(buf))
+    total = np.zeros(len(buf) + 1, dtype=np.uint64)
+    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
+    span = (total[ends] - total[starts]) * down[starts]
+    return mix(span ^ (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def blocks(texts: pa.Array, bound: int = BLOCK_BYTES, lower: bool = True) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of rows as (first row, whole texts in UTF-8, A-Z in lower case if ``lower``; null as empty)."""
     held, size, at = [], 0, 0
     for k in range(len(texts)):
         value = texts[k].as_buffer()
-        raw = value.to_pybytes().lower() if value is not None else b""
+        raw = value.to_pybytes() if value is not None else b""
+        if lower:
+            raw = raw.lower()
         if held and size + len(raw) > bound:
             yield at, held
             held, size, at = [], 0, k
@@ -127,3 +134,24 @@ def blocks(texts: pa.Array, bound: int = BLOCK_BYTES) -> Iterator[tuple[int, lis
         size += len(raw)
     if held:
         yield at, held
+
+
+def gram_counts(docs: list[bytes], orders: tuple[int, ...], bits: int) -> np.ndarray:
+    """Counts of hashed byte n-grams: one row a document, 2**bits columns. No n-gram crosses documents."""
+    joined = b"".join(docs)
+    size = np.fromiter(map(len, docs), dtype=np.int64, count=len(docs))
+    buf = np.frombuffer(joined, dtype=np.uint8).astype(np.uint32)
+    owner = np.repeat(np.arange(len(docs), dtype=np.int64), size)
+    out = np.zeros(len(docs) << bits, dtype=np.int64)
+    for n in orders:
+        m = len(buf) - n + 1
+        if m <= 0:
+            continue
+        h = np.full(m, 0x811C9DC5 + n, dtype=np.uint32)
+        for k in range(n):
+            h = (h ^ buf[k : k + m]) * np.uint32(0x9E3779B1)
+            h ^= h >> np.uint32(15)
+        own = owner[:m]
+        inside = own == owner[n - 1 :]
+        out += np.bincount((own << bits)[inside] + (h[inside] >> np.uint32(32 - bits)), minlength=len(out))
+    return out.reshape(len(docs), 1 << bits)

@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tideline.llm.bpe import encode_decode
 from tideline.llm.decontaminate import find_items
+from tideline.llm.lang_id import identify
 from tideline.llm.license_scan import scan_licenses
+from tideline.llm.line_dedup import dedup_lines
 from tideline.llm.ngram_join import join_components
+from tideline.llm.quality import score_quality
 from tideline.llm.shard import hash_tree_shards
 
 
@@ -27,6 +31,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -35,6 +43,11 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(_table(spark, sf_dir, "documents"), byte_bpe_path(), with_ids=False)
 
 
+def op6_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "text", F.col("_chunks").alias("n_chunks"), F.col("_removed").alias("n_removed"))
+
+
 def op8_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_tree_shards(_table(spark, sf_dir, "documents"))
 
@@ -43,8 +56,14 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_components(_table(spark, sf_dir, "documents")).drop("row")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = score_quality(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_license_scan, op3_decontaminate, op5_bpe_codec, op8_hash_tree_shards, op9_ngram_jaccard]
+    found = [op1_license_scan, op2_language_id, op3_decontaminate, op5_bpe_codec, op6_line_chunks, op8_hash_tree_shards, op9_ngram_jaccard, op10_quality]
     return {f.__name__: f for f in found}
 
 
