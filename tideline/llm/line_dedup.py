@@ -27,7 +27,7 @@ from tideline.llm.cluster import durable
 WRAP = 16
 #: A bound's rolling hash is the least among so many display lines on either side.
 REACH = 4
-#: A chunk is removed only if it has so many display lines and words.
+#: A chunk is removed only if it has so many display lines, and so many words with the chunks that only rolling hashes cut from it.
 MIN_LINES, MIN_WORDS = 2, 16
 #: Bits of the table of repeated chunk hashes.
 FILTER_BITS = 24
@@ -81,7 +81,9 @@ class Chunks:
         self.place = np.arange(len(cut)) - np.searchsorted(self.doc, np.arange(len(docs)))[self.doc]
         self.words = np.searchsorted(words, self.end) - np.searchsorted(words, self.start)
         self.hash = kernel.mix(np.add.reduceat(kernel.mix(h + (at - cut[chunk]).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), cut))
-        self.fit = (after - cut >= min_lines) & (self.words >= min_words)
+        # a bound by rolling hash must not save a part of a long passage from its length
+        passage = segment[cut]
+        self.fit = (after - cut >= min_lines) & (np.bincount(passage, weights=self.words)[passage] >= min_words)
         self.first = np.append(np.searchsorted(self.doc, np.arange(len(docs))), len(cut))
 
     def without(self, doc: int, gone: set[int]) -> bytes:
@@ -130,7 +132,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with every repeated chunk removed from all places but its first.
 
     First is the least (id, row hash, place); a null id comes first. A chunk has at
-    least ``min_lines`` display lines and ``min_words`` words. All columns stay; the
+    least ``min_lines`` display lines, and its passage at least ``min_words`` words. All columns stay; the
     columns _chunks and _removed count chunks, and the text column holds what is
     left: '' where all was repeated, null where it was null. Texts without a repeated
     chunk come back byte for byte. Rows that are equal in id and text are one place
