@@ -4,9 +4,11 @@
    The counters have a fixed size, whatever the corpus; any order is correct, a
    better one only skips more.
 2. Equal sets become one node. A node is indexed under its prefix, the shingles
-   that a linked partner cannot all lack. Nodes under a common shingle are joined to
-   the least of them, never to each other, and connected components of those stars
-   are the regions: every link lies inside one.
+   that a linked partner cannot all lack. Two nodes of one list may link only if
+   their sizes and their parity bitmaps allow it (bits in which those differ are at
+   most the shingles in which the sets differ); a list hands on a spanning forest of
+   such pairs, never all of them, and a list beyond a bound a star. Connected
+   components of the forests are the regions: every link lies inside one.
 3. A region's sets meet once, in one task if they are few. Index lists are cut into
    blocks by position in the order, and blocks that cannot reach the overlap are
    skipped. The overlaps of a set are derived from those of a highly similar set
@@ -34,6 +36,10 @@ from tideline.llm.cluster import components, durable
 COUNTER_BITS, SLICES = 20, 64
 #: Bits of the filter by which the second reading of texts passes over sets without partners.
 FILTER_BITS = 24
+#: Bits of a set's parity bitmap.
+PARITY = 512
+#: Nodes of a list that are compared by size and bitmap; a longer list becomes a star.
+LIST = 4096
 #: Shingles of all sets that meet in one task.
 TASK_SHINGLES = 1 << 21
 #: Positions in a block of an index list.
@@ -80,7 +86,7 @@ def _counters(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def _sign(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """doc_id, row, size, sig (of the whole set; null if empty), prefix (in the global order)."""
+    """doc_id, row, size, sig (of the whole set; null if empty), parity bitmap, prefix (in the global order)."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
     shift = np.uint64(64 - COUNTER_BITS)
 
@@ -88,10 +94,11 @@ def _sign(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataFram
         weight = shared.value
         for batch in batches:
             for at, raw in kernel.blocks(batch.column(2)):
-                size, sig, first = [], [], []
+                size, sig, odd, first = [], [], [], []
                 for s in kernel.shingle_sets(kernel.Block(raw, kernel.SPACED), n):
                     size.append(len(s))
                     sig.append(blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                    odd.append(np.packbits(np.bincount((s >> np.uint64(20) & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).tobytes())
                     k = prefix(len(s), percent)
                     w = weight[s >> shift]
                     if k < len(s) // 2:  # the k rarest, without ordering the rest
@@ -103,10 +110,68 @@ def _sign(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataFram
                 offsets = np.cumsum([0, *map(len, first)])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(first), pa.int64()))
                 rows = len(raw)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, rows), batch.column(1).slice(at, rows), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), lists], names=["doc_id", "row", "size", "sig", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, rows), batch.column(1).slice(at, rows), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.array(odd, pa.binary()), lists], names=["doc_id", "row", "size", "sig", "parity", "prefix"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "row", "text").mapInArrow(sign, f"doc_id {kind}, row long, size long, sig binary, prefix array<long>")
+    return docs.select("doc_id", "row", "text").mapInArrow(sign, f"doc_id {kind}, row long, size long, sig binary, parity binary, prefix array<long>")
+
+
+def _forest(shared: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that keep the nodes of each list together that sizes and bitmaps allow to link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        out: set[tuple[int, int]] = set()
+
+        def close() -> None:
+            held.sort(key=lambda x: x[1])
+            if len(held) <= 16:
+                root = list(range(len(held)))
+                for y in range(1, len(held)):
+                    row, b, odd = held[y]
+                    for x in range(y - 1, -1, -1):
+                        other, a, seen = held[x]
+                        if 100 * a < percent * b:
+                            break
+                        if root[x] != root[y] and (odd ^ seen).bit_count() <= a + b - 2 * need(a, b, percent):
+                            out.add((other, row))
+                            old, new = root[y], root[x]
+                            root[:] = [new if r == old else r for r in root]
+                return
+            size = np.array([x[1] for x in held])
+            odd = np.frombuffer(b"".join(x[2].to_bytes(PARITY // 8, "big") for x in held), dtype=np.uint64).reshape(len(held), -1)
+            root = np.arange(len(held))
+            for y in range(1, len(held)):
+                low = int(np.searchsorted(size, -(-percent * int(size[y]) // 100)))
+                if low >= y:
+                    continue
+                both = size[low:y] + size[y]
+                near = np.bitwise_count(odd[low:y] ^ odd[y]).sum(axis=1, dtype=np.int64) <= both - 2 * -(-percent * both // (100 + percent))
+                for r in np.unique(root[low:y][near]).tolist():
+                    x = low + int(np.flatnonzero(near & (root[low:y] == r))[0])
+                    out.add((held[x][0], held[y][0]))
+                    root[root == root[y]] = r
+
+        def edges() -> pa.RecordBatch:
+            a, b = zip(*out)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for token, row, size, odd in zip(*[batch.column(k).to_pylist() for k in range(4)]):
+                if token != now:
+                    close()
+                    now = token
+                    held.clear()
+                    if len(out) >= 100_000:
+                        yield edges()
+                held.append((row, size, int.from_bytes(odd, "big")))
+        close()
+        if out:
+            yield edges()
+
+    dealt = shared.select("token", "row", "size", "parity").repartition("token").sortWithinPartitions("token")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -284,7 +349,7 @@ def _meet(rows: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "sig binary, root binary, links long")
 
 
-def join_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", task_shingles: int = TASK_SHINGLES) -> DataFrame:
+def join_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", task_shingles: int = TASK_SHINGLES, list_bound: int = LIST) -> DataFrame:
     """Every document with the component of its links: 100 * intersection >= percent * union.
 
     Words stand between ASCII white space, A-Z in lower case; a document's set is its
@@ -296,11 +361,13 @@ def join_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
     signed = durable(_sign(base, n, percent, _counters(base, n)))
-    nodes = durable(signed.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("prefix").alias("prefix")))
+    nodes = durable(signed.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix")))
     # a row hash is the node's name here: should two agree, their regions merge, which is harmless
     posted = nodes.select("row", F.explode("prefix").alias("token"))
-    lists = posted.groupBy("token").agg(F.min("row").alias("star"), F.max("row").alias("other")).where("star <> other").drop("other")
-    stars = posted.join(lists, "token").where("row <> star").select(F.col("row").alias("a"), F.col("star").alias("b"))
+    lists = posted.groupBy("token").agg(F.min("row").alias("star"), F.count("*").alias("k")).where("k > 1")
+    shared = durable(posted.join(lists, "token"))
+    few = _forest(shared.where(F.col("k") <= list_bound).join(nodes.select("row", "size", "parity"), "row"), percent)
+    stars = few.unionByName(shared.where((F.col("k") > list_bound) & (F.col("row") != F.col("star"))).select(F.col("row").alias("a"), F.col("star").alias("b")))
     regions = components(stars).select(F.col("node").alias("row"), F.col("root").alias("region"))
     wanted = durable(regions.join(nodes.select("sig", "row", "copies", "size"), "row"))
     total = wanted.groupBy("region").agg(F.sum("size").alias("total"))
