@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.llm.ann import nearest_neighbours
 from tideline.llm.bpe import encode_decode
 from tideline.llm.decontaminate import find_items
 from tideline.llm.lang_id import identify
@@ -15,6 +16,7 @@ from tideline.llm.line_dedup import dedup_lines
 from tideline.llm.ngram_join import join_components
 from tideline.llm.quality import score_quality
 from tideline.llm.shard import hash_tree_shards
+from tideline.llm.url_filter import judge_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +41,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages"))
+
+
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(_table(spark, sf_dir, "documents"), byte_bpe_path(), with_ids=False)
 
@@ -48,6 +54,11 @@ def op6_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", F.col("_chunks").alias("n_chunks"), F.col("_removed").alias("n_removed"))
 
 
+def op7_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest_neighbours(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op8_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_tree_shards(_table(spark, sf_dir, "documents"))
 
@@ -63,7 +74,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_license_scan, op2_language_id, op3_decontaminate, op5_bpe_codec, op6_line_chunks, op8_hash_tree_shards, op9_ngram_jaccard, op10_quality]
+    found = [op1_license_scan, op2_language_id, op3_decontaminate, op4_url_trust, op5_bpe_codec, op6_line_chunks, op7_multi_index, op8_hash_tree_shards, op9_ngram_jaccard, op10_quality]
     return {f.__name__: f for f in found}
 
 
