@@ -4,7 +4,8 @@
    The counters have a fixed size, whatever the corpus; any order is correct, a
    better one only skips more.
 2. Equal sets become one node. A node is indexed under its prefix, the shingles
-   that a linked partner cannot all lack. Two nodes of one list may link only if
+   that a linked partner cannot all lack, apart for each class of sizes; a set close
+   above a class's upper end is in that class too. Two nodes of one list may link only if
    their sizes and their parity bitmaps allow it (bits in which those differ are at
    most the shingles in which the sets differ); a list hands on a spanning forest of
    such pairs, never all of them, and a list beyond a bound a star. Connected
@@ -19,6 +20,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from hashlib import blake2b
@@ -33,11 +35,11 @@ from tideline.llm import kernel
 from tideline.llm.cluster import components, durable
 
 #: Hashed counters, and the slices in which tasks hand them on.
-COUNTER_BITS, SLICES = 20, 64
+COUNTER_BITS, SLICES = 22, 64
 #: Bits of the filter by which the second reading of texts passes over sets without partners.
 FILTER_BITS = 24
-#: Bits of a set's parity bitmap.
-PARITY = 512
+#: Sizes of a class grow by this factor; its parity bitmaps have at least so many bits.
+CLASS, PARITY = 1.5, 256
 #: Nodes of a list that are compared by size and bitmap; a longer list becomes a star.
 LIST = 4096
 #: Shingles of all sets that meet in one task.
@@ -56,6 +58,31 @@ def prefix(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1 if size else 0
 
 
+def size_class(size: int) -> int:
+    return int(math.log(size) / math.log(CLASS) + 1e-9)
+
+
+def classes(size: int, percent: int) -> list[int]:
+    """The class of a size, and the one below where that may hold a linked set."""
+    own = size_class(size)
+    return [own, own - 1] if own and size_class(-(-percent * size // 100)) < own else [own]
+
+
+def parity(items: np.ndarray, percent: int) -> bytes:
+    """A bitmap of the parities of hash buckets. One of half the width is the exclusive or of its halves."""
+    most = CLASS ** (size_class(len(items)) + 1) * (0.5 if percent >= 85 else 1.0)
+    width = max(PARITY, 1 << math.ceil(math.log2(most)))
+    return np.packbits(np.bincount((items >> np.uint64(12) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).tobytes()
+
+
+def fold_parity(bits: bytes, width: int) -> bytes:
+    """The bitmap at ``width`` bytes."""
+    while len(bits) > width:
+        half = len(bits) // 2
+        bits = (int.from_bytes(bits[:half], "big") ^ int.from_bytes(bits[half:], "big")).to_bytes(half, "big")
+    return bits
+
+
 def _counters(docs: DataFrame, n: int) -> np.ndarray:
     """Documents by hashed shingle: a table of fixed size, summed over all rows in two levels."""
     shift, width = np.uint64(64 - COUNTER_BITS), (1 << COUNTER_BITS) // SLICES
@@ -94,11 +121,12 @@ def _sign(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataFram
         weight = shared.value
         for batch in batches:
             for at, raw in kernel.blocks(batch.column(2)):
-                size, sig, odd, first = [], [], [], []
+                size, sig, odd, own, first = [], [], [], [], []
                 for s in kernel.shingle_sets(kernel.Block(raw, kernel.SPACED), n):
                     size.append(len(s))
                     sig.append(blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                    odd.append(np.packbits(np.bincount((s >> np.uint64(20) & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).tobytes())
+                    odd.append(parity(s, percent) if len(s) else None)
+                    own.append(classes(len(s), percent) if len(s) else [])
                     k = prefix(len(s), percent)
                     w = weight[s >> shift]
                     if k < len(s) // 2:  # the k rarest, without ordering the rest
@@ -110,10 +138,10 @@ def _sign(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataFram
                 offsets = np.cumsum([0, *map(len, first)])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(first), pa.int64()))
                 rows = len(raw)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, rows), batch.column(1).slice(at, rows), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.array(odd, pa.binary()), lists], names=["doc_id", "row", "size", "sig", "parity", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, rows), batch.column(1).slice(at, rows), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.array(odd, pa.binary()), pa.array(own, pa.list_(pa.int32())), lists], names=["doc_id", "row", "size", "sig", "parity", "classes", "prefix"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "row", "text").mapInArrow(sign, f"doc_id {kind}, row long, size long, sig binary, parity binary, prefix array<long>")
+    return docs.select("doc_id", "row", "text").mapInArrow(sign, f"doc_id {kind}, row long, size long, sig binary, parity binary, classes array<int>, prefix array<long>")
 
 
 def _forest(shared: DataFrame, percent: int) -> DataFrame:
@@ -127,10 +155,12 @@ def _forest(shared: DataFrame, percent: int) -> DataFrame:
             held.sort(key=lambda x: x[1])
             if len(held) <= 16:
                 root = list(range(len(held)))
+                width = min((len(x[2]) for x in held), default=0)
+                bits = [int.from_bytes(fold_parity(x[2], width), "big") for x in held]
                 for y in range(1, len(held)):
-                    row, b, odd = held[y]
+                    row, b, odd = held[y][0], held[y][1], bits[y]
                     for x in range(y - 1, -1, -1):
-                        other, a, seen = held[x]
+                        other, a, seen = held[x][0], held[x][1], bits[x]
                         if 100 * a < percent * b:
                             break
                         if root[x] != root[y] and (odd ^ seen).bit_count() <= a + b - 2 * need(a, b, percent):
@@ -139,7 +169,8 @@ def _forest(shared: DataFrame, percent: int) -> DataFrame:
                             root[:] = [new if r == old else r for r in root]
                 return
             size = np.array([x[1] for x in held])
-            odd = np.frombuffer(b"".join(x[2].to_bytes(PARITY // 8, "big") for x in held), dtype=np.uint64).reshape(len(held), -1)
+            width = min(len(x[2]) for x in held)
+            odd = np.frombuffer(b"".join(fold_parity(x[2], width) for x in held), dtype=np.uint64).reshape(len(held), -1)
             root = np.arange(len(held))
             for y in range(1, len(held)):
                 low = int(np.searchsorted(size, -(-percent * int(size[y]) // 100)))
@@ -165,7 +196,7 @@ def _forest(shared: DataFrame, percent: int) -> DataFrame:
                     held.clear()
                     if len(out) >= 100_000:
                         yield edges()
-                held.append((row, size, int.from_bytes(odd, "big")))
+                held.append((row, size, odd))
         close()
         if out:
             yield edges()
@@ -361,9 +392,9 @@ def join_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
     signed = durable(_sign(base, n, percent, _counters(base, n)))
-    nodes = durable(signed.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix")))
+    nodes = durable(signed.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("parity").alias("parity"), F.first("classes").alias("classes"), F.first("prefix").alias("prefix")))
     # a row hash is the node's name here: should two agree, their regions merge, which is harmless
-    posted = nodes.select("row", F.explode("prefix").alias("token"))
+    posted = nodes.select("row", "classes", F.explode("prefix").alias("t")).select("row", F.explode("classes").alias("c"), "t").select("row", F.xxhash64("t", "c").alias("token"))
     lists = posted.groupBy("token").agg(F.min("row").alias("star"), F.count("*").alias("k")).where("k > 1")
     shared = durable(posted.join(lists, "token"))
     few = _forest(shared.where(F.col("k") <= list_bound).join(nodes.select("row", "size", "parity"), "row"), percent)
