@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,15 +26,16 @@ def _add(pdf: pd.DataFrame) -> pd.DataFrame:
 def sums(df: DataFrame, per_batch: Callable[[pd.DataFrame], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
     """The sum over all batches of named arrays; a name has one length everywhere."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for pdf in batches:
-            for k, v in per_batch(pdf).items():
+        for batch in batches:
+            for k, v in per_batch(batch.to_pandas()).items():
                 total[k] = total[k] + v if k in total else v
         task = TaskContext.get().partitionId()
-        yield pd.DataFrame({"key": list(total), "task": [task] * len(total), "gram": [np.ascontiguousarray(v, dtype=float).tobytes() for v in total.values()]}, columns=["key", "task", "gram"])
+        packed = [np.ascontiguousarray(v, dtype=float).tobytes() for v in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([task] * len(total), pa.int32()), pa.array(packed, pa.binary())], names=["key", "task", "gram"])
 
-    parts = df.mapInPandas(run, KIND)
+    parts = df.mapInArrow(run, KIND)
     some = parts.groupBy("key", F.expr("task % 64").alias("g")).applyInPandas(lambda pdf: _add(pdf), KIND)
     rows = some.groupBy("key").applyInPandas(lambda pdf: _add(pdf), KIND).collect()
     return {r["key"]: np.frombuffer(r["gram"]) for r in rows}
