@@ -101,8 +101,8 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_c
     d, half = lengths[0].d, (lengths[0].d + 1) // 2
     rows = rows.where(F.size("embedding") == d)
     same = Window.partitionBy("_h", "embedding").orderBy("vec_id")
-    distinct = rows.withColumn("_h", F.xxhash64("embedding")).withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= k + 1).select("vec_id", "embedding", "_h")
-    distinct = durable(distinct.dropDuplicates(["vec_id", "_h"]) if k < 1 else distinct)
+    distinct = rows.withColumn("_h", F.xxhash64("embedding")).withColumn("_n", F.dense_rank().over(same)).where(F.col("_n") <= k + 1).select("vec_id", "embedding", "_h")
+    distinct = durable(distinct.dropDuplicates(["vec_id", "_h"]))
     total = distinct.count()
     share = min(1.0, SAMPLE / total)
     sample = distinct.where(F.pmod("_h", F.lit(1 << 20)) < int(np.ceil(share * (1 << 20)))).orderBy("vec_id", "_h").select("embedding").toArrow()

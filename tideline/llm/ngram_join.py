@@ -331,7 +331,7 @@ def _answers(rows: Iterator[tuple[bytes, bytes, np.ndarray, int, int]], percent:
                 k = parent[k]
             return k
 
-        for x, found in Region([held[s][0] for s in sigs], percent, sides if len(set(sides)) > 1 else None).links():
+        for x, found in Region([held[s][0] for s in sigs], percent, sides if any(sides) else None).links():
             for y in found.tolist():
                 count[x] += held[sigs[y]][1]
                 count[y] += held[sigs[x]][1]
