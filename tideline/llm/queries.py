@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.llm import oracles
 from tideline.llm.ann import nearest_neighbours
 from tideline.llm.bpe import encode_decode
 from tideline.llm.decontaminate import find_items
@@ -30,7 +31,7 @@ def byte_bpe_path() -> str:
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(_table(spark, sf_dir, "documents"))
+    return scan_licenses(_table(spark, sf_dir, "documents")).drop("places")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,4 +80,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others hold learnt scores, iterated graphs, digests of BPE or a sampled index: see tests/llm."""
+    return {"op1_license_scan": oracles.LICENSES, "op3_decontaminate": oracles.DECONTAMINATE, "op8_hash_tree_shards": oracles.SHARDS, "op9_ngram_jaccard": oracles.JACCARD}
