@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the public pre-token pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pre-tokens in each of the two generations that a worker remembers.
+#: Pre-tokens in each of the two generations that a worker remembers (about 120 MB).
 REMEMBERED = 150_000
 
 
@@ -110,24 +110,40 @@ class Vocabulary:
         return [i for i, x in zip(ids, live) if x]
 
 
+class Memo(dict):
+    """Pre-token to its ids in decimal; what is missing is encoded, and its decoded bytes kept beside it."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary, self.back = vocabulary, {}
+        self.parts: dict[bytes, list[int]] = {}
+        self.old: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
+
+    def __missing__(self, token: str) -> str:
+        v = self.vocabulary
+        if token in self.old[0]:
+            text, back = self.old[0][token], self.old[1][token]
+        else:
+            ids = [v.special[token]] if token in v.special else [i for fragment in v.fragments(token.encode()) for i in self.part(fragment)]
+            text, back = ",".join(map(str, ids)), b"".join([v.bytes[i] for i in ids])
+        self[token], self.back[token] = text, back
+        return text
+
+    def part(self, fragment: bytes) -> list[int]:
+        """Ids of a fragment, which other pre-tokens may share."""
+        if (ids := self.parts.get(fragment)) is None:
+            ids = self.parts[fragment] = self.vocabulary.merge(fragment)
+        return ids
+
+
 class Codec:
-    """Encodes and decodes texts; remembers a bounded number of pre-tokens."""
+    """Encodes and decodes texts; remembers two generations of a bounded number of pre-tokens."""
 
     def __init__(self, vocabulary: Vocabulary, remembered: int = REMEMBERED):
         import regex
 
-        self.vocabulary, self.remembered = vocabulary, remembered
+        self.vocabulary, self.remembered, self.memo = vocabulary, remembered, Memo(vocabulary)
         self.split = regex.compile(PATTERN).findall
         self.part = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
-        self.ids: dict[str, str] = {}
-        self.back: dict[str, bytes] = {}
-        self.old: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
-
-    def learn(self, token: str) -> None:
-        v = self.vocabulary
-        ids = [i for fragment in v.fragments(token.encode()) for i in v.merge(fragment)]
-        self.ids[token] = ",".join(map(str, ids))
-        self.back[token] = b"".join(v.bytes[i] for i in ids)
 
     def pretokens(self, text: str) -> list[str]:
         if self.part is None or not any(s in text for s in self.vocabulary.special):
@@ -136,18 +152,15 @@ class Codec:
 
     def run(self, text: str) -> tuple[str, bytes]:
         """The ids in decimal, joined by commas, and the bytes that they decode to."""
-        tokens = self.pretokens(text)
-        if len(self.ids) > self.remembered:
-            self.old, self.ids, self.back = (self.ids, self.back), {}, {}
-        ids, back = self.ids, self.back
-        for token in set(tokens).difference(ids):
-            if token in self.old[0]:
-                ids[token], back[token] = self.old[0][token], self.old[1][token]
-            elif token in self.vocabulary.special:
-                ids[token], back[token] = str(self.vocabulary.special[token]), token.encode()
-            else:
-                self.learn(token)
-        return ",".join([ids[t] for t in tokens]), b"".join([back[t] for t in tokens])
+        if len(self.memo) > self.remembered:
+            new = Memo(self.vocabulary)
+            new.old = (self.memo, self.memo.back)
+            self.memo.old = ({}, {})
+            self.memo = new
+        tokens, memo = self.pretokens(text), self.memo
+        ids = ",".join([memo[t] for t in tokens])
+        back = memo.back
+        return ids, b"".join([back[t] for t in tokens])
 
 
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
