@@ -120,3 +120,39 @@ def test_numpy_folds_are_disjoint_and_even():
     folds = numpy_folds([f"s{k}" for k in range(13)] * 2, 5, 7)
     sizes = np.bincount(list(folds.values()))
     assert len(folds) == 13 and sizes.max() - sizes.min() <= 1
+
+
+def test_network_gradient_and_antisymmetry():
+    from tideline.operators import neural as N
+
+    rng = np.random.default_rng(3)
+    net = N.Network(((0, 1), (2,), ()), hidden=3, out=2)
+    a, b = rng.normal(size=(20, 3)), rng.normal(size=(20, 3))
+    p = N.start(net)
+
+    def value():
+        return N.loss(N.forward(net, p, b)[0] - N.forward(net, p, a)[0])[0]
+
+    (s1, k1), (s2, k2) = N.forward(net, p, a), N.forward(net, p, b)
+    _, g = N.loss(s2 - s1)
+    g1, g2 = N.backward(net, p, k1, -g), N.backward(net, p, k2, g)
+    for k in p:
+        flat = p[k].reshape(-1)
+        old = flat[0]
+        flat[0] = old + 1e-5
+        up = value()
+        flat[0] = old - 1e-5
+        down = value()
+        flat[0] = old
+        assert (g1[k] + g2[k]).reshape(-1)[0] == pytest.approx((up - down) / 2e-5, rel=1e-3, abs=1e-6)
+    assert N.loss(np.array([1.0]))[0] == 0.0
+    trained = N.train(N.Network(((0, 1, 2),), epochs=30), a, a + 0.5, [f"s{k}" for k in range(20)])
+    d = N.forward(N.Network(((0, 1, 2),)), trained, a + 0.5)[0] - N.forward(N.Network(((0, 1, 2),)), trained, a)[0]
+    assert d.mean() > 0
+
+
+def test_equal_visits_have_no_effect(spark, sf):
+    from tideline.operators.moments import gram
+
+    g = M.square(gram(np.zeros((5, 2))))
+    assert np.allclose(K.srm_weights(g), 0)

@@ -10,7 +10,7 @@ from tideline.plans import registry
 
 
 def _load() -> None:
-    from tideline.plans import queries_data, queries_effects, queries_models, queries_report  # noqa: F401
+    from tideline.plans import queries_data, queries_effects, queries_models, queries_report, queries_study  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
