@@ -33,11 +33,22 @@ def numpy_folds(groups: Sequence[str], k: int = 5, seed: int = 42) -> dict[str,
     return {g: f for f, part in enumerate(np.array_split(names, min(k, len(names)))) for g in part}
 
 
+def numbered(df: DataFrame, unit: str, keys: Sequence[str] = (), name: str = "_i") -> DataFrame:
+    """``df`` with gapless numbers from 0 within each key, in the order of (md5 of unit, unit).
+
+    The first two hex digits of the md5 make ordered buckets: counts of the buckets
+    before give an offset, so that no task has to see all rows of a key.
+    """
+    d = df.withColumn("_h", F.md5(F.col(unit).cast("string").cast("binary"))).withColumn("_b", F.substring("_h", 1, 2))
+    counts = d.groupBy(*keys, "_b").agg(F.count("*").alias("_c"))
+    before = counts.withColumn("_before", F.sum("_c").over(Window.partitionBy(*keys).orderBy("_b")) - F.col("_c")).drop("_c")
+    at = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_h", unit)) - 1
+    return d.withColumn("_at", at).join(before, [*keys, "_b"]).withColumn(name, F.col("_at") + F.col("_before")).drop("_h", "_b", "_at", "_before")
+
+
 def leave_one_out(df: DataFrame, group: str) -> DataFrame:
-    """One fold a group, numbered by hash buckets so that no task sees all groups."""
-    g = df.select(group).distinct().withColumn("_b", F.pmod(F.xxhash64(group), F.lit(64)))
-    counts = g.groupBy("_b").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_b")) - F.col("_n"))
-    return g.join(F.broadcast(counts), "_b").select(group, (F.row_number().over(Window.partitionBy("_b").orderBy(group)) - 1 + F.col("_before")).cast("long").alias("fold"))
+    """One fold a group."""
+    return numbered(df.select(group).distinct(), group, name="fold").select(group, F.col("fold").cast("long").alias("fold"))
 
 
 def validation_groups(df: DataFrame, group: str, share: float = 0.2, seed: int = 42) -> DataFrame:
@@ -56,12 +67,11 @@ def shared_groups(df: DataFrame, group: str, fold: str) -> DataFrame:
 def bootstrap_effects(deltas: DataFrame, keys: Sequence[str], unit: str, value: str = "delta", replicates: int = 200, seed: int = 42) -> DataFrame:
     """Percentile intervals of d_z over bootstrap replicates of each key.
 
-    Draw j of replicate b takes row md5(seed|key|b|j) mod n of its key, rows ordered by
-    ``unit``. One explode and one equi-join make all draws; nothing loops on the driver.
+    Draw j of replicate b takes row md5(seed|key|b|j) mod n of its key, rows numbered
+    by ``unit``. One explode and one equi-join make all draws; nothing loops on the driver.
     Keys of fewer than ten values get nulls.
     """
-    w = Window.partitionBy(*keys).orderBy(unit)
-    rows = deltas.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(w) - 1)
+    rows = numbered(deltas.where(F.col(value).isNotNull()), unit, keys).withColumn("_i", F.col("_i").cast("int"))
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
     draws = sizes.where("_n >= 10").withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
     key = F.concat_ws("|", F.lit(str(seed)), *[F.col(k) for k in keys], F.col("_b").cast("string"), F.col("_j").cast("string"))
@@ -74,8 +84,7 @@ def bootstrap_effects(deltas: DataFrame, keys: Sequence[str], unit: str, value:
 
 def bootstrap_members(groups: DataFrame, group: str, replicates: int, seed: int = 42) -> DataFrame:
     """(replicate, group, times): subjects drawn with replacement, with how often."""
-    w = Window.orderBy(group)
-    rows = groups.select(group).distinct().withColumn("_i", F.row_number().over(w) - 1)
+    rows = numbered(groups.select(group).distinct(), group).withColumn("_i", F.col("_i").cast("int"))
     n = rows.count()
     draws = groups.sparkSession.range(replicates * n).select((F.col("id") / n).cast("int").alias("replicate"), F.pmod(hash_number(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string"))), F.lit(n)).cast("int").alias("_i"))
     return draws.groupBy("replicate", "_i").agg(F.count("*").alias("times")).join(rows, "_i").select("replicate", group, "times")

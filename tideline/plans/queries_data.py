@@ -155,7 +155,7 @@ def eligible_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.with_visits(X.pair_visits(spark, sf_dir), ["f_view"], "pair_id").select("pair_id", "visit")
 
 
-@query("flt_09_resampled_subjects", ", g as (select subject, row_number() over (order by subject) - 1 i, count(*) over () n from (select distinct subject from pair_visits)), d as (select distinct b.b replicate, cast(('0x' || substr(md5('42|' || cast(b.b * g.n + g.i as varchar)), 1, 8))::bigint % g.n as int) i from g, (select unnest(range(3)) b) b) select cast(d.replicate as int) replicate, p.pair_id, p.visit from d join g on d.i = g.i join pair_visits p on p.subject = g.subject")
+@query("flt_09_resampled_subjects", ", g as (select subject, row_number() over (order by md5(subject), subject) - 1 i, count(*) over () n from (select distinct subject from pair_visits)), d as (select distinct b.b replicate, cast(('0x' || substr(md5('42|' || cast(b.b * g.n + g.i as varchar)), 1, 8))::bigint % g.n as int) i from g, (select unnest(range(3)) b) b) select cast(d.replicate as int) replicate, p.pair_id, p.visit from d join g on d.i = g.i join pair_visits p on p.subject = g.subject")
 def resampled_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = X.pair_visits(spark, sf_dir)
     return R.bootstrap_members(p, "subject", 3).drop("times").join(p, "subject").select("replicate", "pair_id", "visit")
@@ -356,7 +356,7 @@ def validation_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.validation_groups(X.visits(spark, sf_dir), "subject_id")
 
 
-_BOOT = ", d as (select pair, patient_id, delta_f_view delta from pairs where delta_f_view is not null), o as (select pair, delta, row_number() over (partition by pair order by patient_id) - 1 i, count(*) over (partition by pair) n from d), k as (select distinct pair, n from o where n >= 10), w as (select k.pair, b.b, ('0x' || substr(md5('42|' || k.pair || '|' || cast(b.b as varchar) || '|' || cast(j.j as varchar)), 1, 8))::bigint % k.n i from k, (select unnest(range(100)) b) b, lateral (select unnest(range(k.n)) j) j), e as (select w.pair, w.b, avg(o.delta) / nullif(stddev_samp(o.delta), 0) dz from w join o on w.pair = o.pair and w.i = o.i group by 1, 2) select k.pair, k.n n_pairs, R(quantile_cont(dz, 0.025)) d_z_ci_low, R(quantile_cont(dz, 0.975)) d_z_ci_high from k left join e using (pair) group by 1, 2"
+_BOOT = ", d as (select pair, patient_id, delta_f_view delta from pairs where delta_f_view is not null), o as (select pair, delta, row_number() over (partition by pair order by md5(patient_id), patient_id) - 1 i, count(*) over (partition by pair) n from d), k as (select distinct pair, n from o where n >= 10), w as (select k.pair, b.b, ('0x' || substr(md5('42|' || k.pair || '|' || cast(b.b as varchar) || '|' || cast(j.j as varchar)), 1, 8))::bigint % k.n i from k, (select unnest(range(100)) b) b, lateral (select unnest(range(k.n)) j) j), e as (select w.pair, w.b, avg(o.delta) / nullif(stddev_samp(o.delta), 0) dz from w join o on w.pair = o.pair and w.i = o.i group by 1, 2) select k.pair, k.n n_pairs, R(quantile_cont(dz, 0.025)) d_z_ci_low, R(quantile_cont(dz, 0.975)) d_z_ci_high from k left join e using (pair) group by 1, 2"
 
 
 @query("bootstrap_ci_md5", _BOOT)
