@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the public pre-token pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pre-tokens in each of the two generations that a worker remembers (about 120 MB).
-REMEMBERED = 150_000
+#: Pre-tokens in each of the two generations that a worker remembers (about 80 MB).
+REMEMBERED = 100_000
 
 
 def byte_letters() -> dict[str, int]:

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -146,7 +147,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             names = batch.schema.names
             texts, gone = batch.column(names.index(text_col)), batch.column(names.index("_gone"))
-            out, counts, removed = texts.to_pylist(), [], []
+            out, counts, removed = [], [], []
             for at, raw in kernel.blocks(texts, lower=False):
                 c = Chunks(raw, min_lines, min_words)
                 for k in range(len(raw)):
@@ -154,8 +155,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     counts.append(int(c.first[k + 1] - c.first[k]) if raw[k] else 0)
                     removed.append(len(places))
                     if places:
-                        out[at + k] = c.without(k, places).decode()
-            columns = [pa.array(out, texts.type) if name == text_col else batch.column(name) for name in names if name not in ("_gone", "_row")]
+                        out.append(c.without(k, places).decode())
+            changed = pc.replace_with_mask(texts, pa.array([n > 0 for n in removed], pa.bool_()), pa.array(out, texts.type))
+            columns = [changed if name == text_col else batch.column(name) for name in names if name not in ("_gone", "_row")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=[*[x for x in names if x not in ("_gone", "_row")], "_chunks", "_removed"])
 
     order = [*docs.columns, "_gone"]

@@ -88,13 +88,13 @@ def _counters(docs: DataFrame, n: int) -> np.ndarray:
     shift, width = np.uint64(64 - COUNTER_BITS), (1 << COUNTER_BITS) // SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << COUNTER_BITS, dtype=np.int64)
+        total = np.zeros(1 << COUNTER_BITS, dtype=np.uint32)
         for batch in batches:
             for _, raw in kernel.blocks(batch.column(0)):
-                sets = kernel.shingle_sets(kernel.Block(raw, kernel.SPACED), n)
-                total += np.bincount((np.concatenate(sets) >> shift).astype(np.int64), minlength=len(total))
+                for s in kernel.shingle_sets(kernel.Block(raw, kernel.SPACED), n):
+                    np.add.at(total, s >> shift, np.uint32(1))
         task = TaskContext.get().partitionId()
-        packed = [zlib.compress(total[k * width : (k + 1) * width].tobytes(), 1) for k in range(SLICES)]
+        packed = [zlib.compress(total[k * width : (k + 1) * width].astype(np.int64).tobytes(), 1) for k in range(SLICES)]
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([task] * SLICES, pa.int32()), pa.array(packed, pa.binary())], names=["slice", "task", "counts"])
 
     def add(key: tuple, parts: pa.Table) -> pa.Table:
