@@ -111,3 +111,33 @@ def test_sources_and_sinks(spark, tmp_path):
     saved = sinks.save_bundle(str(tmp_path / "run"), {"k": 1}, {"d": 0.5}, {"oof": df.select("id"), "none": None})
     assert set(saved) == {"oof"} and (tmp_path / "run" / "config.json").exists()
     assert readers.choose_sheet({"u": df, "v": df.withColumn("id", F.lit("Z_1"))}, ["Z_"], names=("id",)) == "v"
+
+
+def test_numbers_are_gapless_and_follow_the_hash(spark):
+    import hashlib
+
+    from tideline.operators.resample import numbered
+
+    df = spark.createDataFrame([(k % 3, f"s{k}") for k in range(200)], "g int, s string")
+    got = {}
+    for r in numbered(df, "s", ["g"]).collect():
+        got.setdefault(r.g, []).append((r._i, r.s))
+    for rows in got.values():
+        rows.sort()
+        assert [i for i, _ in rows] == list(range(len(rows)))
+        assert [s for _, s in rows] == sorted((s for _, s in rows), key=lambda s: (hashlib.md5(s.encode()).hexdigest(), s))
+
+
+def test_merge_of_events_and_sheets(spark):
+    from tideline.plans.merge import merge_invariants, merge_study, normalise_sheets
+
+    e = spark.createDataFrame([("a", "x", "0"), ("b", "y", "1"), ("c", "z", "0")], "subject_id string, site string, study_group string")
+    one = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 3.0), ("a", 2, None), ("b", 1, 1.0), ("b", 2, 2.0), ("c", 1, 1.0)], "subject_id string, visit int, f double")
+    two = spark.createDataFrame([("a", 1, 5.0), ("a", 2, 6.0), ("c", 2, 7.0)], "subject_id string, visit int, g double")
+    out = merge_study(e, F.lit(0), ["site"], {"one": one, "two": two}, {"one": ["f"], "two": ["g"]}, ["f"])
+    assert [(r.patient_id, r.site, r.delta_f, r.delta_g) for r in out.collect()] == [("a_V1V2", "x", 2.0, 1.0)]
+    assert tuple(merge_invariants(out).first()) == (1, 1, 0)
+    wide = spark.createDataFrame([(" a", 1.0, None, 2.0)], "ID string, f_v1 double, f_v2 double, f_v3 double")
+    assert normalise_sheets(wide, "ID", None, ["f"]).count() == 3
+    with pytest.raises(ValueError):
+        normalise_sheets(wide, "ID", None, ["g"])
