@@ -89,7 +89,7 @@ def _design(plan: Plan, z: np.ndarray) -> np.ndarray:
     if plan.kind != "interaction":
         return z[:, :p]
     x, m = z[:, :p], z[:, p : p + len(plan.modulators)]
-    return np.column_stack([x, (x[:, :, None] * m[:, None, :]).reshape(len(z), -1)])
+    return np.column_stack([x, (x[:, :, None] * m[:, None, :]).reshape(len(z), x.shape[1] * m.shape[1])])
 
 
 def _scaled(plan: Plan, x: np.ndarray, scale: tuple[np.ndarray, np.ndarray], clip: float) -> np.ndarray:
