@@ -391,7 +391,8 @@ def join_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
     rows link like others. A null id is passed over where a component has another.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
-    signed = durable(_sign(base, n, percent, _counters(base, n)))
+    # read twice, here and for the result: signing a text again costs less than keeping every prefix
+    signed = _sign(base, n, percent, _counters(base, n))
     nodes = durable(signed.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("parity").alias("parity"), F.first("classes").alias("classes"), F.first("prefix").alias("prefix")))
     # a row hash is the node's name here: should two agree, their regions merge, which is harmless
     posted = nodes.select("row", "classes", F.explode("prefix").alias("t")).select("row", F.explode("classes").alias("c"), "t").select("row", F.xxhash64("t", "c").alias("token"))
