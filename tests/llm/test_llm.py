@@ -279,6 +279,39 @@ def test_line_dedup_equals_brute_force(spark, sf, odd):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def brute_passages(texts, least_lines=2, least_words=16):
+    """Display lines that stay in texts of sentences (none of more than 16 words): one goes if a run of enough of them through it stood before."""
+    cut = [[x for line in t.split("\n") for x in re.split(r"(?<=[.!?]) ", line) if x.strip()] for t in texts]
+    seen, out = set(), []
+    for lines in cut:
+        gone = set()
+        for i in range(len(lines)):
+            for j in range(i + least_lines, min(len(lines), i + 20) + 1):
+                run = tuple(lines[i:j])
+                if sum(len(x.split()) for x in run) >= least_words:
+                    if run in seen:
+                        gone |= set(range(i, j))
+                    seen.add(run)
+        out.append([x for k, x in enumerate(lines) if k not in gone])
+    return out
+
+
+def remaining(spark, texts):
+    got = rows_of(line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    return [re.findall(r"[^.!?\n]*[.!?]", got[k].text.replace("\n", " ")) for k in range(len(texts))]
+
+
+def test_passages_of_short_lines_go_whole(spark):
+    rng = random.Random(9)
+    sentence = lambda n: " ".join("w%d" % rng.randrange(10**6) for _ in range(n)) + "."
+    passage = "\n".join(sentence(rng.randrange(3, 6)) + " " + sentence(rng.randrange(4, 7)) for _ in range(20))
+    texts = [f"{sentence(9)} {sentence(8)}\n{passage}\n{sentence(7)} {sentence(7)}" for _ in range(6)]
+    texts += [f"{sentence(9)} {sentence(8)}\n{sentence(3)[:-1]}! Oh yes. No no.\n{sentence(9)} {sentence(8)}" for _ in range(3)]
+    want = brute_passages(texts)
+    assert len(want[0]) == 44 and len(want[5]) == 4 and len(want[7]) == 7
+    assert [[x.strip() for x in r] for r in remaining(spark, texts)] == want
+
+
 # 7 neighbours
 
 

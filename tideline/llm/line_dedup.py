@@ -2,18 +2,20 @@
 
 A text is cut into lines, and a line into display lines: sentences, or so many
 words where no sentence ends. A newline beside a line of two or more display lines
-is a bound. Elsewhere a bound stands where the rolling hash over display-line
-hashes is least among its neighbours. Both rules look at nearby content only, so an
-insertion moves no bound farther away.
+is a bound of units. Elsewhere a bound stands where the rolling hash over
+display-line hashes is least among its neighbours. A chunk is a shortest run of
+adjacent units that reaches both minima, so chunks overlap, and short units that
+are repeated beside each other are removed together.
 
 One pass counts chunk hashes; the repeated ones fill a bit table of fixed size. A
-second pass brings the bytes of chunks that the table lets through, and these are
-grouped by their bytes: equality of bytes, and not of hashes, decides.
+second pass brings 128-bit digests (BLAKE2b) of the chunks that the table lets
+through, and equality of these decides.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -22,16 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import kernel
-from tideline.llm.cluster import durable
 
 #: Words after which a sentence is cut into another display line.
 WRAP = 16
 #: A bound's rolling hash is the least among so many display lines on either side.
 REACH = 4
-#: A chunk is removed only if it has so many display lines, and so many words with the chunks that only rolling hashes cut from it.
+#: A chunk has at least so many display lines, blank ones not counted, and so many words.
 MIN_LINES, MIN_WORDS = 2, 16
 #: Bits of the table of repeated chunk hashes.
-FILTER_BITS = 24
+FILTER_BITS = 27
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -40,7 +41,11 @@ _STOP[list(b".!?")] = True
 
 
 class Chunks:
-    """Chunks of some texts: ``start`` and ``end`` are byte places in ``data``, ``doc`` the text's number, ``place`` the chunk's number in it."""
+    """Chunks of some texts: ``start`` and ``end`` are byte places in ``data``, ``doc`` the text's number, ``place`` the chunk's number in it.
+
+    Chunks overlap: each is the run of units ``a`` to ``b``, from its first word to its
+    last; ``open`` and ``shut`` are the bounds of units with the space around them.
+    """
 
     def __init__(self, docs: list[bytes], min_lines: int = MIN_LINES, min_words: int = MIN_WORDS):
         self.data = b"\n".join(docs) + b"\n"
@@ -74,23 +79,58 @@ class Chunks:
         for k in range(1, REACH + 1):
             spot = spot[(rolling[spot] < rolling[spot - k]) & (rolling[spot] < rolling[spot + k])]
         hard[spot] = True
-        cut = np.flatnonzero(hard)
-        after = np.append(cut[1:], n)
-        chunk = np.cumsum(hard) - 1
-        self.start, self.end = start[cut], np.append(start[cut[1:]], len(buf))
-        self.doc = np.searchsorted(begin, self.start, side="right") - 1
-        self.place = np.arange(len(cut)) - np.searchsorted(self.doc, np.arange(len(docs)))[self.doc]
-        self.words = np.searchsorted(words, self.end) - np.searchsorted(words, self.start)
-        self.hash = kernel.mix(np.add.reduceat(kernel.mix(h + (at - cut[chunk]).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), cut))
-        # a bound by rolling hash must not save a part of a long passage from its length
-        passage = segment[cut]
-        self.fit = (after - cut >= min_lines) & (np.bincount(passage, weights=self.words)[passage] >= min_words)
-        self.first = np.append(np.searchsorted(self.doc, np.arange(len(docs))), len(cut))
+        # blank display lines belong to the unit before them; those that begin a text to its first one
+        spoken = np.bincount(np.searchsorted(start, words, side="right") - 1, minlength=n) > 0
+        unit = np.cumsum(hard) - 1
+        lined = np.bincount(unit[spoken], minlength=unit[-1] + 1) if n else np.zeros(0, dtype=np.int64)
+        cut = np.flatnonzero(hard)[lined > 0]
+        lined = lined[lined > 0]
+        doc = np.searchsorted(begin, start[cut], side="right") - 1
+        head = np.append(True, doc[1:] != doc[:-1])[: len(cut)]
+        self.open = np.where(head, begin[doc], start[cut])
+        self.shut = np.append(self.open[1:], 0)[: len(cut)]
+        tail = np.append(head[1:], True)[: len(cut)]
+        self.shut[tail] = (begin + size)[doc[tail]]
+        word = np.searchsorted(words, np.append(start[cut], len(buf)))
+        word_ends = np.flatnonzero(~space & np.append(space[1:], True)) + 1
+        # the shortest run of units that reaches both minima, from each unit on and back from each unit
+        n_units = len(cut)
+        at, line_sum = np.arange(n_units), np.append(0, np.cumsum(lined))
+        low, high = np.searchsorted(doc, doc), np.searchsorted(doc, doc, side="right") - 1
+        on = np.maximum(np.searchsorted(word, word[:-1] + min_words), np.searchsorted(line_sum, line_sum[:-1] + min_lines)) - 1
+        back = np.minimum(np.searchsorted(word, word[1:] - min_words, side="right"), np.searchsorted(line_sum, line_sum[1:] - min_lines, side="right")) - 1
+        ahead, behind = on <= high, back >= low
+        behind[behind] = on[back[behind]] != at[behind]
+        a, b = np.append(at[ahead], back[behind]), np.append(on[ahead], at[behind])
+        # a text without such a run is one chunk that never goes
+        bare = np.setdiff1d(np.arange(len(docs)), doc[a])
+        owner = np.append(doc[a], bare)
+        order = np.lexsort((np.append(b, bare), np.append(a, bare), owner))
+        self.doc = owner[order]
+        self.fit = order < len(a)
+        self.a, self.b = np.append(a, 0 * bare)[order], np.append(b, 0 * bare)[order]
+        self.start = np.append(words[word[a]], begin[bare])[order]
+        self.end = np.append(word_ends[word[b + 1] - 1], (begin + size)[bare])[order]
+        self.first = np.searchsorted(self.doc, np.arange(len(docs) + 1))
+        self.place = np.arange(len(order)) - self.first[self.doc]
+        self.hash = kernel.span_hashes(buf, self.start, self.end)
+        self.text = np.append(begin, len(buf))
 
     def without(self, doc: int, gone: set[int]) -> bytes:
-        """The text of ``doc`` without the chunks of these places."""
-        a, b = int(self.first[doc]), int(self.first[doc + 1])
-        kept = [self.data[self.start[k] : self.end[k]] for k in range(a, b) if k - a not in gone]
+        """The text of ``doc`` without the chunks of these places; a line that has lost its end keeps its newline."""
+        at, kept = int(self.text[doc]), []
+        for u in sorted({u for k in gone for u in range(int(self.a[self.first[doc] + k]), int(self.b[self.first[doc] + k]) + 1)}):
+            start, end = int(self.open[u]), int(self.shut[u])
+            if start > at:
+                kept.append(self.data[at:start])
+                inside = self.data[start - 1] != 10
+            elif at == int(self.text[doc]):
+                inside = False
+            if inside and 10 in self.data[start:end]:
+                kept.append(b"\n")
+                inside = False
+            at = end
+        kept.append(self.data[at : int(self.text[doc + 1])])
         return b"".join(kept).removesuffix(b"\n")
 
 
@@ -105,10 +145,9 @@ def _repeats(base: DataFrame, min_lines: int, min_words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c.hash[c.fit].view(np.int64))], names=["h"])
 
     often = base.select("text").mapInArrow(hashes, "h long").groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
-    bits = often.groupBy(F.expr(f"shiftrightunsigned(h, 6) & {words - 1}L").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("bits")).collect()
+    bits = often.groupBy(F.expr(f"shiftrightunsigned(h, 6) & {words - 1}L").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("bits")).toArrow()
     table = np.zeros(words, dtype=np.uint64)
-    for r in bits:
-        table[r.w] = r.bits & 0xFFFFFFFFFFFFFFFF
+    table[bits["w"].to_numpy()] = bits["bits"].to_numpy().view(np.uint64)
     shared = base.sparkSession.sparkContext.broadcast(table)
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,13 +158,15 @@ def _repeats(base: DataFrame, min_lines: int, min_words: int) -> DataFrame:
                 h = c.hash[found]
                 found = found[(shared.value[(h >> np.uint64(6)) & np.uint64(words - 1)] >> (h & np.uint64(63))) & np.uint64(1) == 1]
                 rows = pa.array(at + c.doc[found])
-                body = [c.data[c.start[k] : c.end[k]] for k in found.tolist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(c.place[found], pa.int64()), pa.array(body, pa.binary())], names=["id", "row", "place", "body"])
+                body = b"".join(blake2b(c.data[i:j], digest_size=16).digest() for i, j in zip(c.start[found].tolist(), c.end[found].tolist()))
+                half = np.frombuffer(body, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(c.place[found], pa.int64()), pa.array(half[::2]), pa.array(half[1::2])], names=["id", "row", "place", "x", "y"])
 
     kind = dict(base.dtypes)["id"]
-    found = durable(base.select("id", "row", "text").mapInArrow(chunks, f"id {kind}, row long, place long, body binary"))
-    kept = found.groupBy("body").agg(F.min(F.struct("id", "row", "place")).alias("keep"), F.count("*").alias("k")).where("k > 1")
-    gone = found.join(kept.select("body", "keep"), "body").where("not (row = keep.row and place = keep.place)")
+    # dealt once: the counts and the join read the same shuffle, so both need all its columns
+    found = base.select("id", "row", "text").mapInArrow(chunks, f"id {kind}, row long, place long, x long, y long").repartition("x", "y")
+    kept = found.groupBy("x", "y").agg(F.min(F.struct("id", "row", "place")).alias("keep"), F.count("*").alias("k")).where("k > 1")
+    gone = found.join(kept.select("x", "y", "keep"), ["x", "y"]).where("not (id <=> keep.id and row = keep.row and place = keep.place)")
     return gone.groupBy("row").agg(F.collect_set("place").alias("gone"))
 
 
@@ -133,8 +174,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with every repeated chunk removed from all places but its first.
 
     First is the least (id, row hash, place); a null id comes first. A chunk has at
-    least ``min_lines`` display lines, and its passage at least ``min_words`` words. All columns stay; the
-    columns _chunks and _removed count chunks, and the text column holds what is
+    least ``min_lines`` display lines and ``min_words`` words, and chunks overlap. All
+    columns stay; the columns _chunks and _removed count chunks (a text too short for
+    one counts as one that stays), and the text column holds what is
     left: '' where all was repeated, null where it was null. Texts without a repeated
     chunk come back byte for byte. Rows that are equal in id and text are one place
     and keep the same.
