@@ -312,6 +312,36 @@ def test_passages_of_short_lines_go_whole(spark):
     assert [[x.strip() for x in r] for r in remaining(spark, texts)] == want
 
 
+def test_passages_in_mid_paragraph_and_in_plain_lines_go_whole(spark):
+    rng = random.Random(10)
+    sentence = lambda n: " ".join("w%d" % rng.randrange(10**6) for _ in range(n)) + "."
+    some = lambda: [sentence(rng.randrange(5, 12)) for _ in range(rng.randrange(1, 4))]
+    texts, planted = [], []
+    for k in range(60):
+        passage = [sentence(rng.randrange(5, 12))]
+        while sum(len(x.split()) for x in passage) < 50 + 100 * k // 60:
+            passage.append(sentence(rng.randrange(5, 12)))
+        planted.append(passage)
+        for _ in range(2):
+            texts.append((" ", "\n", "\n\n")[k % 3].join([*some(), *passage, *some()]) + "\n" + " ".join(some()))
+    texts += ["A b. C d. E f.", "A b. C d. E f.", "a " * 20 + "b.\n\n", "a " * 20 + "b."]
+    out = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r.doc_id: r.text for r in out}
+    for k, passage in enumerate(planted):
+        assert got[2 * k] == texts[2 * k]
+        assert not any(x in got[2 * k + 1] for x in passage)
+    want = brute_passages(texts[:-2])
+    assert [[x.strip() for x in r] for r in remaining(spark, texts)][:-2] == want
+    assert got[1] == texts[1].replace(" ".join(planted[0]) + " ", "") and got[121] == texts[121]
+
+
+def test_a_line_that_loses_its_end_keeps_its_newline(spark):
+    p = "One two three four five six seven eight. Nine ten eleven twelve thirteen fourteen fifteen sixteen."
+    texts = [p, f"Start here. {p}\nThen more.", f"Start again. {p}", f"\n\n{p}\n\n"]
+    got = rows_of(line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [got[k].text for k in range(4)] == [p, "Start here. \nThen more.", "Start again. ", ""]
+
+
 # 7 neighbours
 
 

@@ -1,11 +1,11 @@
 """Removal of globally repeated multi-line chunks with content-defined bounds.
 
 A text is cut into lines, and a line into display lines: sentences, or so many
-words where no sentence ends. A newline beside a line of two or more display lines
-is a bound of units. Elsewhere a bound stands where the rolling hash over
-display-line hashes is least among its neighbours. A chunk is a shortest run of
-adjacent units that reaches both minima, so chunks overlap, and short units that
-are repeated beside each other are removed together.
+words where no sentence ends. A chunk is a shortest run of adjacent display lines
+that reaches both minima, from each display line on and back from each, so chunks
+overlap and every repeated run of display lines that reaches the minima is a union
+of repeated chunks. Chunks depend on their own content only: an insertion changes
+none that it does not touch.
 
 One pass counts chunk hashes; the repeated ones fill a bit table of fixed size. A
 second pass brings 128-bit digests (BLAKE2b) of the chunks that the table lets
@@ -27,8 +27,6 @@ from tideline.llm import kernel
 
 #: Words after which a sentence is cut into another display line.
 WRAP = 16
-#: A bound's rolling hash is the least among so many display lines on either side.
-REACH = 4
 #: A chunk has at least so many display lines, blank ones not counted, and so many words.
 MIN_LINES, MIN_WORDS = 2, 16
 #: Bits of the table of repeated chunk hashes.
@@ -43,8 +41,8 @@ _STOP[list(b".!?")] = True
 class Chunks:
     """Chunks of some texts: ``start`` and ``end`` are byte places in ``data``, ``doc`` the text's number, ``place`` the chunk's number in it.
 
-    Chunks overlap: each is the run of units ``a`` to ``b``, from its first word to its
-    last; ``open`` and ``shut`` are the bounds of units with the space around them.
+    Chunks overlap: each is the run of display lines ``a`` to ``b``, from its first word to its
+    last; ``open`` and ``shut`` are the bounds of display lines with the space around them.
     """
 
     def __init__(self, docs: list[bytes], min_lines: int = MIN_LINES, min_words: int = MIN_WORDS):
@@ -60,45 +58,21 @@ class Chunks:
         owner = np.searchsorted(sentences, words, side="right") - 1
         nth = np.arange(len(words)) - np.searchsorted(words, sentences)[owner]
         start = np.union1d(sentences, words[(nth > 0) & (nth % WRAP == 0)])
-        end = np.append(start[1:], len(buf))
-        # trailing spaces do not tell lines apart at their wraps: bytes decide later, so they may stay in the hash
-        h = kernel.span_hashes(buf, start, end)
-        n = len(start)
-        line = np.searchsorted(lines, start, side="right") - 1
-        many = np.bincount(line, minlength=len(lines)) > 1
-        opens = np.append(True, line[1:] != line[:-1])
-        hard = opens & (many[line] | np.append(True, many[line[:-1]]))
-        hard[np.searchsorted(start, begin)] = True
-        segment = np.cumsum(hard) - 1
-        first = np.flatnonzero(hard)
-        last = np.append(first[1:], n)
-        rolling = kernel.mix(np.append(np.uint64(0), h[:-1]) * np.uint64(0x9FB21C651E98DF25) + h)
-        at = np.arange(n)
-        least = (at - first[segment] > REACH) & (last[segment] - at > REACH)
-        spot = np.flatnonzero(least)
-        for k in range(1, REACH + 1):
-            spot = spot[(rolling[spot] < rolling[spot - k]) & (rolling[spot] < rolling[spot + k])]
-        hard[spot] = True
-        # blank display lines belong to the unit before them; those that begin a text to its first one
-        spoken = np.bincount(np.searchsorted(start, words, side="right") - 1, minlength=n) > 0
-        unit = np.cumsum(hard) - 1
-        lined = np.bincount(unit[spoken], minlength=unit[-1] + 1) if n else np.zeros(0, dtype=np.int64)
-        cut = np.flatnonzero(hard)[lined > 0]
-        lined = lined[lined > 0]
-        doc = np.searchsorted(begin, start[cut], side="right") - 1
-        head = np.append(True, doc[1:] != doc[:-1])[: len(cut)]
-        self.open = np.where(head, begin[doc], start[cut])
-        self.shut = np.append(self.open[1:], 0)[: len(cut)]
-        tail = np.append(head[1:], True)[: len(cut)]
+        # blank display lines belong to the one before them; those that begin a text to its first one
+        start = start[np.unique(np.searchsorted(start, words, side="right") - 1)]
+        doc = np.searchsorted(begin, start, side="right") - 1
+        head = np.append(True, doc[1:] != doc[:-1])[: len(start)]
+        self.open = np.where(head, begin[doc], start)
+        self.shut = np.append(self.open[1:], 0)[: len(start)]
+        tail = np.append(head[1:], True)[: len(start)]
         self.shut[tail] = (begin + size)[doc[tail]]
-        word = np.searchsorted(words, np.append(start[cut], len(buf)))
+        word = np.searchsorted(words, np.append(start, len(buf)))
         word_ends = np.flatnonzero(~space & np.append(space[1:], True)) + 1
-        # the shortest run of units that reaches both minima, from each unit on and back from each unit
-        n_units = len(cut)
-        at, line_sum = np.arange(n_units), np.append(0, np.cumsum(lined))
+        # the shortest run that reaches both minima, from each display line on and back from each
+        at = np.arange(len(start))
         low, high = np.searchsorted(doc, doc), np.searchsorted(doc, doc, side="right") - 1
-        on = np.maximum(np.searchsorted(word, word[:-1] + min_words), np.searchsorted(line_sum, line_sum[:-1] + min_lines)) - 1
-        back = np.minimum(np.searchsorted(word, word[1:] - min_words, side="right"), np.searchsorted(line_sum, line_sum[1:] - min_lines, side="right")) - 1
+        on = np.maximum(np.searchsorted(word, word[:-1] + min_words) - 1, at + min_lines - 1)
+        back = np.minimum(np.searchsorted(word, word[1:] - min_words, side="right") - 1, at - min_lines + 1)
         ahead, behind = on <= high, back >= low
         behind[behind] = on[back[behind]] != at[behind]
         a, b = np.append(at[ahead], back[behind]), np.append(on[ahead], at[behind])
@@ -157,17 +131,23 @@ def _repeats(base: DataFrame, min_lines: int, min_words: int) -> DataFrame:
                 found = np.flatnonzero(c.fit)
                 h = c.hash[found]
                 found = found[(shared.value[(h >> np.uint64(6)) & np.uint64(words - 1)] >> (h & np.uint64(63))) & np.uint64(1) == 1]
-                rows = pa.array(at + c.doc[found])
                 body = b"".join(blake2b(c.data[i:j], digest_size=16).digest() for i, j in zip(c.start[found].tolist(), c.end[found].tolist()))
-                half = np.frombuffer(body, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(c.place[found], pa.int64()), pa.array(half[::2]), pa.array(half[1::2])], names=["id", "row", "place", "x", "y"])
+                x, y = np.frombuffer(body, dtype=np.int64).reshape(-1, 2).T
+                # a chunk that a text repeats in itself is one row, with its later places
+                order = np.lexsort((c.place[found], y, x, c.doc[found]))
+                doc, x, y, place = c.doc[found][order], x[order], y[order], c.place[found][order]
+                new = np.append(True, (doc[1:] != doc[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))[: len(order)]
+                firsts = np.flatnonzero(new)
+                more = pa.ListArray.from_arrays(pa.array(np.append(firsts - np.arange(len(firsts)), len(order) - len(firsts)), pa.int32()), pa.array(place[~new], pa.int64()))
+                rows = pa.array(at + doc[new])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place[new], pa.int64()), more, pa.array(x[new]), pa.array(y[new])], names=["id", "row", "place", "more", "x", "y"])
 
     kind = dict(base.dtypes)["id"]
-    # dealt once: the counts and the join read the same shuffle, so both need all its columns
-    found = base.select("id", "row", "text").mapInArrow(chunks, f"id {kind}, row long, place long, x long, y long").repartition("x", "y")
-    kept = found.groupBy("x", "y").agg(F.min(F.struct("id", "row", "place")).alias("keep"), F.count("*").alias("k")).where("k > 1")
-    gone = found.join(kept.select("x", "y", "keep"), ["x", "y"]).where("not (id <=> keep.id and row = keep.row and place = keep.place)")
-    return gone.groupBy("row").agg(F.collect_set("place").alias("gone"))
+    # the counts and the join read one shuffle, so both take all its columns and the same rows
+    found = base.select("id", "row", "text").mapInArrow(chunks, f"id {kind}, row long, place long, more array<long>, x long, y long").where("row is not null and x is not null and y is not null").repartition("x", "y")
+    kept = found.groupBy("x", "y").agg(F.min(F.struct("id", "row", "place")).alias("keep"), F.sum(F.size("more") + 1).alias("k")).where("k > 1")
+    gone = found.join(kept.select("x", "y", "keep"), ["x", "y"]).select("row", F.when(F.expr("id <=> keep.id and row = keep.row and place = keep.place"), F.col("more")).otherwise(F.array_append("more", F.col("place"))).alias("gone"))
+    return gone.where(F.size("gone") > 0).groupBy("row").agg(F.flatten(F.collect_list("gone")).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
