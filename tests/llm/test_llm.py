@@ -482,6 +482,14 @@ def test_one_of_each(spark, near_copies):
     assert ngram_join.join_components(df.limit(0)).count() == 0
 
 
+def test_one_of_each_tells_components_apart_without_ids(spark):
+    a, b, c, d, e = ([f"{x}{k}" for k in range(40)] for x in "abcde")
+    near = lambda w: " ".join([*w[:-1], "zz"])
+    rows = [(None, " ".join(a)), (None, near(a)), (None, " ".join(b)), (None, " ".join(b)), (7, " ".join(c)), (8, near(c)), (7, " ".join(d)), (9, near(d)), (None, " ".join(e)), (5, near(e))]
+    kept = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.text.split()[0]) for r in kept) == Counter([(None, "a0"), (None, "b0"), (7, "c0"), (7, "d0"), (5, "e0")])
+
+
 # 10 quality
 
 

@@ -380,7 +380,7 @@ def _meet(rows: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "sig binary, root binary, links long")
 
 
-def join_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", task_shingles: int = TASK_SHINGLES, list_bound: int = LIST) -> DataFrame:
+def join_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", task_shingles: int = TASK_SHINGLES, list_bound: int = LIST, with_root: bool = False) -> DataFrame:
     """Every document with the component of its links: 100 * intersection >= percent * union.
 
     Words stand between ASCII white space, A-Z in lower case; a document's set is its
@@ -389,6 +389,8 @@ def join_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
     own included) and n_links (other rows linked, copies included). Null, empty and
     wordless texts have no shingles, no links and their own id. Copies and repeated
     rows link like others. A null id is passed over where a component has another.
+    component_id does not tell components apart (ids may be null or stand on several
+    texts); ``with_root`` adds root, which does: the least set of each, null without words.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
     # read twice, here and for the result: signing a text again costs less than keeping every prefix
@@ -421,9 +423,9 @@ def join_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
         found = links.join(roots, "sig", "left").select("sig", F.coalesce("root", "sig").alias("root"), "links")
     joined = nodes.join(found, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_sig = joined.join(least, "root").select("sig", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    by_sig = joined.join(least, "root").select("sig", "root", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = signed.select("doc_id", "row", "size", "sig").join(by_sig, "sig", "left")
-    return out.select("doc_id", "row", F.col("size").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("doc_id", "row", *["root"] * with_root, F.col("size").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", task_shingles: int = TASK_SHINGLES) -> DataFrame:
@@ -431,10 +433,10 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
 
     Texts without words are linked with nothing and all stay.
     """
-    joined = join_components(docs, n, percent, id_col, text_col, task_shingles)
+    joined = join_components(docs, n, percent, id_col, text_col, task_shingles, with_root=True)
     linked = joined.where("n_links > 0").withColumn("keep", F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
-    keep = linked.groupBy("component_id").agg(F.min("keep").alias("keep"))
-    gone = linked.join(keep.select("component_id", F.col("keep.row").alias("kept")), linked.component_id.eqNullSafe(keep.component_id)).where("row <> kept").select(F.col("row").alias("_row"))
+    keep = linked.groupBy("root").agg(F.min("keep").alias("keep"))
+    gone = linked.join(keep.select("root", F.col("keep.row").alias("kept")), "root").where("row <> kept").select(F.col("row").alias("_row"))
     held = keep.select(F.col("keep.row").alias("_row"))
     marks = gone.select("_row", F.lit(0).alias("_stay")).unionByName(held.select("_row", F.lit(1).alias("_stay"))).groupBy("_row").agg(F.max("_stay").alias("_stay"))
     rows = docs.withColumn("_row", F.xxhash64(id_col, text_col)).join(marks, "_row", "left").where("coalesce(_stay, 2) > 0")
