@@ -183,6 +183,13 @@ def test_distrust_follows_links_backwards(spark):
     assert got[2].distrust > 0 == got[2].trust and got[4].trust > 0 == got[4].distrust
 
 
+def test_links_without_a_scheme_are_edges(spark):
+    html = """<a href="//Bad.com/de/x"><a HREF=//bad.com?u=http://other.org/><a href='http://bad.com/?v=//w.org'><a href="/local//x"><a href="x//y"><a href="///z"><a href="//farm.net/own">"""
+    pages = spark.createDataFrame([(1, "http://farm.net/a", html), (2, "https://bad.com/de/", None)], "page_id long, url string, html string")
+    assert [tuple(r) for r in url_filter.host_edges(pages).collect()] == [("farm.net", "bad.com", 3.0)]
+    assert [rows_of(url_filter.judge_urls(pages), "page_id")[k].verdict for k in (1, 2)] == ["block", "block"]
+
+
 def test_propagation_equals_numpy(spark):
     rng = np.random.default_rng(4)
     edges = [(f"h{a}", f"h{b}", float(w)) for a, b, w in {(int(a), int(b)): (int(a), int(b), w) for a, b, w in zip(rng.integers(0, 12, 40), rng.integers(0, 12, 40), rng.integers(1, 5, 40)) if a != b}.values()]

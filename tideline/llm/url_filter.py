@@ -20,7 +20,7 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 DAMPING, ROUNDS, ENOUGH = 0.85, 20, 1e-6
 #: A host is blocked at this share of distrust in trust and distrust together.
 THRESHOLD = 0.75
-LINK = r"(?is)href\s*=\s*[\"']?\s*([a-z][a-z0-9+.-]*://[^\"'\s>]+)"
+LINK = r"(?is)href\s*=\s*[\"']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^\"'\s>]+)"
 
 
 def host_of(url: Column) -> Column:
@@ -44,9 +44,11 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RUL
 
 
 def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """src, dst and weight (links) between different hosts; relative links stay on their host and make no edge."""
+    """src, dst and weight (links) between different hosts; links without // stay on their host and make no edge."""
     links = pages.select(host_of(F.col(url_col)).alias("src"), F.explode(F.regexp_extract_all(F.col(html_col), F.lit(LINK), F.lit(1))).alias("to"))
-    return links.select("src", host_of(F.col("to")).alias("dst")).where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+    # a link may leave out its scheme, and may hold another :// behind its host
+    dst = F.translate(F.regexp_extract("to", r"(?s)^[^/]*//([^/?#]*)", 1), UPPER, LOWER)
+    return links.select("src", dst.alias("dst")).where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
 def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
