@@ -190,6 +190,14 @@ def test_links_without_a_scheme_are_edges(spark):
     assert [rows_of(url_filter.judge_urls(pages), "page_id")[k].verdict for k in (1, 2)] == ["block", "block"]
 
 
+def test_distrust_goes_the_whole_way(spark):
+    rows = [(k, f"http://h{k}.net/", f"<a href='http://h{k + 1}.net/'>") for k in range(25)] + [(25, "http://h25.net/", "<a href='http://bad.com/de/'>"), (26, "http://bad.com/de/", None)]
+    rows += [(100 + k, f"http://x{k}.com/de/", None) for k in range(2000)]
+    got = rows_of(url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id")
+    assert {r.verdict for r in got.values()} == {"block"}
+    assert all(got[k].distrust == pytest.approx(0.15 * 0.85 ** (26 - k)) for k in range(26))
+
+
 def test_propagation_equals_numpy(spark):
     rng = np.random.default_rng(4)
     edges = [(f"h{a}", f"h{b}", float(w)) for a, b, w in {(int(a), int(b)): (int(a), int(b), w) for a, b, w in zip(rng.integers(0, 12, 40), rng.integers(0, 12, 40), rng.integers(1, 5, 40)) if a != b}.values()]
