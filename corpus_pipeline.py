@@ -27,14 +27,16 @@ ORACLE_SQL = None
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     scored = score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored.where("_predicted = 1").select(*docs.columns)
+    return scored.where(F.col(scored.columns[-1]) == 1).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated chunks; n_chars follows. A text of which nothing is left goes, one that was empty stays."""
-    out = dedup_lines(docs).where("not (_removed > 0 and trim(text) = '')")
+    out = dedup_lines(docs)
+    changed = F.col(out.columns[-1]) > 0
+    out = out.where(~(changed & (F.trim("text") == "")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 

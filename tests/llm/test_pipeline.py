@@ -35,3 +35,17 @@ def test_stages(spark, sf, tmp_path):
 
 def test_run(spark, sf):
     assert C.run(spark, sf).count() > 0
+
+
+def test_first_stages_keep_columns_with_clashing_names(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    docs = docs.unionByName(docs.withColumn("doc_id", docs.doc_id + 10**6))
+    names = ["_row", "_gone", "_stay", "_score", "_predicted", "_chunks", "_removed"]
+    clash = docs.select("*", *[(docs.doc_id + k).alias(n) for k, n in enumerate(names)])
+    for _, stage in C.STAGES[:3]:
+        want = {r.doc_id: tuple(r) for r in stage(spark, docs, sf).collect()}
+        out = stage(spark, clash, sf)
+        assert out.columns == clash.columns
+        got = out.collect()
+        assert {r.doc_id: tuple(r)[: len(docs.columns)] for r in got} == want
+        assert all(r[n] == r.doc_id + k for r in got for k, n in enumerate(names))

@@ -8,6 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, behind as many more underscores as tell it from all columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the folder that ``spark.checkpoint.dir`` names.
 

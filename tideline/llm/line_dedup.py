@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import kernel
+from tideline.llm.cluster import free_name
 
 #: Words after which a sentence is cut into another display line.
 WRAP = 16
@@ -159,16 +160,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     one counts as one that stays), and the text column holds what is
     left: '' where all was repeated, null where it was null. Texts without a repeated
     chunk come back byte for byte. Rows that are equal in id and text are one place
-    and keep the same.
+    and keep the same. Where ``docs`` has _chunks or _removed, the two added columns,
+    which are last, have one more underscore.
     """
-    keyed = docs.withColumn("_row", F.xxhash64(id_col, text_col))
-    base = keyed.select(F.col(id_col).alias("id"), F.col("_row").alias("row"), F.col(text_col).alias("text"))
-    marked = keyed.join(_repeats(base, min_lines, min_words).withColumnRenamed("row", "_row").withColumnRenamed("gone", "_gone"), "_row", "left")
+    key, lost, n_chunks, n_removed = (free_name(docs, name) for name in ("_row", "_gone", "_chunks", "_removed"))
+    keyed = docs.withColumn(key, F.xxhash64(id_col, text_col))
+    base = keyed.select(F.col(id_col).alias("id"), F.col(key).alias("row"), F.col(text_col).alias("text"))
+    marked = keyed.join(_repeats(base, min_lines, min_words).select(F.col("row").alias(key), F.col("gone").alias(lost)), key, "left")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
-            texts, gone = batch.column(names.index(text_col)), batch.column(names.index("_gone"))
+            texts, gone = batch.column(names.index(text_col)), batch.column(names.index(lost))
             out, counts, removed = [], [], []
             for at, raw in kernel.blocks(texts, lower=False):
                 c = Chunks(raw, min_lines, min_words)
@@ -179,9 +182,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     if places:
                         out.append(c.without(k, places).decode())
             changed = pc.replace_with_mask(texts, pa.array([n > 0 for n in removed], pa.bool_()), pa.array(out, texts.type))
-            columns = [changed if name == text_col else batch.column(name) for name in names if name not in ("_gone", "_row")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=[*[x for x in names if x not in ("_gone", "_row")], "_chunks", "_removed"])
+            columns = [changed if name == text_col else batch.column(name) for name in names if name != lost]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=[*[x for x in names if x != lost], n_chunks, n_removed])
 
-    order = [*docs.columns, "_gone"]
+    order = [*docs.columns, lost]
     schema = ", ".join(f"`{name}` {kind}" for name, kind in docs.dtypes)
-    return marked.select(*[F.col(f"`{c}`") for c in order]).mapInArrow(rebuild, f"{schema}, _chunks long, _removed long")
+    return marked.select(*[F.col(f"`{c}`") for c in order]).mapInArrow(rebuild, f"{schema}, {n_chunks} long, {n_removed} long")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import kernel
-from tideline.llm.cluster import components, durable
+from tideline.llm.cluster import components, durable, free_name
 
 #: Hashed counters, and the slices in which tasks hand them on.
 COUNTER_BITS, SLICES = 22, 64
@@ -436,10 +436,11 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
     joined = join_components(docs, n, percent, id_col, text_col, task_shingles, with_root=True)
     linked = joined.where("n_links > 0").withColumn("keep", F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
     keep = linked.groupBy("root").agg(F.min("keep").alias("keep"))
-    gone = linked.join(keep.select("root", F.col("keep.row").alias("kept")), "root").where("row <> kept").select(F.col("row").alias("_row"))
-    held = keep.select(F.col("keep.row").alias("_row"))
-    marks = gone.select("_row", F.lit(0).alias("_stay")).unionByName(held.select("_row", F.lit(1).alias("_stay"))).groupBy("_row").agg(F.max("_stay").alias("_stay"))
-    rows = docs.withColumn("_row", F.xxhash64(id_col, text_col)).join(marks, "_row", "left").where("coalesce(_stay, 2) > 0")
+    key, stay = free_name(docs, "_row"), free_name(docs, "_stay")
+    gone = linked.join(keep.select("root", F.col("keep.row").alias("kept")), "root").where("row <> kept").select(F.col("row").alias(key))
+    held = keep.select(F.col("keep.row").alias(key))
+    marks = gone.select(key, F.lit(0).alias(stay)).unionByName(held.select(key, F.lit(1).alias(stay))).groupBy(key).agg(F.max(stay).alias(stay))
+    rows = docs.withColumn(key, F.xxhash64(id_col, text_col)).join(marks, key, "left").where(F.coalesce(stay, F.lit(2)) > 0)
     # equal rows of a linked text share the key: the first of them stays
-    once = rows.where("_stay = 1").dropDuplicates(["_row"])
-    return rows.where("_stay is null").unionByName(once).drop("_row", "_stay")
+    once = rows.where(F.col(stay) == 1).dropDuplicates([key])
+    return rows.where(F.col(stay).isNull()).unionByName(once).drop(key, stay)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import kernel
+from tideline.llm.cluster import free_name
 
 BITS = 12
 #: Labelled rows of each label that are fitted on, at most about so many.
@@ -171,8 +172,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     Whole texts only are scored from; rows whose crc32(id as text) mod 5 is 0 are never
     learnt from. Null and empty texts, and texts like no voter, get the share of
     label 1 among the labelled rows (0.5 where there are none). Equal texts get
-    equal scores; all columns stay. No shuffle carries documents.
+    equal scores; all columns stay. No shuffle carries documents. Where ``docs`` has
+    _score or _predicted, the two added columns, which are last, have one more underscore.
     """
+    scored, predicted = free_name(docs, "_score"), free_name(docs, "_predicted")
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels_for_fit(labels, id_col, label_col), id_col, text_col, voters))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +184,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
             for _, raw in kernel.blocks(batch.column(batch.schema.get_field_index(text_col)), BLOCK, lower=False):
                 out.append(model.value.scores(raw))
             s = np.round(np.concatenate(out), 6) if out else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=[*batch.schema.names, "_score", "_predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=[*batch.schema.names, scored, predicted])
 
     schema = ", ".join(f"`{name}` {kind}" for name, kind in docs.dtypes)
-    return docs.mapInArrow(score, f"{schema}, _score double, _predicted int")
+    return docs.mapInArrow(score, f"{schema}, {scored} double, {predicted} int")
