@@ -1,7 +1,9 @@
 """Vectorised word and shingle hashing over UTF-8 bytes.
 
-Everything here works on a block of documents at once, and a block is bounded by
-its bytes, so a worker's memory follows the longest document and not the batch.
+Everything here works on a block of documents at once. A block is bounded by its
+bytes and by its rows, so a worker's memory follows neither the batch nor the number
+of short texts in it; a text longer than the bound is a block of its own, and costs
+about 25 bytes a byte.
 """
 
 from __future__ import annotations
@@ -11,8 +13,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that one block holds, unless a single document is longer.
-BLOCK_BYTES = 1_000_000
+#: Bytes of text that one block holds, unless a single document is longer, and rows that it holds at most.
+BLOCK_BYTES, BLOCK_ROWS = 1_000_000, 4_096
+#: Bytes that are hashed at a time, and rows whose n-grams are counted at a time.
+WINDOW, COUNT_ROWS = 1 << 20, 256
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[str, np.ndarray] = {}
@@ -110,16 +114,36 @@ def shingle_sets(block: Block, n: int) -> list[np.ndarray]:
     return out
 
 
+def _long_span(buf: np.ndarray, start: int, end: int, up: np.ndarray) -> int:
+    """The sum over a span longer than a window, window by window."""
+    total = 0
+    for k in range(start, end, WINDOW):
+        piece = buf[k : min(end, k + WINDOW)].astype(np.uint64) + np.uint64(1)
+        total += int((piece * up[: len(piece)]).sum(dtype=np.uint64)) * pow(_BASE, k - start, 1 << 64)
+    return total % (1 << 64)
+
+
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span of ``buf``."""
-    up, down = _powers(len(buf))
-    total = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
-    span = (total[ends] - total[starts]) * down[starts]
+    """A 64-bit hash of the bytes of each span of ``buf``; ``starts`` ascend. Prefix sums cover a window at a time."""
+    span = np.empty(len(starts), dtype=np.uint64)
+    up, down = _powers(min(len(buf), 2 * WINDOW))
+    for k in np.flatnonzero(ends - starts > WINDOW).tolist():
+        span[k] = _long_span(buf, int(starts[k]), int(ends[k]), up)
+    low = 0
+    while low < len(starts):
+        begin = int(starts[low])
+        high = int(np.searchsorted(starts, begin + WINDOW))
+        at = low + np.flatnonzero(ends[low:high] - starts[low:high] <= WINDOW)
+        if len(at):
+            piece = buf[begin : int(ends[at].max())].astype(np.uint64)
+            total = np.zeros(len(piece) + 1, dtype=np.uint64)
+            np.cumsum((piece + np.uint64(1)) * up[: len(piece)], out=total[1:])
+            span[at] = (total[ends[at] - begin] - total[starts[at] - begin]) * down[starts[at] - begin]
+        low = high
     return mix(span ^ (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def blocks(texts: pa.Array, bound: int = BLOCK_BYTES, lower: bool = True) -> Iterator[tuple[int, list[bytes]]]:
+def blocks(texts: pa.Array, bound: int = BLOCK_BYTES, lower: bool = True, rows: int = BLOCK_ROWS) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of rows as (first row, whole texts in UTF-8, A-Z in lower case if ``lower``; null as empty)."""
     held, size, at = [], 0, 0
     for k in range(len(texts)):
@@ -127,7 +151,7 @@ def blocks(texts: pa.Array, bound: int = BLOCK_BYTES, lower: bool = True) -> Ite
         raw = value.to_pybytes() if value is not None else b""
         if lower:
             raw = raw.lower()
-        if held and size + len(raw) > bound:
+        if held and (size + len(raw) > bound or len(held) >= rows):
             yield at, held
             held, size, at = [], 0, k
         held.append(raw)
@@ -137,21 +161,28 @@ def blocks(texts: pa.Array, bound: int = BLOCK_BYTES, lower: bool = True) -> Ite
 
 
 def gram_counts(docs: list[bytes], orders: tuple[int, ...], bits: int) -> np.ndarray:
-    """Counts of hashed byte n-grams: one row a document, 2**bits columns. No n-gram crosses documents."""
+    """Counts of hashed byte n-grams: one row a document, 2**bits columns. No n-gram crosses documents.
+
+    The callers give at most COUNT_ROWS documents at a time, as the table has a row for each;
+    bytes are counted a window at a time.
+    """
+    out = np.zeros(len(docs) << bits, dtype=np.int64)
     joined = b"".join(docs)
     size = np.fromiter(map(len, docs), dtype=np.int64, count=len(docs))
-    buf = np.frombuffer(joined, dtype=np.uint8).astype(np.uint32)
-    owner = np.repeat(np.arange(len(docs), dtype=np.int64), size)
-    out = np.zeros(len(docs) << bits, dtype=np.int64)
-    for n in orders:
-        m = len(buf) - n + 1
-        if m <= 0:
-            continue
-        h = np.full(m, 0x811C9DC5 + n, dtype=np.uint32)
-        for k in range(n):
-            h = (h ^ buf[k : k + m]) * np.uint32(0x9E3779B1)
-            h ^= h >> np.uint32(15)
-        own = owner[:m]
-        inside = own == owner[n - 1 :]
-        out += np.bincount((own << bits)[inside] + (h[inside] >> np.uint32(32 - bits)), minlength=len(out))
+    ends = np.cumsum(size)
+    for begin in range(0, len(joined), WINDOW):
+        buf = np.frombuffer(joined, dtype=np.uint8, count=min(len(joined) - begin, WINDOW + max(orders) - 1), offset=begin).astype(np.uint32)
+        stop = begin + len(buf)
+        owner = np.repeat(np.arange(len(docs), dtype=np.int64), np.clip(ends, begin, stop) - np.clip(ends - size, begin, stop))
+        for n in orders:
+            m = min(len(buf) - n + 1, WINDOW)
+            if m <= 0:
+                continue
+            h = np.full(m, 0x811C9DC5 + n, dtype=np.uint32)
+            for k in range(n):
+                h = (h ^ buf[k : k + m]) * np.uint32(0x9E3779B1)
+                h ^= h >> np.uint32(15)
+            own = owner[:m]
+            inside = own == owner[n - 1 : n - 1 + m]
+            out += np.bincount((own << bits)[inside] + (h[inside] >> np.uint32(32 - bits)), minlength=len(out))
     return out.reshape(len(docs), 1 << bits)

@@ -9,6 +9,7 @@ voters vote with their similarity as weight.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -88,9 +89,16 @@ class Model:
         cosine = self.vectors(docs) @ self.voters.T
         k = min(NEIGHBOURS, cosine.shape[1])
         near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(np.float64) ** SHARPNESS
+        best = np.take_along_axis(cosine, near, axis=1)
+        weight = np.maximum(best, 0).astype(np.float64) ** SHARPNESS
+        labels = self.labels[near]
+        # voters as near as the last one share the places that are left to them
+        last = best.min(axis=1, keepdims=True)
+        tied = np.flatnonzero((cosine == last).sum(axis=1) > (best == last).sum(axis=1))
+        for r in tied.tolist():
+            labels[r][best[r] == last[r]] = self.labels[cosine[r] == last[r]].mean()
         total = weight.sum(axis=1)
-        vote = (weight * self.labels[near]).sum(axis=1)
+        vote = (weight * labels).sum(axis=1)
         return np.clip(np.where(total > 1e-12, vote / np.maximum(total, 1e-12), self.prior), 0.0, 1.0)
 
 
@@ -115,7 +123,7 @@ def document_frequency(texts: DataFrame) -> tuple[np.ndarray, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, rows = np.zeros(TERMS, dtype=np.int64), 0
         for batch in batches:
-            for _, raw in kernel.blocks(batch.column(0), BLOCK, lower=False):
+            for _, raw in kernel.blocks(batch.column(0), BLOCK, lower=False, rows=kernel.COUNT_ROWS):
                 seen += (terms(raw) > 0).sum(axis=0)
                 rows += len(raw)
         yield pa.RecordBatch.from_arrays([pa.array(range(TERMS + 1), pa.int32()), pa.array(np.append(seen, rows))], names=["term", "n"])
@@ -127,7 +135,10 @@ def document_frequency(texts: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def fit(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str, voters: int = VOTERS) -> Model:
-    """labelled: id and label (0 or 1). At most about ``voters`` rows of each label are fitted on, chosen by a hash of the id."""
+    """labelled: id and label (0 or 1), an id once. At most about ``voters`` ids of each label are fitted on, chosen by a hash of the id.
+
+    An id on several rows of ``docs`` lends one text, the one of least hash.
+    """
     seen, rows = document_frequency(docs.select(text_col))
     idf = (np.log((1 + rows) / (1 + seen)) + 1).astype(np.float32)
     counts = {r.label: r["count"] for r in labelled.groupBy("label").count().collect()}
@@ -137,13 +148,14 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str, voters
     prior = counts.get(1, 0) / total
     # the same share of each label keeps the labels' proportions in the vote
     share = min(1.0, voters / max(counts.values()))
-    picked = labelled.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))) if share < 1 else labelled
+    picked = labelled.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 62)) < F.lit(math.ceil(share * (1 << 62)))) if share < 1 else labelled
     # at most about twice `voters` narrow rows, by the share above
-    chosen = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "_id")
+    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "_id")
+    chosen = found.groupBy("_id", "label").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, raw in kernel.blocks(batch.column(0), BLOCK, lower=False):
+            for at, raw in kernel.blocks(batch.column(0), BLOCK, lower=False, rows=kernel.COUNT_ROWS):
                 x = _unit(terms(raw) * idf)
                 index = [np.flatnonzero(r) for r in x]
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(at, len(raw)), batch.column(2).slice(at, len(raw)), pa.array([i.astype(np.uint16).tobytes() for i in index], pa.binary()), pa.array([r[i].astype(np.float16).tobytes() for r, i in zip(x, index)], pa.binary())], names=["id", "label", "at", "x"])
@@ -172,7 +184,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     Whole texts only are scored from; rows whose crc32(id as text) mod 5 is 0 are never
     learnt from. Null and empty texts, and texts like no voter, get the share of
     label 1 among the labelled rows (0.5 where there are none). Equal texts get
-    equal scores; all columns stay. No shuffle carries documents. Where ``docs`` has
+    equal scores, repeated rows each; of voters equally near, beyond the last place, each
+    has an equal part in it. All columns stay. An empty table gives no rows. No shuffle
+    carries documents but for the sampled ones; a text of any length takes 50 KB beside
+    its own bytes, for at most COUNT_ROWS texts at a time. Where ``docs`` has
     _score or _predicted, the two added columns, which are last, have one more underscore.
     """
     scored, predicted = free_name(docs, "_score"), free_name(docs, "_predicted")
@@ -181,7 +196,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for _, raw in kernel.blocks(batch.column(batch.schema.get_field_index(text_col)), BLOCK, lower=False):
+            for _, raw in kernel.blocks(batch.column(batch.schema.get_field_index(text_col)), BLOCK, lower=False, rows=kernel.COUNT_ROWS):
                 out.append(model.value.scores(raw))
             s = np.round(np.concatenate(out), 6) if out else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=[*batch.schema.names, scored, predicted])
