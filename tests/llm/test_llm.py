@@ -76,12 +76,58 @@ def test_licenses_equal_brute_force(spark, docs, odd):
     assert license_scan.scan_licenses(docs.limit(0)).count() == 0
 
 
+def brute_notices(text):
+    """Labels, score and places by trying every start of every template."""
+    w, labels, best, places = words(text, ALNUM), set(), 0.0, []
+    for label, phrase, keys, base in [(x, p, (p,), True) for p, x in license_scan.BASE] + [(*n, False) for n in license_scan.NOTICES]:
+        t = phrase.encode().split()
+        slack = 0 if base else license_scan.SLACK
+        at, low = [], 0
+        for k in keys:
+            k = k.encode().split()
+            low = next(i for i in range(low, len(t)) if t[i : i + len(k)] == k)
+            at.append((low, k))
+        for start in range(-len(t), len(w)):
+            stands = lambda i, k: i >= 0 and w[i : i + len(k)] == k
+            if not stands(start + at[0][0], at[0][1]) or not all(any(stands(start + i + j, k) for j in range(-slack, slack + 1)) for i, k in at[1:]):
+                continue
+            n = sum(x in w[max(0, start + i - slack) : max(0, start + i + slack + 1)] for i, x in enumerate(t))
+            if n >= (1 if base else license_scan.SHARE) * len(t) - 1e-9:
+                labels.add(label)
+                places.append((label, start))
+                best = max(best, n / len(t))
+    return ",".join(sorted(labels)), best, sorted(set(places))
+
+
+def test_notices_equal_brute_force(spark, docs):
+    rng = random.Random(12)
+    notices = [n for _, n, _ in license_scan.NOTICES]
+    texts = []
+    for k in range(400):
+        w = " ".join(rng.choice(notices) for _ in range(rng.randrange(1, 3))).split()
+        for _ in range(rng.randrange(0, 7)):
+            p = rng.randrange(len(w))
+            w[p : p + rng.randrange(2)] = rng.choice(([], ["zz"], ["the"], [rng.choice(w)]))
+        texts.append(" ".join(w[rng.randrange(4) :]))
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(10_000 + k, t) for k, t in enumerate(texts)], "doc_id long, text string"))
+    got = rows_of(license_scan.scan_licenses(df))
+    seen = 0
+    for r in df.collect():
+        labels, score, places = brute_notices(r.text)
+        g = got[r.doc_id]
+        assert (g.labels, g.score) == (labels, pytest.approx(score))
+        assert sorted({(p.label, p.word) for p in g.places}) == places
+        seen += bool(labels)
+    assert seen > 200
+
+
 def test_license_templates_need_their_key_phrases(spark):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
     texts = [mit, "-- " + mit.upper() + " x", mit.replace("free of charge", "for a fee"), mit.replace("obtaining", "getting"), "cc by " * 3, "Licensed under CC BY-NC 4.0."]
+    texts += [mit.replace("any person", "any individual person"), "Licensed under Apache License, Version 2.0", "you can redistribute it under the terms of the GNU General Public License version 3", "free of charge " * 40 + "granted permission hereby is"]
     got = rows_of(license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
-    assert [got[k].labels for k in range(6)] == ["mit", "mit", "", "mit", "cc-by", "cc-by,cc-by-nc-4.0"]
-    assert got[4].n_base == 3 and got[3].score < 1
+    assert [got[k].labels for k in range(len(texts))] == ["mit", "mit", "", "mit", "cc-by", "cc-by,cc-by-nc-4.0", "mit", "apache-2.0", "gpl,gpl-3.0", ""]
+    assert got[4].n_base == 3 and got[3].score < 1 and got[6].score == 1
 
 
 # 2 languages
@@ -420,15 +466,53 @@ def test_shards(spark, docs, odd):
     assert shard.hash_tree_shards(df.limit(0)).count() == 0
 
 
-def test_weights_move_rows_only_between_their_subtrees(spark):
+def test_tree_equals_a_descent_by_hand(spark):
+    tree = shard.Tree((((((4, 1.0), (1, 2.0)), ((0, 1.0),)), (((7, 0.5), (2, 0.0), (5, 1.5)),))))
+
+    def least(key, names, weights):
+        u = [(int(hashlib.md5(f"{key}/{n}".encode()).hexdigest()[:12], 16) + 1) / 16**12 for n in names]
+        draws = [-np.log(x) / w if w else np.inf for x, w in zip(u, weights)]
+        return int(np.argmin(draws))
+
+    def descend(t, key):
+        total = lambda x: sum(map(total, x)) if isinstance(x[0], tuple) else x[1]
+        r = least(key, range(len(t.racks)), [total(x) for x in t.racks])
+        k = least(key, [f"{r}.{j}" for j in range(len(t.racks[r]))], [total(x) for x in t.racks[r]])
+        return t.racks[r][k][least(key, [f"{r}.{k}.{j}" for j in range(len(t.racks[r][k]))], [w for _, w in t.racks[r][k]])][0]
+
+    keys = spark.range(3000).withColumn("_rack", F.lit(1)).withColumn("region", F.lit(2))
+    out = shard.assign(keys, "id", {"a": tree, "b": tree.grown(2.0)}).withColumn("c", shard.grown_shard(F.col("id"), tree, F.col("a"), 2.0))
+    assert out.columns == [*keys.columns, "a", "b", "c"]
+    for r in out.collect():
+        assert (r.a, r.b) == (descend(tree, r.id), descend(tree.grown(2.0), r.id)) and r.c == r.b and r.b in (r.a, 8)
+    with pytest.raises(ValueError):
+        shard.Tree.of(2, weights={0: 0.0, 1: 0.0})
+
+
+def test_weights_move_rows_only_into_or_out_of_changed_subtrees(spark):
     keys = spark.range(20_000).withColumnRenamed("id", "doc_id")
-    before, after = shard.Tree.of(24), shard.Tree.of(24, weights={3: 3.0})
-    r = shard.assign(keys, "doc_id", {"a": before, "b": after}).groupBy("a", "b").count().collect()
-    assert all(x.b == 3 for x in r if x.a != x.b)
-    share = sum(x["count"] for x in r if x.b == 3) / 20_000
-    assert abs(share - 3 / 26) < 0.02
-    lost = shard.assign(keys, "doc_id", {"a": before, "b": shard.Tree.of(24, weights={7: 0.0})}).where("a <> b").select("a").distinct().collect()
-    assert [x.a for x in lost] == [7]
+    before = shard.Tree.of(24)
+    region, rack = (lambda k: k // 12), (lambda k: k // 4)
+    for weights in ({3: 3.0}, {4: 0.0, 5: 0.0, 6: 0.0, 7: 0.0}, {8: 2.0, 9: 0.0}):
+        after = shard.Tree.of(24, weights=weights)
+        r = shard.assign(keys, "doc_id", {"a": before, "b": after}).groupBy("a", "b").count().collect()
+        moved = [(x.a, x.b) for x in r if x.a != x.b]
+        assert moved and {x.b for x in r if weights.get(x.b) == 0.0} == set()
+        for a, b in moved:
+            # the first level at which the two part chose otherwise, so one of the two nodes there has changed
+            nodes = [f(k) for f in (region, rack, int) for k in (a, b) if region(a) != region(b) or (f is not region and rack(a) != rack(b)) or f is int]
+            changed = {n for k in weights for n in (region(k), rack(k), k)}
+            level = region if region(a) != region(b) else rack if rack(a) != rack(b) else int
+            assert {level(a), level(b)} & {level(k) for k in weights} and nodes and changed
+        total = sum(weights.get(k, 1.0) for k in range(24))
+        for k, w in weights.items():
+            assert abs(sum(x["count"] for x in r if x.b == k) / 20_000 - w / total) < 0.02
+
+
+def test_slots_of_one_id_are_dealt_over_buckets(spark):
+    df = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    got = shard.hash_tree_shards(df, digits=1)
+    assert sorted(r.slot for r in got.collect()) == list(range(4000)) and got.select("shard").distinct().count() == 1
 
 
 # 9 joins

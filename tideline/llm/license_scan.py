@@ -1,14 +1,16 @@
 """Licence scan by a positional index of rare licence words.
 
-Document frequencies over the whole corpus rank every template's words. A
-template is indexed under its rarest words (its anchors) with their positions. In
-a file, each occurrence of an anchor proposes a place of the template; places
-where enough anchors agree on the relative position are verified: every word of
-the mandatory key phrases must stand there, and most of the other words.
+Inverse document frequencies over the whole corpus rank the words of all templates.
+In a file, the licence words with the highest ones are looked up, as many a template
+as may be out of place there and a few more; their postings (template, position) are
+intersected by relative position, within the slack that inserted and missing words
+need. Where enough of them agree, the template's mandatory key phrases are verified,
+the first byte by byte at its place and the others near theirs, and then its other words.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,25 +23,34 @@ from tideline.llm import kernel
 
 #: Phrases that count as base places, with their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-#: Openings of public licences and notices as (label, words, mandatory key phrases).
+#: Openings of public licences and notices as (label, words, mandatory key phrases in their order).
 NOTICES = (
+    ("agpl-3.0", "under the terms of the gnu affero general public license version 3", ("gnu affero general public license version 3",)),
+    ("agpl-3.0", "redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license", ("gnu affero general public license", "version 3 of the license")),
     ("apache-2.0", "licensed under the apache license version 2 0", ("apache license version 2 0",)),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ("redistribution and use", "source and binary forms")),
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", ("apache license", "you may not use this file except in compliance")),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use", "source and binary forms")),
     ("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0", ("cc by nc 4 0",)),
+    ("cc-by-nc-4.0", "licensed under a creative commons attribution noncommercial 4 0 international license", ("creative commons attribution noncommercial 4 0",)),
     ("cc-by-sa-4.0", "licensed under cc by sa 4 0", ("cc by sa 4 0",)),
-    ("cc0-1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights", ("to the extent possible under law", "waived all copyright")),
+    ("cc-by-sa-4.0", "licensed under a creative commons attribution sharealike 4 0 international license", ("creative commons attribution sharealike 4 0",)),
+    ("cc0-1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ("to the extent possible under law", "waived all copyright")),
+    ("gpl-2.0", "under the terms of the gnu general public license version 2", ("gnu general public license version 2",)),
+    ("gpl-2.0", "redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license", ("gnu general public license", "version 2 of the license")),
     ("gpl-2.0", "this work is licensed under the gnu general public license version 2", ("gnu general public license version 2",)),
+    ("gpl-3.0", "under the terms of the gnu general public license version 3", ("gnu general public license version 3",)),
+    ("gpl-3.0", "redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license", ("gnu general public license", "version 3 of the license")),
     ("gpl-3.0", "this work is licensed under the gnu general public license version 3", ("gnu general public license version 3",)),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("permission to use copy modify", "with or without fee")),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted free of charge",)),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license v 2 0",)),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("released into the public domain",)),
 )
-#: Anchors of a template; of more than three words, one of the anchors may be missing.
-ANCHORS = 3
-#: Least share of a template's words that must stand in place.
-SHARE = 0.8
+#: Least share of a notice's words that must stand in place, and how many words they may stand away from it.
+SHARE, SLACK = 0.7, 3
+#: Looked-up words that must agree on a place; a file's rarest ones are looked up until so many cannot be out of place.
+VOTES = 2
 
 
 @dataclass
@@ -47,36 +58,38 @@ class Template:
     label: str
     base: bool
     words: list[bytes]
-    hashes: np.ndarray
-    key: np.ndarray
-    anchors: list[int]
-    votes: int
+    keys: list[tuple[int, list[bytes]]]
+
+    def __post_init__(self) -> None:
+        self.hashes = _hash(self.words)
+        self.slack = 0 if self.base else SLACK
+        self.least = len(self.words) if self.base else math.ceil(SHARE * len(self.words) - 1e-9)
+        #: distinct words that may be out of place
+        self.spare = len(self.words) - self.least
+        self.votes = min(VOTES, len(set(self.words)) - self.spare)
 
 
 def _hash(words: list[bytes]) -> np.ndarray:
     return kernel.Block([b" ".join(words)], kernel.ALNUM).hashes()
 
 
-def _vocabulary() -> list[bytes]:
-    return sorted({w for text, _ in BASE for w in text.encode().split()} | {w for _, text, _ in NOTICES for w in text.encode().split()})
-
-
-def _templates(frequency: dict[bytes, int]) -> list[Template]:
+def templates() -> list[Template]:
     out = []
     for label, text, keys, base in [(label, text, (text,), True) for text, label in BASE] + [(*x, False) for x in NOTICES]:
         words = text.encode().split()
-        key = np.zeros(len(words), dtype=bool)
+        places, low = [], 0
         for phrase in keys:
             p = phrase.encode().split()
-            at = next(k for k in range(len(words)) if words[k : k + len(p)] == p)
-            key[at : at + len(p)] = True
-        rare = sorted(dict.fromkeys(words), key=lambda w: (frequency.get(w, 0), w))[:ANCHORS]
-        anchors = [words.index(w) for w in rare]
-        votes = len(anchors) - (len(words) > ANCHORS)
-        out.append(Template(label, base, words, _hash(words), key, anchors, votes))
+            low = next(k for k in range(low, len(words)) if words[k : k + len(p)] == p)
+            places.append((low, p))
+        out.append(Template(label, base, words, places))
     return out
 
 
+def _vocabulary() -> list[bytes]:
+    return sorted({w for t in templates() for w in t.words})
+
+
 def document_frequency(docs: DataFrame, text_col: str = "text") -> dict[bytes, int]:
     """Documents that have each licence word, over all rows; at most one row a word reaches the driver."""
     words = _vocabulary()
@@ -102,19 +115,19 @@ def document_frequency(docs: DataFrame, text_col: str = "text") -> dict[bytes, i
 
 
 class Matcher:
-    """The index of one set of templates, and the scan of a block of documents."""
-
-    def __init__(self, templates: list[Template]):
-        self.templates = templates
-        postings: dict[int, list[tuple[int, int]]] = {}
-        for t, template in enumerate(templates):
-            # with v of a anchors in place, one of the a - v + 1 rarest is
-            for at in template.anchors[: len(template.anchors) - template.votes + 1]:
-                for k, word in enumerate(template.words):
-                    if word == template.words[at]:
-                        postings.setdefault(int(template.hashes[at]), []).append((t, k))
-        self.keys = np.array(sorted(postings), dtype=np.uint64)
-        self.postings = [postings[int(k)] for k in self.keys]
+    """The positional index of all templates, and the scan of a block of documents."""
+
+    def __init__(self, frequency: dict[bytes, int]):
+        self.templates = templates()
+        rarest = sorted(_vocabulary(), key=lambda w: (frequency.get(w, 0), w))
+        number = {w: k for k, w in enumerate(rarest)}
+        h = _hash(rarest)
+        order = np.argsort(h)
+        self.known, self.number = h[order], order
+        #: of each template: its distinct words, rarest first, those of its key phrases, and its postings (word, position)
+        self.words = [np.array(sorted({number[w] for w in t.words})) for t in self.templates]
+        self.keys = [np.array(sorted({number[w] for _, p in t.keys for w in p})) for t in self.templates]
+        self.postings = [[(number[w], k) for k, w in enumerate(t.words)] for t in self.templates]
 
     def scan(self, block: kernel.Block) -> list[dict[tuple[int, int], float]]:
         """For each document, (template, first word) of every verified place, with the share of words in place."""
@@ -122,48 +135,80 @@ class Matcher:
         h = block.hashes()
         if not len(h):
             return found
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        hits = np.flatnonzero(self.keys[at] == h)
-        docs = np.searchsorted(block.first, hits, side="right") - 1
-        tried: set[tuple[int, int]] = set()
-        for place, doc, posting in zip(hits.tolist(), docs.tolist(), at[hits].tolist()):
-            low, high = int(block.first[doc]), int(block.first[doc + 1])
-            for t, k in self.postings[posting]:
-                template, start = self.templates[t], place - k
-                if start < low or start + len(template.words) > high or (t, start) in tried:
-                    continue
-                tried.add((t, start))
-                same = h[start : start + len(template.words)] == template.hashes
-                if same[template.anchors].sum() < template.votes or not same[template.key].all() or same.mean() < SHARE:
-                    continue
-                if all(block.data[block.starts[start + j] : block.ends[start + j]] == template.words[j] for j in np.flatnonzero(template.key)):
-                    found[doc][(t, start - low)] = float(same.mean())
+        at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+        place = np.flatnonzero(self.known[at] == h)
+        word = self.number[at[place]]
+        doc = np.searchsorted(block.first, place, side="right") - 1
+        have = np.zeros((len(block), len(self.known)), dtype=bool)
+        have[doc, word] = True
+        for t, template in enumerate(self.templates):
+            own = have[:, self.words[t]]
+            may = have[:, self.keys[t]].all(axis=1) & (own.sum(axis=1) >= len(self.words[t]) - template.spare)
+            if not may.any():
+                continue
+            # the file's rarest words of the template; more than the spare ones, so some are in place
+            asked = np.zeros_like(have)
+            asked[:, self.words[t]] = own & may[:, None] & (np.cumsum(own, axis=1) <= template.spare + template.votes)
+            hit = np.flatnonzero(asked[doc, word])
+            for d, start in self._places(template, self.postings[t], place[hit], word[hit], doc[hit]):
+                low, high = int(block.first[d]), int(block.first[d + 1])
+                if (share := self._verify(block, h, template, start, low, high)) is not None:
+                    found[d][(t, start - low)] = share
         return found
 
+    @staticmethod
+    def _places(template: Template, postings: list[tuple[int, int]], place: np.ndarray, word: np.ndarray, doc: np.ndarray) -> list[tuple[int, int]]:
+        """(document, start) where enough looked-up words agree on the start, within the slack."""
+        parts = [(doc[m], place[m] - k) for w, k in postings for m in [word == w]]
+        doc, start = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((start, doc))
+        doc, start = doc[order], start[order]
+        key = doc * (1 << 40) + start
+        agree = np.searchsorted(key, key + 2 * template.slack, side="right") - np.arange(len(key)) >= template.votes
+        tried = (key[agree][:, None] + np.arange(-template.slack, template.slack + 1)).ravel()
+        return [divmod(x, 1 << 40) if x % (1 << 40) < 1 << 39 else (x // (1 << 40) + 1, x % (1 << 40) - (1 << 40)) for x in np.unique(tried).tolist()]
+
+    @staticmethod
+    def _verify(block: kernel.Block, h: np.ndarray, template: Template, start: int, low: int, high: int) -> float | None:
+        """The share of words in place, if key phrases and enough words are."""
+
+        def stands(p: int, phrase: list[bytes]) -> bool:
+            return low <= p and p + len(phrase) <= high and all(block.data[block.starts[p + j] : block.ends[p + j]] == w for j, w in enumerate(phrase))
+
+        slack = range(-template.slack, template.slack + 1)
+        (first, phrase), *others = template.keys
+        if not stands(start + first, phrase) or not all(any(stands(start + at + j, p) for j in slack) for at, p in others):
+            return None
+        near = lambda k: h[max(low, start + k - template.slack) : max(low, min(high, start + k + template.slack + 1))]
+        n = sum(bool((near(k) == x).any()) for k, x in enumerate(template.hashes))
+        return n / len(template.words) if n >= template.least else None
+
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Licence labels and base places of every whole text.
 
     Returns doc_id, n_words, n_base, first_word, last_word, base_labels, labels,
     score (largest share of a template's words in place, else 0) and places (label
-    and first word of every verified place). Null and empty texts have no words, no
-    places, empty labels and score 0. Repeated rows are judged alike and other
-    columns are not read. One pass over the texts counts words, one scans; no shuffle
-    carries text.
+    and first word of every verified place; below 0 where a notice's opening is cut off).
+    A place of a notice has its first key phrase word for word, the other key phrases and
+    at least SHARE of all words at most SLACK words away. Null and empty texts have no
+    words, no places, empty labels and score 0. Repeated rows are judged alike and other
+    columns are not read; an empty table gives no rows. One pass over the texts counts
+    words, one scans; no shuffle carries text. A very long text takes about 25 bytes a byte.
     """
-    templates = _templates(document_frequency(docs, text_col))
+    frequency = document_frequency(docs, text_col)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(templates)
+        matcher = Matcher(frequency)
         for batch in batches:
             for at, raw in kernel.blocks(batch.column(1)):
                 block = kernel.Block(raw, kernel.ALNUM)
                 rows = []
                 for n, found in zip(block.counts.tolist(), matcher.scan(block)):
-                    base = sorted(k for (t, k) in found if templates[t].base)
-                    labels = sorted({templates[t].label for t, _ in found})
-                    own = sorted({templates[t].label for t, _ in found if templates[t].base})
-                    places = [{"label": templates[t].label, "word": k} for t, k in sorted(found, key=lambda x: (x[1], x[0]))]
+                    base = sorted(k for (t, k) in found if matcher.templates[t].base)
+                    labels = sorted({matcher.templates[t].label for t, _ in found})
+                    own = sorted({matcher.templates[t].label for t, _ in found if matcher.templates[t].base})
+                    places = [{"label": matcher.templates[t].label, "word": k} for t, k in sorted(found, key=lambda x: (x[1], x[0]))]
                     rows.append((n, len(base), base[0] if base else None, base[-1] if base else None, ",".join(own), ",".join(labels), max(found.values(), default=0.0), places))
                 columns = list(zip(*rows))
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64())]))]

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tideline.llm.license_scan import ANCHORS, BASE, NOTICES, SHARE
+from tideline.llm import license_scan
+from tideline.llm.shard import Tree
 from tideline.llm.url_filter import LOWER, UPPER
 
 _LOWERED = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
@@ -19,14 +20,22 @@ select doc_id, item_id, cast(q as bigint) n_item, count(*) n_shared, count(*) /
 from s join i using (n, g) group by doc_id, item_id, q having count(*) >= ceil(0.8 * q - 1e-9)
 """
 
-_DRAWS = "list_transform(range({n}), lambda k: -ln((('0x' || substr(md5(cast(doc_id as varchar) || '/' || cast(k as varchar)), 1, 12))::bigint + 1)::double / 281474976710656.0::double))"
+_TREE = Tree.of(24)
+_DRAW = "-ln((('0x' || substr(md5(key || '/' || {name}), 1, 12))::bigint + 1)::double / 281474976710656.0::double) / {weight}"
+_LEAST = "list_position({draws}, list_min({draws})) - 1"
+_REGION, _RACK, _SHARD = (_DRAW.format(name=name, weight=weight) for name, weight in (("k", "regions[k + 1]"), ("region || '.' || k", "racks[region + 1][k + 1]"), ("region || '.' || rack || '.' || k", "shards[region + 1][rack + 1][k + 1]")))
 SHARDS = f"""
-with t as (select list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) crc),
-d as (select doc_id, octet_length(encode(coalesce(text, ''))) + 8 size,
-  xor(list_reduce(list_concat([4294967295::bigint], list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::bigint)), lambda c, b: xor(c >> 8, crc[xor(c & 255, b) + 1])), 4294967295) text_crc32,
-  {_DRAWS.format(n=25)} draws from documents, t),
-p as (select doc_id, cast(size as bigint) size, cast(text_crc32 as bigint) text_crc32, cast(list_position(draws[:24], list_min(draws[:24])) - 1 as int) shard, cast(list_position(draws, list_min(draws)) - 1 as int) grown_shard from d)
-select doc_id, size, text_crc32, 'key' law, shard, row_number() over (partition by shard order by md5(cast(doc_id as varchar)), doc_id, text_crc32, size) - 1 slot, grown_shard from p
+with t as (select list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) crc,
+ {[sum(w for rack in region for _, w in rack) for region in _TREE.racks] + [1.0]}::double[] regions, {[[sum(w for _, w in rack) for rack in region] for region in _TREE.racks]}::double[][] racks, {[[[w for _, w in rack] for rack in region] for region in _TREE.racks]}::double[][][] shards, {[[[k for k, _ in rack] for rack in region] for region in _TREE.racks]} numbers),
+d as (select t.*, doc_id, cast(doc_id as varchar) key, cast(octet_length(encode(coalesce(text, ''))) + 8 as bigint) size,
+  cast(xor(list_reduce(list_concat([4294967295::bigint], list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::bigint)), lambda c, b: xor(c >> 8, crc[xor(c & 255, b) + 1])), 4294967295) as bigint) text_crc32 from documents, t),
+a as (select *, list_transform(range(len(regions)), lambda k: {_REGION}) r from d),
+b as (select *, {_LEAST.format(draws="r[:len(r) - 1]")} region, {_LEAST.format(draws="r")} = len(r) - 1 new from a),
+c as (select *, list_transform(range(len(racks[region + 1])), lambda k: {_RACK}) r2 from b),
+e as (select *, {_LEAST.format(draws="r2")} rack from c),
+f as (select *, list_transform(range(len(shards[region + 1][rack + 1])), lambda k: {_SHARD}) r3 from e),
+p as (select doc_id, size, text_crc32, cast(numbers[region + 1][rack + 1][{_LEAST.format(draws="r3")} + 1] as int) shard, new from f)
+select doc_id, size, text_crc32, 'key' law, shard, row_number() over (partition by shard order by md5(cast(doc_id as varchar) || '/' || cast(text_crc32 as varchar)), doc_id, text_crc32, size) - 1 slot, case when new then cast(24 as int) else shard end grown_shard from p
 """
 
 JACCARD = f"""
@@ -40,32 +49,26 @@ select s.doc_id, cast(len(s.g) as bigint) n_shingles, least(s.doc_id, coalesce((
 """
 
 
-def _templates() -> str:
-    """(t, label, base, words, key) of every template; key marks the words of its mandatory phrases."""
+def _notices() -> str:
+    """(t, label, base, words, slack, least, first, phrase, others) of every template; others are its key phrases after the first."""
     rows = []
-    for t, (label, text, keys, base) in enumerate([(label, text, (text,), True) for text, label in BASE] + [(*x, False) for x in NOTICES]):
-        words = text.split()
-        key = [False] * len(words)
-        for phrase in keys:
-            p = phrase.split()
-            at = next(k for k in range(len(words)) if words[k : k + len(p)] == p)
-            key[at : at + len(p)] = [True] * len(p)
-        rows.append(f"({t}, '{label}', {str(base).lower()}, {words}, {str(key).lower()})")
-    return "(values " + ", ".join(rows) + ") t(t, label, base, words, key)"
+    for t, x in enumerate(license_scan.templates()):
+        text = lambda words: str([w.decode() for w in words])
+        (at, phrase), *others = x.keys
+        more = "[" + ", ".join(f"{{'o': {k}, 'w': {text(p)}}}" for k, p in others) + "]::struct(o int, w varchar[])[]"
+        rows.append(f"({t}, '{x.label}', {str(x.base).lower()}, {text(x.words)}, {x.slack}, {x.least}, {at}, {text(phrase)}, {more})")
+    return "(values " + ", ".join(rows) + ") t(t, label, base, words, slack, least, k0, phrase, others)"
 
 
 LICENSES = f"""
 with d as (select doc_id, regexp_extract_all({_LOWERED}, '{_ALNUM}') w from documents),
-t as (select *, list_position(key, true) anchor, len(words) n from {_templates()}),
-v as (select t, word, min(p) p from (select t, unnest(words) word, unnest(range(n)) + 1 p from t) group by 1, 2),
-f as (select word, count(*) df from (select distinct doc_id, unnest(w) word from d) where word in (select word from v) group by 1),
-a as (select t, list(p) places, count(*) anchors from (select v.t, v.p from v left join f using (word) qualify row_number() over (partition by v.t order by coalesce(df, 0), word) <= {ANCHORS}) group by 1),
+t as (select *, len(words) n from {_notices()}),
 e as (select doc_id, unnest(w) word, unnest(range(len(w))) + 1 pos from d),
-c as (select e.doc_id, t.t, t.label, t.base, t.words, t.key, t.n, a.places, a.anchors, e.pos - t.anchor + 1 start from e join t on e.word = t.words[t.anchor] join a using (t)),
-s as (select c.*, list_transform(range(n), lambda k: d.w[start + k] = words[k + 1]) same from c join d using (doc_id) where start >= 1 and start + n - 1 <= len(d.w)),
-m as (select doc_id, label, base, start - 1 place, len(list_filter(same, lambda x: x))::double / n share from s
- where len(list_filter(range(n), lambda k: key[k + 1] and not same[k + 1])) = 0 and len(list_filter(same, lambda x: x))::double / n >= {SHARE}
-  and len(list_filter(places, lambda p: same[p])) >= anchors - case when n > {ANCHORS} then 1 else 0 end)
+c as (select e.doc_id, t.*, e.pos - t.k0 start from e join t on e.word = t.phrase[1]),
+s as (select c.*, len(list_filter(range(n), lambda k: list_contains(d.w[greatest(1, start + k - slack) : greatest(0, start + k + slack)], words[k + 1]))) near
+ from c join d using (doc_id) where d.w[start + c.k0 : start + c.k0 + len(phrase) - 1] = phrase
+  and len(list_filter(others, lambda y: len(list_filter(range(start + y.o - slack, start + y.o + slack + 1), lambda q: q >= 1 and d.w[greatest(1, q) : greatest(0, q + len(y.w) - 1)] = y.w)) = 0)) = 0),
+m as (select doc_id, label, base, start - 1 place, near / n::double share from s where near >= least)
 select d.doc_id, cast(len(d.w) as bigint) n_words, count(*) filter (m.base) n_base, cast(min(place) filter (m.base) as bigint) first_word, cast(max(place) filter (m.base) as bigint) last_word,
  coalesce(array_to_string(list_sort(list(distinct label) filter (m.base)), ','), '') base_labels, coalesce(array_to_string(list_sort(list(distinct label) filter (label is not null)), ','), '') labels, coalesce(max(share), 0) score
 from d left join m using (doc_id) group by d.doc_id, len(d.w)

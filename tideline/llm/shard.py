@@ -1,12 +1,12 @@
 """Sharding by a hierarchical weighted hash tree, in DataFrame expressions only.
 
-A tree has regions, racks and shards. Each shard's draw is -ln(u) / weight with u
-hashed from the key and the shard's own name, and the draw of a rack or region is
-the least draw below it. The least of exponential draws is an exponential draw of
-their summed weight, so every level is a proper weighted draw, yet a subtree's
-draw depends on nothing outside it: when weights change, rows move only into or
-out of the subtrees whose weights change. A new shard changes no other draw and
-so takes rows only into itself.
+A tree has regions, racks and shards. A key descends it: of the regions, then of the
+chosen region's racks, then of that rack's shards, the one with the least draw is
+taken. A draw is -ln(u) / weight, with u hashed from the key and the node's own name
+and the weight summed over the node's shards, so a node gets its share of the keys.
+When weights change, a draw changes only at nodes above or at these shards: between
+two regions, racks or shards whose weights stay, no key moves. A new shard comes in a
+region of its own, so that keys move into it only.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideline.llm.cluster import free_name
+
 #: Hex digits of md5 that make one draw: 48 bits, exact in a double.
 DIGITS = 12
 
@@ -33,51 +35,75 @@ class Tree:
         racks = [tuple(leaf[k : k + per_rack]) for k in range(0, shards, per_rack)]
         return cls(tuple(tuple(racks[k : k + racks_per_region]) for k in range(0, len(racks), racks_per_region)))
 
+    def __post_init__(self) -> None:
+        weights = [w for _, w in self.leaves()]
+        if min(weights, default=0.0) < 0 or sum(weights) <= 0:
+            raise ValueError("weights must not be negative, and one must be positive")
+
     def leaves(self) -> list[tuple[int, float]]:
         return [leaf for region in self.racks for rack in region for leaf in rack]
 
+    def grown(self, weight: float = 1.0) -> Tree:
+        """With one more shard, in a region and rack of its own."""
+        return Tree((*self.racks, (((1 + max(k for k, _ in self.leaves()), weight),),)))
 
-def draw(key: Column, shard: int, weight: float) -> Column:
-    """An exponential draw of rate ``weight``; infinite where the weight is 0."""
-    if weight <= 0:
-        return F.lit(float("inf"))
-    bits = F.conv(F.substring(F.md5(F.concat(key, F.lit(f"/{shard}")).cast("binary")), 1, DIGITS), 16, 10).cast("double")
-    return -F.log((bits + F.lit(1.0)) / F.lit(float(16**DIGITS))) / F.lit(weight)
 
+def weight_of(node: tuple) -> float:
+    """Summed weight of a region, rack or shard, added in one order whatever the tree."""
+    return sum(map(weight_of, node)) if isinstance(node[0], tuple) else node[1]
 
-def _descend(tree: Tree, at: dict[int, Column]) -> Column:
-    """The shard reached from the root by the least draw of each level."""
 
-    def least(columns: list[Column]) -> Column:
-        return columns[0] if len(columns) == 1 else F.least(*columns)
+def draw(key: Column, name: Column, weight: Column) -> Column:
+    """An exponential draw of rate ``weight``; infinite where the weight is 0 or there is no such node."""
+    bits = F.conv(F.substring(F.md5(F.concat(key, F.lit("/"), name).cast("binary")), 1, DIGITS), 16, 10).cast("double")
+    return F.when(weight > 0, -F.log((bits + F.lit(1.0)) / F.lit(float(16**DIGITS))) / weight).otherwise(F.lit(float("inf")))
 
-    def pick(branches: list[tuple[Column, Column]]) -> Column:
-        best = least([d for d, _ in branches])
-        out = branches[-1][1]
-        for d, what in reversed(branches[:-1]):
-            out = F.when(d == best, what).otherwise(out)
-        return out
 
-    regions = []
-    for region in tree.racks:
-        racks = []
-        for rack in region:
-            leaves = [(at[k], F.lit(k)) for k, _ in rack]
-            racks.append((least([d for d, _ in leaves]), pick(leaves)))
-        regions.append((least([d for d, _ in racks]), pick(racks)))
-    return pick(regions).cast("int")
+def _pick(draws: Column) -> Column:
+    """The number of the least draw of an array, the first of equal ones."""
+    return (F.array_position(draws, F.array_min(draws)) - 1).cast("int")
 
 
-def assign(df: DataFrame, key: str, trees: dict[str, Tree]) -> DataFrame:
-    """``df`` with one shard column for each named tree; a null key is the key ``''``.
+def _region_draws(key: Column, tree: Tree) -> list[Column]:
+    return [draw(key, F.lit(str(r)), F.lit(float(weight_of(region)))) for r, region in enumerate(tree.racks)]
 
-    Trees that give a shard the same weight share its draw. No shuffle.
-    """
+
+def _table(nodes: list, depth: int) -> Column:
+    """Literal nested arrays of numbers."""
+    return F.array(*[_table(x, depth - 1) if depth > 1 else F.lit(x) for x in nodes])
+
+
+def assign(df: DataFrame, key: str, trees: dict[str, Tree]) -> DataFrame:
+    """``df`` with one shard column for each named tree; a null key is the key ``''``. No shuffle."""
     name = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    draws: dict[tuple[int, float], str] = {leaf: f"_draw{n}" for n, leaf in enumerate(dict.fromkeys(x for t in trees.values() for x in t.leaves()))}
-    out = df.select("*", *[draw(name, *leaf).alias(c) for leaf, c in draws.items()])
-    chosen = {c: _descend(t, {k: F.col(draws[(k, w)]) for k, w in t.leaves()}) for c, t in trees.items()}
-    return out.withColumns(chosen).drop(*draws.values())
+    draws, region, rack = (free_name(df, c) for c in ("_draws", "_region", "_rack"))
+    at = F.col(region)
+    out = df
+    for column, tree in trees.items():
+        racks = max(len(r) for r in tree.racks)
+        leaves = max(len(k) for r in tree.racks for k in r)
+        # shorter lists end in nodes without weight, which are never drawn
+        wide = [[list(k) + [(0, 0.0)] * (leaves - len(k)) for k in r] + [[(0, 0.0)] * leaves] * (racks - len(r)) for r in tree.racks]
+        rack_weight = _table([[float(weight_of(k)) for k in r] + [0.0] * (racks - len(r)) for r in tree.racks], 2)
+        leaf_weight, leaf_number = (_table([[[leaf[c] for leaf in k] for k in r] for r in wide], 3) for c in (1, 0))
+        out = out.withColumn(draws, F.array(*_region_draws(name, tree))).withColumn(region, _pick(F.col(draws)))
+        label = F.concat(at.cast("string"), F.lit("."))
+        out = out.withColumn(draws, F.array(*[draw(name, F.concat(label, F.lit(str(k))), F.get(F.get(rack_weight, at), F.lit(k))) for k in range(racks)]))
+        out = out.withColumn(rack, _pick(F.col(draws)))
+        label = F.concat(label, F.col(rack).cast("string"), F.lit("."))
+        own = lambda table: F.get(F.get(table, at), F.col(rack))
+        out = out.withColumn(draws, F.array(*[draw(name, F.concat(label, F.lit(str(k))), F.get(own(leaf_weight), F.lit(k))) for k in range(leaves)]))
+        # never null; said so, that no filter on it travels down through the levels and doubles them
+        chosen = F.coalesce(F.get(own(leaf_number), _pick(F.col(draws))), F.lit(tree.leaves()[0][0]))
+        out = out.withColumn(column, chosen.cast("int")).drop(draws, region, rack)
+    return out
+
+
+def grown_shard(key: Column, tree: Tree, shard: Column, weight: float = 1.0) -> Column:
+    """Where ``tree.grown()`` puts a key that ``tree`` puts into ``shard``: only the draws of regions can differ."""
+    new = tree.grown(weight)
+    *old, added = _region_draws(F.coalesce(key.cast("string"), F.lit("")), new)
+    return F.when(added < F.array_min(F.array(*old)), F.lit(new.leaves()[-1][0])).otherwise(shard).cast("int")
 
 
 def slots(df: DataFrame, shard: str, order: list[str], digits: int, out: str = "slot") -> DataFrame:
@@ -100,12 +126,15 @@ def hash_tree_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id",
     """Place documents by the law ``key``: the id and the tree of shards decide.
 
     Returns doc_id, size (UTF-8 bytes and 8), text_crc32, law, shard, slot and
-    grown_shard (with one more shard, in the next free place of the tree). Null
-    text has size 8 and the checksum of no bytes; a null id is a key of its own;
-    equal rows get neighbouring slots; an empty table gives no rows. Documents of
-    equal text go where their ids say.
-
-    digits: hex digits of the slot buckets; unset, enough for about 100,000 rows each.
+    grown_shard (with one more shard, in a region of its own). Null text has size 8
+    and the checksum of no bytes; a null id is a key of its own; equal rows get
+    neighbouring slots; an empty table gives no rows. Documents of equal text go where
+    their ids say. Other columns are not read. Texts of any length are only measured
+    and stay where they are.
+
+    Slots follow a hash of id and checksum, so many rows of one id are numbered by
+    many tasks. digits: hex digits of the slot buckets; unset, enough for about
+    100,000 rows each.
     """
     base = docs.select(
         F.col(id_col).alias("doc_id"),
@@ -117,7 +146,9 @@ def hash_tree_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id",
         digits = 1
         while rows > 100_000 * shards * 16**digits and digits < 6:
             digits += 1
-    placed = assign(base, "doc_id", {"shard": Tree.of(shards), "grown_shard": Tree.of(shards + 1)})
-    placed = placed.withColumn("_h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+    tree = Tree.of(shards)
+    placed = assign(base, "doc_id", {"shard": tree}).withColumn("grown_shard", grown_shard(F.col("doc_id"), tree, F.col("shard")))
+    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/"), F.col("text_crc32").cast("string"))
+    placed = placed.withColumn("_h", F.md5(name.cast("binary")))
     out = slots(placed, "shard", ["_h", "doc_id", "text_crc32", "size"], digits)
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
