@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Sequence
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,18 +25,23 @@ def shared_folder(spark: SparkSession) -> str:
 
     Only a session on one machine (a test) that names none gets a folder of its own.
     """
+    context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return (named or tempfile.mkdtemp(prefix="tideline-")).rstrip("/")
+    if named is None and not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tideline-"))
+    return (named or context._jsc.sc().getCheckpointDir().get()).rstrip("/")
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """``df`` computed once, written to the shared folder and read from there.
+
+    A written table has a plan of its own with its true size, so rounds may follow one another.
+    """
+    path = f"{shared_folder(df.sparkSession)}/tideline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def hot_keys(counts: DataFrame, key: str, n: str = "count", share: int = HOT) -> DataFrame:
@@ -53,9 +58,10 @@ def lookup(df: DataFrame, table: DataFrame, key: str, hot: DataFrame, spread: Co
     keys, so that no task gets all rows of a key.
     """
     values = [c for c in table.columns if c != key]
-    few = table.join(F.broadcast(hot), key, "left_semi").select(key, F.struct(*values).alias("_hot"))
+    known = table.join(F.broadcast(hot), key, "left_semi").select(key, F.struct(*values).alias("_hot"))
+    few = hot.select(key, F.lit(True).alias("_is_hot")).join(F.broadcast(known), key, "left")
     marked = df.join(F.broadcast(few), key, "left")
-    aside = F.col("_hot").isNotNull() | F.col(key).isNull()
+    aside = F.col("_is_hot").isNotNull() | F.col(key).isNull()
     # a salt that no row of the table has
     marked = marked.withColumn("_salt", F.when(aside, F.pmod(spread, F.lit(1 << 20)) + 1).otherwise(F.lit(0)))
     rest = table.select(F.col(key).alias("_key"), F.lit(0).cast("long").alias("_zero"), F.struct(*values).alias("_cold"))

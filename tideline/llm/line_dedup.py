@@ -7,9 +7,10 @@ overlap and every repeated run of display lines that reaches the minima is a uni
 of repeated chunks. Chunks depend on their own content only: an insertion changes
 none that it does not touch.
 
-One pass counts chunk hashes; the repeated ones fill a bit table of fixed size. A
-second pass brings 128-bit digests (BLAKE2b) of the chunks that the table lets
-through, and equality of these decides.
+One pass counts chunk hashes; the repeated ones fill a bit table, whose size follows
+their number up to a bound (beyond it the table only lets more through). A second pass
+brings 128-bit digests (BLAKE2b) of the chunks that the table lets through, and equality
+of these decides. A chunk in a great share of all texts is dealt over many tasks.
 """
 
 from __future__ import annotations
@@ -24,14 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import kernel
-from tideline.llm.cluster import free_name
+from tideline.llm.cluster import HOT, durable, free_name
 
 #: Words after which a sentence is cut into another display line.
 WRAP = 16
 #: A chunk has at least so many display lines, blank ones not counted, and so many words.
 MIN_LINES, MIN_WORDS = 2, 16
-#: Bits of the table of repeated chunk hashes.
-FILTER_BITS = 27
+#: Bits of the table of repeated chunk hashes: sixteen a hash, between these powers of two.
+LEAST_BITS, MOST_BITS = 16, 28
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -110,8 +111,7 @@ class Chunks:
 
 
 def _repeats(base: DataFrame, min_lines: int, min_words: int) -> DataFrame:
-    """(row, gone): the places of the chunks to remove from each text that has any."""
-    words = 1 << (FILTER_BITS - 6)
+    """(row, twin, gone): the places of the chunks to remove from each text that has any."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,7 +119,11 @@ def _repeats(base: DataFrame, min_lines: int, min_words: int) -> DataFrame:
                 c = Chunks(raw, min_lines, min_words)
                 yield pa.RecordBatch.from_arrays([pa.array(c.hash[c.fit].view(np.int64))], names=["h"])
 
-    often = base.select("text").mapInArrow(hashes, "h long").groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
+    often = durable(base.select("text").mapInArrow(hashes, "h long").groupBy("h").agg(F.count("*").alias("k")).where("k > 1"))
+    number, total = often.agg(F.count("*"), F.sum("k")).first()
+    words = 1 << (min(MOST_BITS, max(LEAST_BITS, (16 * number).bit_length())) - 6)
+    # fewer than HOT hashes, each of more than one in HOT of the chunks that repeat
+    hot = np.sort(np.array([r.h for r in often.where(F.col("k") * HOT > F.lit(total or 0)).select("h").collect()], dtype=np.int64).view(np.uint64))
     bits = often.groupBy(F.expr(f"shiftrightunsigned(h, 6) & {words - 1}L").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("bits")).toArrow()
     table = np.zeros(words, dtype=np.uint64)
     table[bits["w"].to_numpy()] = bits["bits"].to_numpy().view(np.uint64)
@@ -127,7 +131,7 @@ def _repeats(base: DataFrame, min_lines: int, min_words: int) -> DataFrame:
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, raw in kernel.blocks(batch.column(2), lower=False):
+            for at, raw in kernel.blocks(batch.column(3), lower=False):
                 c = Chunks(raw, min_lines, min_words)
                 found = np.flatnonzero(c.fit)
                 h = c.hash[found]
@@ -141,14 +145,21 @@ def _repeats(base: DataFrame, min_lines: int, min_words: int) -> DataFrame:
                 firsts = np.flatnonzero(new)
                 more = pa.ListArray.from_arrays(pa.array(np.append(firsts - np.arange(len(firsts)), len(order) - len(firsts)), pa.int32()), pa.array(place[~new], pa.int64()))
                 rows = pa.array(at + doc[new])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place[new], pa.int64()), more, pa.array(x[new]), pa.array(y[new])], names=["id", "row", "place", "more", "x", "y"])
+                row = batch.column(1).take(rows)
+                salt = np.where(np.isin(c.hash[found][order][new], hot), 1 + (row.to_numpy() & 0xFFFF), 0)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), row, batch.column(2).take(rows), pa.array(place[new], pa.int64()), more, pa.array(x[new]), pa.array(y[new]), pa.array(salt, pa.int64())], names=["id", "row", "twin", "place", "more", "x", "y", "salt"])
 
     kind = dict(base.dtypes)["id"]
     # the counts and the join read one shuffle, so both take all its columns and the same rows
-    found = base.select("id", "row", "text").mapInArrow(chunks, f"id {kind}, row long, place long, more array<long>, x long, y long").where("row is not null and x is not null and y is not null").repartition("x", "y")
-    kept = found.groupBy("x", "y").agg(F.min(F.struct("id", "row", "place")).alias("keep"), F.sum(F.size("more") + 1).alias("k")).where("k > 1")
-    gone = found.join(kept.select("x", "y", "keep"), ["x", "y"]).select("row", F.when(F.expr("id <=> keep.id and row = keep.row and place = keep.place"), F.col("more")).otherwise(F.array_append("more", F.col("place"))).alias("gone"))
-    return gone.where(F.size("gone") > 0).groupBy("row").agg(F.flatten(F.collect_list("gone")).alias("gone"))
+    found = base.select("id", "row", "twin", "text").mapInArrow(chunks, f"id {kind}, row long, twin long, place long, more array<long>, x long, y long, salt long").where("row is not null and twin is not null and x is not null and y is not null and salt is not null").repartition("x", "y", "salt")
+    part = found.groupBy("x", "y", "salt").agg(F.min(F.struct("id", "row", "twin", "place")).alias("keep"), F.sum(F.size("more") + 1).alias("k"))
+    if len(hot):
+        # a row for each hot hash, or a few where hashes meet
+        whole = part.where("salt > 0").groupBy("x", "y").agg(F.min("keep").alias("first"), F.sum("k").alias("all"))
+        part = part.join(F.broadcast(whole), ["x", "y"], "left").select("x", "y", "salt", F.coalesce("first", "keep").alias("keep"), F.coalesce("all", "k").alias("k"))
+    kept = part.where("k > 1").select("x", "y", "salt", "keep")
+    gone = found.join(kept, ["x", "y", "salt"]).select("row", "twin", F.when(F.expr("id <=> keep.id and row = keep.row and twin = keep.twin and place = keep.place"), F.col("more")).otherwise(F.array_append("more", F.col("place"))).alias("gone"))
+    return gone.where(F.size("gone") > 0).groupBy("row", "twin").agg(F.flatten(F.collect_list("gone")).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
@@ -160,13 +171,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     one counts as one that stays), and the text column holds what is
     left: '' where all was repeated, null where it was null. Texts without a repeated
     chunk come back byte for byte. Rows that are equal in id and text are one place
-    and keep the same. Where ``docs`` has _chunks or _removed, the two added columns,
+    and keep the same. An empty table gives no rows. A very long text is cut whole in
+    one task, at about 60 bytes a byte. Where ``docs`` has _chunks or _removed, the two added columns,
     which are last, have one more underscore.
     """
-    key, lost, n_chunks, n_removed = (free_name(docs, name) for name in ("_row", "_gone", "_chunks", "_removed"))
-    keyed = docs.withColumn(key, F.xxhash64(id_col, text_col))
-    base = keyed.select(F.col(id_col).alias("id"), F.col(key).alias("row"), F.col(text_col).alias("text"))
-    marked = keyed.join(_repeats(base, min_lines, min_words).select(F.col("row").alias(key), F.col("gone").alias(lost)), key, "left")
+    key, twin, lost, n_chunks, n_removed = (free_name(docs, name) for name in ("_row", "_twin", "_gone", "_chunks", "_removed"))
+    # two hashes of 64 bits, since one would let two of ten thousand million rows meet
+    keyed = docs.withColumn(key, F.xxhash64(id_col, text_col)).withColumn(twin, F.xxhash64(F.lit(1), text_col, id_col))
+    base = keyed.select(F.col(id_col).alias("id"), F.col(key).alias("row"), F.col(twin).alias("twin"), F.col(text_col).alias("text"))
+    marked = keyed.join(_repeats(base, min_lines, min_words).select(F.col("row").alias(key), F.col("twin").alias(twin), F.col("gone").alias(lost)), [key, twin], "left")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

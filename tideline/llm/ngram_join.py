@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import kernel
-from tideline.llm.cluster import components, durable, free_name
+from tideline.llm.cluster import components, durable, free_name, hot_keys, lookup
 
 #: Hashed counters, and the slices in which tasks hand them on.
 COUNTER_BITS, SLICES = 22, 64
@@ -113,14 +113,14 @@ def _counters(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def _sign(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """doc_id, row, size, sig (of the whole set; null if empty), parity bitmap, prefix (in the global order)."""
+    """doc_id, row, twin, size, sig (of the whole set; null if empty), parity bitmap, prefix (in the global order)."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
     shift = np.uint64(64 - COUNTER_BITS)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = shared.value
         for batch in batches:
-            for at, raw in kernel.blocks(batch.column(2)):
+            for at, raw in kernel.blocks(batch.column(3)):
                 size, sig, odd, own, first = [], [], [], [], []
                 for s in kernel.shingle_sets(kernel.Block(raw, kernel.SPACED), n):
                     size.append(len(s))
@@ -138,10 +138,10 @@ def _sign(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataFram
                 offsets = np.cumsum([0, *map(len, first)])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(first), pa.int64()))
                 rows = len(raw)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, rows), batch.column(1).slice(at, rows), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.array(odd, pa.binary()), pa.array(own, pa.list_(pa.int32())), lists], names=["doc_id", "row", "size", "sig", "parity", "classes", "prefix"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(at, rows) for c in range(3)], pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.array(odd, pa.binary()), pa.array(own, pa.list_(pa.int32())), lists], names=["doc_id", "row", "twin", "size", "sig", "parity", "classes", "prefix"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "row", "text").mapInArrow(sign, f"doc_id {kind}, row long, size long, sig binary, parity binary, classes array<int>, prefix array<long>")
+    return docs.select("doc_id", "row", "twin", "text").mapInArrow(sign, f"doc_id {kind}, row long, twin long, size long, sig binary, parity binary, classes array<int>, prefix array<long>")
 
 
 def _forest(shared: DataFrame, percent: int) -> DataFrame:
@@ -389,13 +389,16 @@ def join_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
     own included) and n_links (other rows linked, copies included). Null, empty and
     wordless texts have no shingles, no links and their own id. Copies and repeated
     rows link like others. A null id is passed over where a component has another.
-    component_id does not tell components apart (ids may be null or stand on several
-    texts); ``with_root`` adds root, which does: the least set of each, null without words.
+    An empty table gives no rows; other columns are not read. A very long text is one
+    set like others, at about 60 bytes a word. component_id does not tell components
+    apart (ids may be null or stand on several texts); ``with_root`` adds root, which
+    does (the least set of each, null without words), twin (another hash of id and text)
+    and keep: least id, row and twin of the component.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("row", F.xxhash64("doc_id", "text")).withColumn("twin", F.xxhash64(F.lit(1), "text", "doc_id"))
     # read twice, here and for the result: signing a text again costs less than keeping every prefix
     signed = _sign(base, n, percent, _counters(base, n))
-    nodes = durable(signed.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("parity").alias("parity"), F.first("classes").alias("classes"), F.first("prefix").alias("prefix")))
+    nodes = durable(signed.where("sig is not null").groupBy("sig").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "twin")).alias("least"), F.min("row").alias("row"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("parity").alias("parity"), F.first("classes").alias("classes"), F.first("prefix").alias("prefix")))
     # a row hash is the node's name here: should two agree, their regions merge, which is harmless
     posted = nodes.select("row", "classes", F.explode("prefix").alias("t")).select("row", F.explode("classes").alias("c"), "t").select("row", F.xxhash64("t", "c").alias("token"))
     lists = posted.groupBy("token").agg(F.min("row").alias("star"), F.count("*").alias("k")).where("k > 1")
@@ -422,25 +425,29 @@ def join_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
         links = found.groupBy("sig").agg(F.sum("links").alias("links"))
         found = links.join(roots, "sig", "left").select("sig", F.coalesce("root", "sig").alias("root"), "links")
     joined = nodes.join(found, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_sig = joined.join(least, "root").select("sig", "root", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = signed.select("doc_id", "row", "size", "sig").join(by_sig, "sig", "left")
-    return out.select("doc_id", "row", *["root"] * with_root, F.col("size").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    # a set alone is its own root, and knows its answer
+    first = joined.where("links is not null").groupBy("root").agg(F.min("least").alias("keep"))
+    together = joined.where("links is not null").join(first, "root")
+    by_sig = together.unionByName(joined.where("links is null").withColumn("keep", F.col("least")))
+    by_sig = durable(by_sig.select("sig", "root", "keep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    # many copies of one text share a sig, and texts without words have none
+    out = lookup(signed.select("doc_id", "row", "twin", "size", "sig"), by_sig, "sig", hot_keys(nodes, "sig", "copies"), F.col("row"))
+    return out.select("doc_id", "row", *["twin", "root", "keep"] * with_root, F.col("size").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", task_shingles: int = TASK_SHINGLES) -> DataFrame:
     """``docs`` with one row of each component: the least id, of equal ids one. All columns stay.
 
-    Texts without words are linked with nothing and all stay.
+    Texts without words are linked with nothing and all stay. Of rows that are equal in id
+    and text the one of least hash over all columns (but maps) stays. An empty table gives none.
     """
     joined = join_components(docs, n, percent, id_col, text_col, task_shingles, with_root=True)
-    linked = joined.where("n_links > 0").withColumn("keep", F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
-    keep = linked.groupBy("root").agg(F.min("keep").alias("keep"))
-    key, stay = free_name(docs, "_row"), free_name(docs, "_stay")
-    gone = linked.join(keep.select("root", F.col("keep.row").alias("kept")), "root").where("row <> kept").select(F.col("row").alias(key))
-    held = keep.select(F.col("keep.row").alias(key))
-    marks = gone.select(key, F.lit(0).alias(stay)).unionByName(held.select(key, F.lit(1).alias(stay))).groupBy(key).agg(F.max(stay).alias(stay))
-    rows = docs.withColumn(key, F.xxhash64(id_col, text_col)).join(marks, key, "left").where(F.coalesce(stay, F.lit(2)) > 0)
-    # equal rows of a linked text share the key: the first of them stays
-    once = rows.where(F.col(stay) == 1).dropDuplicates([key])
-    return rows.where(F.col(stay).isNull()).unionByName(once).drop(key, stay)
+    key, twin, stay = (free_name(docs, name) for name in ("_row", "_twin", "_stay"))
+    stays = (F.col("row") == F.col("keep.row")) & (F.col("twin") == F.col("keep.twin"))
+    marks = joined.where("n_links > 0").groupBy(F.col("row").alias(key), F.col("twin").alias(twin)).agg(F.max(stays.cast("int")).alias(stay))
+    keyed = docs.withColumn(key, F.xxhash64(id_col, text_col)).withColumn(twin, F.xxhash64(F.lit(1), text_col, id_col))
+    rows = keyed.join(marks, [key, twin], "left").where(F.coalesce(stay, F.lit(2)) > 0)
+    # equal rows of a linked text share the keys: one of them stays
+    plain = [f"`{c}`" for c, kind in docs.dtypes if "map<" not in kind]
+    whole = rows.where(F.col(stay) == 1).groupBy(key, twin).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64(*plain)).alias(stay))
+    return rows.where(F.col(stay).isNull()).select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(whole.select(f"{stay}.*"))

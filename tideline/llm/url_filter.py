@@ -14,7 +14,7 @@ import itertools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.cluster import durable
+from tideline.llm.cluster import durable, hot_keys, lookup
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The rules of the registered query.
@@ -64,14 +64,17 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
     """
     start = durable(seeds.groupBy("host").agg(F.sum("mass").alias("mass")))
     total = start.agg(F.sum("mass")).first()[0] or 0.0
-    out = edges.groupBy("src").agg(F.sum("weight").alias("all"))
-    flow = durable(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("all")).alias("part")))
+    out = durable(edges.groupBy("src").agg(F.sum("weight").alias("all"), F.count("*").alias("count")))
+    # a hub's edges are many rows of one key
+    hubs = durable(hot_keys(out, "src"))
+    flow = durable(lookup(edges, out.select("src", "all"), "src", hubs, F.xxhash64("dst")).select("src", "dst", (F.col("weight") / F.col("all")).alias("part")))
     base = start.select("host", (F.col("mass") * (1 - damping)).alias("score"))
     if not total or flow.isEmpty():
         return base
     now = base
     for _ in itertools.count() if rounds is None else range(rounds):
-        moved = now.join(flow, now.host == flow.src).select(F.col("dst").alias("host"), (F.col("score") * F.col("part") * damping).alias("score"))
+        here = lookup(flow, now.select(F.col("host").alias("src"), "score"), "src", hubs, F.xxhash64("dst")).where("score is not null")
+        moved = here.select(F.col("dst").alias("host"), (F.col("score") * F.col("part") * damping).alias("score"))
         then = durable(base.unionByName(moved).groupBy("host").agg(F.sum("score").alias("score")))
         # each score against itself: a verdict is a ratio, however far its host is from the seeds
         change = then.alias("b").join(now.alias("a"), "host", "left").agg(F.max(F.try_divide(F.abs(F.col("b.score") - F.coalesce("a.score", F.lit(0.0))), F.col("b.score")))).first()[0]
@@ -88,20 +91,25 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, thr
     ``threshold`` of its trust and distrust together is blocked; others, also hosts
     that neither reaches, are allowed. A url that is null or has no :// has neither
     host nor path, fits no rule and is blocked: nothing can vouch for it. Null or
-    empty html has no links. Repeated rows are judged each.
+    empty html has no links. Repeated rows are judged each, and equal shares (a tie)
+    alike; an empty table gives no rows and other columns are not read. A very long page
+    is searched for links in place. A host with very many pages or links is no hot key:
+    such hosts are looked up by broadcast.
     """
     base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     parsed = base.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     rule, ruled = rule_of(F.col("host"), F.col("path"), rules)
     judged = parsed.withColumn("rule", rule).withColumn("ruled", ruled)
-    masses = durable(judged.where("host <> '' and ruled is not null").groupBy("host", "ruled").agg(F.count("*").cast("double").alias("mass")))
+    seen = durable(judged.groupBy("host", "ruled").count())
+    masses = seen.where("host <> '' and ruled is not null").select("host", "ruled", F.col("count").cast("double").alias("mass"))
     edges = durable(host_edges(pages, url_col, html_col))
     trust = propagate(masses.where("ruled = 'allow'"), edges)
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
     distrust = propagate(masses.where("ruled = 'block'"), back)
     hosts = trust.select("host", F.col("score").alias("trust"), F.lit(0.0).alias("distrust")).unionByName(distrust.select("host", F.lit(0.0).alias("trust"), F.col("score").alias("distrust")))
-    hosts = hosts.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
-    out = judged.join(hosts, "host", "left").withColumn("trust", F.coalesce("trust", F.lit(0.0))).withColumn("distrust", F.coalesce("distrust", F.lit(0.0)))
+    hosts = durable(hosts.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")))
+    large = durable(hot_keys(seen.groupBy("host").agg(F.sum("count").alias("count")), "host"))
+    out = lookup(judged, hosts, "host", large, F.xxhash64("page_id")).withColumn("trust", F.coalesce("trust", F.lit(0.0))).withColumn("distrust", F.coalesce("distrust", F.lit(0.0)))
     bad = (F.col("host") == "") | ((F.col("distrust") > 0) & (F.col("distrust") >= threshold * (F.col("trust") + F.col("distrust"))))
     verdict = F.coalesce("ruled", F.when(bad, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "trust", "distrust")
