@@ -7,13 +7,13 @@ All stages but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm.bpe import encode_decode
+from tideline.llm.cluster import shared_folder
 from tideline.llm.decontaminate import drop_contaminated
 from tideline.llm.line_dedup import dedup_lines
 from tideline.llm.ngram_join import one_of_each
@@ -67,8 +67,7 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows that the last stage makes of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tideline-")
-    base = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}-{name}")
         docs = spark.read.parquet(f"{base}/{k}-{name}")

@@ -141,3 +141,20 @@ def test_merge_of_events_and_sheets(spark):
     assert normalise_sheets(wide, "ID", None, ["f"]).count() == 3
     with pytest.raises(ValueError):
         normalise_sheets(wide, "ID", None, ["g"])
+
+
+def test_entry_without_the_text_operators(tmp_path):
+    """A copy without tideline/llm and tests/llm, once with corpus_pipeline.py and once without."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    here = Path(__file__).resolve().parents[1]
+    copy = tmp_path / "copy"
+    shutil.copytree(here, copy, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", ".pytest_cache"))
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q) and len(q) > 100; assert not any(n.startswith('op') or n == 'pipeline' for n in q)"
+    for _ in range(2):
+        subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env=os.environ | {"PYTHONPATH": str(copy)})
+        (copy / "corpus_pipeline.py").unlink(missing_ok=True)
