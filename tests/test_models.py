@@ -97,12 +97,138 @@ def test_cv_equals_a_serial_loop(spark, sf, kind):
 
 def test_nested_cv_chooses_one_candidate_a_fold(spark, sf):
     long = X.pair_visits(spark, sf.replace("0.001", "0.01"))
-    _, table = C.cross_validate(long, C.Plan("srm", FOUR, candidates=C.grid(shrinkage=(0.0, 1.0), clip=(None, 2.0))))
+    table = C.cross_validate(long, C.Plan("srm", FOUR, candidates=C.grid(shrinkage=(0.0, 1.0), clip=(None, 2.0)))).candidates
     rows = table.collect()
     assert len(rows) == 20
     assert sorted(r.outer for r in rows if r.chosen) == [0, 1, 2, 3, 4]
 
 
+@pytest.mark.parametrize("method", C.SELECTIONS[1:])
+def test_selection_inside_folds_equals_a_serial_loop(spark, sf, method):
+    long = X.pair_visits(spark, sf.replace("0.001", "0.01"))
+    names = [*X.FEATURES, "sara_total"]
+    plan = C.Plan("srm", tuple(names), selection=method, k=3, sparse=(0.2, 0.5, 1e-3))
+    found = C.cross_validate(long, plan)
+    got = {r.fold: r.features for r in found.selected.collect()}
+    rows = C.prepare(long, plan).collect()
+    a, b = np.array([r.a for r in rows]), np.array([r.b for r in rows])
+    fold, interval = np.array([r.outer[0] for r in rows]), np.array([r.interval for r in rows])
+    scores = {(r.pair_id, r.visit): r.score for r in found.scores.collect()}
+    for o in range(5):
+        t = fold != o
+        d = (b - a)[t]
+        each = np.array([[x.mean() / x.std(ddof=1) for x in d[interval[t] == k].T] for k in (1, 2)])
+        both, gap = each.mean(axis=0), np.abs(each[0] - each[1])
+        if method == "progression_univariate":
+            want = sorted(names, key=lambda f: (-abs(both[names.index(f)]), gap[names.index(f)], f))[:3]
+        elif method == "progression_mrmr":
+            want = K.mrmr(both, np.corrcoef(d, rowvar=False), names, 3, 0.25)
+        elif method == "sparse_srm":
+            w = K.sparse_srm([M.square(M.gram(d[interval[t] == k])) for k in (1, 2)], 0.2, 0.5)
+            want = [f for f in sorted(names, key=lambda f: (-abs(w[names.index(f)]), f)) if abs(w[names.index(f)]) > 1e-3][:3]
+        elif method == "mml":
+            y = np.repeat([0.0, 1.0], t.sum())
+            want = [f for f, _ in K.mml_forward(M.square(M.gram(np.column_stack([np.concatenate([a[t], b[t]]), y]))), names)][:3]
+        else:
+            x, y = np.concatenate([a[t], b[t]]), np.repeat([0, 1], t.sum())
+            value = []
+            for c in x.T:
+                z = np.clip((c - c.mean()) / c.std(), -C.SPAN, C.SPAN)
+                cell = np.minimum(((z + C.SPAN) * C.CELLS / 2 / C.SPAN).astype(int), C.CELLS - 1)
+                edges = sorted({int(np.sort(cell)[int(np.ceil(len(cell) * q / C.BINS)) - 1]) for q in range(1, C.BINS)})
+                bins = np.array([sum(e < v for e in edges) for v in cell])
+                joint = np.array([[((bins == i) & (y == j)).mean() for j in (0, 1)] for i in range(len(edges) + 1)])
+                alone = joint.sum(axis=1)[:, None] * joint.sum(axis=0)
+                value.append((joint[joint > 0] * np.log(joint[joint > 0] / alone[joint > 0])).sum())
+            want = sorted(names, key=lambda f: (-value[names.index(f)], f))[:3]
+        assert got[o] == want
+        at = [names.index(f) for f in want]
+        x = np.concatenate([a[t], b[t]])[:, at]
+        za, zb = (a[:, at] - x.mean(axis=0)) / x.std(axis=0), (b[:, at] - x.mean(axis=0)) / x.std(axis=0)
+        dz = (zb - za)[t]
+        w = np.linalg.solve(np.cov(dz, rowvar=False).reshape(len(at), len(at)) + 1e-6 * np.eye(len(at)), dz.mean(axis=0)) if at else np.zeros(0)
+        for k in np.flatnonzero(~t):
+            assert scores[rows[k].pair_id, 2] == pytest.approx(zb[k] @ w, abs=1e-9)
+
+
+def test_large_means_keep_their_digits(spark, sf):
+    from tideline.operators.preprocess import zscore_by_fold
+
+    long = X.pair_visits(spark, sf.replace("0.001", "0.01"))
+    far = long.withColumns({f: F.col(f) + 1e9 for f in FOUR})
+    one, two = ({(r.pair_id, r.visit): r.score for r in C.cross_validate(x, C.Plan("srm", FOUR)).scores.collect()} for x in (long, far))
+    assert all(two[k] == pytest.approx(v, abs=1e-3) for k, v in one.items())
+    v = long.select("pair_id", "visit", "f_view", (F.col("visit") % 2).alias("fold")).dropna()
+    one, two = (sorted((r.outer, r.pair_id, r.visit, r.f_view) for r in zscore_by_fold(x, ["f_view"]).collect()) for x in (v, v.withColumn("f_view", F.col("f_view") + 1e9)))
+    assert all(x[:3] == y[:3] and x[3] == pytest.approx(y[3], abs=1e-4) for x, y in zip(one, two))
+
+
+def test_subgroup_importance_equals_refits(spark, sf):
+    from tideline.operators import importance as I
+    from tideline.operators.resample import hash_number
+
+    long = X.pair_visits(spark, sf.replace("0.001", "0.01"))
+    x, z, profiles = ("f_click", "f_view"), ("adl_total", "mfars_total"), {"low": {"adl_total": 4.0, "mfars_total": 900.0}, "high": {"adl_total": 30.0, "mfars_total": 100.0}}
+    got = {(r.feature, r.subgroup): r for r in I.subgroup_importance(long, x, z, profiles, 0.05, 0.1, replicates=4).collect()}
+    rows = C.prepare(long, C.Plan("interaction", x, z)).withColumn("h", hash_number(F.concat_ws("|", F.lit("42"), "subject"))).collect()
+    a, b = np.array([r.a for r in rows]), np.array([r.b for r in rows])
+    beta = {k: [] for k in got}
+    for r in range(4):
+        times = I.draws(np.array([row.h for row in rows], dtype=np.uint64), r)
+        aa, bb = np.repeat(a, times, axis=0), np.repeat(b, times, axis=0)
+        both = np.concatenate([aa, bb])
+        mu, sd = both.mean(axis=0), both.std(axis=0)
+        wide = lambda v: np.column_stack([v[:, :2], v[:, :1] * v[:, 2:], v[:, 1:2] * v[:, 2:]])
+        d = wide((bb - mu) / sd) - wide((aa - mu) / sd)
+        w = K.constant_net(M.square(M.gram(d)), 0.05, 0.1)
+        for name, profile in profiles.items():
+            at = (np.array([profile[m] for m in z]) - mu[2:]) / sd[2:]
+            for j, f in enumerate(x):
+                beta[f, name].append(w[j] + w[2 + 2 * j : 4 + 2 * j] @ at)
+    for k, v in beta.items():
+        assert (got[k]["mean"], got[k].lo, got[k].hi) == (pytest.approx(np.mean(v), abs=1e-6), pytest.approx(np.percentile(v, 2.5), abs=1e-6), pytest.approx(np.percentile(v, 97.5), abs=1e-6))
+        assert got[k].sign_consistency == pytest.approx(np.mean(np.sign(v) == np.sign(np.median(v))))
+
+
+def test_logistic_model_meets_its_conditions(spark):
+    from tideline.operators.audit import followup_model
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(3, 2, (80, 2))
+    y = rng.random(80) < 1 / (1 + np.exp(-(x[:, 0] - 3)))
+    rows = [(f"s{k}", 1, float(u), float(v)) for k, (u, v) in enumerate(x)] + [(f"s{k}", 3, 0.0, 0.0) for k in np.flatnonzero(y)]
+    df = spark.createDataFrame(rows, "subject_id string, visit int, u double, v double")
+    fit = followup_model(df, ["u", "v"])
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    w = np.array([fit.weights["u"], fit.weights["v"]])
+    p = 1 / (1 + np.exp(-(z @ w + fit.intercept)))
+    assert np.allclose(z.T @ (p - y) + w, 0, atol=1e-6) and abs((p - y).sum()) < 1e-6
+    assert fit.n == 80 and fit.accuracy == pytest.approx(((p > 0.5) == y).mean())
+    assert followup_model(df.where("visit = 1"), ["u", "v"]) is None
+
+
+def test_left_out_subjects_are_never_seen(spark):
+    from tideline.operators import composite as O
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(40, 3))
+    y = x @ np.array([1.0, -2.0, 0.5]) + rng.normal(size=40) + 1e6
+    who = [f"s{k % 13}" for k in range(40)]
+    df = spark.createDataFrame([(w, *map(float, r), float(t)) for w, r, t in zip(who, x, y)], "subject string, a double, b double, c double, y double")
+    got = sorted((r.subject, r.target, r.prediction) for r in O.leave_one_subject_out(df, ["a", "b", "c"], "y", alphas=(0.2,), l1_ratios=(0.3,)).collect())
+    want = []
+    for s in set(who):
+        t = np.array([w != s for w in who])
+        zx, zy = (x[t] - x[t].mean(axis=0)) / x[t].std(axis=0), (y[t] - y[t].mean()) / y[t].std()
+        w = K.descend(zx.T @ zx / t.sum(), zx.T @ zy / t.sum(), 0.2, 0.3)
+        want += [(s, float(v), float(y[t].mean() + y[t].std() * ((r - x[t].mean(axis=0)) / x[t].std(axis=0)) @ w)) for r, v in zip(x[~t], y[~t])]
+    assert [g[:2] for g in got] == [w[:2] for w in sorted(want)]
+    assert all(g[2] == pytest.approx(w[2], abs=1e-6) for g, w in zip(got, sorted(want)))
+    found = O.leave_one_subject_out(df, ["a", "b", "c"], "y", alphas=O.ALPHAS, l1_ratios=O.L1_RATIOS, scale_target=False)
+    row = O.search_summary(found).first()
+    assert row.n_rows == 40 and row.rmse < 3 and row.alpha_mode in O.ALPHAS
+
+
 def test_contributions_sum_to_the_score_change(spark, sf):
     from tideline.operators.importance import contributions
     from tideline.plans.queries_models import _deltas

@@ -50,21 +50,25 @@ def test_ids(spark):
 
 def test_names():
     assert names.is_clinical_score("delta_mfars_total_v2") and names.is_clinical_score("FARS1") and names.is_clinical_score("sara_x")
+    assert names.is_clinical_score("MFARS-total_v1") and names.is_clinical_score("delta-sara")
+    assert names.split_group_column(["pair_id", "subject"], "pair_id") == "subject" and names.split_group_column(["pair_id"], "pair_id") == "pair_id"
+    with pytest.raises(KeyError):
+        names.split_group_column(["pair_id"], "pair_id", "site")
     assert not names.is_clinical_score("scp_vol") and not names.is_clinical_score("farsight")
     assert names.visit_bases(["a_v1", "a_v2", "a_v3", "b_v1", "c_v1", "c_v2", "c_v3"], without=["c"]) == ["a"]
-    g = names.feature_groups(["FA_SCP_baseline", "vol_baseline", "age_baseline"], ["age"], ["FA_SCP"])
+    g = names.feature_groups(["FA_SCP_baseline", "delta_vol", "vol_followup", "age_baseline", "site"], ["age"], ["FA_SCP"])
     assert g.poms == ("FA_SCP",) and g.dti == ("FA_SCP",) and g.imaging() == ["FA_SCP", "vol"]
     assert names.id_column(["x", "Subject", "id"]) == "Subject" and names.first_present(["A", "b"], "B") == "b"
 
 
 def test_guards(spark):
-    df = spark.createDataFrame([("1", 1), ("1.0", 2), (" HC ", 3), (None, 4), ("patient", 5)], "group string, k int")
+    df = spark.createDataFrame([("1", 1), ("1.0", 2), (" HC ", 3), (None, 4), ("patient", 5), ("Healthy-Control ", 6)], "group string, k int")
     assert {r.k for r in filters.drop_controls(df).collect()} == {2, 4, 5}
     with pytest.raises(ValueError):
         filters.require_no_controls(df)
     with pytest.raises(ValueError):
         filters.require_no_clinical_features(["x", "sara_total"])
-    ok = df.where("k > 3")
+    ok = df.where("k in (4, 5)")
     with pytest.raises(ValueError):
         filters.require_training_frame(ok, ["x"], "mfars_total")
     filters.require_training_frame(ok, ["x"], "mfars_total", allow_clinical_target=True)

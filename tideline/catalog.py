@@ -20,4 +20,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     _load()
-    return dict(registry.ORACLES)
+    return {name: sql() for name, sql in registry.LATE.items()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
@@ -11,19 +12,25 @@ from pyspark.sql import functions as F
 
 #: Names of clinical scores.
 CLINICAL_BASES = ("fars", "fars1", "fars2", "dfars", "mfars_total", "sara", "sara_total", "adl", "adl_total", "lcslc_total", "functional_staging_score", "hpt_dom_av", "hpt_ndom_av")
+#: Fixed value: how names of clinical scores begin.
+CLINICAL_PATTERN = r"^(delta_)?(m?fars|sara|adl|lcslc)(_|$)"
 #: Endings that mark a visit.
 SUFFIXES = ("_baseline", "_followup", "_v1", "_v2", "_v3", "1", "2")
 
 
+def _token(name: str) -> str:
+    return name.strip().lower().replace("-", "_")
+
+
 def base_name(name: str) -> str:
-    """Without delta_ and one visit ending."""
-    out = name.strip().lower().removeprefix("delta_")
+    """In lower case with hyphens as underscores, without delta_ and one visit ending."""
+    out = _token(name).removeprefix("delta_")
     return next((out[: -len(s)] for s in SUFFIXES if out.endswith(s) and len(out) > len(s)), out)
 
 
 def is_clinical_score(name: str) -> bool:
-    low = name.strip().lower()
-    return low in CLINICAL_BASES or base_name(low) in CLINICAL_BASES or re.match(r"^(delta_)?(m?fars|sara|adl|lcslc)(_|$)", low) is not None
+    low = _token(name)
+    return low in CLINICAL_BASES or base_name(low) in CLINICAL_BASES or re.match(CLINICAL_PATTERN, low) is not None
 
 
 def clinical_scores(names: Iterable[str]) -> list[str]:
@@ -48,6 +55,20 @@ def visit_bases(names: Iterable[str], visits: Sequence[int] = (1, 2, 3), without
     return sorted(b for b in bases if all(f"{b}_v{v}" in names for v in visits) and not b.startswith(tuple(without) or ("\0",)))
 
 
+def split_group_column(names: Iterable[str], pair: str, asked: str | None = None) -> str:
+    """The column that keeps a participant's rows in one fold: the one asked for, else ``subject`` beside a pair id, else the pair id."""
+    names = list(names)
+    if asked is not None and asked not in names:
+        raise KeyError(f"no column {asked} to split by")
+    return asked or ("subject" if "subject" in names else pair)
+
+
+def combinations_of(groups: dict[str, Sequence[str]], least: int = 1) -> dict[str, list[str]]:
+    """Columns of every combination of at least ``least`` groups that have any, named by the groups joined with +."""
+    have = [g for g, columns in groups.items() if columns]
+    return {"+".join(c): [x for g in c for x in groups[g]] for n in range(least, len(have) + 1) for c in itertools.combinations(have, n)}
+
+
 def delta_columns(names: Iterable[str]) -> list[str]:
     """delta_ columns of measures that are no clinical scores."""
     return [n for n in names if n.startswith("delta_") and not is_clinical_score(n)]
@@ -65,8 +86,8 @@ class FeatureGroups:
 
 
 def feature_groups(names: Iterable[str], background: Sequence[str], poms: Sequence[str]) -> FeatureGroups:
-    """Bases of baseline columns by role; a primary measure whose name starts like diffusion is in both groups."""
-    bases = [n.removesuffix("_baseline") for n in names if n.endswith("_baseline")]
+    """Bases of baseline, follow-up and delta columns by role; a primary measure whose name starts like diffusion is in both groups."""
+    bases = list(dict.fromkeys(b for n in names for b in [n.removesuffix("_baseline").removesuffix("_followup").removeprefix("delta_")] if b != n))
     dti = [b for b in bases if re.match(r"(FA|MD|RD|AD)_", b)]
     own = [b for b in bases if b in set(poms)]
     rest = [b for b in bases if b not in {*background, *own, *dti} and not is_clinical_score(b)]

@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.operators import moments as M
+from tideline.operators.lineage import kept
+
 #: Meanings of visit patterns.
 PATTERNS = (("111", "V1, V2 and V3"), ("110", "V1 and V2"), ("101", "V1 and V3"), ("011", "V2 and V3"), ("100", "V1 only"), ("010", "V2 only"), ("001", "V3 only"), ("000", "no visit"))
 
@@ -45,10 +51,14 @@ def pair_counts(pairs: DataFrame, patient: str = "patient_id") -> DataFrame:
 
 
 def missingness(df: DataFrame, features: Sequence[str], visit: str = "visit", site: str = "site") -> DataFrame:
-    """Share of nulls of each feature: over all, by visit, by site and by both, in one grouping-sets pass."""
-    long = df.unpivot([visit, site], list(features), "feature", "value")
+    """Share of nulls of each feature: over all, by visit, by site and by both.
+
+    One aggregate counts by (visit, site); its few rows are then unpivoted and summed by level.
+    """
+    counts = df.groupBy(visit, site).agg(F.count("*").alias("_n"), *[F.count_if(F.col(f).isNull()).alias(f) for f in features])
+    long = counts.unpivot([visit, site, "_n"], list(features), "feature", "_nulls")
     sets = long.groupingSets([["feature"], ["feature", visit], ["feature", site], ["feature", visit, site]], "feature", visit, site)
-    out = sets.agg(F.count("*").alias("n"), F.avg(F.when(F.col("value").isNull(), 1.0).otherwise(0.0)).alias("missing"), F.grouping_id().alias("_g"))
+    out = sets.agg(F.sum("_n").alias("n"), (F.sum("_nulls") / F.sum("_n")).alias("missing"), F.grouping_id().alias("_g"))
     label = F.element_at(F.create_map(*[F.lit(x) for kv in ((0, "visit_site"), (1, "visit"), (2, "site"), (3, "global")) for x in kv]), F.col("_g").cast("int"))
     return out.withColumn("level", label).drop("_g")
 
@@ -102,3 +112,61 @@ def tukey_rows(df: DataFrame, columns: Sequence[str], k: float = 3.0) -> DataFra
         low, high = F.col(f"_q_{c}")[0], F.col(f"_q_{c}")[1]
         mask = mask | F.coalesce((F.col(c) < low - k * (high - low)) | (F.col(c) > high + k * (high - low)), F.lit(False))
     return df.crossJoin(F.broadcast(q)).withColumn("outlier", mask).drop(*[f"_q_{c}" for c in columns])
+
+
+def visit_quality(visits: DataFrame, groups: dict[str, Sequence[str]], subject: str = "subject_id", visit: str = "visit") -> DataFrame:
+    """(metric, key, value): rows, subjects, rows of each visit, and the mean missing share of each group of columns."""
+    shares = [(sum((F.avg(F.col(c).isNull().cast("double")) for c in columns), F.lit(0.0)) / len(columns)).alias(g) for g, columns in groups.items() if columns]
+    one = visits.agg(F.count("*").cast("double").alias("rows"), F.count_distinct(subject).cast("double").alias("subjects"), *shares)
+    out = one.unpivot([], ["rows", "subjects"], "metric", "value").select("metric", F.lit("").alias("key"), "value")
+    missing = one.unpivot([], [g for g, columns in groups.items() if columns], "key", "value").select(F.lit("missing").alias("metric"), "key", "value")
+    by = visits.groupBy(F.col(visit).cast("string").alias("key")).agg(F.count("*").cast("double").alias("value")).select(F.lit("visit").alias("metric"), "key", "value")
+    return out.unionByName(by).unionByName(missing)
+
+
+def pair_quality(pairs: DataFrame, subject: str = "subject_id", pair: str = "pair") -> DataFrame:
+    """(metric, key, value): rows, rows of each pair type, subjects with both types and with one."""
+    by = pairs.groupBy(F.col(pair).alias("key")).agg(F.count("*").cast("double").alias("value")).select(F.lit("pair").alias("metric"), "key", "value")
+    kinds = pairs.groupBy(subject).agg(F.count_distinct(pair).alias("_n")).groupBy(F.when(F.col("_n") == 2, "subjects with both").otherwise("subjects with one").alias("metric")).agg(F.count("*").cast("double").alias("value"))
+    rows = pairs.agg(F.count("*").cast("double").alias("value")).select(F.lit("rows").alias("metric"), F.lit("").alias("key"), "value")
+    return rows.unionByName(by).unionByName(kinds.select("metric", F.lit("").alias("key"), "value"))
+
+
+@dataclass(frozen=True)
+class Logistic:
+    weights: dict[str, float]
+    intercept: float
+    n: int
+    accuracy: float
+
+
+def followup_model(df: DataFrame, variables: Sequence[str], subject: str = "subject_id", visit: str = "visit", baseline: int = 1, followup: int = 3, least: int = 8, penalty: float = 1.0) -> Logistic | None:
+    """Logistic model of having a follow-up visit, of standardised baseline values, with a ridge on the weights.
+
+    Newton's rounds: each sums gradient and curvature over the rows, so what reaches the
+    driver has the size of the variables. None below ``least`` complete rows or without both outcomes.
+    """
+    later = df.where(F.col(visit) == followup).select(subject, F.lit(1.0).alias("_y")).distinct()
+    rows = df.where(F.col(visit) == baseline).join(later, subject, "left").withColumn("_y", F.coalesce("_y", F.lit(0.0)))
+    rows = kept(rows.select(*[F.col(v).cast("double").alias(v) for v in variables], "_y").dropna())
+    one = rows.agg(F.count("*").alias("_n"), F.sum("_y").alias("_y"), *[x for v in variables for x in (F.avg(v).alias(f"m_{v}"), F.stddev_pop(v).alias(f"s_{v}"))]).first()
+    n = one["_n"]
+    if n < least or not 0 < one["_y"] < n:
+        return None
+    names = list(variables)
+    mean, sd = np.array([one[f"m_{v}"] for v in names]), np.array([one[f"s_{v}"] or 1.0 for v in names])
+    w = np.zeros(len(names) + 1)
+    ridge = np.diag(np.append(0.0, np.full(len(names), 1 / penalty)))
+    for _ in range(50):
+
+        def part(pdf: pd.DataFrame, w: np.ndarray = w) -> dict[str, np.ndarray]:
+            a, y = M.ones((pdf[names].to_numpy(float) - mean) / sd), pdf["_y"].to_numpy(float)
+            p = 1 / (1 + np.exp(-(a @ w)))
+            return {"g": a.T @ (p - y), "h": ((a * (p * (1 - p))[:, None]).T @ a).ravel(), "right": np.array([float(((p > 0.5) == (y > 0.5)).sum())])}
+
+        found = M.sums(rows, part)
+        step = np.linalg.solve(M.square(found["h"]) + ridge, found["g"] + ridge @ w)
+        if np.abs(step).max() < 1e-10:
+            break
+        w = w - step
+    return Logistic(dict(zip(names, w[1:].tolist())), float(w[0]), n, float(found["right"][0] / n))

@@ -1,9 +1,10 @@
 """Subject-grouped and nested cross-validation without a loop over rows or folds of data.
 
-Every model here is linear, so a training set enters by its gram matrices alone. Three
-scans serve all folds and candidates at once: one for means and spreads of every
-training set, one for grams of the standardised (and clipped) rows, one that scores
-validation rows. Folds are hashes of the subject, so a subject never straddles them.
+Every model here is linear, so a training set enters by its gram matrices alone. The
+prepared rows are written once; then a few scans serve all folds and candidates at once:
+means and spreads of every training set, grams of the standardised (and clipped) rows,
+and one that scores validation rows. Features are selected inside each training set, from
+sums of the same scan. Folds are hashes of the subject, so a subject never straddles them.
 Kinds of model: srm (composite of largest standardised change), lda (direction
 between the visits, turned to grow), interaction (elastic net of deltas of
 [X, X x Z] on 1) and regression (elastic net of a target).
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -21,10 +23,26 @@ from pyspark.sql import functions as F
 
 from tideline.operators import kernels as K
 from tideline.operators import moments as M
+from tideline.operators.lineage import kept
 from tideline.operators.ranking import hierarchical_choice
 from tideline.operators.resample import hash_fold
 
 
+#: Ways to select features; cells of a feature's histogram, which spans so many spreads on either side, and bins of its quantiles.
+SELECTIONS = ("none", "mi", "mml", "progression_univariate", "progression_mrmr", "sparse_srm")
+CELLS, SPAN, BINS = 512, 4.0, 10
+#: The training set of all rows.
+ALL = (0, -1, -1)
+
+
+class Validated(NamedTuple):
+    """Out-of-fold scores, the table of candidates (None for one) and the features that each fold selected."""
+
+    scores: DataFrame
+    candidates: DataFrame | None
+    selected: DataFrame
+
+
 @dataclass(frozen=True)
 class Candidate:
     ridge: float = 1e-6
@@ -36,7 +54,11 @@ class Candidate:
 
 @dataclass(frozen=True)
 class Plan:
-    """kind, features, modulators (interaction), target (regression) and the folds."""
+    """kind, features, modulators (interaction), target (regression), the folds, and how a training set selects features.
+
+    selection is none, mi, mml, progression_univariate, progression_mrmr or sparse_srm; at
+    most ``k`` features are kept.
+    """
 
     kind: str
     features: tuple[str, ...]
@@ -47,6 +69,14 @@ class Plan:
     inner: int = 5
     repeats: int = 1
     seed: int = 42
+    selection: str = "none"
+    k: int = 8
+    redundancy: float = 0.25
+    sparse: tuple[float, float, float] = (0.01, 0.5, 1e-8)
+
+    def __post_init__(self) -> None:
+        if self.selection not in SELECTIONS:
+            raise ValueError(f"unknown selection method {self.selection}")
 
     @property
     def clips(self) -> list[float]:
@@ -101,13 +131,21 @@ def _scaled(plan: Plan, x: np.ndarray, scale: tuple[np.ndarray, np.ndarray], cli
 def _scales(rows: DataFrame, plan: Plan, sets: list) -> dict:
     q = len(plan.features) + len(plan.modulators)
 
+    def sums(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
+        a, b = _arrays(pdf)
+        return {"": np.concatenate([[2 * len(a)], a[:, :q].sum(axis=0) + b[:, :q].sum(axis=0)])}
+
+    whole = M.sums(rows, sums).get("", np.zeros(1 + q))
+    # squares are summed around the mean of all rows, so that a large mean costs no digits
+    centre = whole[1:] / max(whole[0], 1)
+
     def part(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
         pdf = pdf.rename(columns={"outer": "_outer", "inner": "_inner"})
         a, b = _arrays(pdf)
         out = {}
         for k, s in enumerate(sets):
             train, _ = _masks(pdf, plan, s)
-            x = np.concatenate([a[train, :q], b[train, :q]])
+            x = np.concatenate([a[train, :q], b[train, :q]]) - centre
             out[str(k)] = np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)])
         return out
 
@@ -118,7 +156,7 @@ def _scales(rows: DataFrame, plan: Plan, sets: list) -> dict:
         n = max(v[0], 1)
         mean = v[1 : 1 + q] / n
         sd = np.sqrt(np.maximum(v[1 + q :] / n - mean**2, 0))
-        scales[k] = (mean, np.where(sd > 1e-9, sd, 1.0))
+        scales[k] = (centre + mean, np.where(sd > 1e-9, sd, 1.0))
     return scales
 
 
@@ -129,6 +167,8 @@ def _grams(rows: DataFrame, plan: Plan, sets: list, scales: dict) -> dict[str, n
         out = {}
         for k, s in enumerate(sets):
             train, _ = _masks(pdf, plan, s)
+            for name, v in _selection_sums(plan, a[train], b[train], scales[k], pdf["interval"].to_numpy()[train]).items():
+                out[f"{k}/select/{name}"] = v
             for c, clip in enumerate(plan.clips):
                 one, two = _scaled(plan, a[train], scales[k], clip), _scaled(plan, b[train], scales[k], clip)
                 out[f"{k}/{c}/d"] = M.gram(two - one)
@@ -139,10 +179,93 @@ def _grams(rows: DataFrame, plan: Plan, sets: list, scales: dict) -> dict[str, n
                     out[f"{k}/{c}/y"] = M.gram(np.column_stack([np.concatenate([one, two]), y]))
         return out
 
-    return {k: M.square(v) for k, v in M.sums(rows, part).items()}
+    return {k: v if "/select/" in k else M.square(v) for k, v in M.sums(rows, part).items()}
 
 
-def _fit(plan: Plan, c: Candidate, grams: dict[str, np.ndarray], k: int) -> tuple[np.ndarray, float] | None:
+def _selection_sums(plan: Plan, a: np.ndarray, b: np.ndarray, scale: tuple[np.ndarray, np.ndarray], interval: np.ndarray) -> dict[str, np.ndarray]:
+    """What the plan's way to select needs of a training set: sums of its standardised, unclipped rows."""
+    p = len(plan.features)
+    if plan.selection == "none":
+        return {}
+    one, two = ((x[:, :p] - scale[0][:p]) / scale[1][:p] for x in (a, b))
+    if plan.selection == "mi":
+        cells = [np.clip((z + SPAN) * (CELLS / (2 * SPAN)), 0, CELLS - 1).astype(np.int64) + CELLS * np.arange(p) for z in (one, two)]
+        return {"mi": np.concatenate([np.bincount(c.ravel(), minlength=p * CELLS) for c in cells])}
+    if plan.selection == "mml":
+        return {"y": M.gram(np.column_stack([np.concatenate([one, two]), np.repeat([0.0, 1.0], [len(one), len(two)])]))}
+    return {str(t): M.gram((two - one)[interval == t]) for t in (1, 2, 0)}
+
+
+def _information(counts: np.ndarray) -> float:
+    """Mutual information of quantile bins of a feature with the visit, from its histogram by visit."""
+    both = counts.sum(axis=0)
+    n = both.sum()
+    if not n:
+        return 0.0
+    edges = np.unique(np.searchsorted(np.cumsum(both), n * np.arange(1, BINS) / BINS))
+    joint = np.zeros((2, len(edges) + 1))
+    np.add.at(joint.T, np.searchsorted(edges, np.arange(CELLS)), counts.T)
+    joint /= n
+    alone = joint.sum(axis=1, keepdims=True) * joint.sum(axis=0, keepdims=True)
+    return float((joint[joint > 0] * np.log(joint[joint > 0] / alone[joint > 0])).sum())
+
+
+def _select(plan: Plan, grams: dict[str, np.ndarray], k: int, scale: tuple[np.ndarray, np.ndarray]) -> list[int]:
+    """Numbers of the features that training set k selects, best first; its own rows decide alone."""
+    p, names = len(plan.features), list(plan.features)
+    mine = {key.rpartition("/")[2]: v for key, v in grams.items() if key.startswith(f"{k}/select/")}
+    if plan.selection == "none" or not mine:
+        return list(range(p))
+    mean, sd = scale[0][:p], scale[1][:p]
+    if plan.selection == "mi":
+        value = [_information(mine["mi"].reshape(2, p, CELLS)[:, j]) for j in range(p)]
+        return sorted(range(p), key=lambda j: (-value[j], names[j]))[: plan.k]
+    if plan.selection == "mml":
+        # back to the raw scale, on which message lengths are defined
+        back = np.diag(np.concatenate([[1.0], sd, [1.0]]))
+        back[0, 1:-1] = mean
+        return [names.index(f) for f, _ in K.mml_forward(back.T @ M.square(mine["y"]) @ back, names)][: plan.k]
+    back = np.diag(np.append(1.0, sd))
+    deltas = {t: back @ M.square(v) @ back for t, v in mine.items()}
+    if plan.selection == "sparse_srm":
+        penalty, l1_ratio, least = plan.sparse
+        w = K.sparse_srm([deltas[t] for t in ("1", "2", "0")], penalty, l1_ratio)
+        return [j for j in sorted(range(p), key=lambda j: (-abs(w[j]), names[j])) if abs(w[j]) > least][: plan.k]
+    d = []
+    for t in ("1", "2"):
+        n, mu, cov = K.split(deltas[t])
+        spread = np.sqrt(np.maximum(np.diag(cov), 0)) if n >= 2 else np.full(p, np.nan)
+        d.append(np.where(spread > 0, mu / np.where(spread > 0, spread, 1), np.nan))
+    both = np.where(np.isnan(d[0]), d[1], np.where(np.isnan(d[1]), d[0], (d[0] + d[1]) / 2))
+    if plan.selection == "progression_univariate":
+        last = lambda x: (bool(np.isnan(x)), 0.0 if np.isnan(x) else float(x))
+        return sorted(range(p), key=lambda j: (last(-abs(both[j])), last(abs(d[0][j] - d[1][j])), names[j]))[: plan.k]
+    _, _, cov = K.split(sum(deltas.values()))
+    sd = np.sqrt(np.diag(cov))
+    corr = cov / np.where(sd > 0, sd, 1)[:, None] / np.where(sd > 0, sd, 1)[None, :]
+    return [names.index(f) for f in K.mrmr(both, corr, names, plan.k, plan.redundancy)]
+
+
+def _fit(plan: Plan, c: Candidate, grams: dict[str, np.ndarray], k: int, chosen: list[int]) -> tuple[np.ndarray, float] | None:
+    """Weights of all columns of the design (0 where not selected) and the intercept."""
+    p, q = len(plan.features), len(plan.modulators) if plan.kind == "interaction" else 0
+    columns = np.array([*chosen, *[p + j * q + m for j in chosen for m in range(q)]], dtype=np.int64)
+    rows = np.append(0, columns + 1)
+    if plan.kind == "regression":
+        own = {key: g[np.ix_(r, r)] for key, g in grams.items() if key.startswith(f"{k}/") and "/select/" not in key for r in [np.append(rows, len(g) - 1) if key.endswith("/y") else rows]}
+    else:
+        own = {key: g[np.ix_(rows, rows)] for key, g in grams.items() if key.startswith(f"{k}/") and "/select/" not in key}
+    out = np.zeros(p + p * q)
+    if not len(columns):
+        return out, 0.0
+    found = _fit_columns(plan, c, own, k)
+    if found is None:
+        return None
+    out[columns] = found[0]
+    return out, found[1]
+
+
+def _fit_columns(plan: Plan, c: Candidate, grams: dict[str, np.ndarray], k: int) -> tuple[np.ndarray, float] | None:
     at = plan.clips.index(np.inf if c.clip is None else c.clip)
     d = grams.get(f"{k}/{at}/d")
     if d is None or d[0, 0] < 2:
@@ -208,20 +331,29 @@ def _summaries(plan: Plan, sets: list, seen: pd.DataFrame, metric: str) -> pd.Da
     return pd.DataFrame(out, columns=["repeat", "outer", "candidate_idx", "mean_validation_annual_dz", "se_validation_dz", "dz_v1_v2", "dz_v2_v3", "annual_interval_gap", "p_progression", "feature_count"])
 
 
-def cross_validate(pair_visits: DataFrame, plan: Plan, metric: str = "annual_mean_dz", **names: str) -> tuple[DataFrame, DataFrame | None]:
-    """Out-of-fold scores and, with more than one candidate, the table of candidates with the chosen ones.
+def fit_whole(pair_visits: DataFrame, plan: Plan, **names: str) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, float] | None]:
+    """Means and spreads of all complete pairs, and the first candidate's weights of the design with the intercept."""
+    rows = kept(prepare(pair_visits, plan, **names))
+    scales = _scales(rows, plan, [ALL])
+    grams = _grams(rows, plan, [ALL], scales)
+    return scales[0], _fit(plan, plan.candidates[0], grams, 0, _select(plan, grams, 0, scales[0]))
+
+
+def cross_validate(pair_visits: DataFrame, plan: Plan, metric: str = "annual_mean_dz", **names: str) -> Validated:
+    """Out-of-fold scores, with more than one candidate the table of candidates with the chosen ones, and each fold's features.
 
     Scores: repeat, fold, pair_id, subject, visit, score (and target for a regression).
     A fold whose training set cannot be fitted gives no scores. Incomplete pairs, and
     pairs without both visits, take no part.
     """
     spark = pair_visits.sparkSession
-    rows = prepare(pair_visits, plan, **names)
+    rows = kept(prepare(pair_visits, plan, **names))
     nested = len(plan.candidates) > 1
     sets = _sets(plan, nested)
     scales = _scales(rows, plan, sets)
     grams = _grams(rows, plan, sets, scales)
-    fits = {(k, j): f for k in range(len(sets)) for j, c in enumerate(plan.candidates) if (f := _fit(plan, c, grams, k)) is not None}
+    selected = {k: _select(plan, grams, k, scales[k]) for k in range(len(sets))}
+    fits = {(k, j): f for k in range(len(sets)) for j, c in enumerate(plan.candidates) if (f := _fit(plan, c, grams, k, selected[k])) is not None}
     chosen: dict[tuple[int, int], int] = {(r, o): 0 for r, o, i in sets if i < 0}
     table = None
     if nested:
@@ -250,7 +382,8 @@ def cross_validate(pair_visits: DataFrame, plan: Plan, metric: str = "annual_mea
                     yield out.assign(target=x[held, -1]) if target else out
 
     kind = "repeat int, fold int, pair_id string, subject string, visit int, score double" + (", target double" if target else "")
-    return rows.mapInPandas(score, kind), table
+    own = spark.createDataFrame([(s[0], s[1], [plan.features[j] for j in selected[k]]) for k, s in last], "repeat int, fold int, features array<string>")
+    return Validated(rows.mapInPandas(score, kind), table, own)
 
 
 def grid(**axes: Sequence) -> tuple[Candidate, ...]:

@@ -119,11 +119,19 @@ def rmse_r2(df: DataFrame, y: str, p: str) -> DataFrame:
     return d.agg(F.count("*").alias("n"), F.sqrt(F.avg(e2)).alias("rmse"), F.when((F.count("*") >= 2) & (F.var_pop("y") > 1e-300), 1 - F.sum(e2) / F.nullif(total, F.lit(0.0))).alias("r2"))
 
 
-def average_rank(value: str, by: Sequence[str] = ()) -> Column:
-    """Rank with ties at their mean."""
-    w = Window.partitionBy(*by).orderBy(value) if by else Window.orderBy(value)
-    same = Window.partitionBy(*by, value)
-    return F.rank().over(w) + (F.count("*").over(same) - 1) / F.lit(2.0)
+def with_average_rank(df: DataFrame, value: str, name: str, by: Sequence[str] = (), buckets: int = 64) -> DataFrame:
+    """``df`` with the rank of a value, ties at their mean, by key.
+
+    Buckets of values, from approximate percentiles, are ranked by different tasks: counts of the
+    buckets before give an offset. No task sees all rows, and equal values are counted first.
+    """
+    edges = df.agg(F.percentile_approx(value, F.array(*[F.lit(k / buckets) for k in range(1, buckets)]), F.lit(1000))).first()[0] or []
+    counts = df.groupBy(*by, value).agg(F.count("*").alias("_c")).withColumn("_b", sum(((F.col(value) > float(e)).cast("int") for e in sorted(set(edges))), F.lit(0)))
+    before = counts.groupBy(*by, "_b").agg(F.sum("_c").alias("_t"))
+    before = before.withColumn("_o", F.sum("_t").over(Window.partitionBy(*by).orderBy("_b")) - F.col("_t")).drop("_t")
+    within = F.sum("_c").over(Window.partitionBy(*by, "_b").orderBy(value))
+    ranks = counts.withColumn("_w", within).join(before, [*by, "_b"]).select(*by, value, (F.col("_o") + F.col("_w") - (F.col("_c") - 1) / F.lit(2.0)).alias(name))
+    return df.join(ranks, [*by, value])
 
 
 def guarded_corr(x: str, y: str) -> Column:
@@ -136,7 +144,7 @@ def guarded_corr(x: str, y: str) -> Column:
 
 def spearman(df: DataFrame, x: str, y: str, keys: Sequence[str] = (), least: int = 3) -> DataFrame:
     """Spearman's rho and n per key; rho is null below ``least`` rows or without spread."""
-    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    d = d.withColumn("_x", average_rank(x, keys)).withColumn("_y", average_rank(y, keys))
+    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
+    d = with_average_rank(with_average_rank(d, x, "_x", keys), y, "_y", keys)
     out = d.groupBy(*keys).agg(F.count("*").alias("n"), guarded_corr("_x", "_y").alias("rho"))
     return out.withColumn("rho", F.when(F.col("n") >= least, F.col("rho")))

@@ -15,11 +15,11 @@ CONTROL_LABELS = ("1", "control", "controls", "healthy_control", "healthy contro
 
 
 def control_mask(df: DataFrame) -> Column:
-    """Any group column in the control labels, as text. A float 1.0 reads '1.0' and is no label: cast such columns first."""
+    """Any group column in the control labels, as text, with hyphens as underscores. A float 1.0 reads '1.0' and is no label: cast such columns first."""
     mask = F.lit(False)
     for c in GROUP_COLUMNS:
         if c in df.columns:
-            mask = mask | F.coalesce(F.lower(F.trim(F.col(c).cast("string"))).isin(*CONTROL_LABELS), F.lit(False))
+            mask = mask | F.coalesce(F.replace(F.lower(F.trim(F.col(c).cast("string"))), F.lit("-"), F.lit("_")).isin(*CONTROL_LABELS), F.lit(False))
     return mask
 
 

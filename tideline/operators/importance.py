@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tideline.operators import kernels as K
 from tideline.operators import moments as M
+from tideline.operators import cv as C
 from tideline.operators.cv import Candidate, Plan, cross_validate
 from tideline.operators.effects import adjacent_effects, annual_diagnostics
 from tideline.operators.resample import hash_number
@@ -36,6 +37,66 @@ def domain_rollup(table: DataFrame, domains: DataFrame) -> DataFrame:
     return j.groupBy("domain").agg(F.count("*").alias("n_features"), *[F.sum(c).alias(c) for c in ("contribution_v1_v2", "contribution_v2_v3", "mean_abs")])
 
 
+def draws(h: np.ndarray, replicate: int) -> np.ndarray:
+    """How often each subject comes into a replicate: a Poisson(1) draw from the subject's hash."""
+    u = ((h * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64((replicate + 1) * 0xD1B54A32D192ED03 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(11)) / float(1 << 53)
+    return np.searchsorted(np.cumsum([np.exp(-1) / np.prod(range(1, k + 1), initial=1) for k in range(12)]), u, side="right")
+
+
+def subgroup_importance(pair_visits: DataFrame, features: Sequence[str], modulators: Sequence[str], subgroups: dict[str, dict[str, float]], alpha: float, l1_ratio: float, replicates: int = 201, seed: int = 42) -> DataFrame:
+    """Weights of an interaction model at named profiles of its modulators, over resamples of subjects.
+
+    Returns feature, subgroup, mean, lo and hi (95% of the replicates) and sign_consistency,
+    the share of replicates with the sign of the median (null if that is 0). Every replicate
+    is standardised by its own means and spreads. Both that and the products with modulators
+    are linear in the sums of [x, z, x * z], so one scan serves all replicates; what it
+    sums has the size of replicates and features.
+    """
+    x, z = list(features), list(modulators)
+    p, q = len(x), len(z)
+    rows = C.kept(C.prepare(pair_visits, Plan("interaction", tuple(x), tuple(z))).withColumn("_h", hash_number(F.concat_ws("|", F.lit(str(seed)), F.col("subject")))))
+    centre, spread = C._scales(rows, Plan("interaction", tuple(x), tuple(z)), [C.ALL])[0]
+
+    def part(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
+        one, two = (((np.stack(pdf[c].to_numpy()).astype(float) - centre) / spread) for c in ("a", "b"))
+        wide = lambda v: np.column_stack([v, (v[:, :p, None] * v[:, None, p:]).reshape(len(v), p * q)])
+        d = wide(two) - wide(one)
+        out = {}
+        for r in range(replicates):
+            times = draws(pdf["_h"].to_numpy(np.uint64), r).astype(float)
+            level = times @ (one + two), times @ (one * one + two * two)
+            a = M.ones(d)
+            out[str(r)] = np.concatenate([*level, ((a * times[:, None]).T @ a).ravel()])
+        return out
+
+    found = []
+    for r, v in M.sums(rows, part).items():
+        gram = M.square(v[2 * (p + q) :])
+        n = gram[0, 0]
+        if n < 2:
+            continue
+        mean = v[: p + q] / (2 * n)
+        sd = np.sqrt(np.maximum(v[p + q : 2 * (p + q)] / (2 * n) - mean**2, 0))
+        sd = np.where(sd > 1e-9, sd, 1.0)
+        # of [1, dx, dz, d(xz)], the columns of the standardised design
+        t = np.zeros((len(gram), 1 + p + p * q))
+        t[0, 0] = 1.0
+        for j in range(p):
+            t[1 + j, 1 + j] = 1 / sd[j]
+            for m in range(q):
+                at, s = 1 + p + j * q + m, sd[j] * sd[p + m]
+                t[1 + p + q + j * q + m, at], t[1 + j, at], t[1 + p + m, at] = 1 / s, -mean[p + m] / s, -mean[j] / s
+        w = K.constant_net(t.T @ gram @ t, alpha, l1_ratio)
+        for name, profile in subgroups.items():
+            at = ((np.array([profile[m] for m in z]) - centre[p:]) / spread[p:] - mean[p:]) / sd[p:]
+            found += [(int(r), f, name, float(w[j] + w[p + j * q : p + (j + 1) * q] @ at)) for j, f in enumerate(x)]
+    beta = pair_visits.sparkSession.createDataFrame(found, "replicate int, feature string, subgroup string, beta double")
+    summary = beta.groupBy("feature", "subgroup").agg(F.avg("beta").alias("mean"), F.percentile("beta", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q"), F.collect_list("beta").alias("_all"))
+    middle = F.col("q")[1]
+    same = F.size(F.filter("_all", lambda b: F.signum(b) == F.signum(F.col("q")[1]))) / F.size("_all")
+    return summary.select("feature", "subgroup", "mean", F.col("q")[0].alias("lo"), F.col("q")[2].alias("hi"), F.when(middle != 0, same).alias("sign_consistency"))
+
+
 def bootstrap_coefficients(deltas: DataFrame, features: Sequence[str], subject: str = "subject", replicates: int = 100, ridge: float = 1e-6, seed: int = 42, least: int = 2) -> DataFrame:
     """SRM coefficients (replicate, feature, coef) over resamples of subjects with multiplicity.
 
@@ -49,12 +110,7 @@ def bootstrap_coefficients(deltas: DataFrame, features: Sequence[str], subject:
 
     def part(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
         a = M.ones(pdf[names].to_numpy(float))
-        out = {}
-        for r in range(replicates):
-            u = ((pdf["_h"].to_numpy(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64((r + 1) * 0xD1B54A32D192ED03 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(11)) / float(1 << 53)
-            times = np.searchsorted(np.cumsum([np.exp(-1) / np.prod(range(1, k + 1), initial=1) for k in range(12)]), u, side="right")
-            out[str(r)] = ((a * times[:, None]).T @ a).ravel()
-        return out
+        return {str(r): ((a * draws(pdf["_h"].to_numpy(np.uint64), r)[:, None]).T @ a).ravel() for r in range(replicates)}
 
     grams = M.sums(rows, part)
     table = [(int(r), f, float(w)) for r, g in grams.items() if g[0] >= least for f, w in zip(names, K.srm_weights(M.square(g), ridge))]
@@ -66,7 +122,7 @@ def leave_one_feature_out(pair_visits: DataFrame, features: Sequence[str], **opt
     spark = pair_visits.sparkSession
 
     def annual(own: Sequence[str]) -> DataFrame:
-        oof, _ = cross_validate(pair_visits, Plan("srm", tuple(own), candidates=(Candidate(),), **options))
+        oof = cross_validate(pair_visits, Plan("srm", tuple(own), candidates=(Candidate(),), **options)).scores
         return annual_diagnostics(adjacent_effects(oof, pooled=None))
 
     full = annual(features).withColumn("feature", F.lit("(none)"))

@@ -12,16 +12,20 @@ def zscore_by_fold(df: DataFrame, columns: Sequence[str], fold: str = "fold", fo
     """Every row once per outer fold, standardised by that fold's training rows (all rows of other folds).
 
     Returns outer, is_test and the scaled columns; sd is of ddof 0, and no spread counts
-    as 1. Sums by fold make all training moments in one aggregation: a training set is
-    everything less its own fold.
+    as 1. Centred moments by fold make those of all training sets, merged around the mean
+    of all rows: a training set is everything less its own fold.
     """
-    sums = [s for c in columns for s in (F.count(c).alias(f"_n_{c}"), F.sum(c).alias(f"_s_{c}"), F.sum(F.col(c) * F.col(c)).alias(f"_q_{c}"))]
-    per = df.groupBy(fold).agg(*sums)
+    own = [s for c in columns for s in (F.count(c).alias(f"_n_{c}"), F.avg(c).alias(f"_a_{c}"), F.coalesce(F.var_pop(c) * F.count(c), F.lit(0.0)).alias(f"_v_{c}"))]
+    per = df.groupBy(fold).agg(*own)
+    # a window over the folds, of which there are few
     w = Window.partitionBy()
-    rest = per.select(F.col(fold).alias("outer"), *[(F.sum(f"{m}{c}").over(w) - F.col(f"{m}{c}")).alias(f"{m}{c}") for c in columns for m in ("_n_", "_s_", "_q_")])
+    centre = {c: F.sum(F.col(f"_n_{c}") * F.col(f"_a_{c}")).over(w) / F.nullif(F.sum(f"_n_{c}").over(w), F.lit(0)) for c in columns}
+    per = per.select("*", *[centre[c].alias(f"_c_{c}") for c in columns], *[(F.col(f"_n_{c}") * (F.coalesce(f"_a_{c}", F.lit(0.0)) - F.coalesce(centre[c], F.lit(0.0)))).alias(f"_s_{c}") for c in columns])
+    per = per.select("*", *[(F.col(f"_v_{c}") + F.coalesce(F.col(f"_s_{c}") * F.col(f"_s_{c}") / F.nullif(F.col(f"_n_{c}"), F.lit(0)), F.lit(0.0))).alias(f"_q_{c}") for c in columns])
+    rest = per.select(F.col(fold).alias("outer"), *[F.col(f"_c_{c}") for c in columns], *[(F.sum(f"{m}{c}").over(w) - F.col(f"{m}{c}")).alias(f"{m}{c}") for c in columns for m in ("_n_", "_s_", "_q_")])
     mu = {c: F.col(f"_s_{c}") / F.nullif(F.col(f"_n_{c}"), F.lit(0)) for c in columns}
     sd = {c: F.sqrt(F.greatest(F.col(f"_q_{c}") / F.nullif(F.col(f"_n_{c}"), F.lit(0)) - mu[c] * mu[c], F.lit(0.0))) for c in columns}
-    params = rest.select("outer", *[mu[c].alias(f"_mu_{c}") for c in columns], *[F.when(sd[c] > 1e-9, sd[c]).otherwise(1.0).alias(f"_sd_{c}") for c in columns])
+    params = rest.select("outer", *[(F.col(f"_c_{c}") + mu[c]).alias(f"_mu_{c}") for c in columns], *[F.when(sd[c] > 1e-9, sd[c]).otherwise(1.0).alias(f"_sd_{c}") for c in columns])
     # one row a fold
     both = df.crossJoin(F.broadcast(params))
     return both.select("outer", (F.col(fold) == F.col("outer")).alias("is_test"), *[c for c in df.columns if c not in columns], *[((F.col(c) - F.col(f"_mu_{c}")) / F.col(f"_sd_{c}")).alias(c) for c in columns])
@@ -38,9 +42,11 @@ def median_impute_by_fold(df: DataFrame, columns: Sequence[str], fold: str = "fo
 
 def standardised(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Mean-imputed columns as z-scores of ddof 1 (of the imputed values); no spread counts as 1."""
-    w = Window.partitionBy()
-    filled = df.select(*[c for c in df.columns if c not in columns], *[F.coalesce(F.col(c), F.avg(c).over(w)).alias(c) for c in columns])
-    return filled.select(*[c for c in df.columns if c not in columns], *[((F.col(c) - F.avg(c).over(w)) / F.coalesce(F.nullif(F.stddev_samp(c).over(w), F.lit(0.0)), F.lit(1.0))).alias(c) for c in columns])
+    one = df.agg(F.count("*").alias("n"), *[a for c in columns for a in (F.avg(c).alias(f"m_{c}"), (F.var_pop(c) * F.count(c)).alias(f"v_{c}"))]).first()
+    # imputed values add nothing to the sum of squares around the mean
+    sd = {c: ((one[f"v_{c}"] or 0.0) / (one["n"] - 1)) ** 0.5 if one["n"] > 1 else 0.0 for c in columns}
+    scaled = {c: (F.coalesce(F.col(c), F.lit(one[f"m_{c}"])) - F.lit(one[f"m_{c}"])) / F.lit(sd[c] or 1.0) for c in columns}
+    return df.select(*[c for c in df.columns if c not in columns], *[scaled[c].alias(c) for c in columns])
 
 
 class ColumnScaler:

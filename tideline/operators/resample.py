@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -64,22 +65,35 @@ def shared_groups(df: DataFrame, group: str, fold: str) -> DataFrame:
     return df.groupBy("repeat", group).agg(F.count_distinct(fold).alias("folds")).where("folds > 1")
 
 
+#: Cumulated Poisson(1) probabilities in 65,536ths: a draw of 16 bits has a weight for each one that it reaches.
+POISSON = tuple(math.floor(65536 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(8))
+
+
+def poisson_weight(digits: Column) -> Column:
+    """A Poisson(1) weight from four hex digits."""
+    u = F.conv(digits, 16, 10).cast("int")
+    return sum(((u >= t).cast("int") for t in POISSON), F.lit(0))
+
+
 def bootstrap_effects(deltas: DataFrame, keys: Sequence[str], unit: str, value: str = "delta", replicates: int = 200, seed: int = 42) -> DataFrame:
     """Percentile intervals of d_z over bootstrap replicates of each key.
 
-    Draw j of replicate b takes row md5(seed|key|b|j) mod n of its key, rows numbered
-    by ``unit``. One explode and one equi-join make all draws; nothing loops on the driver.
-    Keys of fewer than ten values get nulls.
+    A row's weight in a replicate is a Poisson(1) draw, the limit of drawing with replacement,
+    from the md5 of seed, key, ``unit`` and number: one md5 has eight draws. Replicates are
+    summed where the rows are, so the shuffle has the size of keys and replicates. Keys of
+    fewer than ten values get nulls.
     """
-    rows = numbered(deltas.where(F.col(value).isNotNull()), unit, keys).withColumn("_i", F.col("_i").cast("int"))
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    draws = sizes.where("_n >= 10").withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
-    key = F.concat_ws("|", F.lit(str(seed)), *[F.col(k) for k in keys], F.col("_b").cast("string"), F.col("_j").cast("string"))
-    draws = draws.withColumn("_i", F.pmod(hash_number(key), F.col("_n")).cast("int"))
-    sampled = draws.join(rows.select(*keys, "_i", value), [*keys, "_i"])
-    d = sampled.groupBy(*keys, "_b").agg((F.avg(value) / F.nullif(F.stddev_samp(value), F.lit(0.0))).alias("d"))
-    ci = d.groupBy(*keys).agg(F.percentile("d", 0.025).alias("d_z_ci_low"), F.percentile("d", 0.975).alias("d_z_ci_high"))
-    return sizes.join(ci, list(keys), "left").withColumnRenamed("_n", "n_pairs")
+    rows = deltas.where(F.col(value).isNotNull())
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n_pairs"))
+    draws = rows.select(*keys, unit, F.col(value).alias("_x"), F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // 8) - 1))).alias("_g"))
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k) for k in keys], F.col(unit), F.col("_g").cast("string")).cast("binary"))
+    draws = draws.withColumn("_h", h).select(*keys, "_x", "_g", F.posexplode(F.array(*[poisson_weight(F.substring("_h", 1 + 4 * j, 4)) for j in range(8)])).alias("_j", "_w"))
+    each = draws.where(f"_w > 0 and _g * 8 + _j < {replicates}").groupBy(*keys, "_g", "_j").agg(F.sum("_w").alias("_n"), F.sum(F.col("_w") * F.col("_x")).alias("_s"), F.sum(F.col("_w") * F.col("_x") * F.col("_x")).alias("_q"))
+    var = (F.col("_q") - F.col("_s") * F.col("_s") / F.col("_n")) / F.nullif(F.col("_n") - 1, F.lit(0))
+    d = each.withColumn("d", F.when(var > 1e-300, F.col("_s") / F.col("_n") / F.sqrt(var)))
+    ci = d.groupBy(*keys).agg(F.percentile("d", 0.025).alias("_low"), F.percentile("d", 0.975).alias("_high"))
+    enough = F.col("n_pairs") >= 10
+    return sizes.join(ci, list(keys), "left").select(*keys, "n_pairs", F.when(enough, F.col("_low")).alias("d_z_ci_low"), F.when(enough, F.col("_high")).alias("d_z_ci_high"))
 
 
 def bootstrap_members(groups: DataFrame, group: str, replicates: int, seed: int = 42) -> DataFrame:

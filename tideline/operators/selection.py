@@ -33,19 +33,14 @@ def univariate_effects(deltas: DataFrame, features: Sequence[str]) -> DataFrame:
 def mrmr_features(deltas: DataFrame, features: Sequence[str], k: int = 8, penalty: float = 0.25) -> list[str]:
     """Minimum redundancy, maximum relevance: effects and correlations in Spark, the greedy walk over them here."""
     effects = {r["feature"]: r["mean_dz"] for r in univariate_effects(deltas, features).select("feature", "mean_dz").collect()}
-    filled = deltas.select(*[F.coalesce(f, F.avg(f).over(_all())).alias(f) for f in features])
+    means = deltas.agg(*[F.avg(f).alias(f) for f in features]).first()
+    filled = deltas.select(*[F.coalesce(f, F.lit(means[f])).alias(f) for f in features])
     _, _, cov = K.split(gram_matrix(filled, features)[""])
     sd = np.sqrt(np.diag(cov))
     corr = cov / np.where(sd > 0, sd, 1)[:, None] / np.where(sd > 0, sd, 1)[None, :]
     return K.mrmr(np.array([np.nan if effects[f] is None else effects[f] for f in features]), corr, list(features), k, penalty)
 
 
-def _all():
-    from pyspark.sql import Window
-
-    return Window.partitionBy()
-
-
 def sparse_weights(deltas: DataFrame, features: Sequence[str], penalty: float = 0.01, l1_ratio: float = 0.5) -> dict[str, float]:
     """Soft-thresholded SRM weights with intervals balanced."""
     grams = gram_matrix(deltas, features, "interval")

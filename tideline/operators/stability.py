@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.operators.effects import average_rank, guarded_corr
+from tideline.operators.effects import guarded_corr, with_average_rank
 
 
 def jaccard_pairs(sets: DataFrame, key: str = "id", features: str = "features") -> DataFrame:
@@ -55,7 +55,7 @@ def ranking_stability(scores: DataFrame, run: str = "run", unit: str = "unit", s
     a = d.select(F.col(run).alias("a"), F.col(unit).alias("_u"), F.col(score).alias("x"))
     b = d.select(F.col(run).alias("b"), F.col(unit).alias("_v"), F.col(score).alias("y"))
     j = a.join(b, (F.col("_u") == F.col("_v")) & (F.col("a") < F.col("b")))
-    j = j.withColumn("_x", average_rank("x", ["a", "b"])).withColumn("_y", average_rank("y", ["a", "b"]))
+    j = with_average_rank(with_average_rank(j, "x", "_x", ["a", "b"]), "y", "_y", ["a", "b"])
     return j.groupBy("a", "b").agg(F.count("*").alias("n"), guarded_corr("_x", "_y").alias("rho")).where(F.col("n") >= least)
 
 
@@ -68,11 +68,10 @@ def correlation_pairs(df: DataFrame, features: Sequence[str], threshold: float |
     return out if threshold is None else out.where(F.abs("r") > threshold)
 
 
-def quantile_bin(x: str, bins: int = 10) -> Column:
-    """Right-closed quantile bin of a value, edges from exact percentiles with duplicates dropped."""
-    w = Window.partitionBy()
-    edges = F.array_distinct(F.percentile(x, F.array(*[F.lit(k / bins) for k in range(1, bins)])).over(w))
-    return F.size(F.filter(edges, lambda e: e < F.col(x)))
+def with_quantile_bin(df: DataFrame, x: str, name: str, bins: int = 10) -> DataFrame:
+    """``df`` with the right-closed quantile bin of a value, edges from exact percentiles with duplicates dropped."""
+    edges = df.agg(F.percentile(x, F.array(*[F.lit(k / bins) for k in range(1, bins)]))).first()[0] or []
+    return df.withColumn(name, sum(((F.col(x) > e).cast("int") for e in sorted(set(edges))), F.lit(0)))
 
 
 def mutual_information(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -36,9 +36,9 @@ def std_col_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.table(spark, sf_dir, "part").select(I.std_name(F.col("p_name")).alias("name")).distinct()
 
 
-@query("id_translate", "select user_id, 'sub-campac' || lpad(cast(user_id as varchar), 2, '0') campac, 'pac' || lpad(cast(user_id as varchar), 2, '0') pac, 'sub-x' || cast(user_id as varchar) sub, 'ses-' || cast(1 + user_id % 3 as varchar) ses, user_id % 3 = 2 third, case when user_id < 100 then 'sub-melfrd' || lpad(cast(user_id as varchar), 3, '0') end melfrd from (select distinct user_id from events where user_id between 1 and 99)", fixtures=False)
+@query("id_translate", "select user_id, 'sub-campac' || case when user_id < 10 then '0' else '' end || user_id campac, 'pac' || case when user_id < 10 then '0' else '' end || user_id pac, 'sub-x' || cast(user_id as varchar) sub, 'ses-' || cast(1 + user_id % 3 as varchar) ses, user_id % 3 = 2 third, case when user_id < 100 then 'sub-melfrd' || lpad(cast(user_id as varchar), 3, '0') end melfrd from (select distinct user_id from events)", fixtures=False)
 def id_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = X.table(spark, sf_dir, "events").select("user_id").distinct().where("user_id between 1 and 99")
+    u = X.table(spark, sf_dir, "events").select("user_id").distinct()
     sub = F.concat(F.lit("sub-campac"), F.col("user_id").cast("string"))
     name = F.concat(F.lit("x/sub-x"), F.col("user_id").cast("string"), F.lit("_ses-"), (1 + F.col("user_id") % 3).cast("string"), F.lit("_T1.nii"))
     one, two = I.bids_parts(name)
@@ -90,12 +90,16 @@ def feature_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("feature", N.feature_domain(F.col("feature"), listed=("thalamus",)).alias("domain"))
 
 
-@query("str_16_effect_text", "select measure, case when n < 2 then 'not available' else format('{:.2f} [{:.2f}, {:.2f}]; P={:.2f}', d, d - 1, d + 1, p) end \"text\" from (select 'delta_mfars_total' measure, count(delta_mfars_total) n, avg(delta_mfars_total) / nullif(stddev_samp(delta_mfars_total), 0) d, avg(cast(case when delta_mfars_total > 0 then 1 else 0 end as double)) p from pairs)")
+_TEXT_SOURCE = "select 'delta_mfars_total' measure, patient_id, delta_mfars_total delta from pairs"
+
+
+@query("str_16_effect_text", lambda: ", " + _boot_sql(_TEXT_SOURCE, "measure", "patient_id", 200) + " select bk measure, case when n < 2 then 'not available' else format('{:.2f} [{:.2f}, {:.2f}]; P={:.2f}', d, low, high, p) end \"text\" from bc, (select count(delta_mfars_total) n, avg(delta_mfars_total) / nullif(stddev_samp(delta_mfars_total), 0) d, avg(cast(case when delta_mfars_total > 0 then 1 else 0 end as double)) p from pairs)")
 def effect_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideline.operators.effects import cohens_dz, probability_positive
 
-    d = X.pairs(spark, sf_dir).agg(cohens_dz(F.col("delta_mfars_total")).alias("d"), probability_positive(F.col("delta_mfars_total")).alias("p"))
-    return d.select(F.lit("delta_mfars_total").alias("measure"), I.effect_text(F.col("d"), F.col("d") - 1, F.col("d") + 1, F.col("p")).alias("text"))
+    rows = X.pairs(spark, sf_dir).select(F.lit("delta_mfars_total").alias("measure"), "patient_id", F.col("delta_mfars_total").alias("delta"))
+    d = rows.groupBy("measure").agg(cohens_dz(F.col("delta")).alias("d"), probability_positive(F.col("delta")).alias("p"))
+    return d.join(R.bootstrap_effects(rows, ["measure"], "patient_id"), "measure").select("measure", I.effect_text(F.col("d"), F.col("d_z_ci_low"), F.col("d_z_ci_high"), F.col("p")).alias("text"))
 
 
 @query("str_11_json_details", "select subject_id, '{\"adl_total\":' || cast(cast(adl_total as int) as varchar) || ',\"visit\":' || cast(visit as varchar) || '}' details from visits")
@@ -105,14 +109,27 @@ def json_details(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # filters
 
-@query("control_filter", "select subject_id, visit from visits where study_group <> 1")
+#: Labels by the last digit of a subject: spellings of a control, what is none, and patients.
+_LABELS = ("1", " HC ", "healthy-control", "1.0", "Healthy Controls", "patient", None, "controls", "UNAFFECTED", "hc2")
+_LABELLED = "([" + ", ".join("null" if x is None else f"'{x}'" for x in _LABELS) + "])[1 + cast(right(subject_id, 1) as int)]"
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = F.array(*[F.lit(x) for x in _LABELS])
+    return X.visits(spark, sf_dir).withColumn("diagnosis", F.get(labels, F.substring("subject_id", -1, 1).cast("int")))
+
+
+_PATIENTS = f"study_group <> 1 and coalesce(replace(lower(trim({_LABELLED})), '-', '_') not in ('1', 'control', 'controls', 'healthy_control', 'healthy controls', 'healthy control', 'hc', 'unaffected'), true)"
+
+
+@query("control_filter", f"select subject_id, visit from visits where {_PATIENTS}")
 def control_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.drop_controls(X.visits(spark, sf_dir)).select("subject_id", "visit")
+    return L.drop_controls(_labelled(spark, sf_dir)).select("subject_id", "visit")
 
 
-@query("flt_05_training_guard", "select count(*) n from visits where study_group <> 1")
+@query("flt_05_training_guard", f"select count(*) n from visits where {_PATIENTS}")
 def training_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = L.drop_controls(X.visits(spark, sf_dir))
+    rows = L.drop_controls(_labelled(spark, sf_dir))
     L.require_training_frame(rows, X.FEATURES, "mfars_total", allow_clinical_target=True)
     return rows.agg(F.count("*").alias("n"))
 
@@ -224,6 +241,25 @@ def choose_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(readers.choose_sheet(sheets, ["Customer#"], names=("c_name",)),)], "sheet string")
 
 
+@query("flt_13_combinations", "select * from (values ('acts', 'f_click,f_purchase'), ('looks', 'f_view'), ('acts+looks', 'f_click,f_purchase,f_view')) c(combination, features)", fixtures=False)
+def combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = N.combinations_of({"acts": ["f_click", "f_purchase"], "none": [], "looks": ["f_view"]})
+    return spark.createDataFrame([(k, ",".join(v)) for k, v in found.items()], "combination string, features string")
+
+
+_QC_NULLS = " + ".join(f"({c} is null)::int" for c in X.FEATURES)
+
+
+@query("agg_09_qc_visits", f"select 'rows' metric, '' \"key\", count(*)::double \"value\" from visits union all select 'subjects', '', count(distinct subject_id) from visits union all select 'visit', visit::varchar, count(*) from visits group by visit union all select 'missing', 'clinical', R(avg({' + '.join(f'({c} is null)::int' for c in X.CLINICAL)}) / {len(X.CLINICAL)}) from visits union all select 'missing', 'imaging', R(avg({_QC_NULLS}) / {len(X.FEATURES)}) from visits")
+def qc_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.visit_quality(X.visits(spark, sf_dir), {"clinical": X.CLINICAL, "imaging": X.FEATURES})
+
+
+@query("agg_09_qc_pairs", "select 'rows' metric, '' \"key\", count(*)::double \"value\" from pairs union all select 'pair', pair, count(*) from pairs group by pair union all select case when n = 2 then 'subjects with both' else 'subjects with one' end, '', count(*) from (select subject_id, count(distinct pair) n from pairs group by 1) group by 1")
+def qc_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.pair_quality(X.pairs(spark, sf_dir))
+
+
 @query("src_04_sheet_features")
 def sheet_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(c,) for c in readers.sheet_features(X.visits(spark, sf_dir), ("subject_id", "visit", "site"))], "feature string")
@@ -277,6 +313,14 @@ def missingness_matrix_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.missingness_matrix(X.visits(spark, sf_dir), X.FEATURES, _GROUPS)
 
 
+@query("agg_06_followup_logistic")
+def followup_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ridge logistic model of a follow-up visit from baseline values: coefficients on the standard scale, n and training accuracy."""
+    # a third visit counts if it has errors, as hardly any subject lacks one
+    fit = A.followup_model(X.visits(spark, sf_dir).where("visit < 3 or f_error > 50"), X.CLINICAL)
+    return spark.createDataFrame([(v, w, fit.intercept, fit.n, fit.accuracy) for v, w in fit.weights.items()] if fit else [], "variable string, weight double, intercept double, n long, accuracy double")
+
+
 @query("followup_missingness", f", f as (select distinct subject_id from visits where visit = 3), b as (select v.*, f.subject_id is not null has_followup from visits v left join f using (subject_id) where visit = 1), u as (select has_followup, variable, value from (select has_followup, {', '.join(X.CLINICAL)} from b) unpivot include nulls (value for variable in ({', '.join(X.CLINICAL)}))) select variable, has_followup, count(value) n, cast(sum((value is null)::int) as bigint) n_missing, R(avg(value)) mean, R(stddev_samp(value)) sd from u group by 1, 2")
 def followup_missingness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.followup_numeric(X.visits(spark, sf_dir), X.CLINICAL)
@@ -356,7 +400,17 @@ def validation_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.validation_groups(X.visits(spark, sf_dir), "subject_id")
 
 
-_BOOT = ", d as (select pair, patient_id, delta_f_view delta from pairs where delta_f_view is not null), o as (select pair, delta, row_number() over (partition by pair order by md5(patient_id), patient_id) - 1 i, count(*) over (partition by pair) n from d), k as (select distinct pair, n from o where n >= 10), w as (select k.pair, b.b, ('0x' || substr(md5('42|' || k.pair || '|' || cast(b.b as varchar) || '|' || cast(j.j as varchar)), 1, 8))::bigint % k.n i from k, (select unnest(range(100)) b) b, lateral (select unnest(range(k.n)) j) j), e as (select w.pair, w.b, avg(o.delta) / nullif(stddev_samp(o.delta), 0) dz from w join o on w.pair = o.pair and w.i = o.i group by 1, 2) select k.pair, k.n n_pairs, R(quantile_cont(dz, 0.025)) d_z_ci_low, R(quantile_cont(dz, 0.975)) d_z_ci_high from k left join e using (pair) group by 1, 2"
+def _boot_sql(source: str, key: str, unit: str, replicates: int) -> str:
+    """bc: key, n_pairs and the 95% interval of d_z over Poisson replicates; source has the key, the unit and delta."""
+    draw = "('0x' || substr(md5('42|' || bk || '|' || bu || '|' || cast(b // 8 as varchar)), 1 + 4 * (b % 8), 4))::bigint"
+    return f"""br as (select {key} bk, {unit} bu, delta from ({source}) where delta is not null),
+bw as (select bk, b, delta, len(list_filter({list(R.POISSON)}, lambda t: t <= {draw})) w from br, (select unnest(range({replicates})) b)),
+bs as (select bk, b, sum(w)::double n, sum(w * delta) s, sum(w * delta * delta) q from bw group by 1, 2),
+be as (select bk, quantile_cont(case when n > 1 and (q - s * s / n) / (n - 1) > 1e-300 then s / n / sqrt((q - s * s / n) / (n - 1)) end, [0.025, 0.975]) ci from bs group by 1),
+bc as (select bk, n_pairs, case when n_pairs >= 10 then ci[1] end low, case when n_pairs >= 10 then ci[2] end high from (select bk, count(*) n_pairs from br group by 1) left join be using (bk))"""
+
+
+_BOOT = ", " + _boot_sql("select pair, patient_id, delta_f_view delta from pairs", "pair", "patient_id", 100) + " select bk pair, n_pairs, R(low) d_z_ci_low, R(high) d_z_ci_high from bc"
 
 
 @query("bootstrap_ci_md5", _BOOT)

@@ -8,8 +8,15 @@ from pyspark.sql import functions as F
 from tideline.operators import effects as E
 from tideline.operators import reshape as S
 from tideline.plans import fixtures as X
+from tideline.operators.resample import bootstrap_effects
 from tideline.plans.registry import query
 
+
+def _boot(source: str) -> str:
+    from tideline.plans.queries_data import _boot_sql
+
+    return _boot_sql(source, "interval", "subject_id", 200)
+
 _SUMMARY = "count(delta) n_pairs, R(avg(delta)) mean_change, R(stddev_samp(delta)) sd_change, R(avg(delta) / nullif(stddev_samp(delta), 0)) d_z, R(avg(cast(case when delta > 0 then 1 else 0 end as double))) p_delta_positive"
 _RAW = _SUMMARY.replace("R(", "(")
 _D = "select a.subject_id, 'V1->V2' interval, (b.score - a.score) / nullif(b.time_years - a.time_years, 0) delta from scores a join scores b on a.subject_id = b.subject_id and a.visit = 1 and b.visit = 2 union all select a.subject_id, 'V2->V3', (b.score - a.score) / nullif(b.time_years - a.time_years, 0) from scores a join scores b on a.subject_id = b.subject_id and a.visit = 2 and b.visit = 3 union all select a.subject_id, 'V1->V3', b.score - a.score from scores a join scores b on a.subject_id = b.subject_id and a.visit = 1 and b.visit = 3"
@@ -21,6 +28,13 @@ def interval_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.interval_effects(X.scores(spark, sf_dir))
 
 
+@query("interval_effect_ci", lambda: ", " + _boot(_D) + f" select interval, {_SUMMARY}, R(any_value(low)) d_z_ci_low, R(any_value(high)) d_z_ci_high from ({_D}) join bc on bk = interval where delta is not null group by interval")
+def interval_effect_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = E.interval_deltas(X.scores(spark, sf_dir))
+    ci = bootstrap_effects(d, ["interval"], "subject_id").drop("n_pairs")
+    return d.where("delta is not null").groupBy("interval").agg(*E.summary(F.col("delta"))).join(ci, "interval", "left")
+
+
 @query("interval_effect_pooled", f"select case when grouping(interval) = 1 then 'V1->V2 + V2->V3' else interval end interval, {_SUMMARY} from ({_PD}) group by rollup(interval)")
 def interval_effect_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.adjacent_effects(X.pair_scores(spark, sf_dir))
@@ -47,6 +61,12 @@ def paired_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.two_row_deltas(X.scores(spark, sf_dir), "subject_id", drop_null=True)
 
 
+@query("agg_12_paired_t", ", p as (select arg_max(score, visit) - arg_min(score, visit) delta from scores group by subject_id having count(*) = 2) select count(delta) n, R(avg(delta) / nullif(stddev_samp(delta), 0) * sqrt(count(delta))) t, count(delta) - 1 df from p")
+def paired_t(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = E.two_row_deltas(X.scores(spark, sf_dir), "subject_id")
+    return d.agg(F.count("delta").alias("n"), (E.cohens_dz(F.col("delta")) * F.sqrt(F.count("delta"))).alias("t"), (F.count("delta") - 1).alias("df"))
+
+
 @query("agg_12_paired_ttest")
 def paired_ttest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideline.operators.kernels import t_two_sided

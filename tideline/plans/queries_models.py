@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.config import Config
+from tideline.operators import composite as O
 from tideline.operators import cv as C
 from tideline.operators import effects as E
 from tideline.operators import importance as M
@@ -84,14 +86,14 @@ def mi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("sel_08_bic_forward")
 def bic_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(L.bic_features(_deltas(spark, sf_dir), list(X.FEATURES), "adl_total"), "feature string, aic double, bic double")
+    return spark.createDataFrame(L.bic_features(_deltas(spark, sf_dir), list(X.FEATURES), "mfars_total"), "feature string, aic double, bic double")
 
 
 @query("sel_09_information_gain", _DL + ", t as (select d.*, p.delta_mfars_total y from dl d join pairs p on p.patient_id = d.pair_id), c as (select *, len(list_filter((select quantile_cont(y, [0.25, 0.5, 0.75]) from t), lambda z: z < y)) yb from t), u as (select yb, feature, value from c unpivot (value for feature in (" + ", ".join(X.FEATURES) + "))), q as (select feature, list_distinct(quantile_cont(value, [" + ", ".join(f"{k / 10}" for k in range(1, 10)) + "])) e from u group by 1), b as (select u.feature, yb, len(list_filter(q.e, lambda z: z < value)) bin from u join q using (feature)), j as (select feature, bin, yb, count(*)::double c from b group by all), p as (select feature, c / sum(c) over (partition by feature) p, sum(c) over (partition by feature, bin) / sum(c) over (partition by feature) a, sum(c) over (partition by feature, yb) / sum(c) over (partition by feature) b from j) select feature, R(sum(p * ln(p / (a * b)))) mi from p group by 1")
 def information_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tideline.operators.stability import feature_information, quantile_bin
+    from tideline.operators.stability import feature_information, with_quantile_bin
 
-    d = _deltas(spark, sf_dir).withColumn("yb", quantile_bin("mfars_total", 4))
+    d = with_quantile_bin(_deltas(spark, sf_dir), "mfars_total", "yb", 4)
     return feature_information(d, list(X.FEATURES), "yb")
 
 
@@ -137,9 +139,52 @@ def srm_grouped_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.cross_validate(X.pair_visits(spark, sf_dir), _plan("srm"))[0]
 
 
+_WHOLE = " and ".join(f"{f}_baseline is not null and {f}_followup is not null" for f in FOUR)
+_OUT = f", o as (select unnest(range(5)) o), c as (select *, ('0x' || substr(md5('42|' || subject_id), 1, 8))::bigint % 5 fold from pairs where {_WHOLE})"
+_PICKED = _OUT + f", u as (select o, pair, feature, delta from (select o, pair, {', '.join(f'delta_{f} {f}' for f in FOUR)} from c, o where fold <> o) unpivot (delta for feature in ({', '.join(FOUR)}))), g as (select o, feature, pair, avg(delta) / nullif(stddev_samp(delta), 0) d from u group by 1, 2, 3), w as (select o, feature, max(case when pair = 'V1V2' then d end) a, max(case when pair = 'V2V3' then d end) b from g group by 1, 2), k as (select *, row_number() over (partition by o order by abs(coalesce((a + b) / 2, a, b)) desc nulls last, abs(a - b) nulls last, feature) r from w) select cast(0 as int) repeat, cast(o as int) fold, string_agg(feature, ',' order by r) features from k where r <= {{k}} group by o"
+
+
+def _selected(spark: SparkSession, sf_dir: str, kind: str, k: int, method: str) -> DataFrame:
+    found = C.cross_validate(X.pair_visits(spark, sf_dir), _plan(kind, selection=method, k=k))
+    return found.selected.withColumn("features", F.array_join("features", ","))
+
+
+@query("cvr_01_selected_features", _PICKED.replace("{k}", "2"))
+def srm_selected_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _selected(spark, sf_dir, "srm", 2, "progression_univariate")
+
+
+@query("cvr_04_selected_features", _PICKED.replace("{k}", "3"))
+def lda_selected_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _selected(spark, sf_dir, "lda", 3, "progression_univariate")
+
+
+@query("cvr_02_selected_nested")
+def srm_selected_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of a nested search whose every training set selects by redundancy and relevance."""
+    return C.cross_validate(X.pair_visits(spark, sf_dir), _plan("srm", selection="progression_mrmr", k=2, candidates=C.grid(shrinkage=(0.0, 1.0)))).candidates
+
+
+_TWO = _OUT.replace(_WHOLE, "f_view_baseline is not null and f_view_followup is not null and f_click_baseline is not null and f_click_followup is not null") + """, m as (select o, avg(x) mx, stddev_pop(x) sx, avg(y) my, stddev_pop(y) sy from (select o, f_view_baseline x, f_click_baseline y from c, o where fold <> o union all select o, f_view_followup, f_click_followup from c, o where fold <> o) group by o),
+z as (select m.o, c.fold, c.patient_id, c.subject_id, (f_view_baseline - mx) / sx x1, (f_view_followup - mx) / sx x2, (f_click_baseline - my) / sy y1, (f_click_followup - my) / sy y2 from c, m),
+"""
+_TWO_END = """, w as (select o, (vq * mp - k * mq) / (vp * vq - k * k) wp, (vp * mq - k * mp) / (vp * vq - k * k) wq from s)
+select cast(0 as int) repeat, cast(o as int) fold, patient_id pair_id, subject_id subject, cast(1 as int) visit, R(x1 * wp + y1 * wq) score from z join w using (o) where fold = o union all select cast(0 as int), cast(o as int), patient_id, subject_id, cast(2 as int), R(x2 * wp + y2 * wq) from z join w using (o) where fold = o"""
+
+
+@query("cvr_01_srm_two_features", _TWO + "s as (select o, avg(x2 - x1) mp, avg(y2 - y1) mq, var_samp(x2 - x1) + 1e-6::double vp, var_samp(y2 - y1) + 1e-6::double vq, covar_samp(x2 - x1, y2 - y1) k from z where fold <> o group by o)" + _TWO_END)
+def srm_two_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.cross_validate(X.pair_visits(spark, sf_dir), C.Plan("srm", ("f_view", "f_click"))).scores
+
+
+@query("cvr_04_lda_two_features", _TWO + "v as (select o, avg(x2) - avg(x1) mp, avg(y2) - avg(y1) mq, (var_samp(x1) + var_samp(x2)) / 2 a, (var_samp(y1) + var_samp(y2)) / 2 b, (covar_samp(x1, y1) + covar_samp(x2, y2)) / 2 k from z where fold <> o group by o), s as (select o, mp, mq, k, a + 1e-3::double * (a + b) / 2 vp, b + 1e-3::double * (a + b) / 2 vq from v)" + _TWO_END)
+def lda_two_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.cross_validate(X.pair_visits(spark, sf_dir), C.Plan("lda", ("f_view", "f_click"))).scores
+
+
 @query("cvr_03_repeated_group_cv")
 def repeated_group_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    oof, _ = C.cross_validate(X.pair_visits(spark, sf_dir), _plan("srm", repeats=3))
+    oof = C.cross_validate(X.pair_visits(spark, sf_dir), _plan("srm", repeats=3)).scores
     d = oof.groupBy("repeat", "pair_id").agg((F.max_by("score", "visit") - F.min_by("score", "visit")).alias("delta"))
     return d.groupBy("repeat").agg(*E.summary(F.col("delta")))
 
@@ -169,7 +214,7 @@ def interaction_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("elasticnet_cd_cv")
 def elasticnet_cd_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = C.Plan("regression", FOUR, target="mfars_total", candidates=C.grid(alpha=(0.01, 0.1, 1.0), l1_ratio=(0.1, 0.9)), inner=3)
-    oof, _ = C.cross_validate(X.pair_visits(spark, sf_dir), plan, metric="rmse")
+    oof = C.cross_validate(X.pair_visits(spark, sf_dir), plan, metric="rmse").scores
     return E.rmse_r2(oof, "target", "score")
 
 
@@ -184,7 +229,7 @@ def held_out_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every candidate on its own held-out folds; taking the best of them is optimistic."""
     parts = []
     for k, c in enumerate(C.grid(alpha=(0.01, 1.0), l1_ratio=(0.1, 0.9))):
-        oof, _ = C.cross_validate(X.pair_visits(spark, sf_dir), C.Plan("regression", FOUR, target="mfars_total", candidates=(c,)))
+        oof = C.cross_validate(X.pair_visits(spark, sf_dir), C.Plan("regression", FOUR, target="mfars_total", candidates=(c,))).scores
         parts.append(E.rmse_r2(oof, "target", "score").select(F.lit(k).alias("candidate"), F.lit(c.alpha).alias("alpha"), F.lit(c.l1_ratio).alias("l1_ratio"), "n", "rmse", "r2"))
     out = parts[0]
     for p in parts[1:]:
@@ -196,17 +241,33 @@ def held_out_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sum of |coefficient| * value over the elastic net of the target on all rows."""
     rows = X.pair_visits(spark, sf_dir).dropna(subset=[*FOUR, "mfars_total"])
-    w, _ = K.elastic_net(gram_matrix(rows, [*FOUR, "mfars_total"])[""], 1.3, 0.0)
+    c = Config()
+    w, _ = K.elastic_net(gram_matrix(rows, [*FOUR, "mfars_total"])[""], c.alpha, c.l1_ratio)
     total = sum((F.lit(abs(float(v))) * F.col(f) for f, v in zip(FOUR, w)), F.lit(0.0))
     return rows.select("pair_id", "visit", total.alias("composite"))
 
 
+_LEFT = ", r0 as (select subject, f_view x, mfars_total y from pair_visits where f_view is not null and mfars_total is not null), q as (select quantile_cont(x, 0.25) a, quantile_cont(x, 0.75) b from r0), r as (select r0.* from r0, q where x >= a - 3 * (b - a) and x <= b + 3 * (b - a)), t as (select count(*)::double n, avg(x) cx, avg(y) cy from r), e as (select r.subject, x, y, x - cx u, y - cy v, n, cx, cy from r, t), a as (select count(*)::double n, sum(u) u, sum(v) v, sum(u * u) uu, sum(v * v) vv, sum(u * v) uv from e), o as (select subject, count(*)::double n, sum(u) u, sum(v) v, sum(u * u) uu, sum(v * v) vv, sum(u * v) uv from e group by 1), m as (select o.subject, a.n - o.n n, (a.u - o.u) / (a.n - o.n) mu, (a.v - o.v) / (a.n - o.n) mv, (a.uu - o.uu) / (a.n - o.n) uu, (a.vv - o.vv) / (a.n - o.n) vv, (a.uv - o.uv) / (a.n - o.n) uv from a, o) select e.subject, R(y) target, R(cy + mv + sqrt(vv - mv * mv) * (u - mu) / sqrt(uu - mu * mu) * ((uv - mu * mv) / sqrt(uu - mu * mu) / sqrt(vv - mv * mv)) / 2.3) prediction, cast(1.3 as double) alpha, cast(0 as double) l1_ratio from e join m using (subject)"
+
+
+@query("cvr_10_leave_one_out", _LEFT)
+def composite_leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.leave_one_subject_out(X.pair_visits(spark, sf_dir), ["f_view"], "mfars_total")
+
+
+@query("cvr_10_held_out_search")
+def composite_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidate of least error on each subject itself: an optimistic bound, and labelled so."""
+    found = O.leave_one_subject_out(X.pair_visits(spark, sf_dir), FOUR, "mfars_total", alphas=O.ALPHAS, l1_ratios=O.L1_RATIOS, scale_target=False)
+    return O.search_summary(found)
+
+
 @query("cvr_11_group_experiments")
 def group_experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LDA over feature groups and pair types, as one row each."""
     out = None
     for name, features in (("acts", ("f_click", "f_purchase")), ("all", FOUR)):
-        oof, _ = C.cross_validate(X.pair_visits(spark, sf_dir), C.Plan("lda", features))
+        oof = C.cross_validate(X.pair_visits(spark, sf_dir), C.Plan("lda", features)).scores
         part = E.adjacent_effects(oof, pooled="both").select(F.lit(name).alias("feature_group"), F.lit("lda").alias("model"), "interval", "n_pairs", "d_z")
         out = part if out is None else out.unionByName(part)
     return out

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.config import Config
 from tideline.functions import ids as I
 from tideline.operators import cv as C
 from tideline.operators import effects as E
 from tideline.operators import neural as N
 from tideline.operators import ranking as K
+from tideline.operators.importance import subgroup_importance
 from tideline.plans import fixtures as X
 from tideline.plans import merge as G
 from tideline.plans.queries_data import _CAND_SQL, _EVENT, _SETS_SQL, _cands, _sets
@@ -68,23 +70,27 @@ def best_combo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.top_k(_cands(spark), 1, [whole.desc(), F.col("mean_validation_annual_dz").desc_nulls_last(), "candidate_idx"]).select("candidate_idx")
 
 
+#: Profiles of the fixture's modulator, in its own unit.
+_PROFILES = {"few": {"adl_total": 5.0}, "some": {"adl_total": 20.0}, "many": {"adl_total": 40.0}}
+
+
 @query("imp_05_profile_importance")
 def profile_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights of the interaction model at profiles of the modulator: beta + gamma * z."""
-    from tideline.config import Config
-    from tideline.operators import kernels as L
-    from tideline.operators import moments as M
-
     features = ("f_click", "f_view")
-    plan = C.Plan("interaction", features, ("adl_total",))
-    rows = C.prepare(X.pair_visits(spark, sf_dir), plan)
-    sets = [(0, -9, -1)]  # no fold is -9: all rows train
-    scales = C._scales(rows, plan, sets)
-    w = L.constant_net(C._grams(rows, plan, sets, scales)["0/0/d"], 0.05, 0.1)
-    table = [(name, f, float(w[k] + w[len(features) + k] * z[0])) for name, z in Config().profiles for k, f in enumerate(features)]
+    plan = C.Plan("interaction", features, ("adl_total",), candidates=(C.Candidate(alpha=0.05, l1_ratio=0.1),))
+    (mean, sd), fit = C.fit_whole(X.pair_visits(spark, sf_dir), plan)
+    w = fit[0]
+    table = [(name, f, float(w[k] + w[len(features) + k] * (z["adl_total"] - mean[2]) / sd[2])) for name, z in _PROFILES.items() for k, f in enumerate(features)]
     return spark.createDataFrame(table, "profile string, feature string, weight double")
 
 
+@query("imp_05_subgroup_bootstrap")
+def subgroup_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = Config()
+    return subgroup_importance(X.pair_visits(spark, sf_dir), ("f_click", "f_view"), ("adl_total",), _PROFILES, 0.05, 0.1, c.bootstrap, c.seed)
+
+
 @query("dlt_01_fusion_cv")
 def fusion_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = C.prepare(X.pair_visits(spark, sf_dir), C.Plan("srm", ("f_click", "f_error", "f_purchase", "f_view")))

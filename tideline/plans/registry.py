@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+#: SQL is put together when it is asked for, as it may use what a module defines later.
+LATE: dict[str, Callable[[], str]] = {}
 #: Decimals of floating results; engines differ only beyond them.
 DECIMALS = 6
 
@@ -20,7 +21,7 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*[fix(c) if kinds[c] in ("double", "float") else F.col(f"`{c}`") for c in df.columns])
 
 
-def query(name: str, sql: str | None = None, fixtures: bool = True) -> Callable:
+def query(name: str, sql: str | Callable[[], str] | None = None, fixtures: bool = True) -> Callable:
     """Register a function (spark, sf_dir) -> DataFrame; ``sql`` may use the fixture views.
 
     In ``sql``, R(x) stands for the rounding that ``rounded`` does.
@@ -30,7 +31,7 @@ def query(name: str, sql: str | None = None, fixtures: bool = True) -> Callable:
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         QUERIES[name] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
         if sql is not None:
-            ORACLES[name] = _expand((SQL if fixtures else "") + sql.strip())
+            LATE[name] = lambda: _expand((SQL if fixtures else "") + (sql() if callable(sql) else sql).strip())
         return f
 
     return add
