@@ -58,6 +58,43 @@ def test_block_words_and_shingles():
             assert len(s) == (len({tuple(w[i : i + 3]) for i in range(len(w) - 2)}) if len(w) >= 3 else bool(w))
 
 
+def test_memory_follows_neither_short_texts_nor_one_long_one():
+    code = """
+import resource, numpy as np
+from tideline.llm import kernel, lang_id, line_dedup, quality
+import pyarrow as pa
+short = pa.array(["two words"] * 10_000)
+m = lang_id.Model(["a", "b"], lang_id.codewords(2), np.ones((1 << lang_id.BITS, 1), np.float32), np.ones(1))
+q = quality.Model(np.ones(quality.TERMS, np.float32), np.ones((quality.TERMS, 8), np.float32), np.ones((4000, 8), np.float32), np.ones(4000), 0.5)
+for _, raw in kernel.blocks(short, rows=kernel.COUNT_ROWS):
+    m.decode(raw); q.scores(raw)
+long = [b"lorem ipsum dolor sit. " * 2_200_000]
+kernel.shingle_sets(kernel.Block(long, kernel.SPACED), 5)
+m.decode(long)
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)
+"""
+    import subprocess
+    import sys
+
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=__file__.rsplit("/tests/", 1)[0])
+    assert int(out.stdout) < 1_000_000
+
+
+def test_lookup_of_hot_keys_equals_a_left_join(spark):
+    from tideline.llm.cluster import components, hot_keys, lookup
+
+    rows = [(k, "hot" if k % 3 == 0 else None if k % 3 == 1 else f"k{k % 50}") for k in range(3000)] + [(9000, "absent")] * 900
+    df = spark.createDataFrame(rows, "n int, key string")
+    table = spark.createDataFrame([("hot", 1, None)] + [(f"k{k}", k, "x") for k in range(40)], "key string, a int, b string")
+    hot = hot_keys(df.groupBy("key").count(), "key", share=10)
+    assert {r.key for r in hot.collect()} == {"hot", "absent"}
+    out = lookup(df, table, "key", hot, F.col("n"))
+    assert out.columns == ["n", "key", "a", "b"]
+    assert sorted(map(str, out.collect())) == sorted(map(str, df.join(table, "key", "left").select("n", "key", "a", "b").collect()))
+    star = spark.createDataFrame([(5, 1000 + k) for k in range(300)] + [(1, 5), (7, 8), (8, 8)], "a long, b long")
+    assert {r.root for r in components(star).collect()} == {1, 7} and components(star).count() == 304
+
+
 # 1 licences
 
 
@@ -149,6 +186,42 @@ def test_language_odd_rows(spark, docs, odd):
     assert lang_id.identify(docs.limit(0)).count() == 0
 
 
+def test_bit_classifiers_and_decoding_equal_a_plain_loop(docs):
+    train = docs.where("lang is not null and text is not null").select("lang", "text").limit(60)
+    m = lang_id.fit(train)
+
+    def grams(text):
+        raw, out = lang_id.prepare(text), Counter()
+        for n in lang_id.ORDERS:
+            for i in range(len(raw) - n + 1):
+                h = 0x811C9DC5 + n
+                for b in raw[i : i + n]:
+                    h = (h ^ b) * 0x9E3779B1 & 0xFFFFFFFF
+                    h ^= h >> 15
+                out[h >> (32 - lang_id.BITS)] += 1
+        return out
+
+    rows = [(r.lang, r.text, grams(r.text)) for r in train.collect()]
+    total = {lang: sum((g for x, _, g in rows if x == lang), Counter()) for lang in m.langs}
+    share = {x: np.array([(total[x][k] + 0.5) / (sum(total[x].values()) + 0.5 * 2**lang_id.BITS) for k in range(2**lang_id.BITS)]) for x in m.langs}
+    trust = []
+    for b in range(m.code.shape[1]):
+        up, down = ([share[x] for x, c in zip(m.langs, m.code[:, b]) if c == s] for s in (1, -1))
+        w = np.log(np.mean(up, axis=0)) - np.log(np.mean(down, axis=0))
+        w -= (min(x @ w for x in up) + max(x @ w for x in down)) / 2
+        assert np.allclose(m.weights[:, b], w, atol=1e-5)
+        trust.append(max(1e-3, min([x @ w for x in up] + [-(x @ w) for x in down])))
+    assert np.allclose(m.trust, np.array(trust) / sum(trust) * len(trust))
+    got = m.decode([lang_id.prepare(t) for _, t, _ in rows])
+    for (_, _, g), lang, score in zip(rows, got[0], got[1]):
+        loss = []
+        for code in m.code:
+            margins = [lang_id.SCALE * sum(n * float(m.weights[k, b]) for k, n in g.items()) / sum(g.values()) for b in range(len(trust))]
+            loss.append(sum(t * np.log1p(np.exp(-x * c)) for t, x, c in zip(m.trust, margins, code)))
+        assert m.langs[int(np.argmin(loss))] == lang
+        assert score == pytest.approx(1 / sum(np.exp(min(loss) - x) for x in loss), abs=1e-3)
+
+
 @pytest.mark.parametrize("n", [1, 2, 4, 7, 20])
 def test_codewords_differ(n):
     code = lang_id.codewords(n)
@@ -244,6 +317,49 @@ def test_distrust_goes_the_whole_way(spark):
     assert all(got[k].distrust == pytest.approx(0.15 * 0.85 ** (26 - k)) for k in range(26))
 
 
+def test_whole_verdicts_equal_brute_force(spark):
+    rng = random.Random(21)
+    hosts = [f"h{k}.net" for k in range(30)] + ["a.com", "b.com", "good.org", "example.org", "hub.net"]
+    rows = []
+    for k in range(300):
+        host = "hub.net" if k % 3 == 0 else rng.choice(hosts)
+        path = rng.choice(["/de/x", "/fr/", "/es/", "/en/1", "/"])
+        # links lead on in the list but for one pair of hosts, so rounds are few
+        on = hosts[hosts.index(host) + 1 :] + (["h28.net"] if host == "h29.net" else [])
+        links = [f'<a href="{rng.choice(("http:", "", "HTTPS:"))}//{rng.choice(on).upper()}{rng.choice(("/", "", "?q"))}">' for _ in range(rng.randrange(4)) if on]
+        rows.append((k, f"http://{host}{path}", "".join(links)))
+    edges, parsed = Counter(), {}
+    for k, url, html in rows:
+        parsed[k] = brute_rule(url)
+        for to in re.findall(r'href="[^"]*?//([^"/?#]*)', html):
+            if to.lower() != parsed[k][0]:
+                edges[parsed[k][0], to.lower()] += 1
+
+    def spread(seeds, edges):
+        out = Counter()
+        for (a, _), n in edges.items():
+            out[a] += n
+        now = {h: 0.15 * n for h, n in seeds.items()}
+        for _ in range(200):
+            then = Counter({h: 0.15 * n for h, n in seeds.items()})
+            for (a, b), n in edges.items():
+                then[b] += 0.85 * now.get(a, 0) * n / out[a]
+            now = dict(then)
+        return now
+
+    trust = spread(Counter(p[0] for p in parsed.values() if p[3] == "allow"), edges)
+    distrust = spread(Counter(p[0] for p in parsed.values() if p[3] == "block"), Counter({(b, a): n for (a, b), n in edges.items()}))
+    got = rows_of(url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id")
+    seen = Counter()
+    for k, (host, path, rule, verdict) in parsed.items():
+        t, d = trust.get(host, 0), distrust.get(host, 0)
+        want = verdict or ("block" if d > 0 and d >= url_filter.THRESHOLD * (t + d) else "allow")
+        assert (got[k].host, got[k].path, got[k].rule, got[k].verdict) == (host, path, rule, want)
+        assert (got[k].trust, got[k].distrust) == (pytest.approx(t, rel=1e-3), pytest.approx(d, rel=1e-3))
+        seen[rule is None, want] += 1
+    assert len(seen) == 4 or seen[True, "block"] + seen[True, "allow"] > 20
+
+
 def test_propagation_equals_numpy(spark):
     rng = np.random.default_rng(4)
     edges = [(f"h{a}", f"h{b}", float(w)) for a, b, w in {(int(a), int(b)): (int(a), int(b), w) for a, b, w in zip(rng.integers(0, 12, 40), rng.integers(0, 12, 40), rng.integers(1, 5, 40)) if a != b}.values()]
@@ -282,6 +398,32 @@ def test_bpe_equals_the_library(spark, docs, odd):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_long_texts_are_encoded_piece_by_piece(docs, monkeypatch):
+    path = queries.byte_bpe_path()
+    v = bpe.Vocabulary(path)
+    texts = [r.text for r in docs.limit(60).collect() if r.text] + ["中é😀 a<|endoftext|>b  c\n\n d" * 9, ""]
+    want = [bpe.Codec(v).digests(t, kept) for kept in [[]] for t in texts]
+    monkeypatch.setattr(bpe, "LONG", 40)
+    monkeypatch.setattr(bpe, "PIECE", 3)
+    codec, kept = bpe.Codec(v, remembered=20), []
+    assert [codec.digests(t, kept) for t in texts] == want
+    assert [k.count(",") + 1 if k else 0 for k in kept] == [n for n, _, _ in want] and len(codec.memo) <= 40
+
+
+def test_operators_pass_over_clashing_columns_and_empty_tables(spark, docs):
+    plain = docs.select("doc_id", "text").limit(30)
+    clash = plain.select("*", *[F.lit(k).alias(n) for k, n in enumerate(("ids", "n_tokens", "item_id", "containment", "size", "shard", "_h", "_draws", "_region", "_rack", "_bucket", "labels", "n_words", "lang", "held_out", "host"))])
+    items = spark.createDataFrame([("a", docs.first().text, 1), (None, "lorem ipsum", 2), ("a", docs.first().text, 1)], "item_id string, text string, doc_id int")
+    calls = [lambda d: bpe.encode_decode(d, queries.byte_bpe_path()), lambda d: decontaminate.find_items(d, items), shard.hash_tree_shards, license_scan.scan_licenses]
+    for call in calls:
+        assert sorted(map(str, call(clash).collect())) == sorted(map(str, call(plain).collect()))
+        assert call(clash.limit(0)).count() == 0
+    found = decontaminate.find_items(plain, items).collect()
+    assert len(found) == 2 and {r.item_id for r in found} == {"a"}
+    big = spark.createDataFrame([(2**53 + 1, docs.first().text), (None, "x")], "item_id long, text string")
+    assert {r.item_id for r in decontaminate.find_items(plain, big).collect()} >= {2**53 + 1}
+
+
 def test_bpe_fragments_rejoin():
     v = bpe.Vocabulary(queries.byte_bpe_path())
     raw = "naïve zqxj\x00\x01ÿþ🦊".encode()
@@ -439,15 +581,21 @@ def test_neighbours_odd_vectors(spark):
     for r in ann.nearest_neighbours(df, df.where("vec_id % 100 = 0")).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
     assert got == {0: [(v, 0.0) for v in (1, *range(9, 18))], 100: [(v, 5.0) for v in (0, 1, *range(9, 17))]}
+    more = spark.createDataFrame([(k, [float(k), 1.0, 2.0], 1, 2) for k in range(200, 206)], df.schema)
+    got = ann.nearest_neighbours(df.unionByName(more), more.where("vec_id = 200")).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(200 + k, float(k)) for k in range(1, 6)]
     assert ann.nearest_neighbours(df.limit(0), df).count() == 0
 
 
 def test_heap_walk_is_in_order():
     rng = np.random.default_rng(5)
     a, b = rng.random(6), rng.random(7)
-    cells = ann.walk(a, b, np.ones(42, dtype=int), 42)
-    total = [a[c // 7] + b[c % 7] for c in cells]
-    assert sorted(cells) == list(range(42)) and total == sorted(total)
+    codes = rng.permutation(42)[:30]
+    index = ann.Cells.of(codes, np.ones(30, dtype=int), 6, 7)
+    cells = index.walk(a, b, 30)
+    total = [a[index.codes[c] // 7] + b[index.codes[c] % 7] for c in cells]
+    assert sorted(cells) == list(range(30)) and total == sorted(total)
+    assert index.walk(a, b, 12) == cells[:12] and index.walk(a, b, 99) == cells
 
 
 # 8 shards
@@ -610,6 +758,33 @@ def test_quality_odd_rows(spark, docs, odd, sf):
     assert quality.score_quality(docs.limit(0), labels).count() == 0
 
 
+def test_fit_equals_brute_force(spark, docs, sf):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    known = quality.labels_for_fit(labels, "doc_id", "quality")
+    twice = docs.unionByName(docs)
+    m = quality.fit(twice, known, "doc_id", "text")
+    text = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    want = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None and zlib.crc32(str(r.doc_id).encode()) % 5 and r.doc_id in text}
+    ids = sorted(want)
+    # an id lends one text, however often it comes
+    assert m.labels.tolist() == [float(want[k]) for k in ids]
+    t = [(quality.terms([x]) > 0)[0] for x in text.values()]
+    assert np.allclose(m.idf, np.log((1 + 2 * len(t)) / (1 + 2 * np.sum(t, axis=0))) + 1, atol=1e-5)
+    x = quality._unit(np.concatenate([quality.terms([text[k]]) for k in ids]) * m.idf)
+    singular = np.linalg.svd(x, compute_uv=False)
+    kept = np.linalg.svd(x @ m.axes, compute_uv=False)
+    assert np.allclose(kept[:20], singular[:20], rtol=0.02)
+    few = quality.fit(docs, known, "doc_id", "text", voters=5)
+    assert 0 < len(few.labels) < 40
+    assert quality.fit(docs, known.limit(0), "doc_id", "text").prior == 0.5
+
+
+def test_tied_voters_share_the_last_place():
+    m = quality.Model(np.ones(quality.TERMS, np.float32), np.eye(quality.TERMS, 1, dtype=np.float32), np.ones((20, 1), np.float32), np.array([1.0] * 5 + [0.0] * 15), 0.5)
+    m.axes[:] = 1
+    assert m.scores([b"some text"])[0] == pytest.approx(0.25)
+
+
 def test_votes_equal_brute_force():
     rng = np.random.default_rng(8)
     docs = [" ".join(f"{rng.choice(['ab', 'cd', 'xyz'])}{rng.integers(9)}" for _ in range(30)).encode() for _ in range(40)]

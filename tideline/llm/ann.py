@@ -3,13 +3,17 @@
 Both halves of a vector are quantised separately, so k centroids a half make k * k
 cells. A query walks pairs of centroids in the order of their summed distance with a
 heap, until the cells that it has opened hold enough rows; those rows are ranked by
-exact distance. Every row is indexed; only the centroids are fitted on a sample.
+exact distance. Every row is indexed; only the centroids are fitted on a sample. The
+rows that a query opens grow with the square root of all rows, so queries that are a
+share of the rows cost the power 1.5 of them, not the square.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +24,10 @@ from tideline.llm.cluster import durable
 
 #: Vectors that centroids are fitted on, at most about so many.
 SAMPLE = 20_000
-#: Rows of a cell that the number of centroids aims at, and the most centroids of a half.
-CELL_ROWS, MOST = 12, 1024
-#: A query opens cells until they hold so many rows, or this share of all rows if that is more.
-OPEN, OPEN_SHARE = 6_000, 0.5
+#: Rows a centroid that a half aims at, and the most centroids of a half.
+CENTROID_ROWS, MOST = 8, 1024
+#: A query opens cells until they hold so many times the square root of the number of rows.
+OPEN = 60
 #: Rows that meet their queries in one task at a time: of neighbouring cells, or a part of one cell.
 TASK_ROWS = 16_384
 
@@ -50,22 +54,51 @@ def nearest(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
     return out
 
 
-def walk(first: np.ndarray, second: np.ndarray, counts: np.ndarray, wanted: int) -> list[int]:
-    """Cells in the order of summed distance until they hold ``wanted`` rows; empty cells are passed over."""
-    i, j = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
-    a, b = first[i], second[j]
-    heap, seen, out, held = [(a[0] + b[0], 0, 0)], {(0, 0)}, [], 0
-    while heap and held < wanted:
-        _, p, q = heapq.heappop(heap)
-        cell = int(i[p]) * len(second) + int(j[q])
-        if counts[cell]:
+@dataclass
+class Cells:
+    """Occupied cells in order of (left, right) centroid: ``begin`` bounds each left centroid's ones."""
+
+    codes: np.ndarray
+    counts: np.ndarray
+    begin: np.ndarray
+    right: np.ndarray
+
+    @classmethod
+    def of(cls, codes: np.ndarray, counts: np.ndarray, lefts: int, rights: int) -> Cells:
+        order = np.argsort(codes)
+        codes, counts = codes[order], counts[order]
+        return cls(codes, counts, np.searchsorted(codes, np.arange(lefts + 1) * rights), codes % rights)
+
+    def walk(self, first: np.ndarray, second: np.ndarray, wanted: int) -> list[int]:
+        """Numbers of cells in the order of summed distance until they hold ``wanted`` rows.
+
+        The heap holds the next cell of every left centroid that has entered; one enters
+        when its cells may come next.
+        """
+        order = np.argsort(first, kind="stable")
+        entry = (first[order] + second.min()).tolist()
+        heap: list[tuple[float, int, int, int]] = []
+        lists: dict[int, tuple[list[float], list[int]]] = {}
+        out, held, p = [], 0, 0
+        while held < wanted:
+            while p < len(entry) and (not heap or entry[p] <= heap[0][0]):
+                i = int(order[p])
+                p += 1
+                low, high = int(self.begin[i]), int(self.begin[i + 1])
+                if high > low:
+                    away = second[self.right[low:high]]
+                    near = np.argsort(away, kind="stable")
+                    lists[i] = (first[i] + away[near]).tolist(), (low + near).tolist()
+                    heapq.heappush(heap, (lists[i][0][0], lists[i][1][0], i, 0))
+            if not heap:
+                break
+            _, cell, i, k = heapq.heappop(heap)
             out.append(cell)
-            held += int(counts[cell])
-        for x in ((p + 1, q), (p, q + 1)):
-            if x[0] < len(a) and x[1] < len(b) and x not in seen:
-                seen.add(x)
-                heapq.heappush(heap, (a[x[0]] + b[x[1]], *x))
-    return out
+            held += int(self.counts[cell])
+            sums, cells = lists[i]
+            if k + 1 < len(sums):
+                heapq.heappush(heap, (sums[k + 1], cells[k + 1], i, k + 1))
+        return out
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -80,34 +113,42 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding")).where(f"vec_id is not null and {whole}")
 
 
-def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", open_rows: int = OPEN, open_share: float = OPEN_SHARE, task_rows: int = TASK_ROWS) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", open_rows: int | None = None, task_rows: int = TASK_ROWS) -> DataFrame:
     """The k nearest rows found for each query, its own id left out.
 
     Distance is Euclidean in double precision. Returns query_id, rank (from 1), vec_id
     and score (the distance), nearest first, ties to the smaller id. Vectors that are
-    null, zero, or hold a null or non-finite component take no part, nor do those of
-    another length than the commonest. Of rows with equal vectors the k + 1 smallest
-    ids are indexed: no other can be among the k nearest. Rows that share an id and
-    their vector count once; a query that shares an id with other vectors is asked
-    for each and reported by its nearest rows. With no more rows than ``open_rows``
-    the result is exact.
+    null, zero, or hold a null or non-finite component take no part; vectors of each
+    length have an index of their own, since no distance joins two lengths. Of rows with
+    equal vectors the k + 1 smallest ids are indexed: no other can be among the k nearest.
+    Rows that share an id and their vector count once; a query that shares an id with
+    other vectors is asked for each and reported by its nearest rows. An empty table gives
+    no rows; other columns are not read. A query opens ``open_rows`` rows, by default OPEN
+    times the square root of their number; where that is all of them, the result is exact.
     """
     spark = vectors.sparkSession
-    schema = "query_id long, rank int, vec_id long, score double"
-    rows = usable(vectors, id_col, vector_col)
-    lengths = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    if not lengths:
-        return spark.createDataFrame([], schema)
-    d, half = lengths[0].d, (lengths[0].d + 1) // 2
-    rows = rows.where(F.size("embedding") == d)
+    rows, asked = usable(vectors, id_col, vector_col), usable(queries, id_col, vector_col)
     same = Window.partitionBy("_h", "embedding").orderBy("vec_id")
-    distinct = rows.withColumn("_h", F.xxhash64("embedding")).withColumn("_n", F.dense_rank().over(same)).where(F.col("_n") <= k + 1).select("vec_id", "embedding", "_h")
-    distinct = durable(distinct.dropDuplicates(["vec_id", "_h"]))
-    total = distinct.count()
+    distinct = rows.withColumn("_h", F.xxhash64("embedding")).withColumn("_n", F.dense_rank().over(same)).where(F.col("_n") <= k + 1)
+    distinct = durable(distinct.select("vec_id", "embedding", "_h").dropDuplicates(["vec_id", "_h"]))
+    found = None
+    for d, total in sorted((r.d, r["count"]) for r in distinct.groupBy(F.size("embedding").alias("d")).count().collect()):
+        part = _search(distinct.where(F.size("embedding") == d), asked.where(F.size("embedding") == d), d, total, k, math.ceil(OPEN * math.sqrt(total)) if open_rows is None else open_rows, task_rows)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _search(distinct: DataFrame, asked: DataFrame, d: int, total: int, k: int, wanted: int, task_rows: int) -> DataFrame:
+    """query_id, vec_id and score of the k nearest rows of each part of the index that a query opens; vectors have d components."""
+    spark, half = distinct.sparkSession, (d + 1) // 2
     share = min(1.0, SAMPLE / total)
     sample = distinct.where(F.pmod("_h", F.lit(1 << 20)) < int(np.ceil(share * (1 << 20)))).orderBy("vec_id", "_h").select("embedding").toArrow()
     x = _matrix(sample.column(0).combine_chunks()) if sample.num_rows else np.zeros((1, d))
-    wide = int(np.clip(round(np.sqrt(total / CELL_ROWS)), 1, MOST))
+    wide = int(np.clip(total // CENTROID_ROWS, 1, MOST))
     left, right = kmeans(x[:, :half], wide), kmeans(x[:, half:], wide) if half < d else np.zeros((1, 0))
     books = spark.sparkContext.broadcast((left, right))
 
@@ -120,29 +161,27 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_c
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell, pa.int64()), pa.array([r.tobytes() for r in m], pa.binary())], names=["vec_id", "cell", "vector"])
 
     indexed = durable(distinct.select("vec_id", "embedding").mapInArrow(encode, "vec_id long, cell long, vector binary"))
-    # one number a cell, and no more than MOST * MOST cells
-    sizes = np.zeros(len(left) * len(right), dtype=np.int64)
-    for r in indexed.groupBy("cell").count().collect():
-        sizes[r["cell"]] = r["count"]
+    # one number an occupied cell, and no more than MOST * MOST cells
+    sizes = indexed.groupBy("cell").count().toArrow()
+    index = Cells.of(sizes["cell"].to_numpy(), sizes["count"].to_numpy(), len(left), len(right))
     # neighbouring cells share a group while they fit into a task; a larger cell is a group in several parts
-    group, held, now = np.zeros(len(sizes), dtype=np.int64), 0, 0
-    for cell, n in enumerate(sizes.tolist()):
+    group, held, now = np.zeros(len(index.codes), dtype=np.int64), 0, 0
+    for cell, n in enumerate(index.counts.tolist()):
         if held and held + n > task_rows:
             held, now = 0, now + 1
         group[cell] = now
         held += n
-    parts = np.maximum(1, -(-np.bincount(group, weights=sizes).astype(np.int64) // task_rows))
-    shared = spark.sparkContext.broadcast((sizes, group, parts))
-    wanted = max(open_rows, int(total * open_share))
+    parts = np.maximum(1, -(-np.bincount(group, weights=index.counts).astype(np.int64) // task_rows))
+    shared = spark.sparkContext.broadcast((index, group, parts))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (one, two), (counts, grouped, pieces) = books.value, shared.value
+        (one, two), (cells_of, grouped, pieces) = books.value, shared.value
         for batch in batches:
             m = _matrix(batch.column(1))
             for at in range(0, len(m), 64):
                 out = []
                 for key, v in zip(batch.column(0)[at : at + 64].to_pylist(), m[at : at + 64]):
-                    cells = np.array(walk(((one - v[:half]) ** 2).sum(axis=1), ((two - v[half:]) ** 2).sum(axis=1), counts, wanted), dtype=np.int64)
+                    cells = np.array(cells_of.walk(((one - v[:half]) ** 2).sum(axis=1), ((two - v[half:]) ** 2).sum(axis=1), wanted), dtype=np.int64)
                     own = grouped[cells]
                     for g in np.unique(own).tolist():
                         opened = np.sort(cells[own == g]).tobytes()
@@ -151,15 +190,15 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_c
                     columns = list(zip(*out))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["vec_id", "grp", "part", "vector", "cells"])
 
-    asked = usable(queries, id_col, vector_col).where(F.size("embedding") == d)
     probes = asked.mapInArrow(probe, "vec_id long, grp long, part int, vector binary, cells binary").withColumn("asks", F.lit(1)).withColumn("cell", F.lit(0).cast("long"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, grouped, pieces = shared.value
+        cells_of, grouped, pieces = shared.value
         for batch in batches:
-            g = grouped[batch.column(1).to_numpy()]
+            cell = np.searchsorted(cells_of.codes, batch.column(1).to_numpy())
+            g = grouped[cell]
             part = (batch.column(0).to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % pieces[g]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(g), pa.array(part, pa.int32())], names=["vec_id", "cell", "vector", "grp", "part"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell, pa.int64()), batch.column(2), pa.array(g), pa.array(part, pa.int32())], names=["vec_id", "cell", "vector", "grp", "part"])
 
     dealt = indexed.mapInArrow(place, "vec_id long, cell long, vector binary, grp long, part int").withColumn("asks", F.lit(0)).withColumn("cells", F.lit(None).cast("binary"))
     together = dealt.unionByName(probes).repartition("grp", "part").sortWithinPartitions("grp", "part", "asks")
@@ -203,6 +242,4 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_c
         if out:
             yield found()
 
-    found = together.mapInArrow(rank, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return together.mapInArrow(rank, "query_id long, vec_id long, score double")

@@ -8,8 +8,10 @@ their ids concatenated.
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import heapq
+import itertools
 import json
 from collections.abc import Iterator
 
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens in each of the two generations that a worker remembers (about 80 MB).
 REMEMBERED = 100_000
+#: Characters of a text beyond which its pre-tokens are taken so many at a time.
+LONG, PIECE = 1_000_000, 100_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -142,7 +146,7 @@ class Codec:
         import regex
 
         self.vocabulary, self.remembered, self.memo = vocabulary, remembered, Memo(vocabulary)
-        self.split = regex.compile(PATTERN).findall
+        self.split, self.each = regex.compile(PATTERN).findall, regex.compile(PATTERN).finditer
         self.part = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
 
     def pretokens(self, text: str) -> list[str]:
@@ -150,17 +154,45 @@ class Codec:
             return self.split(text)
         return [t for k, piece in enumerate(self.part.split(text)) if piece for t in ([piece] if k % 2 else self.split(piece))]
 
-    def run(self, text: str) -> tuple[str, bytes]:
-        """The ids in decimal, joined by commas, and the bytes that they decode to."""
-        if len(self.memo) > self.remembered:
-            new = Memo(self.vocabulary)
-            new.old = (self.memo, self.memo.back)
-            self.memo.old = ({}, {})
-            self.memo = new
-        tokens, memo = self.pretokens(text), self.memo
-        ids = ",".join([memo[t] for t in tokens])
-        back = memo.back
-        return ids, b"".join([back[t] for t in tokens])
+    def pieces(self, text: str) -> Iterator[list[str]]:
+        """The pre-tokens of a text, those of a long one in several lists."""
+        if len(text) <= LONG:
+            yield self.pretokens(text)
+            return
+        for k, part in enumerate(self.part.split(text) if self.part else [text]):
+            tokens = iter([part] if part else []) if k % 2 else (m.group() for m in self.each(part))
+            while piece := list(itertools.islice(tokens, PIECE)):
+                yield piece
+
+    def run(self, text: str) -> Iterator[tuple[str, bytes]]:
+        """The ids in decimal, joined by commas, and the bytes that they decode to, piece by piece."""
+        for tokens in self.pieces(text):
+            if len(self.memo) > self.remembered:
+                new = Memo(self.vocabulary)
+                new.old = (self.memo, self.memo.back)
+                self.memo.old = ({}, {})
+                self.memo = new
+            memo = self.memo
+            ids = ",".join([memo[t] for t in tokens])
+            back = memo.back
+            yield ids, b"".join([back[t] for t in tokens])
+
+    def digests(self, text: str, kept: list[str] | None = None) -> tuple[int, str, str]:
+        """Number of ids and SHA-256 of the ids and of the decoded text; ``kept`` gets the ids if given."""
+        n, one, two = 0, hashlib.sha256(), hashlib.sha256()
+        decode = codecs.getincrementaldecoder("utf-8")("replace").decode
+        whole = []
+        for ids, back in self.run(text):
+            if ids:
+                one.update(("," + ids if n else ids).encode())
+                n += ids.count(",") + 1
+                if kept is not None:
+                    whole.append(ids)
+            two.update(decode(back).encode())
+        two.update(decode(b"", True).encode())
+        if kept is not None:
+            kept.append(",".join(whole))
+        return n, one.hexdigest(), two.hexdigest()
 
 
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
@@ -171,7 +203,9 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     text become those tokens, as in the library. Returns doc_id, n_tokens, ids
     (decimal, comma-joined; left out unless with_ids), ids_sha256 and decoded_sha256.
     A null text is an empty one: no tokens. Repeated rows are encoded alike; other
-    columns are not read. No shuffle.
+    columns are not read; an empty table gives no rows. Of merges of equal rank the
+    leftmost comes first, as in the library. A long text is encoded piece by piece and
+    its pre-tokens are forgotten like those of others. No shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
 
@@ -180,12 +214,10 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         for batch in batches:
             n, text, one, two = [], [], [], []
             for value in batch.column(1):
-                ids, back = codec.run(value.as_py() or "")
-                n.append(ids.count(",") + 1 if ids else 0)
-                if with_ids:
-                    text.append(ids)
-                one.append(hashlib.sha256(ids.encode()).hexdigest())
-                two.append(hashlib.sha256(back.decode("utf-8", "replace").encode()).hexdigest())
+                count, ids, back = codec.digests(value.as_py() or "", text if with_ids else None)
+                n.append(count)
+                one.append(ids)
+                two.append(back)
             columns = {"doc_id": batch.column(0), "n_tokens": pa.array(n, pa.int64())} | ({"ids": pa.array(text, pa.string())} if with_ids else {}) | {"ids_sha256": pa.array(one, pa.string()), "decoded_sha256": pa.array(two, pa.string())}
             yield pa.RecordBatch.from_pydict(columns)
 
