@@ -272,9 +272,37 @@ def test_network_gradient_and_antisymmetry():
         flat[0] = old
         assert (g1[k] + g2[k]).reshape(-1)[0] == pytest.approx((up - down) / 2e-5, rel=1e-3, abs=1e-6)
     assert N.loss(np.array([1.0]))[0] == 0.0
-    trained = N.train(N.Network(((0, 1, 2),), epochs=30), a, a + 0.5, [f"s{k}" for k in range(20)])
-    d = N.forward(N.Network(((0, 1, 2),)), trained, a + 0.5)[0] - N.forward(N.Network(((0, 1, 2),)), trained, a)[0]
-    assert d.mean() > 0
+    # sums over parts of the rows give the gradient of the whole
+    parts = [N.change_sums(net, p, a[k : k + 7], b[k : k + 7]) for k in (0, 7, 14)]
+    whole = N.whole_gradient(p, {k: sum(x[k] for x in parts) for k in parts[0]})
+    assert all(np.allclose(whole[k], g1[k] + g2[k]) for k in p)
+
+
+def test_networks_train_like_a_serial_loop(spark, sf):
+    from tideline.operators import neural as N
+    from tideline.operators.resample import hash_fold
+
+    net = N.Network(((0, 1), (2,)), epochs=6, patience=2)
+    plan = C.Plan("srm", ("f_click", "f_view", "f_error"))
+    prepared = C.prepare(X.pair_visits(spark, sf.replace("0.001", "0.01")), plan)
+    got = {(r.pair_id, r.visit): r.score for r in N.network_cv(prepared, net).collect()}
+    rows = prepared.withColumn("v", hash_fold(F.col("subject"), 1000, net.seed) < 200).collect()
+    a, b, fold, held = (np.array([x[i] for x in ((r.a, r.b, r.outer[0], r.v) for r in rows)]) for i in range(4))
+    assert len(got) == 2 * len(rows)
+    for o in range(5):
+        t = fold != o
+        both = np.concatenate([a[t], b[t]])
+        za, zb = (a - both.mean(axis=0)) / both.std(axis=0), (b - both.mean(axis=0)) / both.std(axis=0)
+        now = N.Training.of(net)
+        for _ in range(net.epochs):
+            (s1, k1), (s2, k2) = N.forward(net, now.p, za[t & ~held]), N.forward(net, now.p, zb[t & ~held])
+            _, g = N.loss(s2 - s1)
+            g1, g2 = N.backward(net, now.p, k1, -g), N.backward(net, now.p, k2, g)
+            now.step(net, {k: g1[k] + g2[k] for k in now.p})
+            if not now.judge(net, N.loss(N.forward(net, now.p, zb[t & held])[0] - N.forward(net, now.p, za[t & held])[0])[0]):
+                break
+        for k in np.flatnonzero(~t):
+            assert got[rows[k].pair_id, 2] == pytest.approx(N.forward(net, now.best, zb[k : k + 1])[0][0], abs=1e-6)
 
 
 def test_equal_visits_have_no_effect(spark, sf):

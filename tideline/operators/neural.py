@@ -4,7 +4,9 @@ A network is a list of branches, each two linear layers with a ReLU between, fus
 one linear layer to a score; an absent branch counts as zeros. The pair model is the
 fusion of one branch: its output is score(visit 2) - score(visit 1), so it is
 antisymmetric. Training minimises -mean / (sd + eps) of the score changes over all
-pairs at once. One fold trains in one task, on a row of features a visit.
+pairs at once. The gradient of that in a change is linear in the change, so two sums of
+gradients over the rows, wherever they are, give that of the whole: an epoch is one scan
+for all folds, and no task sees more than a batch.
 """
 
 from __future__ import annotations
@@ -17,6 +19,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.operators import moments as M
+from tideline.operators.lineage import kept
+from tideline.operators.resample import hash_fold
+
 EPS = 1e-6
 
 
@@ -81,53 +87,130 @@ def loss(delta: np.ndarray) -> tuple[float, np.ndarray]:
     return -mean / spread, -(1 / n) / spread + mean / spread**2 * slope
 
 
-def train(net: Network, one: np.ndarray, two: np.ndarray, groups: Sequence[str]) -> dict[str, np.ndarray]:
-    """Full-batch Adam with early stopping on a share of the groups; the best parameters seen."""
-    names = np.array(sorted(set(groups)))
-    np.random.default_rng(net.seed).shuffle(names)
-    held = np.isin(np.asarray(groups), names[: max(1, round(len(names) * net.validation))])
-    p = start(net)
-    m, v = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
-    best, kept, waited = np.inf, {k: x.copy() for k, x in p.items()}, 0
-    for t in range(1, net.epochs + 1):
-        s1, k1 = forward(net, p, one[~held])
-        s2, k2 = forward(net, p, two[~held])
-        _, g = loss(s2 - s1)
-        g1, g2 = backward(net, p, k1, -g), backward(net, p, k2, g)
-        for k in p:
-            d = g1[k] + g2[k] + net.decay * p[k]
-            m[k], v[k] = 0.9 * m[k] + 0.1 * d, 0.999 * v[k] + 0.001 * d * d
-            p[k] = p[k] - net.rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
-        now, _ = loss(forward(net, p, two[held])[0] - forward(net, p, one[held])[0])
-        if now < best - 1e-6:
-            best, kept, waited = now, {k: x.copy() for k, x in p.items()}, 0
-        elif (waited := waited + 1) >= net.patience:
-            break
-    return kept
+@dataclass
+class Training:
+    """Parameters of one fold on their way, with Adam's averages and the best ones so far."""
+
+    p: dict[str, np.ndarray]
+    m: dict[str, np.ndarray]
+    v: dict[str, np.ndarray]
+    best: dict[str, np.ndarray]
+    least: float = np.inf
+    waited: int = 0
+    steps: int = 0
+
+    @classmethod
+    def of(cls, net: Network) -> Training:
+        p = start(net)
+        return cls(p, {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, {k: x.copy() for k, x in p.items()})
+
+    def step(self, net: Network, gradient: dict[str, np.ndarray]) -> None:
+        self.steps += 1
+        for k in self.p:
+            d = gradient[k] + net.decay * self.p[k]
+            self.m[k], self.v[k] = 0.9 * self.m[k] + 0.1 * d, 0.999 * self.v[k] + 0.001 * d * d
+            self.p[k] = self.p[k] - net.rate * (self.m[k] / (1 - 0.9**self.steps)) / (np.sqrt(self.v[k] / (1 - 0.999**self.steps)) + 1e-8)
+
+    def judge(self, net: Network, value: float) -> bool:
+        """Keep the parameters if validation is better; False once it has not been for too long."""
+        if value < self.least - 1e-6:
+            self.least, self.best, self.waited = value, {k: x.copy() for k, x in self.p.items()}, 0
+        else:
+            self.waited += 1
+        return self.waited < net.patience
+
+
+def change_sums(net: Network, p: dict[str, np.ndarray], one: np.ndarray, two: np.ndarray) -> dict[str, np.ndarray]:
+    """Of some pairs: n, sum and sum of squares of the changes, and the sums of their gradients, plain and times the change."""
+    (s1, k1), (s2, k2) = forward(net, p, one), forward(net, p, two)
+    d = s2 - s1
+    out = {"d": np.array([len(d), d.sum(), (d * d).sum()])}
+    for name, g in (("plain", np.ones(len(d))), ("times", d)):
+        up, down = backward(net, p, k2, g), backward(net, p, k1, g)
+        out |= {f"{name}/{k}": (up[k] - down[k]).ravel() for k in p}
+    return out
+
+
+def _value(d: np.ndarray) -> tuple[float, float, float]:
+    """-mean / (sd + eps) from n, sum and sum of squares, and its gradient in a change as (plain, times the change)."""
+    n = d[0]
+    if n < 2:
+        return 0.0, 0.0, 0.0
+    mean = d[1] / n
+    sd = np.sqrt(max((d[2] - n * mean * mean) / (n - 1), 0.0))
+    spread = sd + EPS
+    times = mean / spread**2 / ((n - 1) * sd) if sd > 0 else 0.0
+    return -mean / spread, -(1 / n) / spread - times * mean, times
+
+
+def whole_gradient(p: dict[str, np.ndarray], sums: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The gradient of the loss of all pairs from their summed ``change_sums``."""
+    _, plain, times = _value(sums["d"])
+    return {k: (plain * sums[f"plain/{k}"] + times * sums[f"times/{k}"]).reshape(x.shape) for k, x in p.items()}
 
 
 def network_cv(pairs: DataFrame, net: Network, folds: int = 5) -> DataFrame:
     """Out-of-fold scores (pair_id, subject, visit, score) of pairs as ``cv.prepare`` makes them.
 
-    A fold's task holds the whole table, standardised by its training rows; the study's
-    pairs are few beside its events, and a pass of gradients needs them all.
+    Each fold is standardised by its training rows and stops early by a share of their
+    subjects, chosen by hash. All folds train together, one scan an epoch.
     """
-    tasks = pairs.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
-
-    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pair_id")
-        a, b = np.stack(rows["a"].to_numpy()).astype(float), np.stack(rows["b"].to_numpy()).astype(float)
-        test = np.array([o[0] for o in rows["outer"]]) == key[0]
-        if test.all() or not test.any():
-            return pd.DataFrame({"pair_id": [], "subject": [], "visit": [], "score": []})
-        both = np.concatenate([a[~test], b[~test]])
-        mean, sd = both.mean(axis=0), both.std(axis=0)
-        a, b = ((x - mean) / np.where(sd > 0, sd, 1) for x in (a, b))
-        p = train(net, a[~test], b[~test], rows["subject"].to_numpy()[~test])
-        out = [pd.DataFrame({"pair_id": rows["pair_id"].to_numpy()[test], "subject": rows["subject"].to_numpy()[test], "visit": v, "score": forward(net, p, x[test])[0]}) for v, x in ((1, a), (2, b))]
-        return pd.concat(out)
-
-    return tasks.groupBy("fold").applyInPandas(fold, "pair_id string, subject string, visit int, score double")
+    rows = kept(pairs.select("pair_id", "subject", "a", "b", F.col("outer")[0].alias("_o"), (hash_fold(F.col("subject"), 1000, net.seed) < round(1000 * net.validation)).alias("_v")))
+
+    def arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        return np.stack(pdf["a"].to_numpy()).astype(float), np.stack(pdf["b"].to_numpy()).astype(float), pdf["_o"].to_numpy(), pdf["_v"].to_numpy(bool)
+
+    def moments(pdf: pd.DataFrame, centre: np.ndarray | float = 0.0) -> dict[str, np.ndarray]:
+        a, b, fold, _ = arrays(pdf)
+        out = {}
+        for o in range(folds):
+            x = np.concatenate([a[fold != o], b[fold != o]]) - centre
+            out[str(o)] = np.concatenate([[len(x), (fold == o).sum()], x.sum(axis=0), (x * x).sum(axis=0)])
+        return out
+
+    first = M.sums(rows, moments, small=True)
+    width = (max((len(v) for v in first.values()), default=2) - 2) // 2
+    total = sum(first.values(), np.zeros(2 + 2 * width))
+    centre = total[2 : 2 + width] / max(total[0], 1)
+    scales, live = {}, {}
+    # squares are summed around the mean of all rows
+    for o, v in M.sums(rows, lambda pdf: moments(pdf, centre), small=True).items():
+        if v[0] and v[1]:
+            mean = v[2 : 2 + width] / v[0]
+            sd = np.sqrt(np.maximum(v[2 + width :] / v[0] - mean**2, 0))
+            scales[int(o)], live[int(o)] = (centre + mean, np.where(sd > 0, sd, 1.0)), Training.of(net)
+    done: dict[int, Training] = {}
+    for epoch in range(net.epochs + 1):
+
+        def part(pdf: pd.DataFrame, now: dict = {o: t.p for o, t in live.items()}) -> dict[str, np.ndarray]:  # noqa: B006
+            a, b, fold, held = arrays(pdf)
+            out = {}
+            for o, p in now.items():
+                mean, sd = scales[o]
+                for name, m in (("train", (fold != o) & ~held), ("held", (fold != o) & held)):
+                    sums = change_sums(net, p, (a[m] - mean) / sd, (b[m] - mean) / sd)
+                    out |= {f"{o}/{name}/{k}": v for k, v in sums.items() if name == "train" or k == "d"}
+            return out
+
+        found = M.sums(rows, part, small=True) if live else {}
+        for o, t in list(live.items()):
+            # the scan has the validation of the step before and the gradient of the next
+            if epoch and not t.judge(net, _value(found[f"{o}/held/d"])[0]):
+                done[o] = live.pop(o)
+            elif epoch < net.epochs:
+                own = f"{o}/train/"
+                t.step(net, whole_gradient(t.p, {k.removeprefix(own): v for k, v in found.items() if k.startswith(own)}))
+    fitted = {o: t.best for o, t in (done | live).items()}
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            a, b, fold, _ = arrays(pdf)
+            for o, p in fitted.items():
+                m = fold == o
+                for v, x in ((1, a), (2, b)):
+                    yield pd.DataFrame({"pair_id": pdf["pair_id"].to_numpy()[m], "subject": pdf["subject"].to_numpy()[m], "visit": v, "score": forward(net, p, (x[m] - scales[o][0]) / scales[o][1])[0]})
+
+    return rows.mapInPandas(score, "pair_id string, subject string, visit int, score double")
 
 
 def network_scores(df: DataFrame, net: Network, p: dict[str, np.ndarray], columns: Sequence[str], keep: Sequence[str]) -> DataFrame:

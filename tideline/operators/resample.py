@@ -60,6 +60,12 @@ def validation_groups(df: DataFrame, group: str, share: float = 0.2, seed: int =
     return g.join(chosen, group, "left").select(group, F.coalesce("_v", F.lit(False)).alias("validation"))
 
 
+def sample_rows(df: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
+    """At most k rows without replacement: those of least md5 of seed and key."""
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
+    return df.orderBy(h, key).limit(max(0, k))
+
+
 def shared_groups(df: DataFrame, group: str, fold: str) -> DataFrame:
     """Groups that stand in more than one fold of a repeat; empty where folds are disjoint."""
     return df.groupBy("repeat", group).agg(F.count_distinct(fold).alias("folds")).where("folds > 1")

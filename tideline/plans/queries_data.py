@@ -395,6 +395,18 @@ def logo_dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.leave_one_out(X.pairs(spark, sf_dir), "subject_id").agg(F.count("*").alias("groups"))
 
 
+@query("spl_08_sampled_rows", "select patient_id from pairs order by md5('42|' || patient_id), patient_id limit 25")
+def sampled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.sample_rows(X.pairs(spark, sf_dir), "patient_id", 25).select("patient_id")
+
+
+@query("spl_05_shared_subjects", ", f as (select subject_id, pair, case when pair = 'V1V2' then 0 else ('0x' || substr(md5('42|' || subject_id), 1, 8))::bigint % 5 end fold from pairs) select subject_id, count(distinct fold) folds from f group by 1 having count(distinct fold) > 1")
+def shared_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subjects that a careless split (first pairs into fold 0) puts into several folds."""
+    p = X.pairs(spark, sf_dir).select("subject_id", F.lit(0).alias("repeat"), F.when(F.col("pair") == "V1V2", 0).otherwise(R.hash_fold(F.col("subject_id"), 5)).alias("fold"))
+    return R.shared_groups(p, "subject_id", "fold").select("subject_id", "folds")
+
+
 @query("spl_04_validation_groups", ", g as (select subject_id, row_number() over (order by md5('42|' || subject_id), subject_id) r, count(*) over () n from (select distinct subject_id from visits)) select subject_id, r <= greatest(1, round_even(n * 0.2, 0)) validation from g")
 def validation_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.validation_groups(X.visits(spark, sf_dir), "subject_id")
