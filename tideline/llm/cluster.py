@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideline.operators.lineage import kept as durable
+from tideline.operators.lineage import shared_folder
+
+__all__ = ["HOT", "components", "durable", "free_name", "hot_keys", "lookup", "shared_folder"]
+
 #: A key is hot if it holds more than one in so many rows. So there are never more hot keys than this.
 HOT = 1024
 
@@ -20,30 +22,6 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names.
-
-    Only a session on one machine (a test) that names none gets a folder of its own.
-    """
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None and not context._jsc.sc().getCheckpointDir().isDefined():
-        if not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tideline-"))
-    return (named or context._jsc.sc().getCheckpointDir().get()).rstrip("/")
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` computed once, written to the shared folder and read from there.
-
-    A written table has a plan of its own with its true size, so rounds may follow one another.
-    """
-    path = f"{shared_folder(df.sparkSession)}/tideline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def hot_keys(counts: DataFrame, key: str, n: str = "count", share: int = HOT) -> DataFrame:
     """Of (key, n), the keys with more than one in ``share`` of all: fewer than ``share``, so they may be broadcast."""
     total = counts.agg(F.sum(n)).first()[0] or 0
