@@ -101,6 +101,15 @@ class Cells:
         return out
 
 
+def distances(rows: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows, squares added component by component in their order."""
+    squares = (rows - to) ** 2
+    total = squares[:, 0].copy()
+    for j in range(1, squares.shape[1]):
+        total += squares[:, j]
+    return np.sqrt(total)
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     """Rows of equal length as doubles."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -216,7 +225,7 @@ def _search(distinct: DataFrame, asked: DataFrame, d: int, total: int, k: int, w
                 state["m"], state["i"], state["c"] = np.frombuffer(b"".join(held)).reshape(len(ids), d)[order], np.array(ids)[order], np.array(cells)[order]
             at = np.minimum(np.searchsorted(opened, state["c"]), len(opened) - 1)
             seen = np.flatnonzero((opened[at] == state["c"]) & (state["i"] != key))
-            away = np.sqrt(((state["m"][seen] - np.frombuffer(raw)) ** 2).sum(axis=1))
+            away = distances(state["m"][seen], np.frombuffer(raw))
             near = np.flatnonzero(away <= np.partition(away, k - 1)[k - 1]) if len(away) > k else np.arange(len(away))
             near = near[np.lexsort((state["i"][seen[near]], away[near]))][:k]
             out.extend((key, int(state["i"][seen[p]]), float(away[p])) for p in near)

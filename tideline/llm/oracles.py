@@ -38,6 +38,15 @@ p as (select doc_id, size, text_crc32, cast(numbers[region + 1][rack + 1][{_LEAS
 select doc_id, size, text_crc32, 'key' law, shard, row_number() over (partition by shard order by md5(cast(doc_id as varchar) || '/' || cast(text_crc32 as varchar)), doc_id, text_crc32, size) - 1 slot, case when new then cast(24 as int) else shard end grown_shard from p
 """
 
+#: The exact answer, which op7 gives on tables of up to OPEN ** 2 rows, as a query opens all of them.
+NEIGHBOURS = """
+with v as (select vec_id, embedding::double[] e from embeddings where vec_id is not null and len(embedding) > 0
+  and len(list_filter(embedding, lambda x: coalesce(isnan(x) or isinf(x), true))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+d as (select q.vec_id query_id, v.vec_id, sqrt(list_reduce(list_transform(range(1, len(q.e) + 1), lambda k: (v.e[k] - q.e[k]) * (v.e[k] - q.e[k])), lambda a, b: a + b)) score
+  from v q join v on q.vec_id % 100 = 0 and v.vec_id <> q.vec_id and len(v.e) = len(q.e))
+select query_id, cast(row_number() over (partition by query_id order by score, vec_id) as int) rank, vec_id, score from d qualify rank <= 10
+"""
+
 JACCARD = f"""
 with recursive d as (select doc_id, regexp_extract_all({_LOWERED}, '{_SPACED}') w from documents),
 s as (select doc_id, case when len(w) = 0 then []::varchar[] else list_distinct(list_transform(range(greatest(len(w) - 2, 1)), lambda k: array_to_string(w[k + 1 : k + 3], ' '))) end g from d),
