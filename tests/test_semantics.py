@@ -110,6 +110,9 @@ def test_sources_and_sinks(spark, tmp_path):
     assert clean.where("x is null").count() == 1 and clean.where("t is null").count() == 2
     path = sinks.write_table(df.select("id", "x"), str(tmp_path / "t.csv"), "csv")
     assert readers.read_table(spark, path).columns == ["id", "x"]
+    both = sinks.write_cohorts(clean.withColumn("subject", F.lit("s")).withColumn("b", F.lit(2)), str(tmp_path / "cohorts"), "id", {"a": "^A", "b": "^B"}, first=["x", "id"])
+    assert {n: readers.read_table(spark, p).columns for n, p in both.items()} == {"a": ["id", "x", "b"], "b": ["id", "b"], "combined": ["id", "x", "b"]}
+    assert {"python", "pyspark", "numpy", "at"} <= set(sinks.provenance())
     parts = sinks.split_cohorts(clean, "id", {"a": "^A", "b": "^B"})
     assert parts["a"].columns == ["id", "x"] and parts["b"].columns == ["id"]
     saved = sinks.save_bundle(str(tmp_path / "run"), {"k": 1}, {"d": 0.5}, {"oof": df.select("id"), "none": None})

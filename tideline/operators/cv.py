@@ -128,7 +128,8 @@ def _scaled(plan: Plan, x: np.ndarray, scale: tuple[np.ndarray, np.ndarray], cli
     return _design(plan, np.clip(z, -clip, clip))
 
 
-def _scales(rows: DataFrame, plan: Plan, sets: list) -> dict:
+def scales_of(rows: DataFrame, plan: Plan, sets: list) -> dict:
+    """Means and spreads of features and modulators in each training set; no spread counts as 1."""
     q = len(plan.features) + len(plan.modulators)
 
     def sums(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
@@ -334,7 +335,7 @@ def _summaries(plan: Plan, sets: list, seen: pd.DataFrame, metric: str) -> pd.Da
 def fit_whole(pair_visits: DataFrame, plan: Plan, **names: str) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, float] | None]:
     """Means and spreads of all complete pairs, and the first candidate's weights of the design with the intercept."""
     rows = kept(prepare(pair_visits, plan, **names))
-    scales = _scales(rows, plan, [ALL])
+    scales = scales_of(rows, plan, [ALL])
     grams = _grams(rows, plan, [ALL], scales)
     return scales[0], _fit(plan, plan.candidates[0], grams, 0, _select(plan, grams, 0, scales[0]))
 
@@ -350,7 +351,7 @@ def cross_validate(pair_visits: DataFrame, plan: Plan, metric: str = "annual_mea
     rows = kept(prepare(pair_visits, plan, **names))
     nested = len(plan.candidates) > 1
     sets = _sets(plan, nested)
-    scales = _scales(rows, plan, sets)
+    scales = scales_of(rows, plan, sets)
     grams = _grams(rows, plan, sets, scales)
     selected = {k: _select(plan, grams, k, scales[k]) for k in range(len(sets))}
     fits = {(k, j): f for k in range(len(sets)) for j, c in enumerate(plan.candidates) if (f := _fit(plan, c, grams, k, selected[k])) is not None}

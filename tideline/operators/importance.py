@@ -14,6 +14,7 @@ from tideline.operators import moments as M
 from tideline.operators import cv as C
 from tideline.operators.cv import Candidate, Plan, cross_validate
 from tideline.operators.effects import adjacent_effects, annual_diagnostics
+from tideline.operators.lineage import kept
 from tideline.operators.resample import hash_number
 
 
@@ -54,8 +55,8 @@ def subgroup_importance(pair_visits: DataFrame, features: Sequence[str], modulat
     """
     x, z = list(features), list(modulators)
     p, q = len(x), len(z)
-    rows = C.kept(C.prepare(pair_visits, Plan("interaction", tuple(x), tuple(z))).withColumn("_h", hash_number(F.concat_ws("|", F.lit(str(seed)), F.col("subject")))))
-    centre, spread = C._scales(rows, Plan("interaction", tuple(x), tuple(z)), [C.ALL])[0]
+    rows = kept(C.prepare(pair_visits, Plan("interaction", tuple(x), tuple(z))).withColumn("_h", hash_number(F.concat_ws("|", F.lit(str(seed)), F.col("subject")))))
+    centre, spread = C.scales_of(rows, Plan("interaction", tuple(x), tuple(z)), [C.ALL])[0]
 
     def part(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
         one, two = (((np.stack(pdf[c].to_numpy()).astype(float) - centre) / spread) for c in ("a", "b"))

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.operators.events import collapse_events, fullest_row, merge_sheets
+from tideline.operators.events import collapse_events, fill_if_null, fullest_row, merge_sheets
 from tideline.operators.filters import drop_controls
 from tideline.operators.reshape import adjacent_pairs, visit_number
 
@@ -46,6 +47,35 @@ def merge_study(events: DataFrame, rank: Column, clinical: Sequence[str], sheets
     return pairs.where(whole)
 
 
+@dataclass(frozen=True)
+class Fill:
+    """Columns of a table to take, by a key that ``key`` computes for rows where ``when`` holds."""
+
+    table: DataFrame
+    key: Column
+    on: str
+    columns: dict[str, str]
+    when: Column
+
+
+def merge_cohorts(master: DataFrame, fills: Sequence[Fill]) -> DataFrame:
+    """``master`` with nulls filled from the tables of its cohorts, one after another; a value that is there stays.
+
+    Ids are translated by each table's ``key``. Columns that the master lacks start as nulls.
+    A table's least value counts where it has a key twice.
+    """
+    out = master
+    for fill in fills:
+        kinds = dict(fill.table.dtypes)
+        for column, source in fill.columns.items():
+            if column not in out.columns:
+                out = out.withColumn(column, F.lit(None).cast(kinds[source]))
+        once = fill.table.groupBy(F.col(fill.on).alias("_key")).agg(*[F.min(c).alias(c) for c in dict.fromkeys(fill.columns.values())])
+        keyed = out.withColumn("_key", F.when(fill.when, fill.key))
+        out = fill_if_null(keyed, once, "_key", fill.columns, fill.when).drop("_key")
+    return out
+
+
 def merge_invariants(pairs: DataFrame) -> DataFrame:
     """Counts that must hold: rows, distinct pair ids, and ids that name no adjacent pair."""
     return pairs.agg(F.count("*").alias("n"), F.count_distinct("patient_id").alias("n_ids"), F.count(F.when(~F.col("patient_id").rlike("_(V1V2|V2V3)$"), 1)).alias("n_bad"))

@@ -108,3 +108,15 @@ def fusion_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = N.Network(((0, 1), (2,), ()))
     v = X.visits(spark, sf_dir).dropna(subset=["f_click", "f_view", "f_error"])
     return N.network_scores(v, net, N.start(net), ["f_click", "f_view", "f_error"], ["subject_id", "visit"])
+
+
+@query("src_06_merge_cohorts", ", p as (select 'pac' || case when length(n) < 2 then '0' else '' end || n pac, err from (select cast(cast(right(subject_id, 4) as int) as varchar) n, avg(f_error) err from visits group by 1)), q as (select subject_id, max(f_signup) s, max(adl_total) a from visits where visit = 1 group by 1), m as (select subject_id, visit, f_error, f_signup, cast(cast(right(subject_id, 4) as int) as varchar) n, study_group = 1 c from visits) select m.subject_id, m.visit, R(coalesce(f_error, case when c then err end)) f_error, R(coalesce(f_signup, case when not c then s end)) f_signup, R(case when not c then a end) adl_first from m left join p on c and pac = 'pac' || case when length(n) < 2 then '0' else '' end || n left join q on not c and q.subject_id = m.subject_id")
+def merge_cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two cohorts, each filled from a table of its own whose ids are spelt in another way."""
+    v = X.visits(spark, sf_dir)
+    number = F.substring("subject_id", -4, 4).cast("int").cast("string")
+    spelt = F.concat(F.lit("sub-campac"), number)
+    pac = v.groupBy(I.campac_to_pac(spelt).alias("pac")).agg(F.avg("f_error").alias("err"))
+    first = v.where("visit = 1").select("subject_id", "f_signup", "adl_total")
+    fills = [G.Fill(pac, I.campac_to_pac(spelt), "pac", {"f_error": "err"}, F.col("study_group") == 1), G.Fill(first, F.col("subject_id"), "subject_id", {"f_signup": "f_signup", "adl_first": "adl_total"}, F.col("study_group") == 0)]
+    return G.merge_cohorts(v.select("subject_id", "visit", "study_group", "f_error", "f_signup"), fills).drop("study_group")
