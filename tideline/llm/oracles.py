@@ -58,6 +58,23 @@ select s.doc_id, cast(len(s.g) as bigint) n_shingles, least(s.doc_id, coalesce((
 """
 
 
+_CRC = "xor(list_reduce(list_concat([4294967295::bigint], list_transform(regexp_extract_all(hex(encode(cast(c as varchar))), '..'), lambda x: ('0x' || x)::bigint)), lambda r, b: xor(r >> 8, crc[xor(r & 255, b) + 1])), 4294967295)"
+TRIE = f"""
+with k as (select list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) crc),
+o as (select conv_id c, turn, coalesce(role, '') role, coalesce(text, '') text, sha256(octet_length(encode(coalesce(role, '')))::varchar || ':' || coalesce(role, '') || coalesce(text, '')) g from conversations where conv_id is not null),
+t as (select c, list({{'g': g, 'w': len(regexp_extract_all(text, '{_SPACED}'))}} order by turn nulls first, g) l from o group by c),
+h as (select t.*, cast({_CRC} % 4 as bigint) h from t, k),
+r as (select h.c, list_concat(coalesce(d.l, [])[:h.h], h.l[h.h + 1:]) l from h left join t d on d.c = h.c - h.c % 20),
+p as (select c, len(l) n, unnest(range(len(l) + 1)) depth, l from r),
+m as (select c, n, depth, list_transform(l[:depth], lambda x: x.g) path, case when depth > 0 then l[depth].w else 0 end w from p),
+v as (select path, depth, min(c) conv_id, count(*) n_convs, any_value(w) w, sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (n = depth), '')) ends_sha256 from m group by path, depth),
+u as (select v.path, v.conv_id, a.conv_id parent_conv_id, v.depth, v.n_convs, v.ends_sha256, (v.n_convs - 1) * v.w own, (select count(*) from v y where y.depth = v.depth + 1 and y.path[:v.depth] = v.path) n_children from v left join v a on v.depth > 0 and a.path = v.path[:v.depth - 1]),
+s as (select path[:e] top, n_children, own from (select *, unnest(range(depth + 1)) e from u)),
+z as (select top, count(*) filter (n_children = 0) n_leaves, cast(sum(own) as bigint) saved_tokens from s group by top)
+select conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 from u join z on z.top = u.path
+"""
+
+
 def _notices() -> str:
     """(t, label, base, words, slack, least, first, phrase, others) of every template; others are its key phrases after the first."""
     rows = []
