@@ -58,6 +58,17 @@ select s.doc_id, cast(len(s.g) as bigint) n_shingles, least(s.doc_id, coalesce((
 """
 
 
+NEAR = f"""
+with recursive d as (select doc_id, regexp_extract_all({_LOWERED}, '{_SPACED}') w from documents),
+s as (select doc_id, case when len(w) = 0 then []::varchar[] else list_distinct(list_transform(range(greatest(len(w) - 4, 1)), lambda k: array_to_string(w[k + 1 : k + 5], ' '))) end g from d),
+e as (select doc_id, len(g) n, unnest(g) x from s),
+c as (select a.doc_id p, b.doc_id q, a.n m, b.n n, count(*) k from e a join e b on a.x = b.x and a.doc_id < b.doc_id group by all),
+l as (select p, q from c where 100 * k >= 85 * (m + n - k) union all select q, p from c where 100 * k >= 85 * (m + n - k)),
+r(doc_id, other) as (select p, q from l union select r.doc_id, l.q from r join l on l.p = r.other),
+f as (select s.doc_id, cast(len(s.g) as bigint) n_shingles, least(s.doc_id, coalesce((select min(other) from r where r.doc_id = s.doc_id), s.doc_id)) component_id from s)
+select *, doc_id = component_id kept from f
+"""
+
 _CRC = "xor(list_reduce(list_concat([4294967295::bigint], list_transform(regexp_extract_all(hex(encode(cast(c as varchar))), '..'), lambda x: ('0x' || x)::bigint)), lambda r, b: xor(r >> 8, crc[xor(r & 255, b) + 1])), 4294967295)"
 TRIE = f"""
 with k as (select list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) crc),

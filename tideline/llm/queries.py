@@ -14,6 +14,7 @@ from tideline.llm.decontaminate import find_items
 from tideline.llm.lang_id import identify
 from tideline.llm.license_scan import scan_licenses
 from tideline.llm.line_dedup import dedup_lines
+from tideline.llm.minhash_forest import near_duplicates
 from tideline.llm.ngram_join import join_components
 from tideline.llm.prefix_trie import conversation_trie
 from tideline.llm.quality import score_quality
@@ -79,11 +80,15 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(_table(spark, sf_dir, "conversations"), every=20)
 
 
+def op12_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_license_scan, op2_language_id, op3_decontaminate, op4_url_trust, op5_bpe_codec, op6_line_chunks, op7_multi_index, op8_hash_tree_shards, op9_ngram_jaccard, op10_quality, op11_prefix_trie]
+    found = [op1_license_scan, op2_language_id, op3_decontaminate, op4_url_trust, op5_bpe_codec, op6_line_chunks, op7_multi_index, op8_hash_tree_shards, op9_ngram_jaccard, op10_quality, op11_prefix_trie, op12_minhash_forest]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     """The others hold learnt scores, iterated graphs, chunks or digests of BPE: see tests/llm. That of op7 is for tables that its queries open whole."""
-    return {"op1_license_scan": oracles.LICENSES, "op3_decontaminate": oracles.DECONTAMINATE, "op7_multi_index": oracles.NEIGHBOURS, "op8_hash_tree_shards": oracles.SHARDS, "op9_ngram_jaccard": oracles.JACCARD, "op11_prefix_trie": oracles.TRIE}
+    return {"op1_license_scan": oracles.LICENSES, "op3_decontaminate": oracles.DECONTAMINATE, "op7_multi_index": oracles.NEIGHBOURS, "op8_hash_tree_shards": oracles.SHARDS, "op9_ngram_jaccard": oracles.JACCARD, "op11_prefix_trie": oracles.TRIE, "op12_minhash_forest": oracles.NEAR}
