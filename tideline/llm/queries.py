@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm import oracles
+from tideline.llm.align import align_tokenizers
 from tideline.llm.ann import nearest_neighbours
 from tideline.llm.bpe import encode_decode
 from tideline.llm.decontaminate import find_items
@@ -32,6 +33,12 @@ def byte_bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def piece_bpe_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents")).drop("places")
 
@@ -84,8 +91,12 @@ def op12_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op13_segment_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(_table(spark, sf_dir, "documents"), byte_bpe_path(), piece_bpe_path(), with_groups=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_license_scan, op2_language_id, op3_decontaminate, op4_url_trust, op5_bpe_codec, op6_line_chunks, op7_multi_index, op8_hash_tree_shards, op9_ngram_jaccard, op10_quality, op11_prefix_trie, op12_minhash_forest]
+    found = [op1_license_scan, op2_language_id, op3_decontaminate, op4_url_trust, op5_bpe_codec, op6_line_chunks, op7_multi_index, op8_hash_tree_shards, op9_ngram_jaccard, op10_quality, op11_prefix_trie, op12_minhash_forest, op13_segment_align]
     return {f.__name__: f for f in found}
 
 
