@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tideline.operators import moments as M
 from tideline.operators.lineage import kept
+from tideline.operators.quantiles import exact_quantiles, quantile_table
 
 #: Meanings of visit patterns.
 PATTERNS = (("111", "V1, V2 and V3"), ("110", "V1 and V2"), ("101", "V1 and V3"), ("011", "V2 and V3"), ("100", "V1 only"), ("010", "V2 only"), ("001", "V3 only"), ("000", "no visit"))
@@ -97,21 +98,21 @@ def followup_numeric(df: DataFrame, variables: Sequence[str], subject: str = "su
 
 def outlier_table(df: DataFrame, features: Sequence[str], groups: Sequence[str] = ("visit", "site"), k: float = 3.0, least: int = 4) -> DataFrame:
     """Rows outside the k * IQR fences of their group, for groups of at least ``least`` values; groups with any only."""
-    long = df.unpivot(list(groups), list(features), "feature", "value").where("value is not null")
-    q = long.groupBy(*groups, "feature").agg(F.count("*").alias("n"), F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).alias("q")).where(F.col("n") >= least)
+    rows = kept(df.select(*groups, *features))
+    q = quantile_table(rows, features, (0.25, 0.75), groups).where(F.col("n") >= least)
+    long = rows.unpivot(list(groups), list(features), "feature", "value").where("value is not null")
     q = q.withColumn("low", F.col("q")[0] - k * (F.col("q")[1] - F.col("q")[0])).withColumn("high", F.col("q")[1] + k * (F.col("q")[1] - F.col("q")[0])).drop("q")
-    out = long.join(q, [*groups, "feature"]).groupBy(*groups, "feature", "n", "low", "high").agg(F.count(F.when((F.col("value") < F.col("low")) | (F.col("value") > F.col("high")), 1)).alias("n_outliers"), F.min("value").alias("min"), F.max("value").alias("max"))
+    # a row a group and feature, whose number has a bound
+    out = long.join(F.broadcast(q), [*groups, "feature"]).groupBy(*groups, "feature", "n", "low", "high").agg(F.count(F.when((F.col("value") < F.col("low")) | (F.col("value") > F.col("high")), 1)).alias("n_outliers"), F.min("value").alias("min"), F.max("value").alias("max"))
     return out.where("n_outliers > 0").withColumn("pct", F.lit(100.0) * F.col("n_outliers") / F.col("n"))
 
 
 def tukey_rows(df: DataFrame, columns: Sequence[str], k: float = 3.0) -> DataFrame:
-    """``df`` with ``outlier``: any column outside its k * IQR fences; nulls never are. One row of fences is broadcast."""
-    q = df.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in columns]).select(*[F.col(c).alias(f"_q_{c}") for c in columns])
+    """``df`` with ``outlier``: any column outside its k * IQR fences; nulls never are."""
     mask = F.lit(False)
-    for c in columns:
-        low, high = F.col(f"_q_{c}")[0], F.col(f"_q_{c}")[1]
+    for (_, c), (_, (low, high)) in exact_quantiles(kept(df.select(*columns)), columns, (0.25, 0.75)).items():
         mask = mask | F.coalesce((F.col(c) < low - k * (high - low)) | (F.col(c) > high + k * (high - low)), F.lit(False))
-    return df.crossJoin(F.broadcast(q)).withColumn("outlier", mask).drop(*[f"_q_{c}" for c in columns])
+    return df.withColumn("outlier", mask)
 
 
 def visit_quality(visits: DataFrame, groups: dict[str, Sequence[str]], subject: str = "subject_id", visit: str = "visit") -> DataFrame:

@@ -24,13 +24,14 @@ from pyspark.sql import functions as F
 from tideline.operators import kernels as K
 from tideline.operators import moments as M
 from tideline.operators.lineage import kept
+from tideline.operators.quantiles import exact_quantiles
 from tideline.operators.ranking import hierarchical_choice
 from tideline.operators.resample import hash_fold
 
 
-#: Ways to select features; cells of a feature's histogram, which spans so many spreads on either side, and bins of its quantiles.
+#: Ways to select features, and quantile bins of a feature's information.
 SELECTIONS = ("none", "mi", "mml", "progression_univariate", "progression_mrmr", "sparse_srm")
-CELLS, SPAN, BINS = 512, 4.0, 10
+BINS = 10
 #: The training set of all rows.
 ALL = (0, -1, -1)
 
@@ -161,14 +162,29 @@ def scales_of(rows: DataFrame, plan: Plan, sets: list) -> dict:
     return scales
 
 
+def _edges(rows: DataFrame, plan: Plan, sets: list) -> dict[int, list[np.ndarray]]:
+    """Exact quantile bounds of every feature in each training set, where the plan selects by information."""
+    if plan.selection != "mi":
+        return {}
+    outer = lambda r: F.col("outer")[r]
+    inside = [F.when((outer(r) != o) & (F.lit(True) if i < 0 else F.col("inner")[r * plan.outer + o] != i), F.lit(k)) for k, (r, o, i) in enumerate(sets)]
+    names = [f"f{j}" for j in range(len(plan.features))]
+    both = rows.select(F.explode(F.array_compact(F.array(*inside))).alias("_set"), "a", "b")
+    values = both.select("_set", F.explode(F.array("a", "b")).alias("_x")).select("_set", *[F.col("_x")[j].alias(n) for j, n in enumerate(names)])
+    found = exact_quantiles(values, names, [k / BINS for k in range(1, BINS)], F.col("_set"))
+    return {k: [np.unique(found[str(k), n][1]) if (str(k), n) in found else np.empty(0) for n in names] for k in range(len(sets))}
+
+
 def _grams(rows: DataFrame, plan: Plan, sets: list, scales: dict) -> dict[str, np.ndarray]:
+    edges = _edges(rows, plan, sets)
+
     def part(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
         pdf = pdf.rename(columns={"outer": "_outer", "inner": "_inner"})
         a, b = _arrays(pdf)
         out = {}
         for k, s in enumerate(sets):
             train, _ = _masks(pdf, plan, s)
-            for name, v in _selection_sums(plan, a[train], b[train], scales[k], pdf["interval"].to_numpy()[train]).items():
+            for name, v in _selection_sums(plan, a[train], b[train], scales[k], pdf["interval"].to_numpy()[train], edges.get(k)).items():
                 out[f"{k}/select/{name}"] = v
             for c, clip in enumerate(plan.clips):
                 one, two = _scaled(plan, a[train], scales[k], clip), _scaled(plan, b[train], scales[k], clip)
@@ -183,30 +199,26 @@ def _grams(rows: DataFrame, plan: Plan, sets: list, scales: dict) -> dict[str, n
     return {k: v if "/select/" in k else M.square(v) for k, v in M.sums(rows, part).items()}
 
 
-def _selection_sums(plan: Plan, a: np.ndarray, b: np.ndarray, scale: tuple[np.ndarray, np.ndarray], interval: np.ndarray) -> dict[str, np.ndarray]:
-    """What the plan's way to select needs of a training set: sums of its standardised, unclipped rows."""
+def _selection_sums(plan: Plan, a: np.ndarray, b: np.ndarray, scale: tuple[np.ndarray, np.ndarray], interval: np.ndarray, edges: list[np.ndarray] | None) -> dict[str, np.ndarray]:
+    """What the plan's way to select needs of a training set: sums of its standardised, unclipped rows, or counts by quantile."""
     p = len(plan.features)
     if plan.selection == "none":
         return {}
     one, two = ((x[:, :p] - scale[0][:p]) / scale[1][:p] for x in (a, b))
     if plan.selection == "mi":
-        cells = [np.clip((z + SPAN) * (CELLS / (2 * SPAN)), 0, CELLS - 1).astype(np.int64) + CELLS * np.arange(p) for z in (one, two)]
-        return {"mi": np.concatenate([np.bincount(c.ravel(), minlength=p * CELLS) for c in cells])}
+        bins = lambda x: np.concatenate([np.bincount(np.searchsorted(edges[j], x[:, j]), minlength=BINS) for j in range(p)])
+        return {"mi": np.concatenate([bins(a), bins(b)])}
     if plan.selection == "mml":
         return {"y": M.gram(np.column_stack([np.concatenate([one, two]), np.repeat([0.0, 1.0], [len(one), len(two)])]))}
     return {str(t): M.gram((two - one)[interval == t]) for t in (1, 2, 0)}
 
 
 def _information(counts: np.ndarray) -> float:
-    """Mutual information of quantile bins of a feature with the visit, from its histogram by visit."""
-    both = counts.sum(axis=0)
-    n = both.sum()
+    """Mutual information of a feature's quantile bins with the visit, from counts by visit and bin."""
+    n = counts.sum()
     if not n:
         return 0.0
-    edges = np.unique(np.searchsorted(np.cumsum(both), n * np.arange(1, BINS) / BINS))
-    joint = np.zeros((2, len(edges) + 1))
-    np.add.at(joint.T, np.searchsorted(edges, np.arange(CELLS)), counts.T)
-    joint /= n
+    joint = counts / n
     alone = joint.sum(axis=1, keepdims=True) * joint.sum(axis=0, keepdims=True)
     return float((joint[joint > 0] * np.log(joint[joint > 0] / alone[joint > 0])).sum())
 
@@ -219,7 +231,7 @@ def _select(plan: Plan, grams: dict[str, np.ndarray], k: int, scale: tuple[np.nd
         return list(range(p))
     mean, sd = scale[0][:p], scale[1][:p]
     if plan.selection == "mi":
-        value = [_information(mine["mi"].reshape(2, p, CELLS)[:, j]) for j in range(p)]
+        value = [_information(mine["mi"].reshape(2, p, BINS)[:, j]) for j in range(p)]
         return sorted(range(p), key=lambda j: (-value[j], names[j]))[: plan.k]
     if plan.selection == "mml":
         # back to the raw scale, on which message lengths are defined

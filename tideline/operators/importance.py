@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from tideline.operators import kernels as K
 from tideline.operators import moments as M
 from tideline.operators import cv as C
-from tideline.operators.cv import Candidate, Plan, cross_validate
-from tideline.operators.effects import adjacent_effects, annual_diagnostics
+from tideline.operators.cv import Plan
+from tideline.operators.effects import pair_interval
 from tideline.operators.lineage import kept
-from tideline.operators.resample import hash_number
+from tideline.operators.resample import hash_fold, hash_number
 
 
 def locked_srm(deltas: DataFrame, features: Sequence[str], ridge: float = 1e-6, shrinkage: float = 0.0) -> dict[str, float]:
@@ -118,20 +118,114 @@ def bootstrap_coefficients(deltas: DataFrame, features: Sequence[str], subject:
     return deltas.sparkSession.createDataFrame(table, "replicate int, feature string, coef double")
 
 
-def leave_one_feature_out(pair_visits: DataFrame, features: Sequence[str], **options: int) -> DataFrame:
-    """Loss of annual out-of-fold d_z when a feature is left out: one cross-validation a feature, each of three scans."""
-    spark = pair_visits.sparkSession
+def _left_out(gram: np.ndarray, weights: np.ndarray | None, inverse: np.ndarray | None, f: int, ridge: float) -> np.ndarray:
+    """SRM weights without feature f, by taking its row and column out of the inverse if there is one; f's own weight is 0."""
+    rest = np.delete(np.arange(len(gram) - 1), f)
+    out = np.zeros(len(gram) - 1)
+    if inverse is not None and abs(inverse[f, f]) > 1e-12:
+        out[rest] = weights[rest] - inverse[rest, f] * (weights[f] / inverse[f, f])
+    else:
+        at = np.append(0, rest + 1)
+        out[rest] = K.srm_weights(gram[np.ix_(at, at)], ridge)
+    return out
+
+
+def leave_one_feature_out(pair_visits: DataFrame, features: Sequence[str], outer: int = 5, seed: int = 42, ridge: float = 1e-6, pair: str = "pair_id", subject: str = "subject", visit: str = "visit") -> DataFrame:
+    """Loss of annual out-of-fold d_z when a feature is left out, of all features from two scans.
+
+    The first scan sums grams by fold, of pairs with all values and of those that lack one
+    feature only: without that feature they are complete, so they train and are scored
+    there. The model without a feature is the fold's own with a row and a column taken out
+    of the factorised gram, and is solved anew only if such pairs join it. The second scan
+    scores every pair by all models at once and sums by interval. Returns feature,
+    dz_v1_v2, dz_v2_v3, annual_mean_dz and performance_loss, null where an interval has
+    fewer than two pairs or no spread.
+    """
+    names, p = list(features), len(features)
+    value = lambda c, v: F.coalesce(F.max(F.when(F.col(visit) == v, F.col(c).cast("double"))), F.lit(float("nan")))
+    at = lambda v: F.array(*[value(c, v) for c in names])
+    interval = F.when(pair_interval(F.col(pair)) == "V1->V2", 1).when(pair_interval(F.col(pair)) == "V2->V3", 2).otherwise(0)
+    rows = pair_visits.groupBy(pair, subject).agg(at(1).alias("a"), at(2).alias("b"), F.count_distinct(visit).alias("_n")).where("_n = 2")
+    rows = kept(rows.select(hash_fold(F.col(subject), outer, seed).alias("fold"), interval.alias("interval"), "a", "b"))
+    # any centre will do; one near the values saves digits
+    some = np.array([x for r in rows.select("a").limit(1000).collect() for x in [r["a"]]], dtype=float).reshape(-1, p)
+    seen = ~np.isnan(some)
+    centre = np.where(seen.any(axis=0), np.where(seen, some, 0).sum(axis=0) / np.maximum(seen.sum(axis=0), 1), 0.0)
+
+    def parts(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        a, b = (np.stack(pdf[c].to_numpy()).astype(float) - centre for c in ("a", "b"))
+        lack = np.isnan(a) | np.isnan(b)
+        a[lack], b[lack] = 0.0, 0.0
+        return a, b, np.where(lack.sum(axis=1) == 0, -1, np.where(lack.sum(axis=1) == 1, lack.argmax(axis=1), -2)), pdf["fold"].to_numpy(), pdf["interval"].to_numpy()
+
+    def grams(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
+        a, b, lacks, fold, _ = parts(pdf)
+        out = {}
+        for o, f in {*zip(fold.tolist(), lacks.tolist())}:
+            m = (fold == o) & (lacks == f)
+            if f > -2:
+                out[f"{o}/{f}"] = np.concatenate([M.gram(b[m] - a[m]), (a[m] + b[m]).sum(axis=0), (a[m] ** 2 + b[m] ** 2).sum(axis=0)])
+        return out
 
-    def annual(own: Sequence[str]) -> DataFrame:
-        oof = cross_validate(pair_visits, Plan("srm", tuple(own), candidates=(Candidate(),), **options)).scores
-        return annual_diagnostics(adjacent_effects(oof, pooled=None))
+    found = M.sums(rows, grams)
+    size = (p + 1) ** 2
+    total = lambda o, f: sum((found[k] for q in range(outer) if q != o and (k := f"{q}/{f}") in found), np.zeros(size + 2 * p))
 
-    full = annual(features).withColumn("feature", F.lit("(none)"))
-    out = full
-    for f in features:
-        out = out.unionByName(annual([x for x in features if x != f]).withColumn("feature", F.lit(f)))
-    base = full.select(F.col("annual_mean_dz").alias("_full"))
-    return out.where("feature <> '(none)'").crossJoin(F.broadcast(base)).select("feature", "dz_v1_v2", "dz_v2_v3", "annual_mean_dz", (F.col("_full") - F.col("annual_mean_dz")).alias("performance_loss")) if spark else out
+    def standard(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The gram of standardised deltas, and the spreads."""
+        n = max(2 * v[0], 1)
+        sd = np.sqrt(np.maximum(v[size + p :] / n - (v[size : size + p] / n) ** 2, 0))
+        sd = np.where(sd > 1e-9, sd, 1.0)
+        scale = np.append(1.0, 1 / sd)
+        return M.square(v[:size]) * scale[:, None] * scale, sd
+
+    models, usable = {}, {}
+    for o in range(outer):
+        whole = total(o, -1)
+        gram, sd = standard(whole)
+        weights, inverse = np.zeros(p), None
+        if whole[0] >= 2:
+            _, mean, cov = K.split(gram)
+            try:
+                inverse = np.linalg.inv(cov + ridge * np.eye(p))
+            except np.linalg.LinAlgError:
+                inverse = None
+            weights = K.srm_weights(gram, ridge)
+        # column 0 has all features, column 1 + f is without f; on the scale of raw deltas
+        models[o], usable[o] = np.zeros((p, p + 1)), np.full(p + 1, whole[0] >= 2)
+        models[o][:, 0] = weights / sd
+        for f in range(p):
+            more = total(o, f)
+            if more[0]:
+                own, spread = standard(whole + more)
+                models[o][:, 1 + f] = _left_out(own, None, None, f, ridge) / spread
+                usable[o][1 + f] = whole[0] + more[0] >= 2
+            elif whole[0] >= 2:
+                models[o][:, 1 + f] = _left_out(gram, weights, inverse, f, ridge) / sd
+
+    def scores(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
+        a, b, lacks, fold, interval = parts(pdf)
+        out = np.zeros((2, 3, p + 1))
+        for o in np.unique(fold).tolist():
+            for t in (1, 2):
+                here = (fold == o) & (interval == t)
+                for f in np.unique(lacks[here]).tolist():
+                    if f == -2:
+                        continue
+                    m = here & (lacks == f)
+                    d = (b[m] - a[m]) @ models[o]
+                    mine = usable[o] if f == -1 else usable[o] & (np.arange(p + 1) == 1 + f)
+                    out[t - 1] += np.stack([np.full(p + 1, len(d)), d.sum(axis=0), (d * d).sum(axis=0)]) * mine
+        return {"": out.ravel()}
+
+    n, s, q = M.sums(rows, scores).get("", np.zeros(6 * (p + 1))).reshape(2, 3, p + 1).transpose(1, 0, 2)
+    with np.errstate(all="ignore"):
+        var = np.where(n >= 2, (q - s * s / n) / (n - 1), np.nan)
+        d = np.where(var > 1e-300, s / n / np.sqrt(var), np.nan)
+    mean = d.mean(axis=0)
+    plain = lambda x: None if np.isnan(x) else float(x)
+    table = [(f, plain(d[0, 1 + k]), plain(d[1, 1 + k]), plain(mean[1 + k]), plain(mean[0] - mean[1 + k])) for k, f in enumerate(names)]
+    return pair_visits.sparkSession.createDataFrame(table, "feature string, dz_v1_v2 double, dz_v2_v3 double, annual_mean_dz double, performance_loss double")
 
 
 def linear_shap(df: DataFrame, weights: dict[str, float], keep: Sequence[str]) -> DataFrame:

@@ -55,6 +55,19 @@ def solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.linalg.pinv(a) @ b
 
 
+def residual(a: np.ndarray, tolerance: float = 1e-10) -> float:
+    """What is left of the last diagonal entry of a cross-product matrix when all other columns are swept out.
+
+    A column of which less than ``tolerance`` is left beside those before it is passed over.
+    """
+    a = a.copy()
+    scale = np.diag(a).copy()
+    for k in range(len(a) - 1):
+        if a[k, k] > tolerance * scale[k]:
+            a -= np.outer(a[:, k], a[k]) / a[k, k]
+    return max(float(a[-1, -1]), 0.0)
+
+
 def effect(x: np.ndarray, eps: float = 0.0) -> float:
     """mean / sd (ddof 1) of finite values; NaN for fewer than two or no spread."""
     x = x[np.isfinite(x)]

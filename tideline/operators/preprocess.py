@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.operators.lineage import kept
+from tideline.operators.quantiles import exact_quantiles, quantile_table
+
 
 def zscore_by_fold(df: DataFrame, columns: Sequence[str], fold: str = "fold", folds: int = 5) -> DataFrame:
     """Every row once per outer fold, standardised by that fold's training rows (all rows of other folds).
@@ -35,7 +38,8 @@ def median_impute_by_fold(df: DataFrame, columns: Sequence[str], fold: str = "fo
     """Every row once per outer fold, nulls filled with the exact median of that fold's training rows."""
     folds = df.select(F.col(fold).alias("outer")).distinct()
     both = df.crossJoin(F.broadcast(folds))
-    medians = both.where(F.col(fold) != F.col("outer")).groupBy("outer").agg(*[F.percentile(c, 0.5).alias(f"_m_{c}") for c in columns])
+    long = quantile_table(kept(both.where(F.col(fold) != F.col("outer")).select("outer", *columns)), columns, [0.5], ["outer"])
+    medians = long.groupBy("outer").agg(*[F.max(F.when(F.col("feature") == c, F.col("q")[0])).alias(f"_m_{c}") for c in columns])
     out = both.join(F.broadcast(medians), "outer", "left")
     return out.select("outer", (F.col(fold) == F.col("outer")).alias("is_test"), *[c for c in df.columns if c not in columns], *[F.coalesce(F.nanvl(F.col(c), F.lit(None).cast("double")), F.col(f"_m_{c}"), F.lit(fill_empty)).alias(c) for c in columns])
 
@@ -72,8 +76,9 @@ class MedianImputer:
         self.columns, self.fill_empty = list(columns), fill_empty
 
     def fit(self, df: DataFrame) -> MedianImputer:
-        row = df.agg(*[F.percentile(F.nanvl(F.col(c), F.lit(None).cast("double")), 0.5).alias(c) for c in self.columns]).first()
-        self.median = {c: self.fill_empty if row[c] is None else row[c] for c in self.columns}
+        rows = kept(df.select(*[F.nanvl(F.col(c), F.lit(None).cast("double")).alias(c) for c in self.columns]))
+        found = exact_quantiles(rows, self.columns, [0.5])
+        self.median = {c: found["", c][1][0] if ("", c) in found else self.fill_empty for c in self.columns}
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from tideline.operators import kernels as K
 from tideline.operators.effects import cohens_dz, pair_interval
+from tideline.operators.lineage import kept
 from tideline.operators.moments import gram_matrix
+from tideline.operators.quantiles import exact_quantiles
 from tideline.operators.ranking import place
 
 
@@ -53,8 +55,9 @@ def mml_features(df: DataFrame, features: Sequence[str], target: str) -> list[tu
 
 def bic_features(df: DataFrame, features: Sequence[str], target: str, most: int = 30) -> list[tuple[str, float, float]]:
     """Forward selection by BIC over median-imputed columns."""
-    medians = df.agg(*[F.percentile(c, 0.5).alias(c) for c in features]).first()
-    filled = df.select(target, *[F.coalesce(c, F.lit(medians[c] or 0.0)).alias(c) for c in features])
+    rows = kept(df.select(target, *features))
+    medians = {c: q[0] for (_, c), (_, q) in exact_quantiles(rows, features, [0.5]).items()}
+    filled = rows.select(target, *[F.coalesce(c, F.lit(medians.get(c, 0.0))).alias(c) for c in features])
     return K.bic_forward(gram_matrix(filled, [*features, target])[""], list(features), most)
 
 

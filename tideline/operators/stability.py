@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.operators import kernels as K
 from tideline.operators.effects import guarded_corr, with_average_rank
+from tideline.operators.lineage import kept
+from tideline.operators.quantiles import exact_quantiles, quantile_table
 
 
 def jaccard_pairs(sets: DataFrame, key: str = "id", features: str = "features") -> DataFrame:
@@ -69,8 +74,8 @@ def correlation_pairs(df: DataFrame, features: Sequence[str], threshold: float |
 
 
 def with_quantile_bin(df: DataFrame, x: str, name: str, bins: int = 10) -> DataFrame:
-    """``df`` with the right-closed quantile bin of a value, edges from exact percentiles with duplicates dropped."""
-    edges = df.agg(F.percentile(x, F.array(*[F.lit(k / bins) for k in range(1, bins)]))).first()[0] or []
+    """``df`` with the right-closed quantile bin of a value, edges from exact quantiles with duplicates dropped."""
+    _, edges = exact_quantiles(kept(df.select(x)), [x], [k / bins for k in range(1, bins)]).get(("", x), (0, []))
     return df.withColumn(name, sum(((F.col(x) > e).cast("int") for e in sorted(set(edges))), F.lit(0)))
 
 
@@ -85,8 +90,9 @@ def mutual_information(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def feature_information(df: DataFrame, features: Sequence[str], label: str, bins: int = 10) -> DataFrame:
     """Mutual information of every feature's quantile bins with a label, features together in one plan."""
-    long = df.unpivot([label], list(features), "feature", "value").where("value is not null")
-    q = long.groupBy("feature").agg(F.array_distinct(F.percentile("value", F.array(*[F.lit(k / bins) for k in range(1, bins)]))).alias("edges"))
+    rows = kept(df.select(label, *features))
+    q = quantile_table(rows, features, [k / bins for k in range(1, bins)]).select("feature", F.array_distinct("q").alias("edges"))
+    long = rows.unpivot([label], list(features), "feature", "value").where("value is not null")
     binned = long.join(F.broadcast(q), "feature").withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col("value"))))
     joint = binned.groupBy("feature", "bin", label).agg(F.count("*").cast("double").alias("c"))
     f = Window.partitionBy("feature")
@@ -106,23 +112,31 @@ def site_anova(df: DataFrame, features: Sequence[str], site: str = "site", least
 
 
 def site_screen(df: DataFrame, features: Sequence[str], covariates: Sequence[str], site: str = "site", least: int = 5) -> DataFrame:
-    """Nested OLS of each feature: covariates, then site dummies too. n, delta R2, F and p; features are fitted in parallel."""
-    long = df.unpivot([site, *covariates], list(features), "feature", "value").dropna()
-
-    def fit(key, rows):
-        import numpy as np
-        import pandas as pd
-
-        from tideline.operators.kernels import f_survival
-
-        y, n = rows["value"].to_numpy(float), len(rows)
-        base = np.column_stack([np.ones(n), rows[list(covariates)].to_numpy(float)])
-        levels = sorted(rows[site].unique())[1:]
-        full = np.column_stack([base, *[(rows[site] == s).to_numpy(float) for s in levels]])
-        rss = [float(((y - z @ np.linalg.lstsq(z, y, rcond=None)[0]) ** 2).sum()) for z in (base, full)]
-        d1, d2, total = len(levels), n - full.shape[1], float(((y - y.mean()) ** 2).sum())
+    """Nested OLS of each feature: covariates, then site dummies too. n, delta R2, F and p.
+
+    Rows enter by counts, means and covariances of [covariates, feature] at each site, one
+    aggregate for all features. Dummies take the means of the sites out of everything, so
+    the larger model is the covariates' within sites, and the smaller one theirs within
+    and between. What a task fits has the size of sites and covariates. Null where there
+    is one site, no degree of freedom or no spread, and below ``least`` rows.
+    """
+    z = list(covariates)
+    long = df.select(site, *[F.col(c).cast("double").alias(c) for c in z], *[F.col(f).cast("double").alias(f) for f in features]).unpivot([site, *z], list(features), "feature", "_y").dropna()
+    names = [*z, "_y"]
+    pairs = [(a, b) for k, a in enumerate(names) for b in names[: k + 1]]
+    sums = long.groupBy("feature", site).agg(F.count("*").alias("_n"), F.array(*[F.avg(c) for c in names]).alias("_m"), F.array(*[F.covar_pop(a, b) for a, b in pairs]).alias("_c"))
+
+    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        size, mean, n = rows["_n"].to_numpy(float), np.stack(rows["_m"].to_numpy()), int(rows["_n"].sum())
+        within = np.zeros((len(names), len(names)))
+        within[np.tril_indices(len(names))] = size @ np.stack(rows["_c"].to_numpy())
+        within += np.tril(within, -1).T
+        apart = mean - size @ mean / n
+        whole = within + (apart * size[:, None]).T @ apart
+        rss = [K.residual(whole), K.residual(within)]
+        d1, d2, total = len(rows) - 1, n - len(names) - len(rows) + 1, whole[-1, -1]
         fine = n >= least and d1 > 0 and d2 > 0 and rss[1] > 0 and total > 0
         f = ((rss[0] - rss[1]) / d1) / (rss[1] / d2) if fine else float("nan")
-        return pd.DataFrame({"feature": [key[0]], "n": [n], "delta_r2": [(rss[0] - rss[1]) / total if fine else float("nan")], "f": [f], "p": [f_survival(f, d1, d2) if fine else float("nan")]})
+        return pd.DataFrame({"feature": [key[0]], "n": [n], "delta_r2": [(rss[0] - rss[1]) / total if fine else float("nan")], "f": [f], "p": [K.f_survival(f, d1, d2) if fine else float("nan")]})
 
-    return long.groupBy("feature").applyInPandas(fit, "feature string, n long, delta_r2 double, f double, p double")
+    return sums.groupBy("feature").applyInPandas(fit, "feature string, n long, delta_r2 double, f double, p double")

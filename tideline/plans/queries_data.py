@@ -538,6 +538,14 @@ def anova_site_f(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.site_anova(X.visits(spark, sf_dir), ["f_click", "f_view"])
 
 
+_SITE_OLS = f", u as (select site, t, feature, y from (select site, time_years t, {', '.join(X.FEATURES)} from visits) unpivot (y for feature in ({', '.join(X.FEATURES)}))), s as (select feature, site, count(*)::double n, avg(t) mt, avg(y) my, var_pop(t) vt, var_pop(y) vy, covar_pop(t, y) c from u group by 1, 2), w as (select feature, cast(sum(n) as bigint) n, count(*) sites, sum(n * vt) tt, sum(n * vy) yy, sum(n * c) ty from s group by 1), a as (select feature, count(*) * var_pop(t) tt, count(*) * var_pop(y) yy, count(*) * covar_pop(t, y) ty from u group by 1), r as (select feature, w.n, w.sites, a.yy, a.yy - a.ty * a.ty / a.tt base, w.yy - w.ty * w.ty / w.tt wide from w join a using (feature)) select feature, n, R((base - wide) / yy) delta_r2, R(((base - wide) / (sites - 1)) / (wide / (n - sites - 1))) f from r"
+
+
+@query("agg_31_site_screen_one", _SITE_OLS)
+def site_screen_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.site_screen(X.visits(spark, sf_dir), list(X.FEATURES), ["time_years"]).drop("p")
+
+
 @query("agg_31_site_screen")
 def site_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.site_screen(X.visits(spark, sf_dir), list(X.FEATURES), ["time_years", "mfars_total"])

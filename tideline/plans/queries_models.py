@@ -97,6 +97,18 @@ def information_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feature_information(d, list(X.FEATURES), "yb")
 
 
+_PSI = "(-0.57721566490153286 + coalesce(list_sum(list_transform(range(1, {n}), lambda i: 1.0::double / i)), 0))"
+_KNN = ", t as (select delta_mfars_total y, " + ", ".join(f"coalesce(delta_{f}, (select quantile_cont(delta_{f}, 0.5) from pairs)) {f}" for f in X.FEATURES) + " from pairs), u as (select feature, x / sx x, y / sy y, row_number() over () i from (select feature, x, y, stddev_pop(x) over (partition by feature) sx, stddev_pop(y) over (partition by feature) sy from t unpivot (x for feature in (" + ", ".join(X.FEATURES) + ")))), r as (select a.feature, a.i, list_sort(list(greatest(abs(a.x - b.x), abs(a.y - b.y))))[3] r from u a join u b on a.feature = b.feature and a.i <> b.i group by 1, 2), c as (select r.feature, r.i, count(*) filter (abs(a.x - b.x) < r or (r = 0 and a.x = b.x)) nx, count(*) filter (abs(a.y - b.y) < r or (r = 0 and a.y = b.y)) ny from r join u a using (feature, i) join u b on b.feature = r.feature group by 1, 2) select feature, count(*) n, R(greatest(0, " + _PSI.format(n="count(*)") + " + 1.5 - 0.57721566490153286 - avg(" + _PSI.format(n="nx") + " + " + _PSI.format(n="ny") + "))) mi from c group by 1"
+
+
+@query("sel_09_knn_information", _KNN)
+def knn_information_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Information of every delta about the change of the scale, from three nearest neighbours."""
+    from tideline.operators.information import knn_information
+
+    return knn_information(_deltas(spark, sf_dir), list(X.FEATURES), "mfars_total")
+
+
 # fits in closed form
 
 @query("srm_diagonal_w", f", u as (select feature, delta from (select {', '.join(f'delta_{f} {f}' for f in FOUR)} from pairs where {' and '.join(f'delta_{f} is not null' for f in FOUR)}) unpivot (delta for feature in ({', '.join(FOUR)}))) select feature, R(avg(delta) / (var_samp(delta) + 1e-6::double)) weight from u group by 1")
@@ -159,6 +171,15 @@ def lda_selected_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _selected(spark, sf_dir, "lda", 3, "progression_univariate")
 
 
+_BY_INFORMATION = _OUT + f", u as (select o, visit, feature, value from (select o, 1 visit, {', '.join(f'{f}_baseline {f}' for f in FOUR)} from c, o where fold <> o union all select o, 2, {', '.join(f'{f}_followup' for f in FOUR)} from c, o where fold <> o) unpivot (value for feature in ({', '.join(FOUR)}))), q as (select o, feature, list_distinct(quantile_cont(value, [{', '.join(f'{k / 10}' for k in range(1, 10))}])) e from u group by 1, 2), b as (select o, feature, visit, len(list_filter(e, lambda z: z < value)) bin from u join q using (o, feature)), j as (select o, feature, bin, visit, count(*)::double c from b group by all), p as (select o, feature, c / sum(c) over (partition by o, feature) p, sum(c) over (partition by o, feature, bin) / sum(c) over (partition by o, feature) a, sum(c) over (partition by o, feature, visit) / sum(c) over (partition by o, feature) b from j), k as (select o, feature, row_number() over (partition by o order by sum(p * ln(p / (a * b))) desc, feature) r from p group by 1, 2) select cast(0 as int) repeat, cast(o as int) fold, string_agg(feature, ',' order by r) features from k where r <= 2 group by o"
+
+
+@query("sel_07_information_by_fold", _BY_INFORMATION)
+def information_by_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of most information about the visit, by exact quantile bins of each training set."""
+    return _selected(spark, sf_dir, "srm", 2, "mi")
+
+
 @query("cvr_02_selected_nested")
 def srm_selected_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of a nested search whose every training set selects by redundancy and relevance."""
@@ -323,6 +344,25 @@ def lofo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.leave_one_feature_out(X.pair_visits(spark, sf_dir), FOUR)
 
 
+_LOFO = ", o as (select unnest(range(5)) o), c as (select *, ('0x' || substr(md5('42|' || subject_id), 1, 8))::bigint % 5 fold, f_view_baseline x1, f_view_followup x2, f_error_baseline y1, f_error_followup y2 from pairs)" + """,
+both_ as (select o, avg(x) mx, stddev_pop(x) sx, avg(y) my, stddev_pop(y) sy from (select o, x1 x, y1 y from c, o where fold <> o and x1 is not null and x2 is not null and y1 is not null and y2 is not null union all select o, x2, y2 from c, o where fold <> o and x1 is not null and x2 is not null and y1 is not null and y2 is not null) group by o),
+z as (select b.o, c.fold, c.pair, (x2 - x1) / sx p, (y2 - y1) / sy q from c, both_ b where x1 is not null and x2 is not null and y1 is not null and y2 is not null),
+s as (select o, avg(p) mp, avg(q) mq, var_samp(p) + 1e-6::double vp, var_samp(q) + 1e-6::double vq, covar_samp(p, q) k from z where fold <> o group by o),
+w as (select o, (vq * mp - k * mq) / (vp * vq - k * k) wp, (vp * mq - k * mp) / (vp * vq - k * k) wq from s),
+one as (select feature, o, fold, pair, a, b from (select 'f_error' feature, fold, pair, x1 a, x2 b from c union all select 'f_view', fold, pair, y1, y2 from c), o where a is not null and b is not null),
+m as (select feature, o, stddev_pop(v) sd from (select feature, o, a v from one where fold <> o union all select feature, o, b from one where fold <> o) group by 1, 2),
+u as (select feature, o, avg((b - a) / sd) / (var_samp((b - a) / sd) + 1e-6::double) / any_value(sd) w from one join m using (feature, o) where fold <> o group by 1, 2),
+e as (select '' feature, pair, p * wp + q * wq d from z join w using (o) where fold = o union all select feature, pair, (b - a) * w from one join u using (feature, o) where fold = o),
+g as (select feature, pair, avg(d) / stddev_samp(d) d from e group by 1, 2),
+r as (select feature, max(case when pair = 'V1V2' then d end) x, max(case when pair = 'V2V3' then d end) y from g group by 1)
+select r.feature, R(r.x) dz_v1_v2, R(r.y) dz_v2_v3, R((r.x + r.y) / 2) annual_mean_dz, R((t.x + t.y) / 2 - (r.x + r.y) / 2) performance_loss from r, r t where r.feature <> '' and t.feature = ''"""
+
+
+@query("imp_03_lofo_two_features", _LOFO)
+def lofo_two_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.leave_one_feature_out(X.pair_visits(spark, sf_dir), ["f_view", "f_error"])
+
+
 @query("nb_05_locked_control_scoring")
 def locked_control_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of controls by a model fitted on patients, standardised by patients' means."""
