@@ -15,6 +15,7 @@ from tideline.operators import cv as C
 from tideline.operators import effects as E
 from tideline.operators import importance as M
 from tideline.operators import kernels as K
+from tideline.operators import netpath as P
 from tideline.operators import selection as L
 from tideline.operators.moments import gram_matrix
 from tideline.operators.ranking import place
@@ -247,15 +248,46 @@ def tuned_by_d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("cvr_08_held_out_grid")
 def held_out_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of every candidate on its own held-out folds; taking the best of them is optimistic."""
-    parts = []
-    for k, c in enumerate(C.grid(alpha=(0.01, 1.0), l1_ratio=(0.1, 0.9))):
-        oof = C.cross_validate(X.pair_visits(spark, sf_dir), C.Plan("regression", FOUR, target="mfars_total", candidates=(c,))).scores
-        parts.append(E.rmse_r2(oof, "target", "score").select(F.lit(k).alias("candidate"), F.lit(c.alpha).alias("alpha"), F.lit(c.l1_ratio).alias("l1_ratio"), "n", "rmse", "r2"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Error of every candidate over the held-out folds of all repeats; taking the best of them is optimistic."""
+    fits = P.repeated_grid(X.pair_visits(spark, sf_dir), FOUR, "mfars_total", alphas=(0.01, 0.1, 1.0), l1_ratios=(0.1, 0.5, 0.9)).fits
+    return fits.groupBy("alpha", "l1_ratio").agg(F.sum("n").alias("n"), F.sqrt(F.sum("sse") / F.sum("n")).alias("rmse"))
+
+
+@query("cvr_08_grid_summary")
+def grid_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = X.pair_visits(spark, sf_dir)
+    return P.grid_summary(rows, FOUR, "mfars_total", P.repeated_grid(rows, FOUR, "mfars_total", alphas=(0.01, 0.1, 1.0), l1_ratios=(0.1, 0.5, 0.9)))
+
+
+_FENCED = ", r0 as (select subject, f_view x, mfars_total y from pair_visits where f_view is not null and mfars_total is not null), q0 as (select quantile_cont(x, 0.25) a, quantile_cont(x, 0.75) b from r0), rows_ as (select r0.* from r0, q0 where x >= a - 3 * (b - a) and x <= b + 3 * (b - a))"
+_GRID = _FENCED + ", k as (select rr.r repeat, oo.o fold, aa.alpha, ll.l1 from (select unnest(range(3)) r) rr, (select unnest(range(5)) o) oo, (values (0.01::double), (0.1::double), (1.0::double)) aa(alpha), (values (0.1::double), (0.9::double)) ll(l1)), f as (select rows_.*, r, ('0x' || substr(md5((42 + r) || '|' || subject), 1, 8))::bigint % 5 o from rows_, (select unnest(range(3)) r)), m as (select k.repeat, k.fold, k.alpha, k.l1, corr(x, y) c from k join f on f.r = k.repeat and f.o <> k.fold group by all) select cast(repeat as int) repeat, cast(fold as int) fold, alpha, l1 l1_ratio, 'f_view' feature, R(sign(c) * greatest(abs(c) - alpha * l1, 0) / (1 + alpha * (1 - l1))) coef from m"
+
+
+@query("cvr_08_grid_one_feature", _GRID)
+def grid_one_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coefficients by repeat, fold and candidate."""
+    found = P.repeated_grid(X.pair_visits(spark, sf_dir), ["f_view"], "mfars_total", alphas=(0.01, 0.1, 1.0), l1_ratios=(0.1, 0.9), repeats=3)
+    return P.coefficients(found.fits, ["f_view"])
+
+
+@query("cvr_08_coefficients")
+def grid_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coefficients of each fold's chosen candidate."""
+    return P.coefficients(P.repeated_grid(X.pair_visits(spark, sf_dir), FOUR, "mfars_total", alphas=(0.01, 0.1, 1.0), l1_ratios=(0.1, 0.5, 0.9)).chosen, FOUR)
+
+
+@query("imp_04_net_bootstrap")
+def net_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = Config()
+    return P.net_bootstrap(X.pair_visits(spark, sf_dir), FOUR, "mfars_total", replicates=c.bootstrap, alpha=c.alpha, l1_ratio=c.l1_ratio, seed=c.seed)
+
+
+_NET_BOOT = _FENCED + f", b as (select r, corr(x, y) c from rows_, (select unnest(range(201)) r) where ('0x' || substr(md5('42|' || r || '|' || subject), 1, 8))::bigint < {int((1 - 2.718281828459045 ** -1) * (1 << 32))} group by r), w as (select sign(c) * greatest(abs(c) - 0.1 * 0.5, 0) / (1 + 0.1 * 0.5) w from b) select 'f_view' feature, R(avg(w)) coef_mean, R(quantile_cont(w, 0.025)) coef_p2_5, R(quantile_cont(w, 0.975)) coef_p97_5, R(avg((w <> 0)::int::double)) pct_nonzero from w"
+
+
+@query("imp_04_net_bootstrap_one", _NET_BOOT)
+def net_bootstrap_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.net_bootstrap(X.pair_visits(spark, sf_dir), ["f_view"], "mfars_total", alpha=0.1, l1_ratio=0.5)
 
 
 @query("cvr_10_composite")
