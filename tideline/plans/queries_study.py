@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,6 +111,54 @@ def fusion_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.network_scores(v, net, N.start(net), ["f_click", "f_view", "f_error"], ["subject_id", "visit"])
 
 
+#: The fused network of the study: three encoders of two ReLU layers, a fused ReLU layer, dropout, and clinical heads that no clinical column trains.
+def _fusion(**more) -> N.Network:
+    return N.Network(((0, 1), (2, 3), ()), hidden=(8, 8, 4), out=(4, 4, 2), relu_out=True, head=4, dropout=0.2, clinical=(("fars", 4, 0.0), ("sara", 5, 0.0)), **more)
+
+
+_FUSED = ("f_click", "f_error", "f_purchase", "f_view", "mfars_total", "sara_total")
+
+
+@query("mod_06_fusion_dropout_cv")
+def fusion_dropout_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-fold scores and clinical predictions of the fused network, trained with dropout for the score alone."""
+    return N.network_cv(C.prepare(X.pair_visits(spark, sf_dir), C.Plan("srm", _FUSED)), _fusion(epochs=15))
+
+
+@query("mod_07_pair_joint_loss")
+def pair_joint_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Effects of the pair model with dropout whose loss adds both clinical heads; clinical columns train it only because it is asked to."""
+    net = N.Network(((0, 1, 2, 3),), relu_out=True, dropout=0.2, epochs=15, clinical=(("fars", 4, 1e-5), ("sara", 5, 1e-3)))
+    return E.adjacent_effects(N.network_cv(C.prepare(X.pair_visits(spark, sf_dir), C.Plan("srm", _FUSED)), net, train_clinical=True))
+
+
+def _explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, net = X.pair_visits(spark, sf_dir), _fusion(epochs=10)
+    fitted = N.fit_network(C.prepare(rows, C.Plan("srm", _FUSED)), net)
+    return N.deep_shap(rows, net, fitted, _FUSED[:4], ["pair_id", "visit"], rows)
+
+
+@query("imp_06_deep_shap")
+def deep_shap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contributions of every feature to the fused network's score at every visit, beside a background of 100 visits."""
+    return _explained(spark, sf_dir)
+
+
+@query("imp_06_deep_shap_modalities")
+def deep_shap_modalities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.modality_shap(_explained(spark, sf_dir), {"struct": _FUSED[:2], "diff": _FUSED[2:4], "back": ()})
+
+
+@query("imp_06_rescale_one_unit", ", v as (select subject_id, visit, f_click x, f_view y from visits where f_click is not null and f_view is not null), b as (select x, y from v where visit = 1 and subject_id like '%7'), m as (select subject_id, visit, v.x - b.x dx, v.y - b.y dy, v.x - 0.5 * v.y - 20 z, b.x - 0.5 * b.y - 20 z0 from v, b), r as (select *, case when abs(z - z0) < 1e-12 then (z > 0)::int::double else (greatest(z, 0) - greatest(z0, 0)) / (z - z0) end r from m) select subject_id, visit, 'f_click' feature, R(avg(2 * r * dx)) shap, R(avg(2 * greatest(z0, 0))) base, R(2 * greatest(any_value(z), 0)) score from r group by 1, 2 union all select subject_id, visit, 'f_view', R(avg(-1 * r * dy)), R(avg(2 * greatest(z0, 0))), R(2 * greatest(any_value(z), 0)) from r group by 1, 2")
+def rescale_one_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contributions through one rectified unit of given weights."""
+    net = N.Network(((0, 1),), hidden=1, out=1)
+    p = {"a0": np.array([[1.0], [-0.5]]), "b0": np.array([-20.0]), "c0": np.array([[2.0]]), "d0": np.zeros(1), "w0": np.ones(1)}
+    v = X.visits(spark, sf_dir)
+    known = v.where("visit = 1 and subject_id like '%7'")
+    return N.deep_shap(v, net, N.Fitted(p, np.zeros(2), np.ones(2)), ["f_click", "f_view"], ["subject_id", "visit"], known, most=10_000)
+
+
 @query("src_06_merge_cohorts", ", p as (select 'pac' || case when length(n) < 2 then '0' else '' end || n pac, err from (select cast(cast(right(subject_id, 4) as int) as varchar) n, avg(f_error) err from visits group by 1)), q as (select subject_id, max(f_signup) s, max(adl_total) a from visits where visit = 1 group by 1), m as (select subject_id, visit, f_error, f_signup, cast(cast(right(subject_id, 4) as int) as varchar) n, study_group = 1 c from visits) select m.subject_id, m.visit, R(coalesce(f_error, case when c then err end)) f_error, R(coalesce(f_signup, case when not c then s end)) f_signup, R(case when not c then a end) adl_first from m left join p on c and pac = 'pac' || case when length(n) < 2 then '0' else '' end || n left join q on not c and q.subject_id = m.subject_id")
 def merge_cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two cohorts, each filled from a table of its own whose ids are spelt in another way."""
