@@ -133,10 +133,8 @@ def test_selection_inside_folds_equals_a_serial_loop(spark, sf, method):
             x, y = np.concatenate([a[t], b[t]]), np.repeat([0, 1], t.sum())
             value = []
             for c in x.T:
-                z = np.clip((c - c.mean()) / c.std(), -C.SPAN, C.SPAN)
-                cell = np.minimum(((z + C.SPAN) * C.CELLS / 2 / C.SPAN).astype(int), C.CELLS - 1)
-                edges = sorted({int(np.sort(cell)[int(np.ceil(len(cell) * q / C.BINS)) - 1]) for q in range(1, C.BINS)})
-                bins = np.array([sum(e < v for e in edges) for v in cell])
+                edges = sorted(set(np.quantile(c, np.arange(1, C.BINS) / C.BINS)))
+                bins = np.array([sum(e < v for e in edges) for v in c])
                 joint = np.array([[((bins == i) & (y == j)).mean() for j in (0, 1)] for i in range(len(edges) + 1)])
                 alone = joint.sum(axis=1)[:, None] * joint.sum(axis=0)
                 value.append((joint[joint > 0] * np.log(joint[joint > 0] / alone[joint > 0])).sum())
