@@ -16,6 +16,7 @@ from tideline.operators import resample as R
 from tideline.operators import stability as T
 from tideline.operators import reshape as S
 from tideline.plans import fixtures as X
+from tideline.operators.lineage import kept
 from tideline.plans.registry import query
 from tideline.sources import readers, sinks
 
@@ -260,6 +261,39 @@ def qc_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.pair_quality(X.pairs(spark, sf_dir))
 
 
+def _workbook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workbook made of the tables, with two lines over each header row, so that it has to be read as one."""
+    from tideline.sources import workbook as W
+
+    v = X.visits(spark, sf_dir)
+    sheets = {
+        "Notes": X.table(spark, sf_dir, "nation").select("n_name"),
+        "Morph": v.where("f_view is not null").select(F.concat(F.lit("TRACK-FA_"), "subject_id").alias("SubjectID"), F.col("visit").alias("Visit"), "f_view", "f_click"),
+        "DTI": v.where("f_error is not null").select(F.concat(F.lit("TRACK-FA_"), "subject_id").alias("SubjectID"), F.col("visit").alias("Visit"), "f_error"),
+    }
+    return kept(W.workbook_bytes(sheets, {"Morph": ("SubjectID", "Visit"), "DTI": ("SubjectID", "Visit"), "Notes": ("n_name",)}, above=("exported", "")))
+
+
+@query("src_02_workbook_sheet", "select 'TRACK-FA_' || subject_id SubjectID, visit::varchar Visit, R(f_view) f_view, R(f_click) f_click, 'Morph' sheet from visits where f_view is not null")
+def workbook_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sheet of a workbook that holds the study's ids, header on the third row."""
+    from tideline.sources import workbook as W
+
+    sheets = W.read_workbook(_workbook(spark, sf_dir), header=3)
+    name = readers.choose_sheet(sheets, ["TRACKFA_", "TRACK-FA_"])
+    return sheets[name].select("SubjectID", "Visit", F.col("f_view").cast("double").alias("f_view"), F.col("f_click").cast("double").alias("f_click"), F.lit(name).alias("sheet"))
+
+
+@query("src_03_workbook_merge", "select coalesce(a.subject_id, b.subject_id) subject_id, coalesce(a.visit, b.visit)::varchar visit, R(a.f_view) f_view, R(b.f_error) f_error from (select * from visits where f_view is not null) a full join (select * from visits where f_error is not null) b on a.subject_id = b.subject_id and a.visit = b.visit")
+def workbook_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sheets of a workbook, fully outer joined on their keys."""
+    from tideline.sources import workbook as W
+
+    s = W.read_workbook(_workbook(spark, sf_dir), header=3, sheets=("Morph", "DTI"))
+    both = s["Morph"].select("SubjectID", "Visit", "f_view").join(s["DTI"], ["SubjectID", "Visit"], "full")
+    return both.select(F.regexp_replace("SubjectID", "^TRACK-FA_", "").alias("subject_id"), F.col("Visit").alias("visit"), F.col("f_view").cast("double").alias("f_view"), F.col("f_error").cast("double").alias("f_error"))
+
+
 @query("src_04_sheet_features")
 def sheet_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(c,) for c in readers.sheet_features(X.visits(spark, sf_dir), ("subject_id", "visit", "site"))], "feature string")

@@ -13,6 +13,7 @@ from tideline.operators import reshape as S
 from tideline.plans import fixtures as X
 from tideline.plans.queries_effects import _D, _PD, _RAW, _UNP
 from tideline.plans.registry import query
+from tideline.sources import figures as G
 
 _QUESTIONS = "(values " + ", ".join("(" + ", ".join("'" + x + "'" for x in q) + ")" for q in R.QUESTIONS) + ") q(question, metric, role, fact)"
 _FACTS = f", i as (select interval fact, {_RAW} from ({_D}) where delta is not null group by interval), a as (select 'V1->V2 + V2->V3' fact, {_RAW} from ({_PD})), c as (select arg_max(d, abs(d)) d_z, arg_max(n, abs(d)) n from (select count(delta) n, avg(delta) / nullif(stddev_samp(delta), 0) d from (unpivot pairs on {_UNP} into name measure value delta) where pair = 'V1V2' group by measure)), f as (select fact, d_z \"value\", n_pairs n from i union all select fact, d_z, n_pairs from a union all select 'direction', p_delta_positive, n_pairs from a union all select 'clinical', d_z, n from c)"
@@ -127,3 +128,22 @@ def importance_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def integrated_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     votes = spark.createDataFrame([("delta_f_view",), ("delta_f_view",), ("delta_f_click",)], "feature string").groupBy("feature").agg(F.count("*").alias("k"))
     return M.integrated(_effects(spark, sf_dir), votes)
+
+
+@query("snk_05_scatter_pixels", ", v as (select f_click x, f_view y from visits where f_click is not null and f_view is not null), b as (select min(x) x0, max(x) x1, min(y) y0, max(y) y1 from v) select cast(least(floor((x - x0) / (x1 - x0) * 64), 63) as int) px, cast(47 - least(floor((y - y0) / (y1 - y0) * 48), 47) as int) py, count(*) n from v, b group by 1, 2")
+def scatter_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.scatter(X.visits(spark, sf_dir), "f_click", "f_view", 64, 48)
+
+
+@query("snk_05_scatter_png")
+def scatter_png(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The image of all visits as a PNG file's bytes."""
+    return G.png(G.scatter(X.visits(spark, sf_dir), "f_click", "f_view"), 640, 480, "visits.png")
+
+
+@query("rep_06_box_figure")
+def box_figure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five-number summaries of a feature by site, drawn side by side."""
+    q = F.percentile("f_view", F.array(*[F.lit(v) for v in (0.0, 0.25, 0.5, 0.75, 1.0)]))
+    table = X.visits(spark, sf_dir).groupBy("site").agg(q.alias("q")).select("site", *[F.col("q")[k].alias(n) for k, n in enumerate(("low", "q1", "median", "q3", "high"))])
+    return G.png(G.boxes(table, "site", 240, 120, (0.0, 100.0)), 240, 120, "sites.png")
