@@ -21,13 +21,16 @@ from tideline.plans.registry import query
 from tideline.sources import readers, sinks
 
 NUM = (*X.FEATURES, *X.CLINICAL)
-#: Texts that ids and lenient numbers have to cope with; the same rows stand in the SQL.
-MESSY = (" >700", "0775", "", "nan", "12a", "1d", "STU-DY_X1", "study_ab1", "MEL024", " v2 ", "2.0", "3", "V1", "abc", None)
-_MESSY_SQL = "(values " + ", ".join(f"({k}, {'null' if t is None else repr(t)})" for k, t in enumerate(MESSY)) + ") m(k, t)"
+#: How an order's numbers n (of its customer) and w (its own last digit) are written, one way for every last two digits of its key in turn.
+MESSY = ("' >' || n", "'0' || n", "''", "'nan'", "n || 'a'", "n || 'd'", "'STU-DY_X' || n", "'study_ab' || n", "'MEL' || lpad(n, 4, '0')", "' v' || w || ' '", "w || '.0'", "n", "'V' || w", "o_orderpriority", "null")
+_MESSY_CASE = "case k % " + str(len(MESSY)) + " " + " ".join(f"when {k} then {t}" for k, t in enumerate(MESSY)) + " end"
+_MESSY_SQL = f"(select k, {_MESSY_CASE} t from (select o_orderkey k, cast(o_custkey % 1000 as varchar) n, cast(o_orderkey % 10 as varchar) w, o_orderpriority from orders)) m"
 
 
-def messy(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(MESSY)), "k int, t string")
+def messy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that ids and lenient numbers have to cope with, one an order."""
+    o = X.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 1000).cast("string").alias("n"), (F.col("o_orderkey") % 10).cast("string").alias("w"), "o_orderpriority")
+    return o.select("k", F.expr(_MESSY_CASE).cast("string").alias("t"))
 
 
 # strings and ids
@@ -48,7 +51,7 @@ def id_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("str_05_participant_id", f"select k, case when t is null or trim(t) = '' then null when upper(trim(t)) like 'STUDY\\_%' escape '\\' or upper(trim(t)) like 'STU-DY\\_%' escape '\\' then replace(trim(t), 'STU-DY_', 'STUDY_') when regexp_full_match(trim(t), '[A-Z]{{2,6}}[0-9]{{2,6}}') then 'STUDY_' || trim(t) else trim(t) end id from {_MESSY_SQL}", fixtures=False)
 def participant_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return messy(spark).select("k", I.participant(F.col("t"), "STUDY_", "STU-DY_").alias("id"))
+    return messy(spark, sf_dir).select("k", I.participant(F.col("t"), "STUDY_", "STU-DY_").alias("id"))
 
 
 @query("str_06_pair_subject", "select patient_id, split_part(patient_id, '_', 1) subject from pairs")
@@ -58,12 +61,12 @@ def pair_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("coerce_numeric_text", f"select k, R(case when regexp_full_match(trim(replace(trim(t), '>', '')), '[+-]?[0-9]+([.][0-9]+)?') then try_cast(trim(replace(trim(t), '>', '')) as double) else try_cast(nullif(regexp_extract(t, '([0-9]+([.][0-9]+)?)', 1), '') as double) end) v from {_MESSY_SQL}", fixtures=False)
 def coerce_numeric_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return messy(spark).select("k", I.repeat_length(F.col("t")).alias("v"))
+    return messy(spark, sf_dir).select("k", I.repeat_length(F.col("t")).alias("v"))
 
 
 @query("visit_label", f"select k, case when t is null then '' when upper(trim(t)) like 'V%' then upper(trim(t)) when regexp_full_match(trim(t), '[+-]?[0-9]+([.][0-9]+)?') then 'V' || cast(cast(trunc(cast(trim(t) as double)) as int) as varchar) else t end label, t is null or trim(t) = '' missing from {_MESSY_SQL}", fixtures=False)
 def visit_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return messy(spark).select("k", I.visit_label(F.col("t")).alias("label"), I.missing(F.col("t")).alias("missing"))
+    return messy(spark, sf_dir).select("k", I.visit_label(F.col("t")).alias("label"), I.missing(F.col("t")).alias("missing"))
 
 
 @query("str_12_pair_interval", "select patient_id, case pair when 'V1V2' then 'V1->V2' when 'V2V3' then 'V2->V3' end interval from pairs")
@@ -82,13 +85,15 @@ def event_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_type", I.event_rank(F.expr(_EVENT)).alias("rank"))
 
 
-_DOMAINS = ("FA_SCP", "MD_body", "SCP_vol", "csa_c1c2", "eTIV", "sFA_c3c5", "dentate_qsm", "thalamus")
+_MEASURES = ("'FA_SCP_' || n", "'MD_body_' || n", "'SCP_vol'", "'csa_c1c2'", "'eTIV'", "'sFA_c3c5'", "'dentate_qsm_' || n", "'thalamus'", "'Cereb_vol'", "'Suscept_' || n", "'x_FA_' || n")
+_MEASURED = f"case p_partkey % {len(_MEASURES)} " + " ".join(f"when {k} then {m}" for k, m in enumerate(_MEASURES)) + " end"
 
 
-@query("str_15_feature_domain", "select * from (values ('FA_SCP', 'SCP diffusion'), ('MD_body', 'Brain DTI'), ('SCP_vol', 'SCP morphometry'), ('csa_c1c2', 'Spinal cord structural'), ('eTIV', 'Brain morphometry'), ('sFA_c3c5', 'Spinal cord diffusion'), ('dentate_qsm', 'Dentate/QSM or deep grey matter'), ('thalamus', 'Other MRI')) d(feature, domain)", fixtures=False)
+@query("str_15_feature_domain", f"with f as (select p_partkey, {_MEASURED} feature from (select p_partkey, cast(p_size as varchar) n from part)) select p_partkey, feature, case when feature = 'SCP_vol' then 'SCP morphometry' when feature = 'csa_c1c2' then 'Spinal cord structural' when feature in ('Cereb_vol', 'eTIV') then 'Brain morphometry' when feature = 'sFA_c3c5' then 'Spinal cord diffusion' when feature like 'FA\\_SCP%' escape '\\' then 'SCP diffusion' when feature like 'MD\\_%' escape '\\' then 'Brain DTI' when feature like 'dentate%' or feature like 'Suscept%' then 'Dentate/QSM or deep grey matter' when feature = 'thalamus' then 'Other MRI' else 'Unmapped MRI' end \"domain\" from f", fixtures=False)
 def feature_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = spark.createDataFrame([(d,) for d in _DOMAINS], "feature string")
-    return f.select("feature", N.feature_domain(F.col("feature"), listed=("thalamus",)).alias("domain"))
+    """The domain of a name made from every part."""
+    f = X.table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("string").alias("n")).select("p_partkey", F.expr(_MEASURED).alias("feature"))
+    return f.select("p_partkey", "feature", N.feature_domain(F.col("feature"), listed=("thalamus",)).alias("domain"))
 
 
 _TEXT_SOURCE = "select 'delta_mfars_total' measure, patient_id, delta_mfars_total delta from pairs"
@@ -242,9 +247,12 @@ def choose_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(readers.choose_sheet(sheets, ["Customer#"], names=("c_name",)),)], "sheet string")
 
 
-@query("flt_13_combinations", "select * from (values ('acts', 'f_click,f_purchase'), ('looks', 'f_view'), ('acts+looks', 'f_click,f_purchase,f_view')) c(combination, features)", fixtures=False)
+@query("flt_13_combinations", "with recursive g as (select r_regionkey k, r_name, string_agg(n_name, ',' order by n_nationkey) members from region join nation on n_regionkey = r_regionkey group by 1, 2), c as (select k, r_name combination, members features from g union all select g.k, combination || '+' || r_name, features || ',' || members from c join g on g.k > c.k) select combination, features from c", fixtures=False)
 def combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = N.combinations_of({"acts": ["f_click", "f_purchase"], "none": [], "looks": ["f_view"]})
+    """Nations of every combination of regions."""
+    n = X.table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: x["n_name"]).alias("members"))
+    groups = X.table(spark, sf_dir, "region").join(n, F.col("r_regionkey") == F.col("n_regionkey")).orderBy("r_regionkey").collect()
+    found = N.combinations_of({r["r_name"]: r["members"] for r in groups})
     return spark.createDataFrame([(k, ",".join(v)) for k, v in found.items()], "combination string, features string")
 
 
@@ -497,40 +505,45 @@ def standardised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.standardised(X.visits(spark, sf_dir).select("subject_id", "visit", "f_error"), ["f_error"])
 
 
-_SETS = [("a", ["f_click", "f_view"]), ("b", ["f_view"]), ("c", []), ("d", ["f_error", "f_view", "f_signup"])]
-_SETS_SQL = "(values " + ", ".join(f"('{k}', {f or '[]::varchar[]'})" for k, f in _SETS) + ") s(id, features)"
+#: A run's set: the features whose mean at a site and visit is above that of all visits; runs without any have an empty set.
+_SETS_CTE = f", v as (select site || '|' || visit id, feature, value from (select site, visit, {', '.join(X.FEATURES)} from visits) unpivot (value for feature in ({', '.join(X.FEATURES)}))), mean_ as (select feature, avg(value) m from v group by 1), at_ as (select id, feature, avg(value) a from v group by 1, 2), sets_ as (select id, coalesce(list(feature order by feature) filter (a > m * 1.01), []) features from at_ join mean_ using (feature) group by 1)"
 
 
-def _sets(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_SETS, "id string, features array<string>")
+def _sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = X.visits(spark, sf_dir).select(F.concat_ws("|", "site", "visit").alias("id"), *X.FEATURES).unpivot(["id"], list(X.FEATURES), "feature", "value").where("value is not null")
+    mean = v.groupBy("feature").agg(F.avg("value").alias("m"))
+    # a row a feature
+    at = v.groupBy("id", "feature").agg(F.avg("value").alias("a")).join(F.broadcast(mean), "feature")
+    return at.groupBy("id").agg(F.array_sort(F.collect_list(F.when(F.col("a") > F.col("m") * 1.01, F.col("feature")))).alias("features"))
 
 
-_J = f"with s as (select * from {_SETS_SQL}), j as (select a.id a, b.id b, case when len(a.features) + len(b.features) = 0 then 1.0::double else len(list_intersect(a.features, b.features))::double / len(list_distinct(list_concat(a.features, b.features))) end x from s a join s b on a.id < b.id) "
+_J = _SETS_CTE + ", j as (select a.id a, b.id b, case when len(a.features) + len(b.features) = 0 then 1.0::double else len(list_intersect(a.features, b.features))::double / len(list_distinct(list_concat(a.features, b.features))) end jaccard from sets_ a join sets_ b on a.id < b.id)"
 
 
-@query("jaccard_pairs", _J + "select a, b, R(x) jaccard from j", fixtures=False)
+@query("jaccard_pairs", _J + " select a, b, R(jaccard) jaccard from j")
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.jaccard_pairs(_sets(spark))
+    return T.jaccard_pairs(_sets(spark, sf_dir))
 
 
-@query("agg_23_jaccard_summary", _J + "select count(*) n_pairs, R(avg(x)) mean, R(quantile_cont(x, 0.5)) median, R(quantile_cont(x, 0.25)) q25, R(quantile_cont(x, 0.75)) q75, R(min(x)) min, R(max(x)) max from j", fixtures=False)
+@query("agg_23_jaccard_summary", _J + " select count(*) n_pairs, R(avg(jaccard)) mean, R(quantile_cont(jaccard, 0.5)) median, R(quantile_cont(jaccard, 0.25)) q25, R(quantile_cont(jaccard, 0.75)) q75, R(min(jaccard)) min, R(max(jaccard)) max from j")
 def jaccard_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.jaccard_summary(_sets(spark))
+    return T.jaccard_summary(_sets(spark, sf_dir))
 
 
 _UNIVERSE = "(values " + ", ".join(f"('{f}')" for f in X.FEATURES) + ") u(feature)"
 
 
-@query("selection_frequency", f"with s as (select id, unnest(features) feature from {_SETS_SQL}) select u.feature, count(s.id) count, R(count(s.id)::double / 4) frequency from {_UNIVERSE} left join s using (feature) group by 1", fixtures=False)
+@query("selection_frequency", _SETS_CTE + f", s as (select id, unnest(features) feature from sets_) select u.feature, count(s.id) count, R(count(s.id)::double / (select count(*) from sets_)) frequency from {_UNIVERSE} left join s using (feature) group by 1")
 def selection_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.selection_frequency(_sets(spark), spark.createDataFrame([(f,) for f in X.FEATURES], "feature string"))
+    return T.selection_frequency(_sets(spark, sf_dir), spark.createDataFrame([(f,) for f in X.FEATURES], "feature string"))
 
 
-@query("agg_28_domain_coverage", "select cast(2 as bigint) domains", fixtures=False)
+@query("agg_28_domain_coverage", _SETS_CTE + " select id, (len(list_intersect(features, ['f_click', 'f_purchase'])) > 0)::bigint + (len(list_intersect(features, ['f_view'])) > 0)::bigint + (len(list_intersect(features, ['f_signup', 'f_error'])) > 0)::bigint domains from sets_")
 def domain_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = spark.createDataFrame([("acts", ["f_click", "f_purchase"]), ("looks", ["f_view"]), ("joins", ["f_signup"])], "domain string, members array<string>")
-    chosen = F.array(F.lit("f_click"), F.lit("f_view"))
-    return groups.agg(F.count(F.when(F.arrays_overlap("members", chosen), 1)).alias("domains"))
+    """Domains that each run's set reaches."""
+    domains = (("f_click", "f_purchase"), ("f_view",), ("f_signup", "f_error"))
+    reached = sum((F.arrays_overlap("features", F.array(*[F.lit(f) for f in d])).cast("long") for d in domains), F.lit(0).cast("long"))
+    return _sets(spark, sf_dir).select("id", reached.alias("domains"))
 
 
 _UD = f", u as (unpivot (select {', '.join('delta_' + f for f in X.FEATURES)} from pairs) on * into name feature value delta)"
@@ -587,28 +600,31 @@ def site_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ranking
 
-_CAND = [(1, 0.50, 0.20, 0.30, 0.7, 8.0), (2, 0.45, 0.10, 0.05, 0.6, 5.0), (3, 0.44, None, 0.05, 0.8, 5.0), (4, 0.10, 0.01, 0.00, 0.9, 1.0), (5, float("-inf"), 0.0, None, None, None)]
-_CAND_SCHEMA = "candidate_idx int, mean_validation_annual_dz double, se_validation_dz double, annual_interval_gap double, p_progression double, feature_count double"
-_CAND_SQL = "(values " + ", ".join("(" + ", ".join("null" if v is None else "'-inf'::double" if v == float("-inf") else str(v) for v in c) + ")" for c in _CAND) + ") c(candidate_idx, mean_validation_annual_dz, se_validation_dz, annual_interval_gap, p_progression, feature_count)"
+#: Candidates made of orders: a mean, its standard error (none for some), a gap, a share and a number of features; one mean is -inf.
+_CAND_SQL = "(select candidate_idx, case when candidate_idx = 12 then '-inf'::double else m end mean_validation_annual_dz, case when candidate_idx % 11 <> 3 then s end se_validation_dz, case when candidate_idx % 13 <> 5 then g end annual_interval_gap, p p_progression, case when candidate_idx % 17 <> 4 then (1 + candidate_idx % 7)::double end feature_count from (select cast(o_custkey % 40 as int) candidate_idx, avg(o_totalprice) / 1e5::double m, 2 * stddev_samp(o_totalprice) / sqrt(count(*)) / 1e5::double s, abs(avg(case when o_orderkey % 2 = 0 then o_totalprice end) - avg(case when o_orderkey % 2 = 1 then o_totalprice end)) / 1e5::double g, avg(case when o_totalprice > 150000 then 1.0::double else 0.0::double end) p from orders group by 1)) c"
 
 
-def _cands(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_CAND, _CAND_SCHEMA)
+def _cands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    price, even = F.col("o_totalprice"), F.col("o_orderkey") % 2 == 0
+    o = X.table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 40).cast("int").alias("candidate_idx"))
+    o = o.agg((F.avg(price) / 1e5).alias("m"), (2 * F.stddev_samp(price) / F.sqrt(F.count("*")) / 1e5).alias("s"), (F.abs(F.avg(F.when(even, price)) - F.avg(F.when(~even, price))) / 1e5).alias("g"), F.avg(F.when(price > 150000, 1.0).otherwise(0.0)).alias("p"))
+    idx = F.col("candidate_idx")
+    return o.select(idx, F.when(idx == 12, float("-inf")).otherwise(F.col("m")).alias("mean_validation_annual_dz"), F.when(idx % 11 != 3, F.col("s")).alias("se_validation_dz"), F.when(idx % 13 != 5, F.col("g")).alias("annual_interval_gap"), F.col("p").alias("p_progression"), F.when(idx % 17 != 4, 1.0 + idx % 7).alias("feature_count"))
 
 
-@query("one_se_choice", f"with c as (select * from {_CAND_SQL}), b as (select mean_validation_annual_dz m, se_validation_dz s from c order by m desc nulls last, candidate_idx limit 1) select cast(candidate_idx as int) candidate_idx, R(annual_interval_gap) gap from c, b where mean_validation_annual_dz >= m - s order by annual_interval_gap nulls last, p_progression desc nulls last, feature_count nulls last, candidate_idx limit 1", fixtures=False)
+@query("one_se_choice", f"with c as (select * from {_CAND_SQL}), b as (select mean_validation_annual_dz m, se_validation_dz s from c order by m desc nulls last, candidate_idx limit 1) select cast(candidate_idx as int) candidate_idx, R(annual_interval_gap) gap from c, b where mean_validation_annual_dz >= m - coalesce(s, 0) order by annual_interval_gap nulls last, p_progression desc nulls last, feature_count nulls last, candidate_idx limit 1", fixtures=False)
 def one_se_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.hierarchical_choice(_cands(spark)).select("candidate_idx", F.col("annual_interval_gap").alias("gap"))
+    return K.hierarchical_choice(_cands(spark, sf_dir)).select("candidate_idx", F.col("annual_interval_gap").alias("gap"))
 
 
-@query("srt_05_near_optimal", f"with c as (select * from {_CAND_SQL}), b as (select mean_validation_annual_dz m, se_validation_dz s from c order by m desc nulls last, candidate_idx limit 1) select cast(candidate_idx as int) candidate_idx from c, b where mean_validation_annual_dz >= m - s", fixtures=False)
+@query("srt_05_near_optimal", f"with c as (select * from {_CAND_SQL}), b as (select mean_validation_annual_dz m, se_validation_dz s from c order by m desc nulls last, candidate_idx limit 1) select cast(candidate_idx as int) candidate_idx from c, b where mean_validation_annual_dz >= m - coalesce(s, 0)", fixtures=False)
 def near_optimal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.near_best(_cands(spark), "mean_validation_annual_dz", "se_validation_dz").select("candidate_idx")
+    return K.near_best(_cands(spark, sf_dir), "mean_validation_annual_dz", "se_validation_dz").select("candidate_idx")
 
 
-@query("nb_16_parsimony_picks", "select 'simplest' pick, 2 candidate_idx union all select 'most stable', 3", fixtures=False)
+@query("nb_16_parsimony_picks", f"with c as (select * from {_CAND_SQL}), b as (select mean_validation_annual_dz m, se_validation_dz s from c order by m desc nulls last, candidate_idx limit 1), n as (select c.* from c, b where mean_validation_annual_dz >= m - coalesce(s, 0)) select 'simplest' pick, candidate_idx from (select candidate_idx from n order by feature_count nulls last, candidate_idx limit 1) union all select 'most stable', candidate_idx from (select candidate_idx from n order by p_progression desc nulls last, candidate_idx limit 1)", fixtures=False)
 def parsimony_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = K.near_best(_cands(spark), "mean_validation_annual_dz", "se_validation_dz")
+    near = K.near_best(_cands(spark, sf_dir), "mean_validation_annual_dz", "se_validation_dz")
     one = K.top_k(near, 1, [F.col("feature_count").asc_nulls_last(), "candidate_idx"]).select(F.lit("simplest").alias("pick"), "candidate_idx")
     two = K.top_k(near, 1, [F.col("p_progression").desc_nulls_last(), "candidate_idx"]).select(F.lit("most stable").alias("pick"), "candidate_idx")
     return one.unionByName(two)

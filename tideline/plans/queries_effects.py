@@ -67,7 +67,11 @@ def paired_t(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.agg(F.count("delta").alias("n"), (E.cohens_dz(F.col("delta")) * F.sqrt(F.count("delta"))).alias("t"), (F.count("delta") - 1).alias("df"))
 
 
-@query("agg_12_paired_ttest")
+#: Two-sided p of Student's t in SQL: Simpson's rule over the density from 0 to |t|.
+_P = "case when {t} is null or {n} <= 0 then null else 1 - 2 * exp(lgamma(({n} + 1) / 2.0::double) - lgamma({n} / 2.0::double)) / sqrt({n} * pi()) * (abs({t}) / 2000.0::double / 3) * list_sum(list_transform(range(0, 2001), lambda i: (case when i = 0 or i = 2000 then 1 when i % 2 = 1 then 4 else 2 end) * pow(1 + pow(abs({t}) * i / 2000.0::double, 2) / {n}, -({n} + 1) / 2.0::double))) end"
+
+
+@query("agg_12_paired_ttest", ", d as (select subject_id, arg_max(score, visit) - arg_min(score, visit) delta from scores group by 1 having count(*) = 2), s as (select count(delta) n, avg(delta) / nullif(stddev_samp(delta), 0) * sqrt(count(delta)) t from d) select n, R(t) t, R(" + _P.format(t="t", n="(n - 1)") + ") p from s")
 def paired_ttest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideline.operators.kernels import t_two_sided
 
@@ -161,13 +165,16 @@ def spearman_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.spearman(X.pairs(spark, sf_dir).select("delta_f_view", "delta_mfars_total"), "delta_f_view", "delta_mfars_total")
 
 
-@query("jon_04_clinical_validity", ", j as (select visit, score a, mfars_total b from scores join visits using (subject_id, visit)), r as (select visit, rank() over (partition by visit order by a) + (count(*) over (partition by visit, a) - 1) / 2.0::double ra, rank() over (partition by visit order by b) + (count(*) over (partition by visit, b) - 1) / 2.0::double rb from j) select visit, count(*) n, R(corr(ra, rb)) rho from r group by visit")
+_VALID = ", j as (select visit, score a, mfars_total b from scores join visits using (subject_id, visit)), r as (select visit, rank() over (partition by visit order by a) + (count(*) over (partition by visit, a) - 1) / 2.0::double ra, rank() over (partition by visit order by b) + (count(*) over (partition by visit, b) - 1) / 2.0::double rb from j)"
+
+
+@query("jon_04_clinical_validity", _VALID + " select visit, count(*) n, R(corr(ra, rb)) rho from r group by visit")
 def clinical_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = X.scores(spark, sf_dir).select("subject_id", "visit", "score").join(X.visits(spark, sf_dir).select("subject_id", "visit", "mfars_total"), ["subject_id", "visit"])
     return E.spearman(j, "score", "mfars_total", ["visit"])
 
 
-@query("jon_04_clinical_validity_p")
+@query("jon_04_clinical_validity_p", _VALID + ", c as (select visit, count(*) n, corr(ra, rb) rho from r group by visit), w as (select *, rho * sqrt((n - 2) / nullif(1 - rho * rho, 0)) t from c) select visit, n, R(rho) rho, R(t) t, R(" + _P.format(t="t", n="(n - 2)") + ") p from w")
 def clinical_validity_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideline.operators.kernels import t_two_sided
 

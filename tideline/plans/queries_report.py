@@ -10,6 +10,7 @@ from tideline.operators import importance as M
 from tideline.operators import ranking as K
 from tideline.operators import report as R
 from tideline.operators import reshape as S
+from tideline.operators.resample import hash_fold
 from tideline.plans import fixtures as X
 from tideline.plans.queries_effects import _D, _PD, _RAW, _UNP
 from tideline.plans.registry import query
@@ -40,9 +41,14 @@ def append_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.append_models(R.performance_rows(spark, "composite", _facts(spark, sf_dir)), models)
 
 
-@query("rep_03_cv_contract", "select * from (values " + ", ".join(f"('{a}', '{b}')" for a, b in R.CONTRACT) + ") c(component, requirement)", fixtures=False)
+@query("rep_03_cv_contract", ", n as (select count(distinct subject) subjects, count(distinct pair_id) pairs, count(*) visits from pair_visits), f as (select count(*) shared from (select subject from (select distinct subject, ('0x' || substr(md5('42|' || subject), 1, 8))::bigint % 5 fold from pair_visits) group by 1 having count(*) > 1)) select component, requirement, subjects, pairs, visits, shared from (values " + ", ".join(f"('{a}', '{b}')" for a, b in R.CONTRACT) + ") c(component, requirement), n, f")
 def cv_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(R.CONTRACT, "component string, requirement string")
+    """The contract beside what it is held to: subjects, pairs and visits of the study, and subjects that stand in two folds."""
+    v = X.pair_visits(spark, sf_dir)
+    n = v.agg(F.count_distinct("subject").alias("subjects"), F.count_distinct("pair_id").alias("pairs"), F.count("*").alias("visits"))
+    folds = v.select("subject", hash_fold(F.col("subject"), 5).alias("fold")).distinct().groupBy("subject").count().agg(F.count_if(F.col("count") > 1).alias("shared"))
+    # one row each
+    return spark.createDataFrame(R.CONTRACT, "component string, requirement string").crossJoin(F.broadcast(n)).crossJoin(F.broadcast(folds))
 
 
 @query("rep_05_benchmark_flags", f", u as (unpivot pairs on {_UNP} into name measure value delta), b as (select pair, avg(delta) / nullif(stddev_samp(delta), 0) d from u group by measure, pair), m as (select pair, max(abs(d)) best from b group by 1), e as (select pair, avg(delta_f_view) / nullif(stddev_samp(delta_f_view), 0) d from pairs group by 1) select pair, R(d) d, R(best) best_clinical, abs(d) > best beats_best_clinical from e left join m using (pair)")
@@ -80,10 +86,10 @@ def against_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.where("feature <> 'delta_f_view'").crossJoin(F.broadcast(ref)).select("feature", (F.col("d") - F.col("_r")).alias("difference"))
 
 
-@query("nb_11_frequency_matrix", ", u as (select site, feature, value from (select site, visit, " + ", ".join(X.FEATURES) + " from visits) unpivot (value for feature in (" + ", ".join(X.FEATURES) + "))), w as (select feature, " + ", ".join(f"cast(count(*) filter (site = 'site_{k}') as bigint) site_{k}" for k in range(3)) + " from u where site in ('site_0', 'site_1', 'site_2') group by 1) select feature, site_0, site_1, site_2, greatest(site_0, site_1, site_2) most from w")
+@query("nb_11_frequency_matrix", ", u as (select site, feature, value from (select site, visit, " + ", ".join(X.FEATURES) + " from visits) unpivot (value for feature in (" + ", ".join(X.FEATURES) + "))), w as (select feature, " + ", ".join(f"cast(count(*) filter (site = 'site_{k}') as bigint) site_{k}" for k in range(6)) + " from u group by 1) select *, greatest(" + ", ".join(f"site_{k}" for k in range(6)) + ") most from w")
 def frequency_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = S.unpivot(X.visits(spark, sf_dir), ["site"], X.FEATURES).where("value is not null")
-    sites = [f"site_{k}" for k in range(3)]
+    sites = [f"site_{k}" for k in range(6)]
     return u.groupBy("feature").pivot("site", sites).agg(F.count(F.lit(1))).fillna(0).withColumn("most", F.greatest(*sites))
 
 
@@ -114,13 +120,24 @@ def optimization_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy("model").agg(F.count("*").alias("n"), F.max("d").alias("best"))
 
 
-_T = "(values " + ", ".join(f"('{f}', {a}, {b}, {s}, {lo}, {hi}, {'true' if r else 'false'}, {loss})" for f, a, b, s, lo, hi, r, loss in (("a", 0.9, 0.8, 0.95, 0.1, 0.9, 0, 0.4), ("b", 0.7, 0.1, 0.9, 0.1, 0.5, 0, -0.1), ("c", 0.1, 0.1, 0.5, -0.1, 0.2, 0, 0.0), ("d", 0.75, 0.8, 0.85, 0.1, 0.2, 1, 0.01), ("e", 0.05, 0.02, 0.99, 0.01, 0.2, 0, 0.0))) + ")"
-_T_ROWS = [("a", 0.9, 0.8, 0.95, 0.1, 0.9, False, 0.4), ("b", 0.7, 0.1, 0.9, 0.1, 0.5, False, -0.1), ("c", 0.1, 0.1, 0.5, -0.1, 0.2, False, 0.0), ("d", 0.75, 0.8, 0.85, 0.1, 0.2, True, 0.01), ("e", 0.05, 0.02, 0.99, 0.01, 0.2, False, 0.0)]
+_EVIDENCE = f""", u as (select site, patient_id, pair, feature, delta from (select site, patient_id, pair, {', '.join(f'delta_{f} {f}' for f in X.FEATURES)} from pairs) unpivot (delta for feature in ({', '.join(X.FEATURES)}))),
+m as (select feature, avg(case when pair = 'V1V2' then delta end) a, avg(case when pair = 'V2V3' then delta end) b, avg(delta) d, avg(delta) - 1.96 * stddev_samp(delta) / sqrt(count(*)) lo, avg(delta) + 1.96 * stddev_samp(delta) / sqrt(count(*)) hi from u group by 1),
+g as (select feature, avg(case when sign(x) = sign(d) then 1.0::double else 0.0::double end) s from (select feature, site, avg(delta) x from u group by 1, 2) join m using (feature) group by 1),
+t as (select feature, m.a, m.b, g.s, lo, hi, case when feature <> 'f_view' then abs(d) > 1 end r, d / 10 loss from m join g using (feature))"""
 
 
-@query("srt_09_importance_labels", f"with t as (select * from {_T} t(feature, a, b, s, lo, hi, r, loss)), q as (select quantile_cont((abs(a) + abs(b))::double / 2, 0.75) c, quantile_cont(loss::double, 0.75) l from t) select feature, case when s < 0.8 or (lo <= 0 and hi >= 0) then 'Unstable / uncertain' when r and (abs(a) + abs(b)) / 2 >= c and not (loss >= l and loss > 0) then 'Potentially redundant contributor' when (abs(a) + abs(b)) / 2 >= c and loss >= l and loss > 0 then 'Strong robust contributor' when abs(a - b) > abs(a + b) / 2 and (abs(a) + abs(b)) / 2 >= c then 'Interval-specific contributor' when (abs(a) + abs(b)) / 2 >= c or (loss >= l and loss > 0) then 'Moderate contributor' else 'Minimal contribution' end label from t, q", fixtures=False)
+@query("srt_09_importance_labels", _EVIDENCE + ", q as (select quantile_cont((abs(a) + abs(b))::double / 2, 0.75) c, quantile_cont(loss::double, 0.75) l from t) select feature, case when s < 0.8 or (lo <= 0 and hi >= 0) then 'Unstable / uncertain' when coalesce(r, false) and (abs(a) + abs(b)) / 2 >= c and not (loss >= l and loss > 0) then 'Potentially redundant contributor' when (abs(a) + abs(b)) / 2 >= c and loss >= l and loss > 0 then 'Strong robust contributor' when abs(a - b) > abs(a + b) / 2 and (abs(a) + abs(b)) / 2 >= c then 'Interval-specific contributor' when (abs(a) + abs(b)) / 2 >= c or (loss >= l and loss > 0) then 'Moderate contributor' else 'Minimal contribution' end label from t, q")
 def importance_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.createDataFrame(_T_ROWS, "feature string, contribution_v1_v2 double, contribution_v2_v3 double, sign_consistency double, ci_low double, ci_high double, redundant boolean, performance_loss double")
+    """Labels of every feature from its mean changes, their interval, and the sites that agree with their sign."""
+    names = list(X.FEATURES)
+    u = X.pairs(spark, sf_dir).select("site", "pair", *[F.col(f"delta_{f}").alias(f) for f in names]).unpivot(["site", "pair"], names, "feature", "delta").where("delta is not null")
+    half = F.lit(1.96) * F.stddev_samp("delta") / F.sqrt(F.count("*"))
+    at = lambda p: F.avg(F.when(F.col("pair") == p, F.col("delta")))
+    m = u.groupBy("feature").agg(at("V1V2").alias("contribution_v1_v2"), at("V2V3").alias("contribution_v2_v3"), F.avg("delta").alias("d"), (F.avg("delta") - half).alias("ci_low"), (F.avg("delta") + half).alias("ci_high"))
+    sites = u.groupBy("feature", "site").agg(F.avg("delta").alias("x"))
+    # a row a feature
+    g = sites.join(F.broadcast(m.select("feature", "d")), "feature").groupBy("feature").agg(F.avg(F.when(F.signum("x") == F.signum("d"), 1.0).otherwise(0.0)).alias("sign_consistency"))
+    t = m.join(g, "feature").withColumn("redundant", F.when(F.col("feature") != "f_view", F.abs("d") > 1)).withColumn("performance_loss", F.col("d") / 10)
     return K.importance_labels(t).select("feature", "label")
 
 

@@ -15,7 +15,7 @@ from tideline.operators import ranking as K
 from tideline.operators.importance import subgroup_importance
 from tideline.plans import fixtures as X
 from tideline.plans import merge as G
-from tideline.plans.queries_data import _CAND_SQL, _EVENT, _SETS_SQL, _cands, _sets
+from tideline.plans.queries_data import _CAND_SQL, _EVENT, _J, _cands, _sets
 from tideline.plans.registry import query
 
 _MERGED = """, people as (select subject_id, max(study_group) g from visits group by 1),
@@ -53,22 +53,22 @@ def visit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("pair_id", F.col("a")[0].alias("a"), F.col("b")[0].alias("b"))
 
 
-@query("agg_27_candidate_stability", f"with s as (select * from {_SETS_SQL}), j as (select case when len(a.features) + len(b.features) = 0 then 1.0::double else len(list_intersect(a.features, b.features))::double / len(list_distinct(list_concat(a.features, b.features))) end x from s a join s b on a.id < b.id) select cast(c.candidate_idx as int) candidate_idx, R((select avg(x) from j)) jaccard_stability from {_CAND_SQL}", fixtures=False)
+@query("agg_27_candidate_stability", _J + f" select candidate_idx, R((select avg(jaccard) from j)) jaccard_stability from {_CAND_SQL}")
 def candidate_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideline.operators.stability import jaccard_summary
 
-    return _cands(spark).select("candidate_idx").crossJoin(F.broadcast(jaccard_summary(_sets(spark)).select(F.col("mean").alias("jaccard_stability"))))
+    return _cands(spark, sf_dir).select("candidate_idx").crossJoin(F.broadcast(jaccard_summary(_sets(spark, sf_dir)).select(F.col("mean").alias("jaccard_stability"))))
 
 
 @query("srt_10_selected_config", f"select cast(candidate_idx as int) candidate_idx, R(coalesce(se_validation_dz, 0.05)) se from {_CAND_SQL} order by mean_validation_annual_dz desc nulls last, candidate_idx limit 1", fixtures=False)
 def selected_config(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.top_k(_cands(spark), 1, [F.col("mean_validation_annual_dz").desc_nulls_last(), "candidate_idx"]).select("candidate_idx", F.coalesce("se_validation_dz", F.lit(0.05)).alias("se"))
+    return K.top_k(_cands(spark, sf_dir), 1, [F.col("mean_validation_annual_dz").desc_nulls_last(), "candidate_idx"]).select("candidate_idx", F.coalesce("se_validation_dz", F.lit(0.05)).alias("se"))
 
 
 @query("srt_11_best_combo", f"select cast(candidate_idx as int) candidate_idx from {_CAND_SQL} order by coalesce(feature_count, 0) >= 5 desc, mean_validation_annual_dz desc nulls last, candidate_idx limit 1", fixtures=False)
 def best_combo(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = F.coalesce(F.col("feature_count"), F.lit(0.0)) >= 5
-    return K.top_k(_cands(spark), 1, [whole.desc(), F.col("mean_validation_annual_dz").desc_nulls_last(), "candidate_idx"]).select("candidate_idx")
+    return K.top_k(_cands(spark, sf_dir), 1, [whole.desc(), F.col("mean_validation_annual_dz").desc_nulls_last(), "candidate_idx"]).select("candidate_idx")
 
 
 #: Profiles of the fixture's modulator, in its own unit.
