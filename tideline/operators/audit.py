@@ -76,6 +76,35 @@ def missingness_matrix(df: DataFrame, features: Sequence[str], groups: Sequence[
     return long.groupBy("feature").pivot("g", list(groups)).agg(F.sum(F.col("value").isNull().cast("long")))
 
 
+def block_missingness(combined: DataFrame, blocks: dict[str, Sequence[str]], visit: str = "visit") -> DataFrame:
+    """visit (null over all), column, source_block, n rows and missing_pct, the share without a value.
+
+    combined: the full outer join of the sources. One aggregate counts nulls by visit; its
+    few rows are then unpivoted and rolled up.
+    """
+    columns = [c for own in blocks.values() for c in own]
+    counts = combined.groupBy(visit).agg(F.count("*").alias("_n"), *[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in columns])
+    long = counts.unpivot([visit, "_n"], columns, "column", "_nulls")
+    block = F.element_at(F.create_map(*[F.lit(x) for b, own in blocks.items() for c in own for x in (c, b)]), F.col("column"))
+    sets = long.groupingSets([["column"], ["column", visit]], "column", visit)
+    out = sets.agg(F.sum("_n").alias("n"), (F.sum("_nulls") / F.sum("_n")).alias("missing_pct"), F.grouping(visit).alias("_all"))
+    return out.select(F.when(F.col("_all") == 0, F.col(visit)).alias(visit), (F.col("_all") == 1).alias("over_all"), "column", block.alias("source_block"), "n", "missing_pct")
+
+
+def block_summary(missing: DataFrame) -> DataFrame:
+    """Columns of each block, and the mean and largest share missing over all visits."""
+    return missing.where("over_all").groupBy("source_block").agg(F.count("*").alias("n_columns"), F.avg("missing_pct").alias("mean_missing_pct"), F.max("missing_pct").alias("max_missing_pct"))
+
+
+def source_summary(sources: dict[str, DataFrame], subject: str) -> DataFrame:
+    """Rows, columns and subjects of each source."""
+    parts = [df.agg(F.count("*").alias("n_rows"), F.count_distinct(subject).alias("n_subjects")).select(F.lit(name).alias("source"), "n_rows", F.lit(len(df.columns)).cast("long").alias("n_columns"), "n_subjects") for name, df in sources.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def null_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Nulls of each column, from one aggregation."""
     one = df.agg(*[F.sum(F.col(c).isNull().cast("long")).alias(c) for c in columns])

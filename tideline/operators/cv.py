@@ -37,11 +37,12 @@ ALL = (0, -1, -1)
 
 
 class Validated(NamedTuple):
-    """Out-of-fold scores, the table of candidates (None for one) and the features that each fold selected."""
+    """Out-of-fold scores, the table of candidates (None for one), the features that each fold selected, and each fold's coefficients."""
 
     scores: DataFrame
     candidates: DataFrame | None
     selected: DataFrame
+    coefficients: DataFrame
 
 
 @dataclass(frozen=True)
@@ -58,7 +59,8 @@ class Plan:
     """kind, features, modulators (interaction), target (regression), the folds, and how a training set selects features.
 
     selection is none, mi, mml, progression_univariate, progression_mrmr or sparse_srm; at
-    most ``k`` features are kept.
+    most ``k`` features are kept. With ``groups``, mi keeps at most k of each group, in the
+    order of the groups and each feature once.
     """
 
     kind: str
@@ -74,10 +76,13 @@ class Plan:
     k: int = 8
     redundancy: float = 0.25
     sparse: tuple[float, float, float] = (0.01, 0.5, 1e-8)
+    groups: tuple[tuple[str, ...], ...] = ()
 
     def __post_init__(self) -> None:
         if self.selection not in SELECTIONS:
             raise ValueError(f"unknown selection method {self.selection}")
+        if self.groups and self.selection != "mi":
+            raise ValueError("only information selects by group")
 
     @property
     def clips(self) -> list[float]:
@@ -232,7 +237,10 @@ def _select(plan: Plan, grams: dict[str, np.ndarray], k: int, scale: tuple[np.nd
     mean, sd = scale[0][:p], scale[1][:p]
     if plan.selection == "mi":
         value = [_information(mine["mi"].reshape(2, p, BINS)[:, j]) for j in range(p)]
-        return sorted(range(p), key=lambda j: (-value[j], names[j]))[: plan.k]
+        ranked = sorted(range(p), key=lambda j: (-value[j], names[j]))
+        if plan.groups:
+            return list(dict.fromkeys(j for g in plan.groups for j in [j for j in ranked if names[j] in g][: plan.k]))
+        return ranked[: plan.k]
     if plan.selection == "mml":
         # back to the raw scale, on which message lengths are defined
         back = np.diag(np.concatenate([[1.0], sd, [1.0]]))
@@ -353,9 +361,10 @@ def fit_whole(pair_visits: DataFrame, plan: Plan, **names: str) -> tuple[tuple[n
 
 
 def cross_validate(pair_visits: DataFrame, plan: Plan, metric: str = "annual_mean_dz", **names: str) -> Validated:
-    """Out-of-fold scores, with more than one candidate the table of candidates with the chosen ones, and each fold's features.
+    """Out-of-fold scores, with more than one candidate the table of candidates with the chosen ones, each fold's features and coefficients.
 
     Scores: repeat, fold, pair_id, subject, visit, score (and target for a regression).
+    Coefficients: of the chosen candidate on the fold's standard scale, 0 where not selected.
     A fold whose training set cannot be fitted gives no scores. Incomplete pairs, and
     pairs without both visits, take no part.
     """
@@ -396,7 +405,10 @@ def cross_validate(pair_visits: DataFrame, plan: Plan, metric: str = "annual_mea
 
     kind = "repeat int, fold int, pair_id string, subject string, visit int, score double" + (", target double" if target else "")
     own = spark.createDataFrame([(s[0], s[1], [plan.features[j] for j in selected[k]]) for k, s in last], "repeat int, fold int, features array<string>")
-    return Validated(rows.mapInPandas(score, kind), table, own)
+    terms = [*plan.features, *[f"{f} x {m}" for f in plan.features for m in plan.modulators if plan.kind == "interaction"]]
+    coefs = [(s[0], s[1], chosen[s[0], s[1]], t, float(w)) for k, s in last if (k, chosen[s[0], s[1]]) in fits for t, w in zip(terms, fits[k, chosen[s[0], s[1]]][0])]
+    weights = spark.createDataFrame(coefs, "repeat int, fold int, candidate_idx int, term string, coef double")
+    return Validated(rows.mapInPandas(score, kind), table, own, weights)
 
 
 def grid(**axes: Sequence) -> tuple[Candidate, ...]:

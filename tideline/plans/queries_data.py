@@ -217,6 +217,33 @@ def source_presence_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.source_presence(v.where("f_click is not null"), v.where("f_error is not null"), ["subject_id", "visit"]).groupBy("visit", "presence").agg(F.count("*").alias("n"))
 
 
+_SOURCES = ", c as (select subject_id, visit, mfars_total, sara_total from visits where f_click is not null), i as (select subject_id, visit, f_error, f_view, f_signup from visits where f_error > 30), b as (select coalesce(c.subject_id, i.subject_id) subject_id, coalesce(c.visit, i.visit) visit, mfars_total, sara_total, f_error, f_view, f_signup from c full join i on c.subject_id = i.subject_id and c.visit = i.visit)"
+_BLOCKS = {"clinical_raw": ("mfars_total", "sara_total"), "imaging_raw": ("f_error", "f_view", "f_signup")}
+_BLOCK_ROWS = " union all ".join(f"select visit, '{c}' \"column\", '{b}' source_block, {c} is null lacks from b" for b, own in _BLOCKS.items() for c in own)
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    v = X.visits(spark, sf_dir)
+    clinical = v.where("f_click is not null").select("subject_id", "visit", *_BLOCKS["clinical_raw"])
+    imaging = v.where("f_error > 30").select("subject_id", "visit", *_BLOCKS["imaging_raw"])
+    return {"clinical": clinical, "imaging": imaging, "joined": clinical.join(imaging, ["subject_id", "visit"], "full")}
+
+
+@query("jon_02_block_missingness", _SOURCES + f", l as ({_BLOCK_ROWS}) select visit, visit is null over_all, \"column\", source_block, count(*) n, R(avg(lacks::int::double)) missing_pct from l group by grouping sets ((\"column\", source_block), (\"column\", source_block, visit))")
+def block_missingness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.block_missingness(_sources(spark, sf_dir)["joined"], _BLOCKS)
+
+
+@query("jon_02_block_summary", _SOURCES + f", l as ({_BLOCK_ROWS}), m as (select \"column\", source_block, avg(lacks::int::double) p from l group by 1, 2) select source_block, count(*) n_columns, R(avg(p)) mean_missing_pct, R(max(p)) max_missing_pct from m group by 1")
+def block_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.block_summary(A.block_missingness(_sources(spark, sf_dir)["joined"], _BLOCKS))
+
+
+@query("jon_02_source_summary", _SOURCES + " select 'clinical' source, count(*) n_rows, cast(4 as bigint) n_columns, count(distinct subject_id) n_subjects from c union all select 'imaging', count(*), 5, count(distinct subject_id) from i union all select 'joined', count(*), 7, count(distinct subject_id) from b")
+def source_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.source_summary(_sources(spark, sf_dir), "subject_id")
+
+
 @query("dedup_max_nonnull", ", d as (select subject_id, visit, f_click, f_error, cast((f_click is not null)::int + (f_error is not null)::int as int) n_known from visits) select subject_id, R(f_click) f_click, R(f_error) f_error, n_known, visit from d qualify row_number() over (partition by subject_id order by n_known desc, visit) = 1")
 def dedup_max_nonnull(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = X.visits(spark, sf_dir).select("subject_id", "visit", "f_click", "f_error")

@@ -144,7 +144,8 @@ def interaction_one_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
 # cross-validation
 
 def _plan(kind: str, **more) -> C.Plan:
-    return C.Plan(kind, FOUR, **more)
+    c = Config()
+    return C.Plan(kind, more.pop("features", FOUR), **({"outer": c.folds, "inner": c.inner_folds, "seed": c.seed} | more))
 
 
 @query("srm_grouped_cv")
@@ -181,6 +182,16 @@ def information_by_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _selected(spark, sf_dir, "srm", 2, "mi")
 
 
+_GROUPED = _BY_INFORMATION.replace("row_number() over (partition by o order by sum(p * ln(p / (a * b))) desc, feature) r from p group by 1, 2", "case when feature in ('f_purchase', 'f_view') then 0 else 1 end g, row_number() over (partition by o, case when feature in ('f_purchase', 'f_view') then 0 else 1 end order by sum(p * ln(p / (a * b))) desc, feature) r from p group by 1, 2").replace("order by r) features from k where r <= 2", "order by g, r) features from k where r <= 1")
+
+
+@query("sel_07_information_by_group", _GROUPED)
+def information_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature of most information about the visit in each group, by each training set's own rows."""
+    found = C.cross_validate(X.pair_visits(spark, sf_dir), _plan("lda", selection="mi", k=1, groups=(("f_view", "f_purchase"), ("f_click", "f_error"))))
+    return found.selected.withColumn("features", F.array_join("features", ","))
+
+
 @query("cvr_02_selected_nested")
 def srm_selected_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of a nested search whose every training set selects by redundancy and relevance."""
@@ -229,7 +240,8 @@ def lda_nested_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("interaction_cv")
 def interaction_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = C.Plan("interaction", ("f_click", "f_view"), ("adl_total",), candidates=C.grid(alpha=(0.01, 0.1), l1_ratio=(0.1, 0.5)))
+    c = Config()
+    plan = _plan("interaction", features=("f_click", "f_view"), modulators=("adl_total",), candidates=C.grid(alpha=c.interaction_alpha_grid, l1_ratio=c.interaction_l1_grid))
     return C.cross_validate(X.pair_visits(spark, sf_dir), plan)[0]
 
 
@@ -246,6 +258,21 @@ def tuned_by_d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.cross_validate(X.pair_visits(spark, sf_dir), plan, metric="d")[1]
 
 
+@query("cvr_09_tuned_coefficients")
+def tuned_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coefficients by fold of the candidate that the inner folds' effects choose."""
+    plan = _plan("regression", target="mfars_total", candidates=C.grid(alpha=(0.01, 0.1), l1_ratio=(0.5,)))
+    return C.cross_validate(X.pair_visits(spark, sf_dir), plan, metric="d").coefficients
+
+
+_TWO_WEIGHTS = _TWO + "s as (select o, avg(x2 - x1) mp, avg(y2 - y1) mq, var_samp(x2 - x1) + 1e-6::double vp, var_samp(y2 - y1) + 1e-6::double vq, covar_samp(x2 - x1, y2 - y1) k from z where fold <> o group by o) select cast(0 as int) repeat, cast(o as int) fold, cast(0 as int) candidate_idx, 'f_view' term, R((vq * mp - k * mq) / (vp * vq - k * k)) coef from s union all select cast(0 as int), cast(o as int), cast(0 as int), 'f_click', R((vp * mq - k * mp) / (vp * vq - k * k)) from s"
+
+
+@query("cvr_01_fold_coefficients", _TWO_WEIGHTS)
+def fold_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.cross_validate(X.pair_visits(spark, sf_dir), _plan("srm", features=("f_view", "f_click"))).coefficients
+
+
 @query("cvr_08_held_out_grid")
 def held_out_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error of every candidate over the held-out folds of all repeats; taking the best of them is optimistic."""
@@ -255,8 +282,8 @@ def held_out_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("cvr_08_grid_summary")
 def grid_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = X.pair_visits(spark, sf_dir)
-    return P.grid_summary(rows, FOUR, "mfars_total", P.repeated_grid(rows, FOUR, "mfars_total", alphas=(0.01, 0.1, 1.0), l1_ratios=(0.1, 0.5, 0.9)))
+    rows, c = X.pair_visits(spark, sf_dir), Config()
+    return P.grid_summary(rows, FOUR, "mfars_total", P.repeated_grid(rows, FOUR, "mfars_total", alphas=c.alpha_grid, l1_ratios=c.l1_grid, folds=c.folds, seed=c.seed))
 
 
 _FENCED = ", r0 as (select subject, f_view x, mfars_total y from pair_visits where f_view is not null and mfars_total is not null), q0 as (select quantile_cont(x, 0.25) a, quantile_cont(x, 0.75) b from r0), rows_ as (select r0.* from r0, q0 where x >= a - 3 * (b - a) and x <= b + 3 * (b - a))"

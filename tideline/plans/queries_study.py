@@ -92,6 +92,14 @@ def subgroup_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subgroup_importance(X.pair_visits(spark, sf_dir), ("f_click", "f_view"), ("adl_total",), _PROFILES, 0.05, 0.1, c.bootstrap, c.seed)
 
 
+@query("imp_05_named_profiles")
+def named_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights at the four named profiles of age at onset, repeat length and duration, by resamples of subjects."""
+    c = Config()
+    rows = X.pair_visits(spark, sf_dir).select("pair_id", "subject", "visit", "f_click", "f_view", F.col("sara_total").alias("age_at_onset"), F.col("mfars_total").alias("GAA1"), F.col("adl_total").alias("dur"))
+    return subgroup_importance(rows, ("f_click", "f_view"), ("age_at_onset", "GAA1", "dur"), c.subgroups, c.interaction_alpha, c.interaction_l1_ratio, c.bootstrap, c.seed)
+
+
 @query("dlt_01_fusion_cv")
 def fusion_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = C.prepare(X.pair_visits(spark, sf_dir), C.Plan("srm", ("f_click", "f_error", "f_purchase", "f_view")))
