@@ -4,19 +4,23 @@
    byte-level pattern starts a pre-token there, or no token of A holds a byte of a word
    before that white space; and no piece of B holds a character of a word before it.
    A vocabulary that fails for a character is not cut before it.
-2. Blocks of texts number their own distinct segments. Distinct segments of all blocks
-   are tokenised and aligned once: groups between common ends, links of overlapping tokens.
-3. Alignments go back to the blocks that hold their segment, once a block, and blocks
-   compose their documents from numbers. Blocks first count the documents of each linked
-   pair; sums of those counts, taken once a segment, come back the same way.
+2. Blocks of texts number their own distinct segments. The blocks' segments are dealt by
+   segment, so all blocks that hold one meet where it is tokenised and aligned, once:
+   groups between common ends, links of overlapping tokens. Alignments go back to the
+   blocks that asked, packed by block.
+3. A block composes its documents from numbers, and counts the documents of each linked
+   pair. Counts of all blocks are summed by pair and go back to the blocks that hold the
+   pair, which sum them over their documents' links.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.bpe import byte_letters
-from tideline.llm.cluster import durable, hot_keys, lookup
+from tideline.llm.cluster import durable
 
 #: Characters of texts in a block (unless one text is longer), and rows that it holds at most.
 BLOCK, ROWS = 8_000_000, 65_536
 #: Characters beyond which a text's segments are taken one at a time, and segments that are tokenised at a time.
 LONG, BATCH = 1_000_000, 4096
+#: Segments of blocks that a task packs together.
+PACKED = 150_000
 #: White space that may be cut before.
 SPACES = " \t\n\r"
 
@@ -85,6 +91,8 @@ class Aligner:
     """Tokenises and aligns segments."""
 
     def __init__(self, tokenizers: Tokenizers):
+        # a task has one core
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -133,6 +141,15 @@ class Numbers(dict):
         return n
 
 
+def squeeze(x: np.ndarray) -> bytes:
+    """Whole numbers as bytes, plane by plane: the high bytes of small numbers cost next to nothing."""
+    return zlib.compress(np.ascontiguousarray(x.astype(np.uint32)).view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unsqueeze(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), dtype=np.uint8).reshape(4, -1).T).view(np.uint32).reshape(-1)
+
+
 def _blocks(docs: DataFrame, cut: str) -> DataFrame:
     """block, ids (of its rows), segments (distinct), sizes and codes (segments of its rows by number)."""
     kind = dict(docs.dtypes)["doc_id"]
@@ -145,13 +162,12 @@ def _blocks(docs: DataFrame, cut: str) -> DataFrame:
         def ready() -> pa.RecordBatch:
             nonlocal n, held, numbers
             own = pa.concat_arrays(ids)
-            flat = np.concatenate(codes) if codes else np.empty(0, dtype=np.uint32)
             row = {
-                "block": pa.array([f"{task}-{n}"], pa.string()),
+                "block": pa.array([task << 32 | n], pa.int64()),
                 "ids": pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own),
                 "segments": pa.array([list(numbers)], pa.list_(pa.string())),
-                "sizes": pa.array([np.array(sizes, dtype=np.int64).tobytes()], pa.binary()),
-                "codes": pa.array([zlib.compress(flat.tobytes(), 1)], pa.binary()),
+                "sizes": pa.array([squeeze(np.array(sizes))], pa.binary()),
+                "codes": pa.array([squeeze(np.concatenate(codes))], pa.binary()),
             }
             n, held, numbers = n + 1, 0, Numbers()
             for x in (ids, sizes, codes):
@@ -171,94 +187,169 @@ def _blocks(docs: DataFrame, cut: str) -> DataFrame:
         if sizes:
             yield ready()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"block string, ids array<{kind}>, segments array<string>, sizes binary, codes binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"block long, ids array<{kind}>, segments array<string>, sizes binary, codes binary")
+
 
+def _aligned(held: DataFrame, tokenizers: Tokenizers) -> DataFrame:
+    """Of (home, pos, segment): each distinct segment aligned once, and sent to its homes packed: home, numbers, links, groups.
 
-def _align(segments: DataFrame, tokenizers: Tokenizers) -> DataFrame:
-    """Of every distinct segment: fits, n_a, n_b, n_groups, groups, links."""
-    shared = segments.sparkSession.sparkContext.broadcast(tokenizers)
+    numbers: pos, tokens of A and of B, groups (0 if a tokenizer loses bytes) and links, one row each.
+    """
+    shared = held.sparkSession.sparkContext.broadcast(tokenizers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = shared.value.load()
-        for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                part = batch.column(0).slice(at, BATCH)
-                own = part.to_pylist()
-                one, two = aligner.encode(own)
-                fits, n, groups, links = zip(*map(aligner.align, own, one, two))
-                yield pa.RecordBatch.from_arrays([part, pa.array(fits, pa.bool_()), pa.array(map(len, one), pa.int64()), pa.array(map(len, two), pa.int64()), pa.array(n, pa.int64()), pa.array(groups, pa.string()), pa.array(links, pa.list_(pa.int64()))], names=["segment", "fits", "n_a", "n_b", "n_groups", "groups", "links"])
-
-    return segments.mapInArrow(run, "segment string, fits boolean, n_a long, n_b long, n_groups long, groups string, links array<long>")
-
-
-def _documents(block: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
-    """Row and segment numbers of each row of a block that has any."""
-    codes = np.frombuffer(zlib.decompress(block.column("codes")[0].as_py()), dtype=np.uint32)
-    end = np.cumsum(np.frombuffer(block.column("sizes")[0].as_py(), dtype=np.int64))
-    start = 0
-    for k, stop in enumerate(end.tolist()):
-        if stop > start:
-            yield k, codes[start:stop]
-        start = stop
+        homes, rows, size = [], [], 0
+        # of the segments aligned so far, flat: tokens of A and B, groups and links; the links; the groups
+        facts, flat, groups = array("q"), array("q"), []
+        last = None
+
+        def align(segments: list[str]) -> None:
+            for at in range(0, len(segments), BATCH):
+                part = segments[at : at + BATCH]
+                for segment, a, b in zip(part, *aligner.encode(part)):
+                    _, n, text, pairs = aligner.align(segment, a, b)
+                    facts.extend((len(a), len(b), n, len(pairs)))
+                    flat.extend(pairs)
+                    groups.append(text)
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            nonlocal size, facts, flat
+            if not rows:
+                return
+            home, (pos, which) = np.concatenate(homes), np.concatenate(rows, axis=1)
+            order = np.lexsort((pos, home))
+            home, pos, which = home[order], pos[order], which[order]
+            known, links = np.frombuffer(facts, dtype=np.int64).reshape(-1, 4), np.frombuffer(flat, dtype=np.int64)
+            begin = np.cumsum(known[:, 3]) - known[:, 3]
+            cuts = np.flatnonzero(np.diff(home, prepend=home[0] - 1))
+            for low, high in zip(cuts.tolist(), [*cuts[1:].tolist(), len(home)]):
+                own = which[low:high]
+                n = known[own, 3]
+                mine = links[np.repeat(begin[own] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([int(home[low])], pa.int64()),
+                    pa.array([squeeze(np.concatenate([pos[low:high], known[own].T.ravel()]))], pa.binary()),
+                    pa.array([squeeze(np.concatenate([mine >> 32, mine & 0xFFFFFFFF]))], pa.binary()),
+                    pa.array([zlib.compress("\n".join([groups[k] for k in own.tolist()]).encode(), 1)], pa.binary()),
+                ], names=["home", "numbers", "links", "groups"])
+            homes.clear()
+            rows.clear()
+            groups.clear()
+            size, facts, flat = 0, array("q"), array("q")
 
-
-def _pair_counts(blocks: DataFrame, aligned: DataFrame) -> DataFrame:
-    """pair and count: the documents that hold it linked, once a document."""
+        for batch in batches:
+            coded = batch.column(2).dictionary_encode()
+            found, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+            if size + len(which) > PACKED:
+                yield from packed()
+                last = None
+            # rows are sorted by segment, so the first may be the one before
+            base = len(groups) - (found[0] == last)
+            align(found[found[0] == last :])
+            homes.append(batch.column(0).to_numpy())
+            rows.append(np.stack([batch.column(1).to_numpy().astype(np.int64), which + base]))
+            size += len(which)
+            last = found[-1]
+        yield from packed()
+
+    dealt = held.repartition("segment").sortWithinPartitions("segment")
+    return dealt.mapInArrow(run, "home long, numbers binary, links binary, groups binary")
+
+
+def _composed(blocks: DataFrame, aligned: DataFrame, kind: str, with_groups: bool) -> DataFrame:
+    """One row a block: what its documents are made of, the pairs that they hold and by how many documents each.
+
+    sums has tokens of A and of B, groups and links of every document; documents' pairs are
+    places in ``pairs`` (spots, ``held`` of them a document) with their numbers (times).
+    """
 
     def run(block: pa.Table, parts: pa.Table) -> pa.Table:
-        parts = parts.take(np.argsort(parts.column("pos").to_numpy()))
-        fits, links = parts.column("fits").to_numpy(), parts.column("links").combine_chunks()
-        values, at = links.flatten().to_numpy(), np.concatenate(([0], np.cumsum(links.value_lengths().to_numpy())))
+        facts, flat, groups = [], [], []
+        for numbers, links, text in zip(*[parts.column(c).to_pylist() for c in ("numbers", "links", "groups")]):
+            facts.append(unsqueeze(numbers).astype(np.int64).reshape(5, -1))
+            high, low = unsqueeze(links).astype(np.int64).reshape(2, -1)
+            flat.append(high << 32 | low)
+            groups += zlib.decompress(text).decode().split("\n")
+        facts = np.concatenate(facts, axis=1) if facts else np.zeros((5, 0), dtype=np.int64)
+        values = np.concatenate(flat) if flat else np.zeros(0, dtype=np.int64)
+        order = np.argsort(facts[0])
+        start = (np.cumsum(facts[4]) - facts[4])[order]
+        each, groups = facts[1:, order], [groups[k] for k in order.tolist()]
         pairs, number = np.unique(values, return_inverse=True)
         total = np.zeros(len(pairs), dtype=np.int64)
-        seen = np.zeros(len(pairs), dtype=bool)
-        for _, codes in _documents(block):
-            own = np.unique(codes)
-            if fits[own].all():
-                low, size = at[own], at[own + 1] - at[own]
-                spot = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
-                held = number[spot]
-                seen[held] = True
-                once = held[seen[held]]
-                seen[held] = False
-                once = np.unique(once)
-                total[once] += 1
-        some = np.flatnonzero(total)
-        return pa.table({"pair": pa.array(pairs[some], pa.int64()), "count": pa.array(total[some], pa.int64())})
-
-    left = blocks.select("block", "sizes", "codes").groupBy("block")
-    found = left.cogroup(aligned.select("home", "pos", "fits", "links").groupBy("home")).applyInArrow(run, "pair long, count long")
-    return found.groupBy("pair").agg(F.sum("count").alias("count"))
-
-
-def _compose(blocks: DataFrame, aligned: DataFrame, kind: str, with_groups: bool) -> DataFrame:
-    sums = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+        ids = block.column("ids").combine_chunks()
+        sizes, codes = (unsqueeze(block.column(c)[0].as_py()) for c in ("sizes", "codes"))
+        ends = np.cumsum(sizes.astype(np.int64))
+        sums = np.zeros((4, len(sizes)), dtype=np.int64)
+        digest, text = [""] * len(sizes), [""] * len(sizes)
+        held, spots, times = np.zeros(len(sizes), dtype=np.int64), [], []
+        for k, (end, size) in enumerate(zip(ends.tolist(), sizes.tolist())):
+            own, often = np.unique(codes[end - size : end], return_counts=True)
+            if not size or not each[2, own].all():
+                continue
+            sums[:, k] = each[:, own] @ often
+            whole, pieces = hashlib.sha256(), []
+            for at in range(end - size, end, LONG):
+                piece = ";".join([groups[c] for c in codes[at : min(end, at + LONG)].tolist()])
+                whole.update(piece.encode() if at == end - size else b";" + piece.encode())
+                pieces.append(piece)
+            digest[k] = whole.hexdigest()
+            if with_groups:
+                text[k] = ";".join(pieces)
+            n = each[3, own]
+            there = np.repeat(start[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            spot, at = np.unique(number[there], return_inverse=True)
+            total[spot] += 1
+            held[k] = len(spot)
+            spots.append(spot)
+            times.append(np.bincount(at, np.repeat(often, n)))
+        used = np.flatnonzero(total)
+        place = np.zeros(len(pairs), dtype=np.int64)
+        place[used] = np.arange(len(used))
+        # differences of ascending places are small
+        spots = np.concatenate([np.diff(place[s], prepend=0) for s in spots]) if spots else np.zeros(0)
+        row = {
+            "home": block.column("block"),
+            "ids": ids,
+            "sums": pa.array([sums.tobytes()], pa.binary()),
+            "digests": pa.array([digest], pa.list_(pa.string())),
+            "texts": pa.array([text if with_groups else []], pa.list_(pa.string())),
+            "held": pa.array([squeeze(held)], pa.binary()),
+            "spots": pa.array([squeeze(spots)], pa.binary()),
+            "times": pa.array([squeeze(np.concatenate(times) if times else np.zeros(0))], pa.binary()),
+            "pairs": pa.array([pairs[used]], pa.list_(pa.int64())),
+            "counts": pa.array([total[used]], pa.list_(pa.int64())),
+        }
+        return pa.table(row)
+
+    left = blocks.select("block", "ids", "sizes", "codes").groupBy("block")
+    return left.cogroup(aligned.groupBy("home")).applyInArrow(run, f"home long, ids array<{kind}>, sums binary, digests array<string>, texts array<string>, held binary, spots binary, times binary, pairs array<long>, counts array<long>")
+
+
+def _finished(composed: DataFrame, ranked: DataFrame, kind: str, with_groups: bool) -> DataFrame:
+    """The documents of every block; ranked: block, place, count and best of each of its pairs."""
 
     def run(block: pa.Table, parts: pa.Table) -> pa.Table:
-        parts = parts.take(np.argsort(parts.column("pos").to_numpy()))
         ids = block.column("ids").combine_chunks().flatten()
-        fits, groups = parts.column("fits").to_numpy(), parts.column("groups").to_pylist()
-        each = np.stack([parts.column(c).to_numpy() for c in sums])
-        out, digest, text = np.zeros((len(sums), len(ids)), dtype=np.int64), [""] * len(ids), [""] * len(ids)
-        for k, codes in _documents(block):
-            if fits[codes].all():
-                # as many sums as there are distinct segments, not a copy of six for each occurrence
-                own, often = np.unique(codes, return_counts=True)
-                out[:, k] = each[:, own] @ often
-                held = hashlib.sha256()
-                whole = []
-                for at in range(0, len(codes), LONG):
-                    piece = ";".join([groups[c] for c in codes[at : at + LONG].tolist()])
-                    held.update((";" + piece if at else piece).encode())
-                    if with_groups:
-                        whole.append(piece)
-                digest[k], text[k] = held.hexdigest(), ";".join(whole)
-        columns = {"doc_id": ids} | {c: pa.array(out[k]) for k, c in enumerate(sums)} | {"groups_sha256": pa.array(digest, pa.string())}
-        return pa.table(columns | ({"groups": pa.array(text, pa.string())} if with_groups else {}))
-
-    left = blocks.select("block", "ids", "sizes", "codes").groupBy("block")
-    right = aligned.select("home", "pos", "fits", "groups", *sums).groupBy("home")
-    return left.cogroup(right).applyInArrow(run, f"doc_id {kind}, {', '.join(f'{c} long' for c in sums)}, groups_sha256 string{', groups string' if with_groups else ''}")
+        sums = np.frombuffer(block.column("sums")[0].as_py(), dtype=np.int64).reshape(4, -1)
+        held, step, times = (unsqueeze(block.column(c)[0].as_py()).astype(np.int64) for c in ("held", "spots", "times"))
+        place = parts.column("place").to_numpy()
+        facts = np.zeros((2, len(place)), dtype=np.int64)
+        facts[:, place] = [parts.column("best").to_numpy(), parts.column("count").to_numpy()]
+        first = np.cumsum(held) - held
+        # ascending places again: running sums that start anew with every document
+        run_ = np.cumsum(step)
+        before = np.concatenate(([0], run_))[first]
+        spot = run_ - np.repeat(before, held)
+        every = np.concatenate((np.zeros((2, 1), dtype=np.int64), np.cumsum(facts[:, spot] * times, axis=1)), axis=1)
+        best, count = every[:, first + held] - every[:, first]
+        columns = {"doc_id": ids} | {c: pa.array(v) for c, v in zip(("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"), (*sums, best, count))}
+        columns["groups_sha256"] = block.column("digests").combine_chunks().flatten()
+        return pa.table(columns | ({"groups": block.column("texts").combine_chunks().flatten()} if with_groups else {}))
+
+    left = composed.select("home", "ids", "sums", "digests", "texts", "held", "spots", "times").groupBy("home")
+    return left.cogroup(ranked.groupBy("block")).applyInArrow(run, f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string{', groups string' if with_groups else ''}")
 
 
 def align_tokenizers(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", with_groups: bool = True) -> DataFrame:
@@ -279,14 +370,11 @@ def align_tokenizers(docs: DataFrame, path_a: str, path_b: str, id_col: str = "d
     kind = dict(docs.dtypes)[id_col]
     blocks = durable(_blocks(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), tokenizers.cut))
     held = blocks.select(F.col("block").alias("home"), F.posexplode("segments").alias("pos", "segment"))
-    once = durable(_align(held.select("segment").distinct(), tokenizers))
-    counts = durable(_pair_counts(blocks, held.join(once.select("segment", "fits", "links"), "segment")))
+    composed = durable(_composed(blocks, _aligned(held, tokenizers), kind, with_groups))
+    pairs = composed.select(F.col("home").alias("block"), F.posexplode(F.arrays_zip("pairs", "counts")).alias("place", "_p")).select("block", "place", F.col("_p.pairs").alias("pair"), F.col("_p.counts").alias("n"))
     first = F.expr("shiftright(pair, 32)")
-    best = counts.groupBy(first.alias("a")).agg(F.max("count").alias("most"))
-    ranked = durable(counts.withColumn("a", first).join(best, "a").select("pair", "count", (F.col("count") == F.col("most")).cast("long").alias("best")))
-    links = once.select("segment", F.explode("links").alias("pair"))
-    hot = hot_keys(links.groupBy("pair").agg(F.count("*").alias("n")), "pair", "n")
-    sums = lookup(links, ranked, "pair", hot, F.xxhash64("segment")).groupBy("segment").agg(F.count("*").alias("n_links"), F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    none = F.lit(0).cast("long")
-    whole = durable(once.drop("links").join(sums, "segment", "left").withColumns({c: F.coalesce(c, none) for c in ("n_links", "n_best", "count_sum")}))
-    return _compose(blocks, held.join(whole, "segment"), kind, with_groups)
+    counts = durable(pairs.groupBy("pair").agg(F.sum("n").alias("count")).withColumn("a", first))
+    best = counts.groupBy("a").agg(F.max("count").alias("most"))
+    ranked = counts.join(best, "a").select("pair", "count", (F.col("count") == F.col("most")).cast("long").alias("best"))
+    # a block has a pair once, so no pair is a hot key
+    return _finished(composed, pairs.select("block", "place", "pair").join(ranked, "pair").select("block", "place", "count", "best"), kind, with_groups)
