@@ -105,14 +105,18 @@ def _sets(plan: Plan, nested: bool) -> list[tuple[int, int, int]]:
     return [(r, o, i) for r in range(plan.repeats) for o in range(plan.outer) for i in (range(-1, plan.inner) if nested else (-1,))]
 
 
-def _masks(pdf: pd.DataFrame, plan: Plan, s: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray]:
+def _folds(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Outer and inner folds of a batch as two matrices, a column a split."""
+    return np.stack(pdf["outer"].to_numpy()), np.stack(pdf["inner"].to_numpy())
+
+
+def _masks(folds: tuple[np.ndarray, np.ndarray], plan: Plan, s: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray]:
     """Rows to train on and rows to validate on."""
     r, o, i = s
-    out = pdf["_outer"].to_numpy()
-    mine = np.array([x[r] for x in out]) == o
+    mine = folds[0][:, r] == o
     if i < 0:
         return ~mine, mine
-    held = np.array([x[r * plan.outer + o] for x in pdf["_inner"].to_numpy()]) == i
+    held = folds[1][:, r * plan.outer + o] == i
     return ~mine & ~held, ~mine & held
 
 
@@ -147,11 +151,11 @@ def scales_of(rows: DataFrame, plan: Plan, sets: list) -> dict:
     centre = whole[1:] / max(whole[0], 1)
 
     def part(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
-        pdf = pdf.rename(columns={"outer": "_outer", "inner": "_inner"})
         a, b = _arrays(pdf)
+        folds = _folds(pdf)
         out = {}
         for k, s in enumerate(sets):
-            train, _ = _masks(pdf, plan, s)
+            train, _ = _masks(folds, plan, s)
             x = np.concatenate([a[train, :q], b[train, :q]]) - centre
             out[str(k)] = np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)])
         return out
@@ -184,11 +188,11 @@ def _grams(rows: DataFrame, plan: Plan, sets: list, scales: dict) -> dict[str, n
     edges = _edges(rows, plan, sets)
 
     def part(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
-        pdf = pdf.rename(columns={"outer": "_outer", "inner": "_inner"})
         a, b = _arrays(pdf)
+        folds = _folds(pdf)
         out = {}
         for k, s in enumerate(sets):
-            train, _ = _masks(pdf, plan, s)
+            train, _ = _masks(folds, plan, s)
             for name, v in _selection_sums(plan, a[train], b[train], scales[k], pdf["interval"].to_numpy()[train], edges.get(k)).items():
                 out[f"{k}/select/{name}"] = v
             for c, clip in enumerate(plan.clips):
@@ -305,14 +309,14 @@ def _diagnose(rows: DataFrame, plan: Plan, sets: list, scales: dict, fits: dict)
     """n, sum, sum of squares and positives of validation deltas (and squared errors) by set, candidate and interval."""
 
     def part(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
-        pdf = pdf.rename(columns={"outer": "_outer", "inner": "_inner"})
         a, b = _arrays(pdf)
+        folds = _folds(pdf)
         interval = pdf["interval"].to_numpy()
         out = {}
         for k, s in enumerate(sets):
             if s[2] < 0:
                 continue
-            _, held = _masks(pdf, plan, s)
+            _, held = _masks(folds, plan, s)
             for clip in plan.clips:
                 one, two = _scaled(plan, a[held], scales[k], clip), _scaled(plan, b[held], scales[k], clip)
                 for j, c in enumerate(plan.candidates):
@@ -390,14 +394,14 @@ def cross_validate(pair_visits: DataFrame, plan: Plan, metric: str = "annual_mea
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf = pdf.rename(columns={"outer": "_outer", "inner": "_inner"})
             a, b = _arrays(pdf)
+            folds = _folds(pdf)
             for k, s in last:
                 j = chosen[s[0], s[1]]
                 if (k, j) not in fits:
                     continue
                 c, (w, w0) = plan.candidates[j], fits[k, j]
-                _, held = _masks(pdf, plan, s)
+                _, held = _masks(folds, plan, s)
                 for v, x in ((1, a), (2, b)):
                     z = _scaled(plan, x[held], scales[k], np.inf if c.clip is None else c.clip) @ w + w0
                     out = pd.DataFrame({"repeat": s[0], "fold": s[1], "pair_id": pdf["pair_id"].to_numpy()[held], "subject": pdf["subject"].to_numpy()[held], "visit": v, "score": z})

@@ -37,10 +37,12 @@ def numpy_folds(groups: Sequence[str], k: int = 5, seed: int = 42) -> dict[str,
 def numbered(df: DataFrame, unit: str, keys: Sequence[str] = (), name: str = "_i") -> DataFrame:
     """``df`` with gapless numbers from 0 within each key, in the order of (md5 of unit, unit).
 
-    The first two hex digits of the md5 make ordered buckets: counts of the buckets
-    before give an offset, so that no task has to see all rows of a key.
+    The first hex digits of the md5 make ordered buckets, as many as leave about 100,000
+    rows in each: counts of the buckets before give an offset, so that no task has to see
+    all rows of a key.
     """
-    d = df.withColumn("_h", F.md5(F.col(unit).cast("string").cast("binary"))).withColumn("_b", F.substring("_h", 1, 2))
+    digits = max(2, math.ceil(math.log(max(df.count(), 1) / 100_000 + 1, 16)))
+    d = df.withColumn("_h", F.md5(F.col(unit).cast("string").cast("binary"))).withColumn("_b", F.substring("_h", 1, digits))
     counts = d.groupBy(*keys, "_b").agg(F.count("*").alias("_c"))
     before = counts.withColumn("_before", F.sum("_c").over(Window.partitionBy(*keys).orderBy("_b")) - F.col("_c")).drop("_c")
     at = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_h", unit)) - 1
@@ -61,9 +63,19 @@ def validation_groups(df: DataFrame, group: str, share: float = 0.2, seed: int =
 
 
 def sample_rows(df: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
-    """At most k rows without replacement: those of least md5 of seed and key."""
-    h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
-    return df.orderBy(h, key).limit(max(0, k))
+    """At most k rows without replacement: those of least md5 of seed and key.
+
+    Counts by the first four hex digits say at which of them the k-th row lies; all rows
+    below are in, and only the rows that share those digits are sorted.
+    """
+    d = df.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))).withColumn("_b", F.substring("_h", 1, 4))
+    counts = d.groupBy("_b").agg(F.count("*").alias("_n"))
+    # 65,536 rows at most
+    last = counts.withColumn("_upto", F.sum("_n").over(Window.orderBy("_b"))).where(F.col("_upto") >= k).orderBy("_b").first() if k > 0 else None
+    if last is None:
+        return df if k > 0 else df.limit(0)
+    edge = d.where(F.col("_b") == last["_b"]).orderBy("_h", key).limit(k - (last["_upto"] - last["_n"]))
+    return d.where(F.col("_b") < last["_b"]).unionByName(edge).drop("_h", "_b")
 
 
 def shared_groups(df: DataFrame, group: str, fold: str) -> DataFrame:
