@@ -66,6 +66,11 @@ def sparse_srm_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(L.sparse_weights(_deltas(spark, sf_dir), list(X.FEATURES)).items()), "feature string, weight double")
 
 
+@query("sel_05_sparse_two", ", d as (select pair, delta_f_view a, delta_f_click b from pairs where delta_f_view is not null and delta_f_click is not null), g as (select pair, avg(a) ma, avg(b) mb, var_samp(a) va, var_samp(b) vb, covar_samp(a, b) c from d group by 1), s as (select avg(ma) ma, avg(mb) mb, avg(va) + 0.005::double + 1e-8::double va, avg(vb) + 0.005::double + 1e-8::double vb, avg(c) c from g), w as (select (vb * ma - c * mb) / (va * vb - c * c) x, (va * mb - c * ma) / (va * vb - c * c) y from s) select 'f_view' feature, R(sign(x) * greatest(abs(x) - 0.005, 0)) weight from w union all select 'f_click', R(sign(y) * greatest(abs(y) - 0.005, 0)) from w")
+def sparse_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(list(L.sparse_weights(_deltas(spark, sf_dir), ["f_view", "f_click"]).items()), "feature string, weight double")
+
+
 @query("mml_select")
 def mml_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _deltas(spark, sf_dir)
@@ -342,6 +347,16 @@ def composite_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.search_summary(found)
 
 
+_LDA_TWO = _TWO + "v as (select o, avg(x2) - avg(x1) mp, avg(y2) - avg(y1) mq, (var_samp(x1) + var_samp(x2)) / 2 a, (var_samp(y1) + var_samp(y2)) / 2 b, (covar_samp(x1, y1) + covar_samp(x2, y2)) / 2 k from z where fold <> o group by o), s as (select o, mp, mq, k, a + 1e-3::double * (a + b) / 2 vp, b + 1e-3::double * (a + b) / 2 vq from v), w as (select o, (vq * mp - k * mq) / (vp * vq - k * k) wp, (vp * mq - k * mp) / (vp * vq - k * k) wq from s), h as (select o, avg((x2 - x1) * wp + (y2 - y1) * wq) m from z join w using (o) where fold <> o group by o), e as (select right(patient_id, 4) pair, case when m < 0 then -1 else 1 end * ((x2 - x1) * wp + (y2 - y1) * wq) d from z join w using (o) join h using (o) where fold = o) select coalesce(case pair when 'V1V2' then 'V1->V2' when 'V2V3' then 'V2->V3' end, 'both') interval, count(*) n_pairs, R(avg(d) / stddev_samp(d)) d_z from e group by rollup (pair)"
+
+
+@query("cvr_11_two_features", _LDA_TWO)
+def group_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LDA of one group of two features: effects by interval and over both."""
+    oof = C.cross_validate(X.pair_visits(spark, sf_dir), _plan("lda", features=("f_view", "f_click"))).scores
+    return E.adjacent_effects(oof, pooled="both").select("interval", "n_pairs", "d_z")
+
+
 @query("cvr_11_group_experiments")
 def group_experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LDA over feature groups and pair types, as one row each."""
@@ -391,6 +406,17 @@ def locked_srm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(M.locked_srm(_deltas(spark, sf_dir), FOUR).items()), "feature string, weight double")
 
 
+_LOCKED = "d as (select pair, {who} who, delta_f_view a, delta_f_click b from pairs where delta_f_view is not null and delta_f_click is not null), s as (select avg(a) ma, avg(b) mb, var_samp(a) + 1e-6::double va, var_samp(b) + 1e-6::double vb, covar_samp(a, b) c from d where {where}), w as (select (vb * ma - c * mb) / (va * vb - c * c) wa, (va * mb - c * ma) / (va * vb - c * c) wb from s)"
+
+
+@query("imp_01_locked_two", ", " + _LOCKED.format(who="0", where="true") + " select subject_id, visit, R(f_view * wa + f_click * wb) score from visits, w where f_view is not null and f_click is not null")
+def locked_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every visit by the weights of all pairs."""
+    w = M.locked_srm(_deltas(spark, sf_dir), ["f_view", "f_click"])
+    v = X.visits(spark, sf_dir).dropna(subset=list(w))
+    return v.select("subject_id", "visit", sum((F.lit(x) * F.col(f) for f, x in w.items()), F.lit(0.0)).alias("score"))
+
+
 @query("srm_coef_bootstrap")
 def srm_coef_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideline.operators.stability import coefficient_summary
@@ -422,14 +448,22 @@ def lofo_two_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.leave_one_feature_out(X.pair_visits(spark, sf_dir), ["f_view", "f_error"])
 
 
-@query("nb_05_locked_control_scoring")
-def locked_control_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of controls by a model fitted on patients, standardised by patients' means."""
-    v = X.visits(spark, sf_dir).dropna(subset=list(FOUR))
-    patients = v.where("study_group = 0")
+def _controls(spark: SparkSession, sf_dir: str, features: tuple[str, ...]) -> DataFrame:
     from tideline.operators.preprocess import ColumnScaler
 
-    scaler = ColumnScaler(FOUR).fit(patients)
-    w = M.locked_srm(_deltas(spark, sf_dir).where("subject not like '%0'"), FOUR)
+    v = X.visits(spark, sf_dir).dropna(subset=list(features))
+    scaler = ColumnScaler(features).fit(v.where("study_group = 0"))
+    w = M.locked_srm(_deltas(spark, sf_dir).where("subject not like '%0'"), features)
     score = sum((F.lit(x) * F.col(f) for f, x in w.items()), F.lit(0.0))
     return scaler.transform(v.where("study_group = 1")).select("subject_id", "visit", score.alias("score"))
+
+
+@query("nb_05_locked_control_scoring")
+def locked_control_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of controls by a model fitted on patients, standardised by patients' means."""
+    return _controls(spark, sf_dir, FOUR)
+
+
+@query("nb_05_locked_control_two", ", " + _LOCKED.format(who="subject_id", where="who not like '%0'") + ", p as (select avg(f_view) ma, stddev_pop(f_view) sa, avg(f_click) mb, stddev_pop(f_click) sb from visits where study_group = 0 and f_view is not null and f_click is not null) select subject_id, visit, R((f_view - ma) / sa * wa + (f_click - mb) / sb * wb) score from visits, w, p where study_group = 1 and f_view is not null and f_click is not null")
+def locked_control_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _controls(spark, sf_dir, ("f_view", "f_click"))
