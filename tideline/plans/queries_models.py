@@ -257,6 +257,31 @@ def elasticnet_cd_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.rmse_r2(oof, "target", "score")
 
 
+_PAIRED = "f_view_baseline is not null and f_view_followup is not null and {b}_baseline is not null and {b}_followup is not null"
+#: Folds of three repeats side by side: fold r * 5 + f of repeat r.
+_THRICE = (_TWO.replace("(select unnest(range(5)) o)", "(select unnest(range(15)) o)").replace("('0x' || substr(md5('42|' || subject_id), 1, 8))::bigint % 5 fold from pairs", "r * 5 + ('0x' || substr(md5((42 + 1000 * r) || '|' || subject_id), 1, 8))::bigint % 5 fold from pairs, (select unnest(range(3)) r)").replace("from c, o where fold <> o", "from c, o where fold <> o and fold // 5 = o // 5").replace("from c, m)", "from c, m where fold // 5 = m.o // 5)"))
+
+
+@query("cvr_03_two_features", _THRICE + "s as (select o, avg(x2 - x1) mp, avg(y2 - y1) mq, var_samp(x2 - x1) + 1e-6::double vp, var_samp(y2 - y1) + 1e-6::double vq, covar_samp(x2 - x1, y2 - y1) k from z where fold <> o group by o), w as (select o, (vq * mp - k * mq) / (vp * vq - k * k) wp, (vp * mq - k * mp) / (vp * vq - k * k) wq from s), e as (select o // 5 repeat, (x2 - x1) * wp + (y2 - y1) * wq d from z join w using (o) where fold = o) select cast(repeat as int) repeat, count(*) n_pairs, R(avg(d)) mean_change, R(avg(d) / stddev_samp(d)) d_z from e group by 1")
+def repeated_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Effects of each repeat of a grouped cross-validation of two features."""
+    oof = C.cross_validate(X.pair_visits(spark, sf_dir), _plan("srm", features=("f_view", "f_click"), repeats=3)).scores
+    d = oof.groupBy("repeat", "pair_id").agg((F.max_by("score", "visit") - F.min_by("score", "visit")).alias("delta"))
+    return d.groupBy("repeat").agg(F.count("delta").alias("n_pairs"), F.avg("delta").alias("mean_change"), E.cohens_dz(F.col("delta")).alias("d_z"))
+
+
+@query("cvr_07_one_feature", _OUT.replace(_WHOLE, _PAIRED.format(b="mfars_total")) + ", t as (select o, f_view_baseline x, mfars_total_baseline y from c, o where fold <> o union all select o, f_view_followup, mfars_total_followup from c, o where fold <> o), m as (select o, avg(x) mx, stddev_pop(x) sx, avg(y) my, covar_pop(x, y) / stddev_pop(x) c from t group by o), w as (select *, sign(c) * greatest(abs(c) - 0.5 * 0.4, 0) / (1 + 0.5 * 0.6) w from m), e as (select o, 1 visit, fold, f_view_baseline x, mfars_total_baseline y, patient_id, subject_id from c, o union all select o, 2, fold, f_view_followup, mfars_total_followup, patient_id, subject_id from c, o) select cast(0 as int) repeat, cast(o as int) fold, patient_id pair_id, subject_id subject, cast(visit as int) visit, R((x - mx) / sx * w + my) score, R(y) target from e join w using (o) where fold = o")
+def net_one_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-fold predictions of an elastic net of one feature."""
+    return C.cross_validate(X.pair_visits(spark, sf_dir), _plan("regression", features=("f_view",), target="mfars_total", candidates=(C.Candidate(alpha=0.5, l1_ratio=0.4),))).scores
+
+
+@query("cvr_06_one_feature", _OUT.replace(_WHOLE, _PAIRED.format(b="adl_total")) + ", t as (select o, f_view_baseline x, adl_total_baseline y from c, o where fold <> o union all select o, f_view_followup, adl_total_followup from c, o where fold <> o), m as (select o, avg(x) mx, stddev_pop(x) sx, avg(y) my, stddev_pop(y) sy from t group by o), z as (select m.o, fold, patient_id, subject_id, (f_view_baseline - mx) / sx x1, (f_view_followup - mx) / sx x2, (adl_total_baseline - my) / sy y1, (adl_total_followup - my) / sy y2 from c, m), s as (select o, avg(x2 - x1) bp, avg(x2 * y2 - x1 * y1) bq, avg(pow(x2 - x1, 2)) + 0.3 p, avg(pow(x2 * y2 - x1 * y1, 2)) + 0.3 q, avg((x2 - x1) * (x2 * y2 - x1 * y1)) k from z where fold <> o group by o), w as (select o, (q * bp - k * bq) / (p * q - k * k) wp, (p * bq - k * bp) / (p * q - k * k) wq from s) select cast(0 as int) repeat, cast(o as int) fold, patient_id pair_id, subject_id subject, cast(1 as int) visit, R(x1 * wp + x1 * y1 * wq) score from z join w using (o) where fold = o union all select cast(0 as int), cast(o as int), patient_id, subject_id, cast(2 as int), R(x2 * wp + x2 * y2 * wq) from z join w using (o) where fold = o")
+def interaction_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-fold scores of the interaction model of one feature and one modulator, with a ridge alone."""
+    return C.cross_validate(X.pair_visits(spark, sf_dir), _plan("interaction", features=("f_view",), modulators=("adl_total",), candidates=(C.Candidate(alpha=0.3, l1_ratio=0.0),))).scores
+
+
 @query("cvr_09_tuned_by_d")
 def tuned_by_d(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = C.Plan("regression", FOUR, target="mfars_total", candidates=C.grid(alpha=(0.01, 0.1), l1_ratio=(0.5,)))
