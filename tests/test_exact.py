@@ -31,7 +31,10 @@ def test_ordered_bits_order_as_values_do():
     assert Q.ordered_bits(np.array([-0.0]))[0] == Q.ordered_bits(np.array([0.0]))[0] and Q.ordered_bits(np.array([np.nan]))[0] > bits[-1]
 
 
-def test_quantiles_equal_percentile(spark):
+@pytest.mark.parametrize("bits", [Q.BITS, 4])
+def test_quantiles_equal_percentile(spark, bits, monkeypatch):
+    # with digits of four bits a group of a thousand values takes several scans
+    monkeypatch.setattr(Q, "BITS", bits)
     rng = np.random.default_rng(4)
     n = 3000
     a = np.where(rng.random(n) < 0.4, 7.0, rng.normal(size=n) * np.exp(20 * rng.normal(size=n)))

@@ -33,7 +33,7 @@ from tideline.llm.bpe import byte_letters
 from tideline.llm.cluster import durable
 
 #: Characters of texts in a block (unless one text is longer), and rows that it holds at most.
-BLOCK, ROWS = 8_000_000, 65_536
+BLOCK, ROWS = 16_000_000, 65_536
 #: Characters beyond which a text's segments are taken one at a time, and segments that are tokenised at a time.
 LONG, BATCH = 1_000_000, 4096
 #: Segments of blocks that a task packs together.
@@ -193,7 +193,7 @@ def _blocks(docs: DataFrame, cut: str) -> DataFrame:
 def _aligned(held: DataFrame, tokenizers: Tokenizers) -> DataFrame:
     """Of (home, pos, segment): each distinct segment aligned once, and sent to its homes packed: home, numbers, links, groups.
 
-    numbers: pos, tokens of A and of B, groups (0 if a tokenizer loses bytes) and links, one row each.
+    numbers: steps of pos, tokens of A and of B, groups (0 if a tokenizer loses bytes) and links, one row each.
     """
     shared = held.sparkSession.sparkContext.broadcast(tokenizers)
 
@@ -229,7 +229,7 @@ def _aligned(held: DataFrame, tokenizers: Tokenizers) -> DataFrame:
                 mine = links[np.repeat(begin[own] - np.cumsum(n) + n, n) + np.arange(n.sum())]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([int(home[low])], pa.int64()),
-                    pa.array([squeeze(np.concatenate([pos[low:high], known[own].T.ravel()]))], pa.binary()),
+                    pa.array([squeeze(np.concatenate([np.diff(pos[low:high], prepend=0), known[own].T.ravel()]))], pa.binary()),
                     pa.array([squeeze(np.concatenate([mine >> 32, mine & 0xFFFFFFFF]))], pa.binary()),
                     pa.array([zlib.compress("\n".join([groups[k] for k in own.tolist()]).encode(), 1)], pa.binary()),
                 ], names=["home", "numbers", "links", "groups"])
@@ -267,7 +267,9 @@ def _composed(blocks: DataFrame, aligned: DataFrame, kind: str, with_groups: boo
     def run(block: pa.Table, parts: pa.Table) -> pa.Table:
         facts, flat, groups = [], [], []
         for numbers, links, text in zip(*[parts.column(c).to_pylist() for c in ("numbers", "links", "groups")]):
-            facts.append(unsqueeze(numbers).astype(np.int64).reshape(5, -1))
+            own = unsqueeze(numbers).astype(np.int64).reshape(5, -1)
+            own[0] = np.cumsum(own[0])
+            facts.append(own)
             high, low = unsqueeze(links).astype(np.int64).reshape(2, -1)
             flat.append(high << 32 | low)
             groups += zlib.decompress(text).decode().split("\n")
