@@ -241,7 +241,8 @@ def _select(plan: Plan, grams: dict[str, np.ndarray], k: int, scale: tuple[np.nd
     mean, sd = scale[0][:p], scale[1][:p]
     if plan.selection == "mi":
         value = [_information(mine["mi"].reshape(2, p, BINS)[:, j]) for j in range(p)]
-        ranked = sorted(range(p), key=lambda j: (-value[j], names[j]))
+        # equal counts in another order differ in their last digits only
+        ranked = sorted(range(p), key=lambda j: (-round(value[j], 9), names[j]))
         if plan.groups:
             return list(dict.fromkeys(j for g in plan.groups for j in [j for j in ranked if names[j] in g][: plan.k]))
         return ranked[: plan.k]

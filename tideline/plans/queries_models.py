@@ -178,7 +178,7 @@ def lda_selected_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _selected(spark, sf_dir, "lda", 3, "progression_univariate")
 
 
-_BY_INFORMATION = _OUT + f", u as (select o, visit, feature, value from (select o, 1 visit, {', '.join(f'{f}_baseline {f}' for f in FOUR)} from c, o where fold <> o union all select o, 2, {', '.join(f'{f}_followup' for f in FOUR)} from c, o where fold <> o) unpivot (value for feature in ({', '.join(FOUR)}))), q as (select o, feature, list_distinct(quantile_cont(value, [{', '.join(f'{k / 10}' for k in range(1, 10))}])) e from u group by 1, 2), b as (select o, feature, visit, len(list_filter(e, lambda z: z < value)) bin from u join q using (o, feature)), j as (select o, feature, bin, visit, count(*)::double c from b group by all), p as (select o, feature, c / sum(c) over (partition by o, feature) p, sum(c) over (partition by o, feature, bin) / sum(c) over (partition by o, feature) a, sum(c) over (partition by o, feature, visit) / sum(c) over (partition by o, feature) b from j), k as (select o, feature, row_number() over (partition by o order by sum(p * ln(p / (a * b))) desc, feature) r from p group by 1, 2) select cast(0 as int) repeat, cast(o as int) fold, string_agg(feature, ',' order by r) features from k where r <= 2 group by o"
+_BY_INFORMATION = _OUT + f", u as (select o, visit, feature, value from (select o, 1 visit, {', '.join(f'{f}_baseline {f}' for f in FOUR)} from c, o where fold <> o union all select o, 2, {', '.join(f'{f}_followup' for f in FOUR)} from c, o where fold <> o) unpivot (value for feature in ({', '.join(FOUR)}))), q as (select o, feature, list_distinct(quantile_cont(value, [{', '.join(f'{k / 10}' for k in range(1, 10))}])) e from u group by 1, 2), b as (select o, feature, visit, len(list_filter(e, lambda z: z < value)) bin from u join q using (o, feature)), j as (select o, feature, bin, visit, count(*)::double c from b group by all), p as (select o, feature, c / sum(c) over (partition by o, feature) p, sum(c) over (partition by o, feature, bin) / sum(c) over (partition by o, feature) a, sum(c) over (partition by o, feature, visit) / sum(c) over (partition by o, feature) b from j), k as (select o, feature, row_number() over (partition by o order by round(sum(p * ln(p / (a * b))), 9) desc, feature) r from p group by 1, 2) select cast(0 as int) repeat, cast(o as int) fold, string_agg(feature, ',' order by r) features from k where r <= 2 group by o"
 
 
 @query("sel_07_information_by_fold", _BY_INFORMATION)
@@ -187,7 +187,7 @@ def information_by_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _selected(spark, sf_dir, "srm", 2, "mi")
 
 
-_GROUPED = _BY_INFORMATION.replace("row_number() over (partition by o order by sum(p * ln(p / (a * b))) desc, feature) r from p group by 1, 2", "case when feature in ('f_purchase', 'f_view') then 0 else 1 end g, row_number() over (partition by o, case when feature in ('f_purchase', 'f_view') then 0 else 1 end order by sum(p * ln(p / (a * b))) desc, feature) r from p group by 1, 2").replace("order by r) features from k where r <= 2", "order by g, r) features from k where r <= 1")
+_GROUPED = _BY_INFORMATION.replace("row_number() over (partition by o order by round(sum(p * ln(p / (a * b))), 9) desc, feature) r from p group by 1, 2", "case when feature in ('f_purchase', 'f_view') then 0 else 1 end g, row_number() over (partition by o, case when feature in ('f_purchase', 'f_view') then 0 else 1 end order by round(sum(p * ln(p / (a * b))), 9) desc, feature) r from p group by 1, 2").replace("order by r) features from k where r <= 2", "order by g, r) features from k where r <= 1")
 
 
 @query("sel_07_information_by_group", _GROUPED)
@@ -317,7 +317,7 @@ def grid_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FENCED = ", r0 as (select subject, f_view x, mfars_total y from pair_visits where f_view is not null and mfars_total is not null), q0 as (select quantile_cont(x, 0.25) a, quantile_cont(x, 0.75) b from r0), rows_ as (select r0.* from r0, q0 where x >= a - 3 * (b - a) and x <= b + 3 * (b - a))"
-_GRID = _FENCED + ", k as (select rr.r repeat, oo.o fold, aa.alpha, ll.l1 from (select unnest(range(3)) r) rr, (select unnest(range(5)) o) oo, (values (0.01::double), (0.1::double), (1.0::double)) aa(alpha), (values (0.1::double), (0.9::double)) ll(l1)), f as (select rows_.*, r, ('0x' || substr(md5((42 + r) || '|' || subject), 1, 8))::bigint % 5 o from rows_, (select unnest(range(3)) r)), m as (select k.repeat, k.fold, k.alpha, k.l1, corr(x, y) c from k join f on f.r = k.repeat and f.o <> k.fold group by all) select cast(repeat as int) repeat, cast(fold as int) fold, alpha, l1 l1_ratio, 'f_view' feature, R(sign(c) * greatest(abs(c) - alpha * l1, 0) / (1 + alpha * (1 - l1))) coef from m"
+_GRID = _FENCED + ", k as (select rr.r repeat, oo.o fold, aa.alpha, ll.l1 from (select unnest(range(3)) r) rr, (select unnest(range(5)) o) oo, (values (0.01::double), (0.1::double), (1.0::double)) aa(alpha), (values (0.1::double), (0.9::double)) ll(l1)), f as (select rows_.*, r, ('0x' || substr(md5((42 + r) || '|' || subject), 1, 8))::bigint % 5 o from rows_, (select unnest(range(3)) r)), m as (select k.repeat, k.fold, k.alpha, k.l1, corr(x, y) c from k join f on f.r = k.repeat and f.o <> k.fold where exists (select 1 from f h where h.r = k.repeat and h.o = k.fold) group by all) select cast(repeat as int) repeat, cast(fold as int) fold, alpha, l1 l1_ratio, 'f_view' feature, R(sign(c) * greatest(abs(c) - alpha * l1, 0) / (1 + alpha * (1 - l1))) coef from m"
 
 
 @query("cvr_08_grid_one_feature", _GRID)
