@@ -13,7 +13,7 @@
    confirmed on full sets, by index lists; a region beyond the bound of a task is cut
    into pairs of blocks. So a link is lost only if no tree keeps its two ends together:
    at the threshold of 85 % and three minima that happens once in 8 * 10^9 pairs, at five
-   once in 4 * 10^5, at the full eight once in 2,000; denser links save most of those.
+   once in 10^6, at the full eight once in 2,000; denser links save most of those.
 """
 
 from __future__ import annotations
