@@ -11,6 +11,7 @@ region of its own, so that keys move into it only.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,10 @@ from tideline.llm.cluster import free_name
 
 #: Hex digits of md5 that make one draw: 48 bits, exact in a double.
 DIGITS = 12
+#: Copies of one row that a task makes at a time.
+PIECE = 1 << 16
+#: Rows that one task of the last stage aims at.
+TASK_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -106,20 +111,23 @@ def grown_shard(key: Column, tree: Tree, shard: Column, weight: float = 1.0) ->
     return F.when(added < F.array_min(F.array(*old)), F.lit(new.leaves()[-1][0])).otherwise(shard).cast("int")
 
 
-def slots(df: DataFrame, shard: str, order: list[str], digits: int, out: str = "slot") -> DataFrame:
-    """Gapless numbers from 0 within each shard, in the order of ``order``.
+def slots(df: DataFrame, shard: str, order: list[str], digits: int, parts: int, copies: str = "_copies", out: str = "slot") -> DataFrame:
+    """Each row as often as ``copies`` says, with gapless numbers from 0 within each shard in the order of ``order``.
 
     ``order[0]`` is a lower-case hex string. Its first ``digits`` digits make ordered
     buckets, so that a shard is numbered by many tasks: counts of the buckets before
-    give the offset, and row_number the rest.
+    give the offset, and a running sum of copies the rest. Copies are made in pieces of
+    PIECE, dealt over ``parts`` tasks, so that no task makes all of one row.
     """
     d = df.withColumn("_bucket", F.substring(F.col(order[0]), 1, digits))
-    number = f"row_number() over (partition by {shard}, _bucket order by {', '.join(order)})"
-    counts = d.groupBy(shard, "_bucket").agg(F.count("*").alias("_n"))
+    counts = d.groupBy(shard, "_bucket").agg(F.sum(copies).alias("_n"))
     before = counts.selectExpr(shard, "_bucket", f"sum(_n) over (partition by {shard} order by _bucket) - _n as _before")
     # both sides are dealt by (shard, bucket) already: the join adds no shuffle of rows
-    numbered = d.withColumn("_row", F.expr(number))
-    return numbered.join(before, [shard, "_bucket"]).withColumn(out, (F.col("_before") + F.col("_row") - 1).cast("long")).drop("_bucket", "_row", "_before")
+    placed = d.withColumn("_first", F.expr(f"sum({copies}) over (partition by {shard}, _bucket order by {', '.join(order)} rows between unbounded preceding and current row) - {copies}"))
+    placed = placed.join(before, [shard, "_bucket"]).withColumn("_first", F.col("_first") + F.col("_before"))
+    pieces = placed.withColumn("_piece", F.explode(F.expr(f"sequence(0L, ({copies} - 1) div {PIECE})"))).repartition(parts, shard, "_first", "_piece")
+    copy = F.explode(F.expr(f"sequence(_piece * {PIECE}, least({copies}, (_piece + 1) * {PIECE}) - 1)"))
+    return pieces.withColumn("_copy", copy).withColumn(out, (F.col("_first") + F.col("_copy")).cast("long")).drop("_bucket", "_first", "_before", "_piece", "_copy", copies)
 
 
 def hash_tree_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", digits: int | None = None) -> DataFrame:
@@ -132,23 +140,26 @@ def hash_tree_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id",
     their ids say. Other columns are not read. Texts of any length are only measured
     and stay where they are.
 
-    Slots follow a hash of id and checksum, so many rows of one id are numbered by
-    many tasks. digits: hex digits of the slot buckets; unset, enough for about
-    100,000 rows each.
+    Slots follow a hash of id and checksum, so rows of one id with different texts are
+    numbered by many tasks. Rows equal in all that is returned are counted where they
+    are read, placed once and made again at the end, by many tasks too. digits: hex
+    digits of the slot buckets; unset, enough for about 100,000 rows each.
     """
     base = docs.select(
         F.col(id_col).alias("doc_id"),
         (F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) + 8).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).cast("long").alias("text_crc32"),
     )
+    rows = docs.count()
     if digits is None:
-        rows = docs.count()
         digits = 1
         while rows > 100_000 * shards * 16**digits and digits < 6:
             digits += 1
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / TASK_ROWS))
     tree = Tree.of(shards)
-    placed = assign(base, "doc_id", {"shard": tree}).withColumn("grown_shard", grown_shard(F.col("doc_id"), tree, F.col("shard")))
+    once = base.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("_copies"))
+    placed = assign(once, "doc_id", {"shard": tree}).withColumn("grown_shard", grown_shard(F.col("doc_id"), tree, F.col("shard")))
     name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/"), F.col("text_crc32").cast("string"))
     placed = placed.withColumn("_h", F.md5(name.cast("binary")))
-    out = slots(placed, "shard", ["_h", "doc_id", "text_crc32", "size"], digits)
+    out = slots(placed, "shard", ["_h", "doc_id", "text_crc32", "size"], digits, parts)
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
