@@ -663,6 +663,21 @@ def test_slots_of_one_id_are_dealt_over_buckets(spark):
     assert sorted(r.slot for r in got.collect()) == list(range(4000)) and got.select("shard").distinct().count() == 1
 
 
+def test_equal_rows_are_made_again_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(shard, "PIECE", 16)
+    copies = spark.range(1000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("same").alias("text"))
+    others = spark.range(300).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    got = shard.hash_tree_shards(copies.unionByName(others), digits=1)
+    rows = got.withColumn("task", F.spark_partition_id()).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r.shard].append(r.slot)
+    assert len(rows) == 1300 and all(sorted(s) == list(range(len(s))) for s in by.values())
+    same = [r for r in rows if (r.doc_id, r.text_crc32) == (5, zlib.crc32(b"same"))]
+    at = sorted(r.slot for r in same)
+    assert at == list(range(at[0], at[0] + 1000)) and len({r.task for r in same}) > 1
+
+
 # 9 joins
 
 
@@ -779,6 +794,25 @@ def test_fit_equals_brute_force(spark, docs, sf):
     assert quality.fit(docs, known.limit(0), "doc_id", "text").prior == 0.5
 
 
+def test_a_rare_label_keeps_voters_that_stand_for_less(spark):
+    text = lambda k: f"rare kind {k} of words" if k % 500 == 0 else f"common sort {k * 7919 % 1013} here {k}"
+    docs = spark.createDataFrame([(k, text(k)) for k in range(6000)], "doc_id long, text string")
+    known = spark.createDataFrame([(k, int(k % 500 == 0)) for k in range(6000)], "_id long, label int")
+    m = quality.fit(docs, known, "doc_id", "text", voters=40)
+    # 12 rows of label 1 among 5,988: a common share would leave a twelfth of one
+    assert 0 < (m.labels == 1).sum() <= 12 and (m.labels == 0).sum() > (m.labels == 1).sum()
+    share = 40 / 5988
+    assert set(np.round(m.stands[m.labels == 1], 9)) == {round(share / min(1, 5 / 12), 9)} and set(m.stands[m.labels == 0]) == {1.0}
+    near, far = m.scores([b"rare kind 1500 of words", b"common sort 88 here 4"])
+    assert near > far
+
+
+def test_stands_weigh_votes():
+    one = np.ones((4, 1), np.float32)
+    m = quality.Model(np.ones(quality.TERMS, np.float32), np.ones((quality.TERMS, 1), np.float32), one, np.array([1.0, 0.0, 0.0, 0.0]), 0.5, np.array([0.5, 1.0, 1.0, 1.0]))
+    assert m.scores([b"some text"])[0] == pytest.approx(0.5 / 3.5)
+
+
 def test_tied_voters_share_the_last_place():
     m = quality.Model(np.ones(quality.TERMS, np.float32), np.eye(quality.TERMS, 1, dtype=np.float32), np.ones((20, 1), np.float32), np.array([1.0] * 5 + [0.0] * 15), 0.5)
     m.axes[:] = 1

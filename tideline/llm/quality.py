@@ -24,6 +24,8 @@ from tideline.llm.cluster import free_name
 BITS = 12
 #: Labelled rows of each label that are fitted on, at most about so many.
 VOTERS = 2000
+#: The rarer label has at least one in so many of that number, if it has as many rows; its votes are weighted back.
+RARER = 8
 DIMENSIONS = 64
 NEIGHBOURS = 15
 #: A vote's weight is similarity to this power.
@@ -79,6 +81,8 @@ class Model:
     voters: np.ndarray
     labels: np.ndarray
     prior: float
+    #: What a vote of each voter stands for; 1 each if not given.
+    stands: np.ndarray | None = None
 
     def vectors(self, docs: list[bytes]) -> np.ndarray:
         return _unit(_unit(terms(docs) * self.idf) @ self.axes)
@@ -91,14 +95,17 @@ class Model:
         near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
         best = np.take_along_axis(cosine, near, axis=1)
         weight = np.maximum(best, 0).astype(np.float64) ** SHARPNESS
-        labels = self.labels[near]
+        stands = np.ones(len(self.labels)) if self.stands is None else self.stands
+        marked = stands * self.labels
+        stood, votes = stands[near], marked[near]
         # voters as near as the last one share the places that are left to them
         last = best.min(axis=1, keepdims=True)
         tied = np.flatnonzero((cosine == last).sum(axis=1) > (best == last).sum(axis=1))
         for r in tied.tolist():
-            labels[r][best[r] == last[r]] = self.labels[cosine[r] == last[r]].mean()
-        total = weight.sum(axis=1)
-        vote = (weight * labels).sum(axis=1)
+            places, here = best[r] == last[r], cosine[r] == last[r]
+            stood[r][places], votes[r][places] = stands[here].mean(), marked[here].mean()
+        total = (weight * stood).sum(axis=1)
+        vote = (weight * votes).sum(axis=1)
         return np.clip(np.where(total > 1e-12, vote / np.maximum(total, 1e-12), self.prior), 0.0, 1.0)
 
 
@@ -137,6 +144,9 @@ def document_frequency(texts: DataFrame) -> tuple[np.ndarray, int]:
 def fit(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str, voters: int = VOTERS) -> Model:
     """labelled: id and label (0 or 1), an id once. At most about ``voters`` ids of each label are fitted on, chosen by a hash of the id.
 
+    Labels keep their proportions, but a label far rarer than the other keeps an eighth of
+    ``voters`` (or all its ids), and each of its votes stands for as much less.
+
     An id on several rows of ``docs`` lends one text, the one of least hash.
     """
     seen, rows = document_frequency(docs.select(text_col))
@@ -147,8 +157,10 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str, voters
         return Model(idf, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), 0.5)
     prior = counts.get(1, 0) / total
     # the same share of each label keeps the labels' proportions in the vote
-    share = min(1.0, voters / max(counts.values()))
-    picked = labelled.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 62)) < F.lit(math.ceil(share * (1 << 62)))) if share < 1 else labelled
+    common = min(1.0, voters / max(counts.values()))
+    share = {label: min(1.0, max(common, voters / RARER / n)) for label, n in counts.items()}
+    bound = F.coalesce(*[F.when(F.col("label") == label, F.lit(math.ceil(s * (1 << 62)))) for label, s in share.items()])
+    picked = labelled.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 62)) < bound)
     # at most about twice `voters` narrow rows, by the share above
     found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "_id")
     chosen = found.groupBy("_id", "label").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
@@ -169,7 +181,7 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str, voters
     if not len(x):
         return Model(idf, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), prior)
     axes = _axes(x, DIMENSIONS)
-    return Model(idf, axes, _unit(x @ axes), np.array([float(r.label) for r in found]), prior)
+    return Model(idf, axes, _unit(x @ axes), np.array([float(r.label) for r in found]), prior, np.array([common / share[r.label] for r in found]))
 
 
 def labels_for_fit(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
