@@ -4,10 +4,13 @@ import io
 import struct
 import zipfile
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tideline.operators import lineage
 from tideline.sources import figures as G
 from tideline.sources import readers
 from tideline.sources import workbook as W
@@ -124,3 +127,38 @@ def test_boxes_are_drawn(spark):
     assert {p for p in got if p[0] < 20} == want
     assert {p for p in got if p[0] >= 20} == {(x, 9) for x in range(25, 36)} | {(30, y) for y in range(10)}
     assert decoded(G.png(G.boxes(table, "g", 40, 20), 40, 20).first().content).shape == (20, 40)
+
+
+def test_bars_stand_on_zero(spark):
+    table = spark.createDataFrame([("a", 3.0), ("b", -1.0), ("c", None), (None, 2.0), ("d", float("nan"))], "g string, v double")
+    got = {(r.px, r.py): r.n for r in G.bars(table, "g", "v", 16, 8).collect()}
+    # -1 to 3 over eight rows: zero lies in row 5 from the top, 3 in row 0, -1 in row 7
+    assert got == {(x, y): 1 for x in range(2, 6) for y in range(6)} | {(x, y): 1 for x in range(10, 14) for y in (5, 6, 7)}
+    ranked = {r.px for r in G.bars(table, "g", "v", 16, 8, order=F.col("v")).where("py = 0").collect()}
+    assert ranked == set(range(10, 14))
+    edge = {r.py for r in G.bars(table.where("g = 'a'"), "g", "v", 16, 8, (-1.0, 1.0)).collect()}
+    assert edge == set(range(4))
+    twice = G.bars(table.unionByName(table), "g", "v", 16, 8).select("n").distinct().collect()
+    assert [r.n for r in twice] == [2]
+    assert G.bars(table.limit(0), "g", "v").count() == 0
+    with pytest.raises(ValueError, match="bars"):
+        G.bars(table, "g", "v", 2, 8)
+
+
+def test_kept_tables_go_with_their_scope(spark):
+    def there(df):
+        return Path(df.inputFiles()[0].removeprefix("file:")).parent
+
+    with lineage.scope(spark):
+        first = lineage.kept(spark.range(10))
+        with lineage.scope(spark):
+            inner = there(lineage.kept(spark.range(5)))
+        assert first.count() == 10 and not inner.exists()
+        outer = there(first)
+    assert not outer.exists()
+    one, two = lineage.kept(spark.range(3)), lineage.kept(spark.range(4))
+    place = there(one)
+    lineage.forget(one)
+    lineage.forget(one)
+    lineage.forget(spark.range(3))
+    assert not place.exists() and two.count() == 4

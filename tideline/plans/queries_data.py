@@ -190,6 +190,21 @@ def feature_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([("poms", list(g.poms)), ("dti", list(g.dti)), ("other", list(g.other)), ("imaging", g.imaging())], "grp string, features array<string>")
 
 
+_GROUP_COUNTS = "select case when feature in ('f_view', 'f_click') then 'poms' when regexp_matches(feature, '^(FA|MD|RD|AD)_') then 'dti' else 'other' end grp, feature, n_values from (select substr(name, 7) feature, count(v) n_values from (unpivot (select columns('^delta_') from pairs) on columns(*) into name name value v) group by 1) where feature not in ('mfars_total', 'sara_total', 'adl_total')"
+
+
+@query("flt_12_group_counts", _GROUP_COUNTS)
+def group_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each imaging feature with its role and the pairs that have its change."""
+    p = X.pairs(spark, sf_dir)
+    g = N.feature_groups(p.columns, ["site"], ["f_view", "f_click"])
+    role = {f: r for r, names in (("other", g.other), ("dti", g.dti), ("poms", g.poms)) for f in names}
+    counts = p.agg(*[F.count(f"delta_{f}").alias(f) for f in role]).unpivot([], list(role), "feature", "n_values")
+    # a literal map of the groups' names
+    named = F.create_map(*[F.lit(x) for pair in role.items() for x in pair])
+    return counts.select(named[F.col("feature")].alias("grp"), "feature", "n_values")
+
+
 # joins and events
 
 @query("event_collapse_mode", ", t as (select subject_id, event_type, cast(visit as varchar) v, dayname(ts) d, case event_type when 'signup' then 0 when 'view' then 1 when 'click' then 2 when 'purchase' then 3 else 999 end r from ev), u as (select subject_id, 'visit' c, v val, count(*) n, min(r) f from t group by all union all select subject_id, 'day', d, count(*), min(r) from t group by all), b as (select subject_id, c, arg_max(val, (n, -f, val)) val from u group by all) select subject_id, max(case when c = 'visit' then val end) visit, max(case when c = 'day' then val end) \"day\" from b group by subject_id")
@@ -334,6 +349,17 @@ def sheet_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(c,) for c in readers.sheet_features(X.visits(spark, sf_dir), ("subject_id", "visit", "site"))], "feature string")
 
 
+_SHEET_COUNTS = "select name feature, count(v) n_values from (unpivot (select columns(* exclude (subject_id, visit, site))::varchar from visits) on columns(*) into name name value v) group by 1"
+
+
+@query("src_04_sheet_counts", _SHEET_COUNTS)
+def sheet_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each feature column of a sheet with its values that are there."""
+    v = X.visits(spark, sf_dir)
+    features = readers.sheet_features(v, ("subject_id", "visit", "site"))
+    return v.agg(*[F.count(c).alias(c) for c in features]).unpivot([], features, "feature", "n_values")
+
+
 @query("snk_01_split_cohorts", "select case when subject_id like '%0' then 'controls' else 'patients' end cohort, count(*) n from visits group by 1")
 def split_cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = sinks.split_cohorts(X.visits(spark, sf_dir), "subject_id", {"controls": "0$", "patients": "[1-9]$"})

@@ -164,3 +164,27 @@ def box_figure(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.percentile("f_view", F.array(*[F.lit(v) for v in (0.0, 0.25, 0.5, 0.75, 1.0)]))
     table = X.visits(spark, sf_dir).groupBy("site").agg(q.alias("q")).select("site", *[F.col("q")[k].alias(n) for k, n in enumerate(("low", "q1", "median", "q3", "high"))])
     return G.png(G.boxes(table, "site", 240, 120, (0.0, 100.0)), 240, 120, "sites.png")
+
+
+#: A mean difference by site, to nine places, and where its bar stands on a canvas of 48 by 30.
+_BARS = ", t as (select site, round(avg(f_click - f_view), 9) v from visits group by site having avg(f_click - f_view) is not null), b as (select least(0, min(v)) lo, greatest(0, max(v)) hi, 48 // count(*) step from t), r as (select (row_number() over (order by {order}) - 1) * step + step // 4 l, step, 29 - least(floor((v - lo) / (hi - lo) * 30), 29) y, 29 - least(floor((0 - lo) / (hi - lo) * 30), 29) z from t, b) select cast(px as int) px, cast(py as int) py, count(*) n from (select unnest(range(l, l + greatest(1, step // 2))) px, y, z from r) s, range(0, 30) g(py) where py between least(y, z) and greatest(y, z) group by 1, 2"
+
+
+def _site_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.visits(spark, sf_dir).groupBy("site").agg(F.round(F.avg(F.col("f_click") - F.col("f_view")), 9).alias("v"))
+
+
+@query("snk_05_bar_pixels", _BARS.format(order="site"))
+def bar_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.bars(_site_differences(spark, sf_dir), "site", "v", 48, 30)
+
+
+@query("rep_06_ranked_bar_pixels", _BARS.format(order="-v, site"))
+def ranked_bar_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars from the most positive to the most negative."""
+    return G.bars(_site_differences(spark, sf_dir), "site", "v", 48, 30, order=-F.col("v"))
+
+
+@query("snk_05_bar_png")
+def bar_png(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.png(G.bars(_site_differences(spark, sf_dir), "site", "v"), 640, 480, "differences.png")

@@ -64,6 +64,31 @@ def boxes(table: DataFrame, group: str, width: int = 640, height: int = 480, bou
     return rows.select(F.explode(parts).alias("p")).select("p.px", "p.py").groupBy("px", "py").agg(F.count("*").alias("n"))
 
 
+def bars(table: DataFrame, label: str, value: str, width: int = 640, height: int = 480, bounds: tuple[float, float] | None = None, order: Column | None = None) -> DataFrame:
+    """Pixels of one bar a label, from the line of zero to its value, side by side in ``order`` and then by label.
+
+    A canvas holds a bar for every two pixels of its width; more labels are refused. bounds:
+    from and to, zero among them; unset, the least and largest values or zero. Values
+    beyond are drawn to the edge. A null label, and a null or NaN value, has no bar; a
+    label on several rows has their bars on one place, and ``n`` counts them.
+    """
+    rows = table.withColumn("_v", F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))).where(F.col(label).isNotNull() & F.col("_v").isNotNull())
+    places = rows.groupBy(label).agg(F.min(F.lit(0) if order is None else order).alias("_o")).orderBy("_o", label).limit(width // 2 + 1).collect()
+    if len(places) > width // 2:
+        raise ValueError(f"{width} pixels hold {width // 2} bars at most")
+    if bounds is None:
+        one = rows.agg(F.min("_v"), F.max("_v")).first()
+        bounds = min(0.0, one[0] or 0.0), max(0.0, one[1] or 0.0)
+    low, high = map(float, bounds)
+    step = width // max(1, len(places))
+    number = F.array_position(F.array(*[F.lit(r[0]) for r in places]), F.col(label)) - 1 if places else F.lit(0)
+    at = lambda v: F.lit(height - 1) - F.greatest(F.lit(0), _pixel(v, low, high, height))
+    left = (number * step + step // 4).cast("int")
+    drawn = rows.select(left.alias("l"), at(F.col("_v")).alias("v"), at(F.lit(0.0)).alias("z"))
+    drawn = drawn.select(F.explode(F.sequence(F.col("l"), F.col("l") + max(1, step // 2) - 1)).alias("px"), "v", "z")
+    return drawn.select("px", F.explode(F.sequence(F.least("v", "z"), F.greatest("v", "z"))).alias("py")).groupBy("px", "py").agg(F.count("*").alias("n"))
+
+
 def shade(n: np.ndarray, most: int) -> np.ndarray:
     """Grey values: 255 without rows, darker with the logarithm of their number, 0 at the largest."""
     return np.where(n > 0, np.floor(200 * (1 - np.log1p(n) / np.log1p(max(most, 1)))), 255).astype(np.uint8)
