@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideline.operators.lineage import forget, scope, shared_folder
 from tideline.operators.lineage import kept as durable
-from tideline.operators.lineage import shared_folder
 
-__all__ = ["HOT", "components", "durable", "free_name", "hot_keys", "lookup", "shared_folder"]
+__all__ = ["HOT", "components", "durable", "forget", "free_name", "hot_keys", "lookup", "scope", "shared_folder"]
 
 #: A key is hot if it holds more than one in so many rows. So there are never more hot keys than this.
 HOT = 1024

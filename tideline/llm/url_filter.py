@@ -14,7 +14,7 @@ import itertools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.cluster import durable, hot_keys, lookup
+from tideline.llm.cluster import durable, forget, hot_keys, lookup
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The rules of the registered query.
@@ -60,7 +60,7 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
     flows nowhere. Rounds end when no host is newly reached and no score changes by a
     millionth of itself: damping bounds them at about 85 beyond the longest way from a
     seed to a host. ``rounds`` ends them sooner. A round joins on hosts and sums; each
-    is kept in the shared folder.
+    is kept in the shared folder until the next one is.
     """
     start = durable(seeds.groupBy("host").agg(F.sum("mass").alias("mass")))
     total = start.agg(F.sum("mass")).first()[0] or 0.0
@@ -78,6 +78,7 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
         then = durable(base.unionByName(moved).groupBy("host").agg(F.sum("score").alias("score")))
         # each score against itself: a verdict is a ratio, however far its host is from the seeds
         change = then.alias("b").join(now.alias("a"), "host", "left").agg(F.max(F.try_divide(F.abs(F.col("b.score") - F.coalesce("a.score", F.lit(0.0))), F.col("b.score")))).first()[0]
+        forget(now)
         now = then
         if (change or 0.0) < ENOUGH:
             break
