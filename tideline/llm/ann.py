@@ -4,8 +4,9 @@ Both halves of a vector are quantised separately, so k centroids a half make k *
 cells. A query walks pairs of centroids in the order of their summed distance with a
 heap, until the cells that it has opened hold enough rows; those rows are ranked by
 exact distance. Every row is indexed; only the centroids are fitted on a sample. The
-rows that a query opens grow with the square root of all rows, so queries that are a
-share of the rows cost the power 1.5 of them, not the square.
+rows that a query opens grow with the square root of all rows, and it looks at no
+others: its cells are slices of the rows that a task holds. It is sent to each group of
+cells that holds one of them, and on vectors without structure these are nearly all.
 """
 
 from __future__ import annotations
@@ -223,8 +224,12 @@ def _search(distinct: DataFrame, asked: DataFrame, d: int, total: int, k: int, w
             if not state:
                 order = np.argsort(np.array(cells), kind="stable")
                 state["m"], state["i"], state["c"] = np.frombuffer(b"".join(held)).reshape(len(ids), d)[order], np.array(ids)[order], np.array(cells)[order]
-            at = np.minimum(np.searchsorted(opened, state["c"]), len(opened) - 1)
-            seen = np.flatnonzero((opened[at] == state["c"]) & (state["i"] != key))
+            # rows are in the order of cells: each opened cell is a slice of them
+            low = np.searchsorted(state["c"], opened)
+            size = np.searchsorted(state["c"], opened, side="right") - low
+            upto = np.cumsum(size)
+            seen = np.arange(upto[-1]) + np.repeat(low - (upto - size), size)
+            seen = seen[state["i"][seen] != key]
             away = distances(state["m"][seen], np.frombuffer(raw))
             near = np.flatnonzero(away <= np.partition(away, k - 1)[k - 1]) if len(away) > k else np.arange(len(away))
             near = near[np.lexsort((state["i"][seen[near]], away[near]))][:k]
