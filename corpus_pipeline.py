@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm.bpe import encode_decode
-from tideline.llm.cluster import shared_folder
+from tideline.llm.cluster import scope, shared_folder
 from tideline.llm.decontaminate import drop_contaminated
 from tideline.llm.line_dedup import dedup_lines
 from tideline.llm.ngram_join import one_of_each
@@ -65,10 +65,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows that the last stage makes of ``documents``."""
+    """The rows that the last stage makes of ``documents``. What a stage keeps on its way goes once it is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}-{name}")
+        with scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}-{name}")
         docs = spark.read.parquet(f"{base}/{k}-{name}")
     return docs
