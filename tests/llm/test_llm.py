@@ -545,6 +545,34 @@ def test_a_line_that_loses_its_end_keeps_its_newline(spark):
     assert [got[k].text for k in range(4)] == [p, "Start here. \nThen more.", "Start again. ", ""]
 
 
+def test_chunks_that_repeat_much_are_cut_in_two_passes_only(spark):
+    p = "One two three four five six seven eight. Nine ten eleven twelve thirteen fourteen fifteen sixteen."
+    df = line_dedup.dedup_lines(spark.createDataFrame([(k, f"Start {k}. {p}") for k in range(40)] + [(99, None)], "doc_id long, text string"))
+    assert sorted((r.doc_id, r.text, r._removed) for r in df.collect() if r.doc_id) == [(k, f"Start {k}. ", 1) for k in range(1, 40)] + [(99, None, 0)]
+    # the first pass is written; the second one is in this plan, once, though the hot chunks are gathered beside the others
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("MapInArrow chunks(") == 1 and plan.count("MapInArrow rebuild(") == 1 and "BroadcastHashJoin" in plan
+
+
+def test_chunks_are_the_shortest_runs():
+    rng = random.Random(12)
+    parts = ["a", "bb", ". ", " ", "\n", "! ", "?", "\t", "é ", ".", " c ", " d e f g h ", "\r\n", "\0", "\x0b"]
+    for _ in range(300):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.choice([0, 1, 5, 30, 120]))).encode() for _ in range(rng.randrange(1, 6))]
+        least_lines, least_words = rng.choice([1, 2, 3]), rng.choice([1, 4, 16])
+        c = line_dedup.Chunks(texts, least_lines, least_words)
+        for k, t in enumerate(texts):
+            lines = []
+            for line in re.split(rb"(?<=[.!?]) |(?<=\n)", t):
+                w = SPACED.findall(line)
+                lines += [w[i : i + line_dedup.WRAP] for i in range(0, len(w), line_dedup.WRAP)]
+            full = lambda i, j, lines=lines: i >= 0 and j < len(lines) and j - i + 1 >= least_lines and sum(map(len, lines[i : j + 1])) >= least_words
+            runs = [(i, j) for i in range(len(lines)) for j in range(i, len(lines)) if full(i, j) and (i == j or not full(i, j - 1) or not full(i + 1, j))]
+            at = np.arange(c.first[k], c.first[k + 1])
+            assert [SPACED.findall(c.data[c.start[x] : c.end[x]]) for x in at[c.fit[at]]] == [sum(lines[i : j + 1], []) for i, j in runs]
+            assert len(at) == max(1, len(runs)) and (c.doc[at] == k).all() and c.place[at].tolist() == list(range(len(at)))
+
+
 # 7 neighbours
 
 

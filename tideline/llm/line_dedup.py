@@ -15,13 +15,13 @@ of these decides. A chunk in a great share of all texts is dealt over many tasks
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.llm import kernel
@@ -34,10 +34,12 @@ MIN_LINES, MIN_WORDS = 2, 16
 #: Bits of the table of repeated chunk hashes: sixteen a hash, between these powers of two.
 LEAST_BITS, MOST_BITS = 16, 28
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_STOP = np.zeros(256, dtype=bool)
-_STOP[list(b".!?")] = True
+#: For ``bytes.translate``: 1 for white space, for the ends of sentences and for newlines.
+_SPACE, _STOP, _NEWLINE = (bytes(k in own for k in range(256)) for own in (b"\t\n\v\f\r ", b".!?", b"\n"))
+
+
+def _marks(data: bytes, table: bytes) -> np.ndarray:
+    return np.frombuffer(data.translate(table), dtype=np.bool_)
 
 
 class Chunks:
@@ -49,62 +51,74 @@ class Chunks:
 
     def __init__(self, docs: list[bytes], min_lines: int = MIN_LINES, min_words: int = MIN_WORDS):
         self.data = b"\n".join(docs) + b"\n"
-        buf = np.frombuffer(self.data, dtype=np.uint8)
+        n = len(self.data)
         size = np.fromiter(map(len, docs), dtype=np.int64, count=len(docs)) + 1
         begin = np.cumsum(size) - size
-        lines = np.append(0, np.flatnonzero(buf == 10)[:-1] + 1)
-        stops = np.flatnonzero(_STOP[buf[:-1]] & (buf[1:] == 32)) + 2
-        sentences = np.union1d(lines, stops[stops < len(buf)])
-        space = _SPACE[buf]
+        space, newline = _marks(self.data, _SPACE), _marks(self.data, _NEWLINE)
+        cut = np.append(True, newline[:-1])
+        cut[2:] |= _marks(self.data, _STOP)[:-2] & (np.frombuffer(self.data, dtype=np.uint8)[1:-1] == 32)
         words = np.flatnonzero(~space & np.append(True, space[:-1]))
-        owner = np.searchsorted(sentences, words, side="right") - 1
-        nth = np.arange(len(words)) - np.searchsorted(words, sentences)[owner]
-        start = np.union1d(sentences, words[(nth > 0) & (nth % WRAP == 0)])
+        # everything ascends, so places among words give counts, and no order is sought
+        first = np.searchsorted(words, np.flatnonzero(cut))
+        counts = np.diff(np.append(first, len(words)))
+        nth = np.arange(len(words)) - np.repeat(first, counts)
+        cut[words[(nth > 0) & (nth % WRAP == 0)]] = True
+        start = np.flatnonzero(cut)
+        first = np.searchsorted(words, start)
+        counts = np.diff(np.append(first, len(words)))
         # blank display lines belong to the one before them; those that begin a text to its first one
-        start = start[np.unique(np.searchsorted(start, words, side="right") - 1)]
-        doc = np.searchsorted(begin, start, side="right") - 1
+        start, word = start[counts > 0], np.append(first[counts > 0], len(words))
+        heads = np.searchsorted(start, np.append(begin, n))
+        doc = np.repeat(np.arange(len(docs)), np.diff(heads))
         head = np.append(True, doc[1:] != doc[:-1])[: len(start)]
         self.open = np.where(head, begin[doc], start)
         self.shut = np.append(self.open[1:], 0)[: len(start)]
         tail = np.append(head[1:], True)[: len(start)]
         self.shut[tail] = (begin + size)[doc[tail]]
-        word = np.searchsorted(words, np.append(start, len(buf)))
         word_ends = np.flatnonzero(~space & np.append(space[1:], True)) + 1
         # the shortest run that reaches both minima, from each display line on and back from each
         at = np.arange(len(start))
-        low, high = np.searchsorted(doc, doc), np.searchsorted(doc, doc, side="right") - 1
+        low, high = heads[doc], heads[doc + 1] - 1
         on = np.maximum(np.searchsorted(word, word[:-1] + min_words) - 1, at + min_lines - 1)
         back = np.minimum(np.searchsorted(word, word[1:] - min_words, side="right") - 1, at - min_lines + 1)
         ahead, behind = on <= high, back >= low
         behind[behind] = on[back[behind]] != at[behind]
-        a, b = np.append(at[ahead], back[behind]), np.append(on[ahead], at[behind])
+        # in order of both bounds: of one first line, the run on from it is the shortest
+        a, b = at[ahead], at[behind]
+        ons, backs = np.cumsum(ahead), np.cumsum(np.bincount(back[b], minlength=len(start)))
+        order = np.append(ons[a] - 1 + np.append(0, backs)[a], ons[back[b]] + np.arange(len(b)))
+        runs = np.empty((2, len(order)), dtype=np.int64)
+        runs[0, order], runs[1, order] = np.append(a, back[b]), np.append(on[a], b)
         # a text without such a run is one chunk that never goes
-        bare = np.setdiff1d(np.arange(len(docs)), doc[a])
-        owner = np.append(doc[a], bare)
-        order = np.lexsort((np.append(b, bare), np.append(a, bare), owner))
-        self.doc = owner[order]
-        self.fit = order < len(a)
-        self.a, self.b = np.append(a, 0 * bare)[order], np.append(b, 0 * bare)[order]
-        self.start = np.append(words[word[a]], begin[bare])[order]
-        self.end = np.append(word_ends[word[b + 1] - 1], (begin + size)[bare])[order]
-        self.first = np.searchsorted(self.doc, np.arange(len(docs) + 1))
-        self.place = np.arange(len(order)) - self.first[self.doc]
-        self.hash = kernel.span_hashes(buf, self.start, self.end)
-        self.text = np.append(begin, len(buf))
-
-    def without(self, doc: int, gone: set[int]) -> bytes:
+        owner = doc[runs[0]]
+        own = np.bincount(owner, minlength=len(docs))
+        bare = own == 0
+        self.first = np.append(0, np.cumsum(own + bare))
+        self.doc = np.repeat(np.arange(len(docs)), own + bare)
+        self.fit = ~bare[self.doc]
+        self.a, self.b, self.start, self.end = np.zeros((4, len(self.doc)), dtype=np.int64)
+        self.a[self.fit], self.b[self.fit] = runs
+        self.start[self.fit], self.end[self.fit] = words[word[runs[0]]], word_ends[word[runs[1] + 1] - 1]
+        self.start[~self.fit], self.end[~self.fit] = begin[bare], (begin + size)[bare]
+        self.place = np.arange(len(self.doc)) - self.first[self.doc]
+        self.text = np.append(begin, n)
+
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash of each chunk's bytes."""
+        return kernel.span_hashes(np.frombuffer(self.data, dtype=np.uint8), self.start, self.end)
+
+    def without(self, doc: int, gone: Collection[int]) -> bytes:
         """The text of ``doc`` without the chunks of these places; a line that has lost its end keeps its newline."""
         at, kept = int(self.text[doc]), []
-        for u in sorted({u for k in gone for u in range(int(self.a[self.first[doc] + k]), int(self.b[self.first[doc] + k]) + 1)}):
-            start, end = int(self.open[u]), int(self.shut[u])
+        chunks = self.first[doc] + np.sort(np.fromiter(gone, dtype=np.int64, count=len(gone)))
+        # both bounds of chunks ascend, so runs that meet are neighbours
+        a, b = self.a[chunks], self.b[chunks]
+        apart = np.flatnonzero(a[1:] > b[:-1] + 1)
+        for start, end in zip(self.open[np.append(a[:1], a[apart + 1])].tolist(), self.shut[np.append(b[apart], b[-1:])].tolist()):
             if start > at:
                 kept.append(self.data[at:start])
-                inside = self.data[start - 1] != 10
-            elif at == int(self.text[doc]):
-                inside = False
-            if inside and 10 in self.data[start:end]:
-                kept.append(b"\n")
-                inside = False
+                if self.data[start - 1] != 10 and self.data.find(b"\n", start, end) >= 0:
+                    kept.append(b"\n")
             at = end
         kept.append(self.data[at : int(self.text[doc + 1])])
         return b"".join(kept).removesuffix(b"\n")
@@ -117,7 +131,7 @@ def _repeats(base: DataFrame, min_lines: int, min_words: int) -> DataFrame:
         for batch in batches:
             for _, raw in kernel.blocks(batch.column(0), lower=False):
                 c = Chunks(raw, min_lines, min_words)
-                yield pa.RecordBatch.from_arrays([pa.array(c.hash[c.fit].view(np.int64))], names=["h"])
+                yield pa.RecordBatch.from_arrays([pa.array(c.hashes()[c.fit].view(np.int64))], names=["h"])
 
     often = durable(base.select("text").mapInArrow(hashes, "h long").groupBy("h").agg(F.count("*").alias("k")).where("k > 1"))
     number, total = often.agg(F.count("*"), F.sum("k")).first()
@@ -134,8 +148,9 @@ def _repeats(base: DataFrame, min_lines: int, min_words: int) -> DataFrame:
             for at, raw in kernel.blocks(batch.column(3), lower=False):
                 c = Chunks(raw, min_lines, min_words)
                 found = np.flatnonzero(c.fit)
-                h = c.hash[found]
-                found = found[(shared.value[(h >> np.uint64(6)) & np.uint64(words - 1)] >> (h & np.uint64(63))) & np.uint64(1) == 1]
+                h = c.hashes()[found]
+                let = (shared.value[(h >> np.uint64(6)) & np.uint64(words - 1)] >> (h & np.uint64(63))) & np.uint64(1) == 1
+                found, h = found[let], h[let]
                 body = b"".join(blake2b(c.data[i:j], digest_size=16).digest() for i, j in zip(c.start[found].tolist(), c.end[found].tolist()))
                 x, y = np.frombuffer(body, dtype=np.int64).reshape(-1, 2).T
                 # a chunk that a text repeats in itself is one row, with its later places
@@ -146,19 +161,21 @@ def _repeats(base: DataFrame, min_lines: int, min_words: int) -> DataFrame:
                 more = pa.ListArray.from_arrays(pa.array(np.append(firsts - np.arange(len(firsts)), len(order) - len(firsts)), pa.int32()), pa.array(place[~new], pa.int64()))
                 rows = pa.array(at + doc[new])
                 row = batch.column(1).take(rows)
-                salt = np.where(np.isin(c.hash[found][order][new], hot), 1 + (row.to_numpy() & 0xFFFF), 0)
+                salt = np.where(np.isin(h[order][new], hot), 1 + (row.to_numpy() & 0xFFFF), 0)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), row, batch.column(2).take(rows), pa.array(place[new], pa.int64()), more, pa.array(x[new]), pa.array(y[new]), pa.array(salt, pa.int64())], names=["id", "row", "twin", "place", "more", "x", "y", "salt"])
 
     kind = dict(base.dtypes)["id"]
-    # the counts and the join read one shuffle, so both take all its columns and the same rows
+    # all that follows reads one shuffle, so it takes all its columns and the same rows
     found = base.select("id", "row", "twin", "text").mapInArrow(chunks, f"id {kind}, row long, twin long, place long, more array<long>, x long, y long, salt long").where("row is not null and twin is not null and x is not null and y is not null and salt is not null").repartition("x", "y", "salt")
-    part = found.groupBy("x", "y", "salt").agg(F.min(F.struct("id", "row", "twin", "place")).alias("keep"), F.sum(F.size("more") + 1).alias("k"))
+    least, number = F.min(F.struct("id", "row", "twin", "place")), F.sum(F.size("more") + 1)
+    same = Window.partitionBy("x", "y", "salt")
+    told = found.select("*", least.over(same).alias("keep"), number.over(same).alias("k"))
     if len(hot):
-        # a row for each hot hash, or a few where hashes meet
-        whole = part.where("salt > 0").groupBy("x", "y").agg(F.min("keep").alias("first"), F.sum("k").alias("all"))
-        part = part.join(F.broadcast(whole), ["x", "y"], "left").select("x", "y", "salt", F.coalesce("first", "keep").alias("keep"), F.coalesce("all", "k").alias("k"))
-    kept = part.where("k > 1").select("x", "y", "salt", "keep")
-    gone = found.join(kept, ["x", "y", "salt"]).select("row", "twin", F.when(F.expr("id <=> keep.id and row = keep.row and twin = keep.twin and place = keep.place"), F.col("more")).otherwise(F.array_append("more", F.col("place"))).alias("gone"))
+        # a row for each hot hash, or a few where hashes meet; a condition on salt itself would be asked before the shuffle, which would then be another one
+        part = found.groupBy("x", "y", "salt").agg(least.alias("keep"), number.alias("k"), F.max("salt").alias("dealt")).where("dealt > 0")
+        whole = part.groupBy("x", "y").agg(F.min("keep").alias("first"), F.sum("k").alias("all"))
+        told = told.join(F.broadcast(whole), ["x", "y"], "left").withColumns({"keep": F.coalesce("first", "keep"), "k": F.coalesce("all", "k")})
+    gone = told.where("k > 1").select("row", "twin", F.when(F.expr("id <=> keep.id and row = keep.row and twin = keep.twin and place = keep.place"), F.col("more")).otherwise(F.array_append("more", F.col("place"))).alias("gone"))
     return gone.where(F.size("gone") > 0).groupBy("row", "twin").agg(F.flatten(F.collect_list("gone")).alias("gone"))
 
 
@@ -186,13 +203,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             names = batch.schema.names
             texts, gone = batch.column(names.index(text_col)), batch.column(names.index(lost))
             out, counts, removed = [], [], []
+            lost_here = gone.value_lengths().fill_null(0).to_numpy()
             for at, raw in kernel.blocks(texts, lower=False):
                 c = Chunks(raw, min_lines, min_words)
                 for k in range(len(raw)):
-                    places = set(gone[at + k].as_py() or ())
+                    places = np.unique(gone[at + k].values.to_numpy()) if lost_here[at + k] else ()
                     counts.append(int(c.first[k + 1] - c.first[k]) if raw[k] else 0)
                     removed.append(len(places))
-                    if places:
+                    if len(places):
                         out.append(c.without(k, places).decode())
             changed = pc.replace_with_mask(texts, pa.array([n > 0 for n in removed], pa.bool_()), pa.array(out, texts.type))
             columns = [changed if name == text_col else batch.column(name) for name in names if name != lost]
