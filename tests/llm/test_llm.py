@@ -410,6 +410,29 @@ def test_long_texts_are_encoded_piece_by_piece(docs, monkeypatch):
     assert [k.count(",") + 1 if k else 0 for k in kept] == [n for n, _, _ in want] and len(codec.memo) <= 40
 
 
+def test_pretokens_of_a_run_are_merged_side_by_side(docs, monkeypatch):
+    v = bpe.Vocabulary(queries.byte_bpe_path())
+    rng = random.Random(4)
+    parts = ["a", "é", " ", "\n", "中", "😀", "<|endoftext|>", "'ll", "1²", "ab" * 40, "aaaaaaaa", "ing", "----", "  "]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(300)] + ["-" * 300, "a" * 48, "a" * 49, ""]
+    texts += [r.text or "" for r in docs.limit(60).collect()]
+    words = [w.encode() for w in sorted({w for t in texts for w in bpe.Codec(v).pretokens(t)} - set(v.special))]
+    want = [[i for part in v.fragments(w) for i in v.merge(part)] for w in words]
+    ids, counts = v.encode(words)
+    assert ids.tolist() == sum(want, []) and counts.tolist() == list(map(len, want))
+    assert [len(x) for x in v.encode([])] == [0, 0]
+    one = [bpe.Codec(v).digests(t) for t in texts]
+    # none but wide fragments come alone; runs of texts, long ones among them, change nothing
+    merge = bpe.Vocabulary.merge
+    monkeypatch.setattr(bpe.Vocabulary, "merge", lambda self, raw: merge(self, raw) if len(raw) > bpe.WIDE else pytest.fail("merged alone"))
+    for together, long in ((10, 10**6), (300, 40), (10**6, 40)):
+        monkeypatch.setattr(bpe, "TOGETHER", together)
+        monkeypatch.setattr(bpe, "LONG", long)
+        monkeypatch.setattr(bpe, "PIECE", 7)
+        assert list(bpe.Codec(v, remembered=30).all_digests(texts)) == one
+    assert [bpe.Codec(v).digests(t) for t in texts] == one
+
+
 def test_operators_pass_over_clashing_columns_and_empty_tables(spark, docs):
     plain = docs.select("doc_id", "text").limit(30)
     clash = plain.select("*", *[F.lit(k).alias(n) for k, n in enumerate(("ids", "n_tokens", "item_id", "containment", "size", "shard", "_h", "_draws", "_region", "_rack", "_bucket", "labels", "n_words", "lang", "held_out", "host"))])

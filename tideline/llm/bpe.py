@@ -3,7 +3,8 @@
 A merge joins two tokens into a longer one, so two bytes that stand side by side
 in no token of the vocabulary are never merged into one: the cut between them is
 certain. Pre-tokens are cut there, the fragments are encoded independently and
-their ids concatenated.
+their ids concatenated. Texts are taken in runs; the distinct pre-tokens of a run
+that are not remembered are merged side by side, a merge of each fragment at a time.
 """
 
 from __future__ import annotations
@@ -13,8 +14,9 @@ import hashlib
 import heapq
 import itertools
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,10 +25,18 @@ from pyspark.sql import functions as F
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens in each of the two generations that a worker remembers (about 80 MB).
 REMEMBERED = 100_000
+#: Characters of the texts whose pre-tokens are looked up together, unless one text has more.
+TOGETHER = 200_000
+#: Bytes of a fragment beyond which it is merged by a heap of its own.
+WIDE = 48
 #: Characters of a text beyond which its pre-tokens are taken so many at a time.
 LONG, PIECE = 1_000_000, 100_000
 
 
+#: Above each rank and merged id.
+NEVER = (1 << 63) - 1
+
+
 def byte_letters() -> dict[str, int]:
     """The printable letter of each byte, inverted: visible Latin-1 stands for itself, the rest follows from U+0100."""
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
@@ -61,6 +71,8 @@ class Vocabulary:
             for x, y in zip(b, b[1:]):
                 inside[x << 8 | y] = 1
         self.inside = bytes(inside)
+        # the merges once more, for many pairs at a time
+        self.pairs, self.merged = np.array(sorted(self.merges.items()), dtype=np.int64).reshape(-1, 2).T.copy()
 
     def fragments(self, raw: bytes) -> list[bytes]:
         """``raw`` cut between bytes that no token holds side by side."""
@@ -75,10 +87,58 @@ class Vocabulary:
     def merge(self, raw: bytes) -> list[int]:
         """Ids of one fragment: the merge of least rank first, leftmost among equals."""
         ids = [self.single[b] for b in raw]
-        return self._few(ids) if len(ids) <= 48 else self._many(ids)
+        return self._few(ids) if len(ids) <= WIDE else self._many(ids)
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """What ``merges`` has for each pair, else NEVER."""
+        if not len(self.pairs):
+            return np.full(len(a), NEVER)
+        pair = a << 32 | b
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == pair, self.merged[at], NEVER)
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words (none is empty) on end, and how many each has: ``merge`` of their fragments, side by side."""
+        size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        begin = np.cumsum(size) - size
+        data = b"".join(words)
+        buf = np.frombuffer(data, dtype=np.uint8).astype(np.int64)
+        cut = np.append(True, np.frombuffer(self.inside, dtype=np.uint8)[buf[:-1] << 8 | buf[1:]] == 0)[: len(buf)]
+        cut[begin] = True
+        first = np.flatnonzero(cut)
+        length = np.diff(np.append(first, len(buf)))
+        # an id stands where its bytes begin
+        out = np.full(len(buf), -1, dtype=np.int64)
+        for k in np.flatnonzero(length > WIDE).tolist():
+            ids = self.merge(data[first[k] : first[k] + length[k]])
+            out[first[k] : first[k] + len(ids)] = ids
+        place = np.flatnonzero(np.repeat(length <= WIDE, length))
+        ids, own = np.array(self.single, dtype=np.int64)[buf[place]], np.repeat(np.arange(len(first)), length)[place]
+        # the rank of each id with the next one of its fragment
+        rank = np.full(len(ids), NEVER)
+        near = np.flatnonzero(own[:-1] == own[1:])
+        rank[near] = self._ranks(ids[near], ids[near + 1])
+        while len(ids):
+            head = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            best = np.repeat(np.minimum.reduceat(rank, head), np.diff(np.append(head, len(ids))))
+            done = best == NEVER
+            out[place[done]] = ids[done]
+            at = np.flatnonzero((rank == best) & ~done)
+            at = at[np.append(True, own[at[1:]] != own[at[:-1]])[: len(at)]]
+            ids[at] = rank[at] & 0xFFFFFFFF
+            stay = ~done
+            stay[at + 1] = False
+            moved = np.cumsum(stay) - 1
+            at, ids, place, own, rank = moved[at], ids[stay], place[stay], own[stay], rank[stay]
+            rank[at] = NEVER
+            for left in (at[at > 0] - 1, at[at < len(ids) - 1]):
+                left = left[own[left] == own[left + 1]]
+                rank[left] = self._ranks(ids[left], ids[left + 1])
+        there = out >= 0
+        return out[there], np.add.reduceat(there, begin, dtype=np.int64) if len(words) else size
 
     def _few(self, ids: list[int]) -> list[int]:
-        get, never = self.merges.get, 1 << 63
+        get, never = self.merges.get, NEVER
         ranks = [get(a << 32 | b, never) for a, b in zip(ids, ids[1:])]
         while ranks and (best := min(ranks)) != never:
             k = ranks.index(best)
@@ -114,41 +174,39 @@ class Vocabulary:
         return [i for i, x in zip(ids, live) if x]
 
 
-class Memo(dict):
-    """Pre-token to its ids in decimal; what is missing is encoded, and its decoded bytes kept beside it."""
-
-    def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary, self.back = vocabulary, {}
-        self.parts: dict[bytes, list[int]] = {}
-        self.old: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
-
-    def __missing__(self, token: str) -> str:
-        v = self.vocabulary
-        if token in self.old[0]:
-            text, back = self.old[0][token], self.old[1][token]
-        else:
-            ids = [v.special[token]] if token in v.special else [i for fragment in v.fragments(token.encode()) for i in self.part(fragment)]
-            text, back = ",".join(map(str, ids)), b"".join([v.bytes[i] for i in ids])
-        self[token], self.back[token] = text, back
-        return text
-
-    def part(self, fragment: bytes) -> list[int]:
-        """Ids of a fragment, which other pre-tokens may share."""
-        if (ids := self.parts.get(fragment)) is None:
-            ids = self.parts[fragment] = self.vocabulary.merge(fragment)
-        return ids
-
-
 class Codec:
     """Encodes and decodes texts; remembers two generations of a bounded number of pre-tokens."""
 
     def __init__(self, vocabulary: Vocabulary, remembered: int = REMEMBERED):
         import regex
 
-        self.vocabulary, self.remembered, self.memo = vocabulary, remembered, Memo(vocabulary)
+        self.vocabulary, self.remembered = vocabulary, remembered
+        #: pre-token to its ids in decimal, and to the bytes that they decode to; before them the generation before
+        self.memo: dict[str, str] = {}
+        self.back: dict[str, bytes] = {}
+        self.old: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
         self.split, self.each = regex.compile(PATTERN).findall, regex.compile(PATTERN).finditer
         self.part = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
 
+    def learn(self, lists: Iterable[list[str]]) -> None:
+        """Encode the pre-tokens that are not remembered, and decode their ids."""
+        if len(self.memo) > self.remembered:
+            self.old, self.memo, self.back = (self.memo, self.back), {}, {}
+        memo, back, v, missing = self.memo, self.back, self.vocabulary, []
+        for token in set().union(*lists).difference(memo):
+            if token in self.old[0]:
+                memo[token], back[token] = self.old[0][token], self.old[1][token]
+            elif token in v.special:
+                memo[token], back[token] = str(v.special[token]), v.bytes[v.special[token]]
+            else:
+                missing.append(token)
+        ids, counts = v.encode([token.encode() for token in missing])
+        ids, at = ids.tolist(), 0
+        text, raw = list(map(str, ids)), list(map(v.bytes.__getitem__, ids))
+        for token, end in zip(missing, np.cumsum(counts).tolist()):
+            memo[token], back[token] = ",".join(text[at:end]), b"".join(raw[at:end])
+            at = end
+
     def pretokens(self, text: str) -> list[str]:
         if self.part is None or not any(s in text for s in self.vocabulary.special):
             return self.split(text)
@@ -164,31 +222,45 @@ class Codec:
             while piece := list(itertools.islice(tokens, PIECE)):
                 yield piece
 
-    def run(self, text: str) -> Iterator[tuple[str, bytes]]:
-        """The ids in decimal, joined by commas, and the bytes that they decode to, piece by piece."""
-        for tokens in self.pieces(text):
-            if len(self.memo) > self.remembered:
-                new = Memo(self.vocabulary)
-                new.old = (self.memo, self.memo.back)
-                self.memo.old = ({}, {})
-                self.memo = new
-            memo = self.memo
-            ids = ",".join([memo[t] for t in tokens])
-            back = memo.back
-            yield ids, b"".join([back[t] for t in tokens])
-
     def digests(self, text: str, kept: list[str] | None = None) -> tuple[int, str, str]:
         """Number of ids and SHA-256 of the ids and of the decoded text; ``kept`` gets the ids if given."""
+
+        def learnt() -> Iterator[list[str]]:
+            for tokens in self.pieces(text):
+                self.learn([tokens])
+                yield tokens
+
+        return self._digests(learnt(), kept)
+
+    def all_digests(self, texts: Iterable[str], kept: list[str] | None = None) -> Iterator[tuple[int, str, str]]:
+        """``digests`` of each text; what short ones bring is looked up together."""
+        held: list[list[str]] = []
+        size = 0
+        for text in texts:
+            if held and (len(text) > LONG or size + len(text) > TOGETHER):
+                self.learn(held)
+                yield from (self._digests([tokens], kept) for tokens in held)
+                held, size = [], 0
+            if len(text) > LONG:
+                yield self.digests(text, kept)
+            else:
+                held.append(self.pretokens(text))
+                size += len(text)
+        self.learn(held)
+        yield from (self._digests([tokens], kept) for tokens in held)
+
+    def _digests(self, pieces: Iterable[list[str]], kept: list[str] | None) -> tuple[int, str, str]:
         n, one, two = 0, hashlib.sha256(), hashlib.sha256()
         decode = codecs.getincrementaldecoder("utf-8")("replace").decode
         whole = []
-        for ids, back in self.run(text):
+        for tokens in pieces:
+            ids = ",".join(map(self.memo.__getitem__, tokens))
             if ids:
                 one.update(("," + ids if n else ids).encode())
                 n += ids.count(",") + 1
                 if kept is not None:
                     whole.append(ids)
-            two.update(decode(back).encode())
+            two.update(decode(b"".join(map(self.back.__getitem__, tokens))).encode())
         two.update(decode(b"", True).encode())
         if kept is not None:
             kept.append(",".join(whole))
@@ -213,8 +285,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         codec = Codec(shared.value)
         for batch in batches:
             n, text, one, two = [], [], [], []
-            for value in batch.column(1):
-                count, ids, back = codec.digests(value.as_py() or "", text if with_ids else None)
+            for count, ids, back in codec.all_digests((value.as_py() or "" for value in batch.column(1)), text if with_ids else None):
                 n.append(count)
                 one.append(ids)
                 two.append(back)
