@@ -313,6 +313,50 @@ def test_alignment_of_nothing(spark):
     assert aligned_rows(align.align_tokenizers(only, queries.byte_bpe_path(), queries.piece_bpe_path())) == Counter({(1, 0, 0, 0, 0, 0, 0, ""): 1, (2, 0, 0, 0, 0, 0, 0, ""): 1})
 
 
+def test_a_blocks_segments_lie_in_small_rows(spark, sf, libraries, monkeypatch):
+    monkeypatch.setattr(align, "LISTED", 7)
+    monkeypatch.setattr(align, "PACKED", 50)
+    rows = [(k, r.text) for k, r in enumerate(spark.read.parquet(f"{sf}/documents.parquet").select("text").limit(30).collect())] + [(-1, None), (-2, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    cut = align.Tokenizers(queries.byte_bpe_path(), queries.piece_bpe_path()).cut
+    split = align.Splitter(cut)
+    held = align._blocks(df, cut).collect()
+    assert sum(r.codes is not None for r in held) == 1 and max(len(r.segments or "") for r in held) == 7
+    listed = [s for r in sorted((r for r in held if r.segments), key=lambda r: r.first) for s in r.segments]
+    assert listed == list(dict.fromkeys(s for _, t in rows if t for s in split.segments(" " + t)))
+    assert aligned_rows(align.align_tokenizers(df, queries.byte_bpe_path(), queries.piece_bpe_path())) == Counter((i, *w) for (i, _), w in zip(rows, plain_alignment(libraries, [t for _, t in rows])))
+
+
+def test_memory_of_a_block_of_rare_words():
+    """16 million characters of 450,000 words: the most that a worker took, in KB."""
+    code = """
+import random, re
+import pyarrow as pa
+from pyspark.sql import SparkSession
+from tideline.llm import align, queries
+spark = SparkSession.builder.master("local[1]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+def texts(batches):
+    rng = random.Random(1)
+    words = ["".join(rng.choices("abcdefghijklmnop0123456789", k=8)) for _ in range(450_000)]
+    for batch in batches:
+        for k in batch.column(0).to_pylist():
+            yield pa.RecordBatch.from_pydict({"doc_id": [k], "text": [" ".join(words[k * 5_000 % 450_000 :][:5_000])]})
+docs = spark.range(0, 360, 1, 1).mapInArrow(texts, "doc_id long, text string")
+path = __import__("tempfile").mkdtemp()
+docs.write.parquet(path + "/docs")
+spark.stop()
+spark = SparkSession.builder.master("local[1]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+align.align_tokenizers(spark.read.parquet(path + "/docs"), queries.byte_bpe_path(), queries.piece_bpe_path(), with_groups=False).write.format("noop").mode("overwrite").save()
+most = lambda batches: (pa.RecordBatch.from_pydict({"kb": [int(re.search("VmHWM:\\s+(\\d+)", open("/proc/self/status").read())[1])]}) for _ in batches)
+print(spark.range(0, 1, 1, 1).mapInArrow(most, "kb long").first()[0])
+"""
+    import subprocess
+    import sys
+
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=__file__.rsplit("/tests/", 1)[0])
+    assert int(out.stdout.split()[-1]) < 400_000
+
+
 # the registered queries
 
 

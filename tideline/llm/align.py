@@ -6,11 +6,12 @@
    A vocabulary that fails for a character is not cut before it.
 2. Blocks of texts number their own distinct segments. The blocks' segments are dealt by
    segment, so all blocks that hold one meet where it is tokenised and aligned, once:
-   groups between common ends, links of overlapping tokens. Alignments go back to the
-   blocks that asked, packed by block.
-3. A block composes its documents from numbers, and counts the documents of each linked
-   pair. Counts of all blocks are summed by pair and go back to the blocks that hold the
-   pair, which sum them over their documents' links.
+   tokens of both, and which of them ends at each link. Alignments go back to the blocks
+   that asked, packed by block.
+3. A block takes links of overlapping tokens and groups between common ends from these,
+   composes its documents from numbers, and counts the documents of each linked pair.
+   Counts of all blocks are summed by pair and go back to the blocks that hold the pair,
+   which sum them over their documents' links.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.bpe import byte_letters
-from tideline.llm.cluster import durable
+from tideline.llm.cluster import durable, forget
 
 #: Characters of texts in a block (unless one text is longer), and rows that it holds at most.
-BLOCK, ROWS = 16_000_000, 65_536
-#: Characters beyond which a text's segments are taken one at a time, and segments that are tokenised at a time.
+BLOCK, ROWS = 8_000_000, 65_536
+#: Segments of a block in a row of the table that keeps them.
+LISTED = 16_384
+#: Characters beyond which a text's segments are taken one at a time, and segments that are tokenised, or groups that are named, at a time.
 LONG, BATCH = 1_000_000, 4096
 #: Segments of blocks that a task packs together.
 PACKED = 150_000
@@ -107,28 +111,28 @@ class Aligner:
     def encode(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         return [x.ids for x in self.one.encode_batch(segments, add_special_tokens=False)], self.two.encode(segments, num_threads=1)
 
-    def align(self, segment: str, a: list[int], b: list[int]) -> tuple[bool, int, str, list[int]]:
-        """Whether both give back the segment's bytes, number of groups, groups in decimal, links (A id << 32 | B id)."""
+    def align(self, segment: str, a: list[int], b: list[int]) -> bytes:
+        """What ends where each link ends: 1 for a token of A, 2 of B, 3 for both and so for a group; nothing if either loses bytes."""
         one, two = [self.a[i] for i in a], [self.b[i] for i in b]
         raw = segment.encode()
         if b"".join(one) != raw or b"".join(two) != raw:
-            return False, 0, "", []
-        groups, links = [], []
-        i = j = start_a = start_b = 0
+            return b""
+        steps = bytearray()
+        i = j = 0
         end_a, end_b = len(one[0]), len(two[0])
         while True:
-            links.append(a[i] << 32 | b[j])
             if end_a == end_b:
-                groups.append(",".join(map(str, a[start_a : i + 1])) + "|" + ",".join(map(str, b[start_b : j + 1])))
+                steps.append(3)
                 i, j = i + 1, j + 1
                 if i == len(a):
-                    return True, len(groups), ";".join(groups), links
-                start_a, start_b = i, j
+                    return bytes(steps)
                 end_a, end_b = end_a + len(one[i]), end_b + len(two[j])
             elif end_a < end_b:
+                steps.append(1)
                 i += 1
                 end_a += len(one[i])
             else:
+                steps.append(2)
                 j += 1
                 end_b += len(two[j])
 
@@ -150,8 +154,13 @@ def unsqueeze(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), dtype=np.uint8).reshape(4, -1).T).view(np.uint32).reshape(-1)
 
 
+def spread(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places of runs one after another, n of them from each begin."""
+    return np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
 def _blocks(docs: DataFrame, cut: str) -> DataFrame:
-    """block, ids (of its rows), segments (distinct), sizes and codes (segments of its rows by number)."""
+    """block, ids (of its rows), sizes and codes (segments of its rows by number); then rows of block, first (number) and segments (distinct)."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,59 +168,67 @@ def _blocks(docs: DataFrame, cut: str) -> DataFrame:
         split = Splitter(cut)
         ids, sizes, codes, numbers, held = [], [], [], Numbers(), 0
 
-        def ready() -> pa.RecordBatch:
+        def row(own: pa.Array, sizes: bytes | None, codes: bytes | None, first: int | None, segments: list[str] | None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({
+                "block": pa.array([task << 32 | n], pa.int64()),
+                "ids": own,
+                "sizes": pa.array([sizes], pa.binary()),
+                "codes": pa.array([codes], pa.binary()),
+                "first": pa.array([first], pa.int32()),
+                "segments": pa.array([segments], pa.list_(pa.string())),
+            })
+
+        def ready() -> Iterator[pa.RecordBatch]:
             nonlocal n, held, numbers
             own = pa.concat_arrays(ids)
-            row = {
-                "block": pa.array([task << 32 | n], pa.int64()),
-                "ids": pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own),
-                "segments": pa.array([list(numbers)], pa.list_(pa.string())),
-                "sizes": pa.array([squeeze(np.array(sizes))], pa.binary()),
-                "codes": pa.array([squeeze(np.concatenate(codes))], pa.binary()),
-            }
-            n, held, numbers = n + 1, 0, Numbers()
+            own = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)
+            yield row(own, squeeze(np.array(sizes)), squeeze(np.concatenate(codes)), None, None)
             for x in (ids, sizes, codes):
                 x.clear()
-            return pa.RecordBatch.from_pydict(row)
+            segments = iter(numbers)
+            for first in range(0, len(numbers), LISTED):
+                yield row(pa.nulls(1, own.type), None, None, first, list(islice(segments, LISTED)))
+            n, held, numbers = n + 1, 0, Numbers()
 
         for batch in batches:
             for k, value in enumerate(batch.column(1)):
                 text = value.as_py()
                 if sizes and (held + len(text or "") > BLOCK or len(sizes) >= ROWS):
-                    yield ready()
+                    yield from ready()
                 ids.append(batch.column(0).slice(k, 1))
                 own = np.fromiter(map(numbers.__getitem__, split.segments(" " + text)), dtype=np.uint32) if text else np.empty(0, dtype=np.uint32)
                 sizes.append(len(own))
                 codes.append(own)
                 held += len(text or "")
         if sizes:
-            yield ready()
+            yield from ready()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"block long, ids array<{kind}>, segments array<string>, sizes binary, codes binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"block long, ids array<{kind}>, sizes binary, codes binary, first int, segments array<string>")
 
 
 def _aligned(held: DataFrame, tokenizers: Tokenizers) -> DataFrame:
-    """Of (home, pos, segment): each distinct segment aligned once, and sent to its homes packed: home, numbers, links, groups.
+    """Of (home, pos, segment): each distinct segment aligned once, and sent to its homes packed: home, numbers, ids, ends.
 
-    numbers: steps of pos, tokens of A and of B, groups (0 if a tokenizer loses bytes) and links, one row each.
+    numbers: steps of pos, tokens of A and of B and links (all 0 if a tokenizer loses bytes), one
+    row each. ids: the segments' tokens of A, then of B. ends: what ends at each link.
     """
     shared = held.sparkSession.sparkContext.broadcast(tokenizers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = shared.value.load()
         homes, rows, size = [], [], 0
-        # of the segments aligned so far, flat: tokens of A and B, groups and links; the links; the groups
-        facts, flat, groups = array("q"), array("q"), []
+        # of the segments aligned so far: numbers of tokens of A and B and of links; these, flat
+        facts, flat = array("q"), (array("I"), array("I"), array("B"))
         last = None
 
         def align(segments: list[str]) -> None:
             for at in range(0, len(segments), BATCH):
                 part = segments[at : at + BATCH]
                 for segment, a, b in zip(part, *aligner.encode(part)):
-                    _, n, text, pairs = aligner.align(segment, a, b)
-                    facts.extend((len(a), len(b), n, len(pairs)))
-                    flat.extend(pairs)
-                    groups.append(text)
+                    ends = aligner.align(segment, a, b)
+                    for known, own in zip(flat, (a, b, ends) if ends else ((), (), ())):
+                        known.extend(own)
+                        facts.append(len(own))
 
         def packed() -> Iterator[pa.RecordBatch]:
             nonlocal size, facts, flat
@@ -220,23 +237,21 @@ def _aligned(held: DataFrame, tokenizers: Tokenizers) -> DataFrame:
             home, (pos, which) = np.concatenate(homes), np.concatenate(rows, axis=1)
             order = np.lexsort((pos, home))
             home, pos, which = home[order], pos[order], which[order]
-            known, links = np.frombuffer(facts, dtype=np.int64).reshape(-1, 4), np.frombuffer(flat, dtype=np.int64)
-            begin = np.cumsum(known[:, 3]) - known[:, 3]
+            known, every = np.array(facts).reshape(-1, 3), [np.array(x) for x in flat]
+            begin = np.cumsum(known, axis=0) - known
             cuts = np.flatnonzero(np.diff(home, prepend=home[0] - 1))
             for low, high in zip(cuts.tolist(), [*cuts[1:].tolist(), len(home)]):
                 own = which[low:high]
-                n = known[own, 3]
-                mine = links[np.repeat(begin[own] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                a, b, ends = (x[spread(begin[own, k], known[own, k])] for k, x in enumerate(every))
                 yield pa.RecordBatch.from_arrays([
                     pa.array([int(home[low])], pa.int64()),
                     pa.array([squeeze(np.concatenate([np.diff(pos[low:high], prepend=0), known[own].T.ravel()]))], pa.binary()),
-                    pa.array([squeeze(np.concatenate([mine >> 32, mine & 0xFFFFFFFF]))], pa.binary()),
-                    pa.array([zlib.compress("\n".join([groups[k] for k in own.tolist()]).encode(), 1)], pa.binary()),
-                ], names=["home", "numbers", "links", "groups"])
+                    pa.array([squeeze(np.concatenate([a, b]))], pa.binary()),
+                    pa.array([zlib.compress(ends.tobytes(), 1)], pa.binary()),
+                ], names=["home", "numbers", "ids", "ends"])
             homes.clear()
             rows.clear()
-            groups.clear()
-            size, facts, flat = 0, array("q"), array("q")
+            size, facts, flat = 0, array("q"), (array("I"), array("I"), array("B"))
 
         for batch in batches:
             coded = batch.column(2).dictionary_encode()
@@ -245,7 +260,7 @@ def _aligned(held: DataFrame, tokenizers: Tokenizers) -> DataFrame:
                 yield from packed()
                 last = None
             # rows are sorted by segment, so the first may be the one before
-            base = len(groups) - (found[0] == last)
+            base = len(facts) // 3 - (found[0] == last)
             align(found[found[0] == last :])
             homes.append(batch.column(0).to_numpy())
             rows.append(np.stack([batch.column(1).to_numpy().astype(np.int64), which + base]))
@@ -254,7 +269,33 @@ def _aligned(held: DataFrame, tokenizers: Tokenizers) -> DataFrame:
         yield from packed()
 
     dealt = held.repartition("segment").sortWithinPartitions("segment")
-    return dealt.mapInArrow(run, "home long, numbers binary, links binary, groups binary")
+    return dealt.mapInArrow(run, "home long, numbers binary, ids binary, ends binary")
+
+
+def _named(one: np.ndarray, two: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """Of tokens of A and B and what ends at each link: the distinct pairs (A id << 32 | B id), each link's number in them, each group's in the names of all."""
+    at_a, at_b = (np.cumsum(x, dtype=np.int32) - x for x in (ends & 1, ends >> 1))
+    links = one[at_a].astype(np.int64)
+    links <<= 32
+    links |= two[at_b]
+    pairs, number = np.unique(links), np.empty(len(links), dtype=np.int32)
+    # in pieces: an inverse of all at once takes several times what the links take
+    for at in range(0, len(links), LONG):
+        number[at : at + LONG] = np.searchsorted(pairs, links[at : at + LONG])
+    del links
+    last = np.flatnonzero(ends == 3)
+    first = np.concatenate(([0], last[:-1] + 1)) if len(last) else last
+    # a group of one link is named as its pair is
+    code, names = number[last], [f"{p >> 32}|{p & 0xFFFFFFFF}" for p in pairs.tolist()]
+    more = Numbers()
+    longer = np.flatnonzero(first < last)
+    for at in range(0, len(longer), BATCH):
+        part = longer[at : at + BATCH]
+        for k, a, b, c, d in zip(part.tolist(), *(x[y[part]].tolist() for x in (at_a, at_b) for y in (first, last))):
+            text = ",".join(map(str, one[a : b + 1].tolist())) + "|" + ",".join(map(str, two[c : d + 1].tolist()))
+            code[k] = len(pairs) + more[text]
+    names.extend(more)
+    return pairs, number, code, names
 
 
 def _composed(blocks: DataFrame, aligned: DataFrame, kind: str, with_groups: bool) -> DataFrame:
@@ -265,20 +306,24 @@ def _composed(blocks: DataFrame, aligned: DataFrame, kind: str, with_groups: boo
     """
 
     def run(block: pa.Table, parts: pa.Table) -> pa.Table:
-        facts, flat, groups = [], [], []
-        for numbers, links, text in zip(*[parts.column(c).to_pylist() for c in ("numbers", "links", "groups")]):
-            own = unsqueeze(numbers).astype(np.int64).reshape(5, -1)
+        facts, one, two, ends = [np.zeros((4, 0), dtype=np.int64)], [], [], [np.zeros(0, dtype=np.uint8)]
+        for numbers, tokens, links in zip(*[parts.column(c).to_pylist() for c in ("numbers", "ids", "ends")]):
+            own, tokens = unsqueeze(numbers).astype(np.int64).reshape(4, -1), unsqueeze(tokens)
             own[0] = np.cumsum(own[0])
             facts.append(own)
-            high, low = unsqueeze(links).astype(np.int64).reshape(2, -1)
-            flat.append(high << 32 | low)
-            groups += zlib.decompress(text).decode().split("\n")
-        facts = np.concatenate(facts, axis=1) if facts else np.zeros((5, 0), dtype=np.int64)
-        values = np.concatenate(flat) if flat else np.zeros(0, dtype=np.int64)
+            cut = own[1].sum()
+            one.append(tokens[:cut])
+            two.append(tokens[cut:])
+            ends.append(np.frombuffer(zlib.decompress(links), dtype=np.uint8))
+        facts, ends = np.concatenate(facts, axis=1), np.concatenate(ends)
+        pairs, number, code, names = _named(*(np.concatenate(x) if x else np.zeros(0, dtype=np.uint32) for x in (one, two)), ends)
         order = np.argsort(facts[0])
-        start = (np.cumsum(facts[4]) - facts[4])[order]
-        each, groups = facts[1:, order], [groups[k] for k in order.tolist()]
-        pairs, number = np.unique(values, return_inverse=True)
+        n = facts[3]
+        after = np.concatenate(([0], np.cumsum(ends == 3)))
+        last = np.cumsum(n)
+        start, group = (last - n)[order], after[last - n][order]
+        each = np.stack([facts[1], facts[2], after[last] - after[last - n], n])[:, order]
+        del facts, one, two, ends, after
         total = np.zeros(len(pairs), dtype=np.int64)
         ids = block.column("ids").combine_chunks()
         sizes, codes = (unsqueeze(block.column(c)[0].as_py()) for c in ("sizes", "codes"))
@@ -293,21 +338,21 @@ def _composed(blocks: DataFrame, aligned: DataFrame, kind: str, with_groups: boo
             sums[:, k] = each[:, own] @ often
             whole, pieces = hashlib.sha256(), []
             for at in range(end - size, end, LONG):
-                piece = ";".join([groups[c] for c in codes[at : min(end, at + LONG)].tolist()])
+                own_codes = codes[at : min(end, at + LONG)]
+                piece = ";".join([names[g] for g in code[spread(group[own_codes], each[2, own_codes])].tolist()])
                 whole.update(piece.encode() if at == end - size else b";" + piece.encode())
                 pieces.append(piece)
             digest[k] = whole.hexdigest()
             if with_groups:
                 text[k] = ";".join(pieces)
             n = each[3, own]
-            there = np.repeat(start[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            spot, at = np.unique(number[there], return_inverse=True)
+            spot, at = np.unique(number[spread(start[own], n)], return_inverse=True)
             total[spot] += 1
             held[k] = len(spot)
             spots.append(spot)
-            times.append(np.bincount(at, np.repeat(often, n)))
+            times.append(np.bincount(at, np.repeat(often, n)).astype(np.uint32))
         used = np.flatnonzero(total)
-        place = np.zeros(len(pairs), dtype=np.int64)
+        place = np.zeros(len(pairs), dtype=np.int32)
         place[used] = np.arange(len(used))
         # differences of ascending places are small
         spots = np.concatenate([np.diff(place[s], prepend=0) for s in spots]) if spots else np.zeros(0)
@@ -325,7 +370,7 @@ def _composed(blocks: DataFrame, aligned: DataFrame, kind: str, with_groups: boo
         }
         return pa.table(row)
 
-    left = blocks.select("block", "ids", "sizes", "codes").groupBy("block")
+    left = blocks.where("codes is not null").select("block", "ids", "sizes", "codes").groupBy("block")
     return left.cogroup(aligned.groupBy("home")).applyInArrow(run, f"home long, ids array<{kind}>, sums binary, digests array<string>, texts array<string>, held binary, spots binary, times binary, pairs array<long>, counts array<long>")
 
 
@@ -371,8 +416,9 @@ def align_tokenizers(docs: DataFrame, path_a: str, path_b: str, id_col: str = "d
     tokenizers = Tokenizers(path_a, path_b)
     kind = dict(docs.dtypes)[id_col]
     blocks = durable(_blocks(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), tokenizers.cut))
-    held = blocks.select(F.col("block").alias("home"), F.posexplode("segments").alias("pos", "segment"))
+    held = blocks.select(F.col("block").alias("home"), "first", F.posexplode("segments").alias("at", "segment")).select("home", (F.col("first") + F.col("at")).alias("pos"), "segment")
     composed = durable(_composed(blocks, _aligned(held, tokenizers), kind, with_groups))
+    forget(blocks)
     pairs = composed.select(F.col("home").alias("block"), F.posexplode(F.arrays_zip("pairs", "counts")).alias("place", "_p")).select("block", "place", F.col("_p.pairs").alias("pair"), F.col("_p.counts").alias("n"))
     first = F.expr("shiftright(pair, 32)")
     counts = durable(pairs.groupBy("pair").agg(F.sum("n").alias("count")).withColumn("a", first))
