@@ -89,3 +89,38 @@ def test_stages_meet_odd_rows(spark, sf):
             assert all(ids[k] == before[k] for k in (None, 901, 902, 903, 904, 905, 906, 907))
         else:
             assert len({(r.text, r.doc_id) for r in got if r.doc_id == 904}) == (ids[904] > 0) and ids[904] in (0, 3)
+
+
+def test_memory_of_a_worker_follows_blocks_not_batches():
+    """12 MB of texts that come as one batch: the most that a worker took after each of the first four stages, in KB."""
+    code = """
+import random, re, tempfile
+import pyarrow as pa
+import corpus_pipeline as C
+from pyspark.sql import SparkSession
+start = lambda: SparkSession.builder.master("local[1]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+spark = start()
+def texts(batches):
+    rng = random.Random(1)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(20_000)]
+    for batch in batches:
+        ids = batch.column(0).to_pylist()
+        yield pa.RecordBatch.from_pydict({"doc_id": ids, "text": [". ".join(" ".join(rng.choices(words, k=19)) for _ in range(9)) for _ in ids]})
+path = tempfile.mkdtemp()
+spark.range(0, 9_900, 1, 1).mapInArrow(texts, "doc_id long, text string").write.parquet(path + "/documents.parquet")
+spark.range(0, 9_900, 1, 1).selectExpr("id doc_id", "1 quality").write.parquet(path + "/labels.parquet")
+spark.createDataFrame([(1, "none of them holds these six words")], "item_id long, text string").write.parquet(path + "/benchmark.parquet")
+for name, stage in C.STAGES[:4]:
+    spark.stop()
+    spark = start()
+    stage(spark, spark.read.parquet(path + "/documents.parquet"), path).write.format("noop").mode("overwrite").save()
+    most = lambda batches: (pa.RecordBatch.from_pydict({"kb": [int(re.search("VmHWM:\\\\s+(\\\\d+)", open("/proc/self/status").read())[1])]}) for _ in batches)
+    print(spark.range(0, 1, 1, 1).mapInArrow(most, "kb long").first()[0])
+"""
+    import subprocess
+    import sys
+
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=__file__.rsplit("/tests/", 1)[0])
+    most = dict(zip((name for name, _ in C.STAGES), map(int, out.stdout.split())))
+    assert most.keys() == {"quality", "line_dedup", "near_duplicates", "decontamination"}, most
+    assert most["quality"] < 155_000 and most["line_dedup"] < 165_000 and most["near_duplicates"] < 190_000 and most["decontamination"] < 155_000, most

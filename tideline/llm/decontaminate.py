@@ -194,10 +194,10 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = 5, share: floa
 
         def keep(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                clean = []
-                for _, raw in kernel.blocks(batch.column(batch.schema.get_field_index(text_col))):
-                    clean += [not own for own in index.search(kernel.Block(raw, kernel.ALNUM))]
-                yield batch.filter(pa.array(clean, pa.bool_()))
+                # handed back block by block: the JVM takes a batch that it reads whole
+                for at, raw in kernel.blocks(batch.column(batch.schema.get_field_index(text_col))):
+                    clean = [not own for own in index.search(kernel.Block(raw, kernel.ALNUM))]
+                    yield batch.slice(at, len(raw)).filter(pa.array(clean, pa.bool_()))
 
         out = out.mapInArrow(keep, docs.schema)
     return out

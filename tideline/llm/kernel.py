@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one block holds, unless a single document is longer, and rows that it holds at most.
-BLOCK_BYTES, BLOCK_ROWS = 1_000_000, 4_096
+BLOCK_BYTES, BLOCK_ROWS = 250_000, 4_096
 #: Bytes that are hashed at a time, and rows whose n-grams are counted at a time.
 WINDOW, COUNT_ROWS = 1 << 20, 256
 _BASE = 0x9E3779B97F4A7C15

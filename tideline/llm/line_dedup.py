@@ -202,9 +202,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             names = batch.schema.names
             texts, gone = batch.column(names.index(text_col)), batch.column(names.index(lost))
-            out, counts, removed = [], [], []
             lost_here = gone.value_lengths().fill_null(0).to_numpy()
+            # handed back block by block: the JVM takes a batch that it reads whole
             for at, raw in kernel.blocks(texts, lower=False):
+                out, counts, removed = [], [], []
                 c = Chunks(raw, min_lines, min_words)
                 for k in range(len(raw)):
                     places = np.unique(gone[at + k].values.to_numpy()) if lost_here[at + k] else ()
@@ -212,9 +213,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     removed.append(len(places))
                     if len(places):
                         out.append(c.without(k, places).decode())
-            changed = pc.replace_with_mask(texts, pa.array([n > 0 for n in removed], pa.bool_()), pa.array(out, texts.type))
-            columns = [changed if name == text_col else batch.column(name) for name in names if name != lost]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=[*[x for x in names if x != lost], n_chunks, n_removed])
+                own = batch.slice(at, len(raw))
+                changed = pc.replace_with_mask(own.column(names.index(text_col)), pa.array([n > 0 for n in removed], pa.bool_()), pa.array(out, texts.type))
+                columns = [changed if name == text_col else own.column(name) for name in names if name != lost]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=[*[x for x in names if x != lost], n_chunks, n_removed])
 
     order = [*docs.columns, lost]
     schema = ", ".join(f"`{name}` {kind}" for name, kind in docs.dtypes)

@@ -46,6 +46,8 @@ LIST = 4096
 TASK_SHINGLES = 1 << 21
 #: Positions in a block of an index list.
 POSITIONS = 8
+#: Rows of sets that become Python objects together.
+READ_ROWS = 256
 
 
 def need(a: int, b: int, percent: int) -> int:
@@ -258,27 +260,30 @@ class Region:
     def _indexed(self) -> Iterator[tuple[int, np.ndarray]]:
         sets, size, percent = self.sets, self.size, self.percent
         flat = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(sets)), size)
+        # a region has fewer sets and shingles than 2**31, as it fits one task
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), size)
         _, token = np.unique(flat, return_inverse=True)
+        del flat
         often = np.bincount(token)
         # in this region, the rarest shingle is number 0
-        number = np.empty(len(often), dtype=np.int64)
-        number[np.argsort(often, kind="stable")] = np.arange(len(often))
+        number = np.empty(len(often), dtype=np.int32)
+        number[np.argsort(often, kind="stable")] = np.arange(len(often), dtype=np.int32)
         token = number[token]
-        place = np.lexsort((token, owner))
-        token, owner = token[place], owner[place]
         begin = np.concatenate(([0], np.cumsum(size)))
+        # sets stand one after another, so each is ordered in its own place
+        for low, high in zip(begin[:-1].tolist(), begin[1:].tolist()):
+            token[low:high].sort()
         position = np.arange(len(token)) - begin[owner]
         ordered = [token[begin[k] : begin[k + 1]] for k in range(len(sets))]
         # whole lists, for overlaps
         by_token = np.argsort(token, kind="stable")
-        listed, at = owner[by_token], np.searchsorted(token[by_token], np.arange(len(often) + 1))
+        listed, at = owner[by_token], np.searchsorted(token[by_token], np.arange(len(often) + 1, dtype=np.int32))
         # lists of prefixes, in blocks of positions, each ordered by size
         length = np.array([prefix(int(s), percent) for s in size])
         early = np.flatnonzero(position < length[owner])
         early = early[np.lexsort((owner[early], position[early] // POSITIONS, token[early]))]
         blocks: dict[int, list[tuple[int, np.ndarray]]] = {}
-        key = token[early] * (1 << 32) + position[early] // POSITIONS
+        key = token[early].astype(np.int64) * (1 << 32) + position[early] // POSITIONS
         cut = np.flatnonzero(np.diff(key, prepend=-1))
         for low, high in zip(cut.tolist(), [*cut[1:].tolist(), len(early)]):
             blocks.setdefault(int(token[early[low]]), []).append((int(position[early[low]]) // POSITIONS * POSITIONS, owner[early[low:high]]))
@@ -360,8 +365,9 @@ def _meet(rows: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[tuple[bytes, bytes, np.ndarray, int, int]]:
             for batch in batches:
-                for r in batch.to_pylist():
-                    yield r["region"], r["sig"], np.frombuffer(r["items"], dtype=np.uint64), r["copies"], r["side"]
+                for at in range(0, len(batch), READ_ROWS):
+                    for r in batch.slice(at, READ_ROWS).to_pylist():
+                        yield r["region"], r["sig"], np.frombuffer(r["items"], dtype=np.uint64), r["copies"], r["side"]
 
         out: list[tuple[bytes, bytes, int]] = []
         for x in _answers(each(), percent):

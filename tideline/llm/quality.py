@@ -30,8 +30,8 @@ DIMENSIONS = 64
 NEIGHBOURS = 15
 #: A vote's weight is similarity to this power.
 SHARPNESS = 8
-#: Bytes of text in a block.
-BLOCK = 1 << 20
+#: Bytes of text in a block, and rows that it holds at most (of COUNT_ROWS).
+BLOCK, ROWS = 1 << 18, 64
 #: Terms of shape: shares of capitals, symbols and digits, words that repeat the one before, distinct
 #: words, word length, length; ten steps each, a value between two steps counts towards both.
 SHAPES, STEPS = 7, 10
@@ -130,7 +130,7 @@ def document_frequency(texts: DataFrame) -> tuple[np.ndarray, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, rows = np.zeros(TERMS, dtype=np.int64), 0
         for batch in batches:
-            for _, raw in kernel.blocks(batch.column(0), BLOCK, lower=False, rows=kernel.COUNT_ROWS):
+            for _, raw in kernel.blocks(batch.column(0), BLOCK, lower=False, rows=ROWS):
                 seen += (terms(raw) > 0).sum(axis=0)
                 rows += len(raw)
         yield pa.RecordBatch.from_arrays([pa.array(range(TERMS + 1), pa.int32()), pa.array(np.append(seen, rows))], names=["term", "n"])
@@ -167,7 +167,7 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str, voters
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, raw in kernel.blocks(batch.column(0), BLOCK, lower=False, rows=kernel.COUNT_ROWS):
+            for at, raw in kernel.blocks(batch.column(0), BLOCK, lower=False, rows=ROWS):
                 x = _unit(terms(raw) * idf)
                 index = [np.flatnonzero(r) for r in x]
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(at, len(raw)), batch.column(2).slice(at, len(raw)), pa.array([i.astype(np.uint16).tobytes() for i in index], pa.binary()), pa.array([r[i].astype(np.float16).tobytes() for r, i in zip(x, index)], pa.binary())], names=["id", "label", "at", "x"])
@@ -199,7 +199,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     equal scores, repeated rows each; of voters equally near, beyond the last place, each
     has an equal part in it. All columns stay. An empty table gives no rows. No shuffle
     carries documents but for the sampled ones; a text of any length takes 50 KB beside
-    its own bytes, for at most COUNT_ROWS texts at a time. Where ``docs`` has
+    its own bytes, for at most ROWS texts at a time. Where ``docs`` has
     _score or _predicted, the two added columns, which are last, have one more underscore.
     """
     scored, predicted = free_name(docs, "_score"), free_name(docs, "_predicted")
@@ -207,11 +207,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for _, raw in kernel.blocks(batch.column(batch.schema.get_field_index(text_col)), BLOCK, lower=False, rows=kernel.COUNT_ROWS):
-                out.append(model.value.scores(raw))
-            s = np.round(np.concatenate(out), 6) if out else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=[*batch.schema.names, scored, predicted])
+            # handed back block by block: the JVM takes a batch that it reads whole
+            for at, raw in kernel.blocks(batch.column(batch.schema.get_field_index(text_col)), BLOCK, lower=False, rows=ROWS):
+                s = np.round(model.value.scores(raw), 6)
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, len(raw)).columns, pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=[*batch.schema.names, scored, predicted])
 
     schema = ", ".join(f"`{name}` {kind}" for name, kind in docs.dtypes)
     return docs.mapInArrow(score, f"{schema}, {scored} double, {predicted} int")
