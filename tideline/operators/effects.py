@@ -81,8 +81,13 @@ def pair_interval(pair_id: Column) -> Column:
 
 
 def adjacent_effects(scores: DataFrame, pair: str = "pair_id", visit: str = "visit", score: str = "score", pooled: str | None = "V1->V2 + V2->V3") -> DataFrame:
-    """Effects by interval of the pair id and, if ``pooled`` names it, over both, from one grouping-sets pass."""
-    d = two_row_deltas(scores.where(F.col(score).isNotNull()), pair, visit, score).withColumn("interval", pair_interval(F.col(pair))).where("interval is not null")
+    """Effects by interval of the pair id and, if ``pooled`` names it, over both, from one grouping-sets pass.
+
+    Where a pair id has several rows at a visit, each at visit 1 meets each at visit 2, as in a join.
+    """
+    at = lambda v: F.collect_list(F.when(F.col(visit) == v, F.col(score)))
+    ends = scores.withColumn("interval", pair_interval(F.col(pair))).where("interval is not null").groupBy(pair, "interval").agg(at(1).alias("_a"), at(2).alias("_b"))
+    d = ends.select("interval", F.explode("_a").alias("_a"), "_b").select("interval", "_a", F.explode("_b").alias("_b")).select("interval", (F.col("_b") - F.col("_a")).alias("delta"))
     if pooled is None:
         return d.groupBy("interval").agg(*summary(F.col("delta")))
     return d.rollup("interval").agg(*summary(F.col("delta")), F.grouping("interval").alias("_all")).withColumn("interval", F.when(F.col("_all") == 1, pooled).otherwise(F.col("interval"))).drop("_all")
