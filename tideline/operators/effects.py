@@ -49,17 +49,18 @@ INTERVALS = (("V1->V3", 1, 3, False), ("V1->V2", 1, 2, True), ("V2->V3", 2, 3, T
 
 
 def interval_deltas(scores: DataFrame, intervals: Sequence[tuple[str, int, int, bool]] = INTERVALS, keys: Sequence[str] = (), subject: str = "subject_id", visit: str = "visit", score: str = "score", time: str = "time_years") -> DataFrame:
-    """All intervals of each subject from one aggregation: (keys, subject, interval, delta)."""
-    at = lambda c, v: F.min(F.when(F.col(visit) == v, F.col(c))).alias(f"{c}_{v}")
+    """All intervals of each subject from one aggregation: (keys, subject, interval, delta).
+
+    Where a subject has several rows at a visit, each at the start meets each at the end, as in a join.
+    """
+    at = lambda v: F.collect_list(F.when(F.col(visit) == v, F.struct(F.col(score).alias("score"), F.col(time).alias("time")))).alias(f"_{v}")
     points = sorted({p for _, a, b, _ in intervals for p in (a, b)})
-    wide = scores.where(F.col(score).isNotNull()).groupBy(*keys, subject).agg(*[at(c, v) for c in (score, time) for v in points])
-    rows = []
-    for label, a, b, annual in intervals:
-        delta = F.col(f"{score}_{b}") - F.col(f"{score}_{a}")
-        if annual:
-            delta = delta / F.nullif(F.col(f"{time}_{b}") - F.col(f"{time}_{a}"), F.lit(0.0))
-        rows.append(F.struct(F.lit(label).alias("interval"), delta.alias("delta")))
-    return wide.select(*keys, subject, F.explode(F.array(*rows)).alias("r")).select(*keys, subject, "r.interval", "r.delta").where("delta is not null")
+    lists = scores.where(F.col(score).isNotNull()).groupBy(*keys, subject).agg(*[at(v) for v in points])
+    ends = [F.struct(F.lit(label).alias("interval"), F.lit(annual).alias("_annual"), F.col(f"_{a}").alias("_a"), F.col(f"_{b}").alias("_b")) for label, a, b, annual in intervals]
+    rows = lists.select(*keys, subject, F.explode(F.array(*ends)).alias("r")).select(*keys, subject, "r.*")
+    rows = rows.withColumn("_a", F.explode("_a")).withColumn("_b", F.explode("_b"))
+    years = F.when(F.col("_annual"), F.col("_b.time") - F.col("_a.time")).otherwise(1.0)
+    return rows.select(*keys, subject, "interval", ((F.col("_b.score") - F.col("_a.score")) / F.nullif(years, F.lit(0.0))).alias("delta")).where("delta is not null")
 
 
 def interval_effects(scores: DataFrame, intervals: Sequence[tuple[str, int, int, bool]] = INTERVALS, keys: Sequence[str] = (), **names: str) -> DataFrame:
