@@ -10,7 +10,7 @@ QUERIES, ORACLES = catalog.queries(), catalog.oracle_sql()
 USERS = (3, 45, 777, 1000, 10000, 10001, 1001, 10015, 10019, 1002, 10020, 9999, 99990, 20000, 20009)
 #: Purchases that leave two scores to S0045, S0777 and S2000.
 LACKS = "user_id = 45 and v = 3 or user_id = 777 and v = 2 or user_id = 20000 and v > 1 or user_id = 20009 and v < 3"
-NAMES = ("agg_01_collapse_conflicts", "agg_09_qc_pairs", "agg_09_qc_visits", "agg_10_delta_summary", "agg_11_cohens_d_by_feature", "agg_12_paired_deltas", "agg_12_paired_t", "agg_12_paired_ttest", "agg_14_clinical_effects", "agg_14_reference_effects", "agg_17_adjacent_pair_effects", "agg_20_single_feature_baselines", "agg_22_coefficient_summary")
+NAMES = ("agg_01_collapse_conflicts", "agg_09_qc_pairs", "agg_09_qc_visits", "agg_10_delta_summary", "agg_11_cohens_d_by_feature", "agg_12_paired_deltas", "agg_12_paired_t", "agg_12_paired_ttest", "agg_14_clinical_effects", "agg_14_reference_effects", "agg_17_adjacent_pair_effects", "agg_20_single_feature_baselines", "agg_22_coefficient_summary", "bootstrap_ci_md5")
 
 
 @pytest.fixture(scope="module")

@@ -97,16 +97,18 @@ def bootstrap_effects(deltas: DataFrame, keys: Sequence[str], unit: str, value:
     """Percentile intervals of d_z over bootstrap replicates of each key.
 
     A row's weight in a replicate is a Poisson(1) draw, the limit of drawing with replacement,
-    from the md5 of seed, key, ``unit`` and number: one md5 has eight draws. Replicates are
-    summed where the rows are, so the shuffle has the size of keys and replicates. Keys of
+    from the md5 of seed, key, ``unit`` and number: one md5 has eight draws. Rows of a unit share
+    its draws, so their sums stand for them; replicates are summed where the units are. Keys of
     fewer than ten values get nulls.
     """
-    rows = deltas.where(F.col(value).isNotNull())
+    x = F.col(value)
+    rows = deltas.where(x.isNotNull())
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("n_pairs"))
-    draws = rows.select(*keys, unit, F.col(value).alias("_x"), F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // 8) - 1))).alias("_g"))
+    units = rows.groupBy(*keys, unit).agg(F.count("*").alias("_c"), F.sum(x).alias("_x"), F.sum(x * x).alias("_xx"))
+    draws = units.select(*keys, unit, "_c", "_x", "_xx", F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // 8) - 1))).alias("_g"))
     h = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k) for k in keys], F.col(unit), F.col("_g").cast("string")).cast("binary"))
-    draws = draws.withColumn("_h", h).select(*keys, "_x", "_g", F.posexplode(F.array(*[poisson_weight(F.substring("_h", 1 + 4 * j, 4)) for j in range(8)])).alias("_j", "_w"))
-    each = draws.where(f"_w > 0 and _g * 8 + _j < {replicates}").groupBy(*keys, "_g", "_j").agg(F.sum("_w").alias("_n"), F.sum(F.col("_w") * F.col("_x")).alias("_s"), F.sum(F.col("_w") * F.col("_x") * F.col("_x")).alias("_q"))
+    draws = draws.withColumn("_h", h).select(*keys, "_c", "_x", "_xx", "_g", F.posexplode(F.array(*[poisson_weight(F.substring("_h", 1 + 4 * j, 4)) for j in range(8)])).alias("_j", "_w"))
+    each = draws.where(f"_w > 0 and _g * 8 + _j < {replicates}").groupBy(*keys, "_g", "_j").agg(*[F.sum(F.col("_w") * F.col(c)).alias(n) for c, n in (("_c", "_n"), ("_x", "_s"), ("_xx", "_q"))])
     var = (F.col("_q") - F.col("_s") * F.col("_s") / F.col("_n")) / F.nullif(F.col("_n") - 1, F.lit(0))
     d = each.withColumn("d", F.when(var > 1e-300, F.col("_s") / F.col("_n") / F.sqrt(var)))
     ci = d.groupBy(*keys).agg(F.percentile("d", 0.025).alias("_low"), F.percentile("d", 0.975).alias("_high"))
